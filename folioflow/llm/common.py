@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +44,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What one Arrow batch between the JVM and a Python worker may hold; texts differ in length by orders, so rows alone don't bound memory.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+
+def release() -> None:
+    """Hand freed memory back to the system: workers are reused and would keep the most that any task needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` with bounded batches; memory is released when a task ends."""
+    for key, value in BATCH.items():
+        df.sparkSession.conf.set(key, value)
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(lean, schema)
+
+
+def group_arrow(df: DataFrame, key: str, run: Callable[[pa.Table], pa.Table], schema) -> DataFrame:
+    """``applyInArrow`` by one key; memory is released after a group."""
+
+    def lean(group: pa.Table) -> pa.Table:
+        try:
+            return run(group)
+        finally:
+            release()
+
+    return df.groupBy(key).applyInArrow(lean, schema)
+
+
 def text_bytes(docs: DataFrame) -> int:
     """UTF-8 bytes of all texts, exactly; sizes sketches and bucket counts."""
     return int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
@@ -55,6 +97,16 @@ def hash01_sql(column: str, salt: str) -> str:
     return f"(('0x' || substr(md5('{salt}' || coalesce({column}::varchar, '')), 1, 8))::bigint / 4294967296.0::double)"
 
 
+def split_batch(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose ``column`` holds about ``max_bytes``, so that what a task holds at once is bounded; a row is never split."""
+    sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
+    at = 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + max_bytes, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def pack_gaps(sorted_positions: np.ndarray) -> bytes:
     """Sorted integers as gaps of one or two bytes; a gap over the base is written as repeated base marks."""
     if not len(sorted_positions):

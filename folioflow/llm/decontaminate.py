@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import map_arrow, materialize
 from .textscan import slices, words
 
-MIN_WORDS, LEAST_WORDS, SHARD_BYTES, PART_WORDS = 13, 8, 4 << 20, 2_000_000
+MIN_WORDS, LEAST_WORDS, SHARD_BYTES, PART_WORDS = 13, 8, 2 << 20, 2_000_000
 
 
 def codes(hashes: np.ndarray) -> np.ndarray:
@@ -185,7 +185,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, l
                         [batch.column(0).take(pa.array(row[best] + first)), pa.array(q.ids[item[best]]), *(pa.array(x[best].astype(np.int32)) for x in (doc_word, item_word, n))], names=["doc_id", "item_id", "doc_word", "item_word", "n_words"]
                     )
 
-        out = out.unionByName(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema))
+        out = out.unionByName(map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, schema))
     return out
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import map_arrow, materialize, split_batch
 
 TOKENIZERS = "/opt/tokenizers"
 MIN_TOKENS, MIN_GROUP, WIDTH, PIECE = 32, 30, 6.0, 100_000
@@ -106,12 +106,12 @@ def with_measures(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     schema = T.StructType([*rest.schema.fields, T.StructField("n_tokens", T.LongType()), *(T.StructField(m, T.DoubleType()) for m in MEASURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in split_batch(whole, "text")):
             tokens, *rest = measure(batch.column("text").to_pylist(), folder)
             more = [pa.array(tokens, pa.int64()), *(pa.array(x, pa.float64(), from_pandas=True) for x in rest)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "n_tokens", *MEASURES])
 
-    return rest.mapInArrow(run, schema)
+    return map_arrow(rest, run, schema)
 
 
 def group_of() -> Column:

@@ -25,12 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, materialize
+from .common import blobs, group_arrow, map_arrow, materialize
 from .textscan import mix, shingles, slices, words
 
 SYMBOLS, SHINGLE, DISTANCE, CHUNKS = 64, 2, 24, 13
 #: Up to so many edges the components are found on the driver, beyond it by label propagation on the executors.
 DRIVER_EDGES = 2_000_000
+FLUSH_NODES = 20_000
 _rng = np.random.default_rng(7)
 _MULTIPLY = _rng.integers(0, 2**31, SYMBOLS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.integers(0, 2**32, SYMBOLS, dtype=np.uint32)
@@ -67,7 +68,7 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
             rows, sig = minhash(batch.column(1), k)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), blobs([r.tobytes() for r in sig])], names=["doc_id", "sig"])
 
-    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, sig binary")
+    return map_arrow(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, "doc_id bigint, sig binary")
 
 
 def key_masks(symbols: int = SYMBOLS, distance: int = DISTANCE, chunks: int = CHUNKS) -> list[np.ndarray]:
@@ -128,19 +129,27 @@ def candidate_sets(nodes: DataFrame, distance: int = DISTANCE, chunks: int = CHU
     masks = key_masks(symbols, distance, chunks)
     buckets = max(8, nodes.count() * len(masks) // bucket_rows + 1)
 
+    def flush(ids: list[np.ndarray], sig: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.concatenate([index_keys(x, masks).ravel() for x in sig])
+        owner = np.repeat(np.concatenate(ids), len(masks))
+        bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+        order = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        held = np.flatnonzero(np.diff(ends))
+        cut = [order[ends[b] : ends[b + 1]] for b in held]
+        return pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), blobs([keys[c].tobytes() for c in cut]), blobs([owner[c].tobytes() for c in cut])], names=["bucket", "keys", "nodes"])
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sig, n = [], [], 0
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            for at in range(0, len(ids), 20_000):
-                keys = index_keys(_matrix(batch.column(1).slice(at, 20_000)), masks)
-                owner = np.repeat(ids[at : at + 20_000], len(masks))
-                flat = keys.ravel()
-                bucket = ((flat >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-                order = np.argsort(bucket, kind="stable")
-                ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                held = np.flatnonzero(np.diff(ends))
-                cut = [order[ends[b] : ends[b + 1]] for b in held]
-                yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), blobs([flat[c].tobytes() for c in cut]), blobs([owner[c].tobytes() for c in cut])], names=["bucket", "keys", "nodes"])
+            ids.append(np.asarray(batch.column(0)))
+            sig.append(_matrix(batch.column(1)))
+            n += len(batch)
+            if n >= FLUSH_NODES:
+                yield flush(ids, sig)
+                ids, sig, n = [], [], 0
+        if n:
+            yield flush(ids, sig)
 
     def match(t: pa.Table) -> pa.Table:
         keys = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.uint64)
@@ -161,8 +170,8 @@ def candidate_sets(nodes: DataFrame, distance: int = DISTANCE, chunks: int = CHU
         rows = np.repeat(keep, sizes)
         return pa.table({"set": pa.array(np.repeat(name, sizes)[rows].view(np.int64)), "node": pa.array(members[rows])})
 
-    packed = nodes.select("node", "sig").mapInArrow(emit, "bucket int, keys binary, nodes binary")
-    return packed.groupBy("bucket").applyInArrow(match, "set bigint, node bigint").distinct()
+    packed = map_arrow(nodes.select("node", "sig"), emit, "bucket int, keys binary, nodes binary")
+    return group_arrow(packed, "bucket", match, "set bigint, node bigint").distinct()
 
 
 def verified(nodes: DataFrame, sets: DataFrame, distance: int = DISTANCE, every: bool = False, bucket_rows: int = 200_000) -> DataFrame:
@@ -184,7 +193,7 @@ def verified(nodes: DataFrame, sets: DataFrame, distance: int = DISTANCE, every:
 
     buckets = max(8, sets.count() // bucket_rows + 1)
     joined = sets.join(nodes.select("node", "sig"), "node").withColumn("bucket", F.pmod(F.hash("set"), F.lit(buckets)))
-    return joined.groupBy("bucket").applyInArrow(check, "a bigint, b bigint").distinct()
+    return group_arrow(joined, "bucket", check, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:

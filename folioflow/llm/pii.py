@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 MAX_TOKENS, BUCKETS, CONTEXT = 8, 1 << 12, 2
 TYPES = ("OUT", "EMAIL", "PHONE", "IP", "CARD", "SECRET", "NATIONAL_ID")
 TOKEN = re.compile(r"\w+(?:[.@%+\-]+\w+)*|[^\w\s]")
@@ -287,4 +289,4 @@ def pii_spans(docs: DataFrame) -> DataFrame:
             ids, starts, lengths, kinds, values = zip(*rows) if rows else ([], [], [], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(lengths, pa.int32()), pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["doc_id", "start", "length", "type", "value"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("text").rlike("[0-9@]")).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("text").rlike("[0-9@]")), run, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash01, materialize
+from .common import hash01, map_arrow, materialize
 from .textscan import slices, words
 
 BINS, MIN_DF, MIN_Z, FIT_DOCUMENTS, PAIRS_PER_DOCUMENT = 1 << 18, 5, 4.0, 6000, 4
@@ -76,7 +76,7 @@ def _gather(docs: DataFrame) -> DataFrame:
                     [batch.column(0).slice(first, len(form)), pa.array([bin_[a:b].astype(np.int32).tobytes() for a, b in zip(ends, ends[1:])], pa.binary()), pa.array([f.tobytes() for f in form], pa.binary())], names=["good", "bins", "form"]
                 )
 
-    return docs.select("good", "text").mapInArrow(run, "good int, bins binary, form binary")
+    return map_arrow(docs.select("good", "text"), run, "good int, bins binary, form binary")
 
 
 def fit_pairs(bins: list[np.ndarray], form: np.ndarray, good: np.ndarray, rounds: int = 300, l2: float = 2e-4, seed: int = 11) -> dict[str, np.ndarray]:
@@ -154,7 +154,7 @@ def with_scores(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores(batch.column(names.index("text")), shared.value))], names=[*names, "score"])
 
-    return rest.mapInArrow(run, schema)
+    return map_arrow(rest, run, schema)
 
 
 def score_quantile(scored: DataFrame, quantile: float) -> float:

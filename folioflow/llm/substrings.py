@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, pack_gaps, text_bytes, unpack_gaps
+from .common import blobs, group_arrow, map_arrow, pack_gaps, text_bytes, unpack_gaps
 from .textscan import mix, slices, windows, words
 
 WINDOW, ROWS, PER_WINDOW, SKETCH_LIMIT = 50, 2, 2, 256 << 20
 NO_DOCUMENT = -(2**63)
-_FLUSH = 6_000_000
+_FLUSH = 3_000_000
 
 
 def _counter(h: np.ndarray, row: int, width: int) -> np.ndarray:
@@ -77,7 +77,7 @@ def sketch(docs: DataFrame, width: int, window: int = WINDOW, rows: int = ROWS)
                 count[x] = np.minimum(count[x] + 1, 2)
         return pa.table({"segment": t.column("segment")[:1], "bits": blobs([np.packbits(count == 2).tobytes()])})
 
-    return docs.select("text").mapInArrow(run, "segment int, counters binary").groupBy("segment").applyInArrow(merge, "segment int, bits binary")
+    return map_arrow(docs.select("text"), run, "segment int, counters binary").groupBy("segment").applyInArrow(merge, "segment int, bits binary")
 
 
 def _full_sketch(docs: DataFrame, width: int, window: int, rows: int) -> np.ndarray:
@@ -176,8 +176,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, rows: int = ROWS, pe
         ends = np.append(cuts[1:], len(owner)) if len(cuts) else cuts
         return pa.table({"doc_id": pa.array(owner[cuts], pa.int64()), "at": blobs([place[a:b].tobytes() for a, b in zip(cuts, ends)])})
 
-    packed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(emit, "bucket int, h binary, second binary, place binary, owners binary, owner binary")
-    return packed.groupBy("bucket").applyInArrow(group, "doc_id bigint, at binary")
+    packed = map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), emit, "bucket int, h binary, second binary, place binary, owners binary, owner binary")
+    return group_arrow(packed, "bucket", group, "doc_id bigint, at binary")
 
 
 def spans(positions: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -202,4 +202,4 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, **sizes) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts), pa.array(lengths)], names=["doc_id", "start_word", "n_words"])
 
     hits = repeated_windows(docs, window, **sizes)
-    return hits.groupBy("doc_id").agg(F.collect_list("at").alias("at")).mapInArrow(merge, "doc_id bigint, start_word int, n_words int")
+    return map_arrow(hits.groupBy("doc_id").agg(F.collect_list("at").alias("at")), merge, "doc_id bigint, start_word int, n_words int")

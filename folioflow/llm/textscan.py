@@ -44,19 +44,17 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers(base, max(16, int(n).bit_length()))
 
 
-def slices(column: pa.Array, max_bytes: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, byte offsets, bytes) of the lower-cased column, about ``max_bytes`` at a time; one row is never split."""
-    column = pc.utf8_lower(pc.fill_null(column, ""))
-    if not len(column):
-        return
-    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
-    buffers = column.buffers()
-    offsets = np.frombuffer(buffers[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.empty(0, np.uint8)
+    sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64))
     at = 0
     while at < len(column):
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + max_bytes, "right")) - 1)
-        yield at, end, offsets[at : end + 1] - offsets[at], data[offsets[at] : offsets[end]]
+        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + max_bytes, "right")))
+        part = pc.utf8_lower(pc.fill_null(column.slice(at, end - at), ""))
+        buffers = part.buffers()
+        offsets = np.frombuffer(buffers[1], np.int64 if pa.types.is_large_string(part.type) else np.int32)[part.offset : part.offset + len(part) + 1].astype(np.int64)
+        data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.empty(0, np.uint8)
+        yield at, end, offsets - offsets[0], data[offsets[0] : offsets[-1]]
         at = end
 
 

@@ -20,6 +20,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from .common import map_arrow
 from pyspark.sql import types as T
 
 BROADCAST_ENTRIES = 2_000_000
@@ -112,7 +114,7 @@ def verdicts(pages: DataFrame, entries=ENTRIES, broadcast_entries: int = BROADCA
             found = [look_up(trie, h, p) for h, p in zip(batch.column(names.index("host")).to_pylist(), batch.column(names.index("path")).to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([a for a, _ in found], pa.string()), pa.array([e for _, e in found], pa.string())], names=[*names, "action", "entry"])
 
-    return parsed.mapInArrow(run, schema)
+    return map_arrow(parsed, run, schema)
 
 
 def joined(parsed: DataFrame, entries: DataFrame) -> DataFrame:
