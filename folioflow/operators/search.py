@@ -85,7 +85,7 @@ def tokens_of(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0)
 
 
-def _terms(tree) -> list[str]:
+def terms_of(tree) -> list[str]:
     return sorted({t for leaf in leaves(tree) for t in leaf.tokens})
 
 
@@ -126,7 +126,7 @@ class Index:
 
     def matches(self, tree) -> DataFrame:
         """key, f_0.. (occurrences of each leaf) of the texts that satisfy the tree."""
-        terms = _terms(tree)
+        terms = terms_of(tree)
         at = self.postings.where(F.col("term").isin(*terms)).groupBy(*self.key).agg(*(F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"_p{i}") for i, t in enumerate(terms)))
         place = {t: F.coalesce(F.col(f"_p{i}"), F.array().cast("array<int>")) for i, t in enumerate(terms)}
 
@@ -241,7 +241,7 @@ def facets(index: Index, query: str, documents: DataFrame, classifications: Data
 
 def snippets(page: DataFrame, texts: DataFrame, query: str, phrase: bool = False, window: int = 16) -> DataFrame:
     """``page`` with ``snippet``: the window of tokens with most query words, escaped, hits in mark tags. Runs on a page, not on the corpus."""
-    wanted = set(_terms(parse_query(query, phrase)))
+    wanted = set(terms_of(parse_query(query, phrase)))
 
     @F.pandas_udf("string")
     def cut(texts_: pd.Series) -> pd.Series:
@@ -277,3 +277,20 @@ def recall(index: Index, phrases: list[str], documents: DataFrame, expected_id,
 def quote_of_query(query: str) -> str:
     """The longest quoted run, else the query."""
     return max(re.findall(r'"([^"]+)"', query), key=len, default=query)
+
+
+def quotes_in(docs: DataFrame, quotes: DataFrame, key: str, quote_key: str) -> DataFrame:
+    """(quote_key, key, at): where ``quotes`` stand verbatim in ``docs``, case aside. Empty quotes stand nowhere.
+
+    Tokens inside a quote are whole tokens of a text that holds it, so three of them in a row are an equi-join key and only
+    candidates are compared. Quotes of fewer than five tokens have no such key; they are compared with every text.
+    """
+    q = quotes.where(F.length("text") > 0).select(quote_key, F.lower("text").alias("_quote"), tokens_of(F.col("text")).alias("_t"))
+    d = docs.select(key, F.lower("text").alias("_text"))
+    gram = lambda t, i: F.xxhash64(F.get(t, i), F.get(t, i + 1), F.get(t, i + 2))
+    grams = F.when(F.size("_w") >= 3, F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: gram(F.col("_w"), i))).otherwise(F.array().cast("array<bigint>"))
+    keyed = d.withColumn("_w", tokens_of(F.col("_text"))).select(key, F.explode(F.array_distinct(grams)).alias("_gram"))
+    long = q.where(F.size("_t") >= 5).select(quote_key, "_quote", gram(F.col("_t"), F.lit(1)).alias("_gram"))
+    pairs = keyed.join(long, "_gram").select(key, quote_key, "_quote").join(d, key)
+    short = d.crossJoin(q.where(F.size("_t") < 5).select(quote_key, "_quote")).select(key, quote_key, "_quote", "_text")
+    return pairs.select(short.columns).unionByName(short).where(F.contains("_text", "_quote")).select(quote_key, key, F.position("_quote", "_text").alias("at")).distinct()

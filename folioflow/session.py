@@ -26,3 +26,17 @@ def ship_package(spark: SparkSession) -> None:
     context.addPyFile(str(folder / "folioflow.zip"))
     context._folioflow_shipped = True
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session. Unset is only accepted on a local master (tests), where a folder is made and set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="folioflow-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
