@@ -19,8 +19,17 @@ def event_tail(spark: SparkSession, path: str, schema, run_id=None) -> DataFrame
 
 
 def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Everything there is, in micro-batches, then stop: a finite poll that resumes where it ended."""
-    query = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Everything there is, in micro-batches, then stop: a finite poll that resumes where it ended.
+
+    Batches without data are off: a processing-time timeout would ask for them for ever.
+    """
+    conf, key = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        query = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(key, before)
     query.awaitTermination()
 
 
