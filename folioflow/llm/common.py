@@ -129,5 +129,18 @@ def unpack_gaps(blob: bytes) -> np.ndarray:
     return np.cumsum(out, dtype=np.int64)[out != base]
 
 
+def pack_ints(values: np.ndarray) -> bytes:
+    """Integers as differences of the least width that holds them, after a byte for the width; cheap for rising ids."""
+    steps = np.diff(values.astype(np.int64), prepend=0)
+    far = max(abs(int(steps.min())), abs(int(steps.max()))) if len(steps) else 0
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or far < 1 << (8 * w - 1))
+    return bytes([width]) + steps.astype(f"<i{width}").tobytes()
+
+
+def unpack_ints(blob: bytes) -> np.ndarray:
+    """The inverse of ``pack_ints``."""
+    return np.cumsum(np.frombuffer(blob, f"<i{blob[0]}", offset=1), dtype=np.int64)
+
+
 def blobs(values: list[bytes]) -> pa.Array:
     return pa.array(values, pa.binary())

@@ -2,7 +2,7 @@
 
 Every window of ``WINDOW`` words of every document is counted. First pass: each task sketches its windows, the
 sketches are merged counter by counter, so a window's least counter never underestimates. Second pass: only windows whose every
-counter reached two are grouped exactly, by two independent 64-bit hashes; no repeated window is lost. A window counts as
+counter reached two are grouped exactly, by a 64-bit hash and 32 bits of an independent one; no repeated window is lost. A window counts as
 repeated when at least two documents hold it. The result are the maximal spans covered by repeated windows.
 
 The sketch has ``PER_WINDOW`` counters a row for every word of the corpus, so its error rate is the same at any size. Sketches
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, group_arrow, map_arrow, pack_gaps, text_bytes, unpack_gaps
+from .common import blobs, group_arrow, map_arrow, pack_gaps, pack_ints, text_bytes, unpack_gaps, unpack_ints
 from .textscan import mix, slices, windows, words
 
 WINDOW, ROWS, PER_WINDOW, SKETCH_LIMIT = 50, 2, 2, 256 << 20
@@ -116,45 +116,51 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, rows: int = ROWS, pe
     buckets = max(8, n_words // (1_000_000 if shared is None else 3_000_000) + 1)
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
-        h, second, place, owner = (np.concatenate(x) for x in zip(*held))
+        """A blob by bucket. ``place`` counts words over all texts held, so it rises; a text's id and first word are told once a blob."""
+        h, second, place, ids, firsts = (np.concatenate(x) for x in zip(*held))
         bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
         order = np.argsort(bucket.astype(np.uint32), kind="stable")
         ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
         used = np.flatnonzero(np.diff(ends))
         cut = [order[ends[b] : ends[b + 1]] for b in used]
-        named = [np.unique(owner[c], return_inverse=True) for c in cut]
+        texts = [np.unique(np.searchsorted(firsts, place[c], "right") - 1) for c in cut]
         return pa.RecordBatch.from_arrays(
-            [pa.array(used, pa.int32()), blobs([h[c].tobytes() for c in cut]), blobs([second[c].tobytes() for c in cut]), blobs([place[c].tobytes() for c in cut]), blobs([u.tobytes() for u, _ in named]), blobs([i.astype(np.uint32).tobytes() for _, i in named])],
-            names=["bucket", "h", "second", "place", "owners", "owner"],
+            [pa.array(used, pa.int32()), blobs([h[c].tobytes() for c in cut]), blobs([second[c].tobytes() for c in cut]), blobs([pack_gaps(place[c]) for c in cut]), blobs([pack_ints(ids[t]) for t in texts]), blobs([pack_ints(firsts[t]) for t in texts])],
+            names=["bucket", "h", "second", "place", "ids", "firsts"],
         )
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = None if shared is None else shared.value
-        held, n = [], 0
+        held, n, base = [], 0, 0
         for batch in batches:
             ids = np.asarray(batch.column(0).fill_null(NO_DOCUMENT))
-            for first, _end, offsets, data in slices(batch.column(1)):
+            for first, end, offsets, data in slices(batch.column(1)):
                 wh, bounds = words(offsets, data)
                 h, at = windows(wh, bounds, window)
                 hot = _repeated(h, bits, width, rows)
                 if not len(hot):
                     continue
-                at = at[hot]
-                row = np.searchsorted(bounds, at, "right") - 1
                 # an independent hash: the words' hashes are mixed again before they are summed; kept to 32 bits more
-                other, other_at = windows(mix(wh ^ np.uint64(0xA5A5A5A5A5A5A5A5)), bounds, window)
-                held.append((h[hot], (other[hot] >> np.uint64(32)).astype(np.uint32), (at - bounds[row]).astype(np.uint32), ids[first + row]))
+                other, _ = windows(mix(wh ^ np.uint64(0xA5A5A5A5A5A5A5A5)), bounds, window)
+                some = np.flatnonzero(np.diff(bounds))  # a text without a word would share its first word with the next
+                held.append((h[hot], (other[hot] >> np.uint64(32)).astype(np.uint32), at[hot] + base, ids[first:end][some], bounds[:-1][some] + base))
+                base += len(wh)
                 n += len(hot)
                 if n >= _FLUSH // 3:
                     yield flush(held)
-                    held, n = [], 0
+                    held, n, base = [], 0, 0
         if n:
             yield flush(held)
 
+    def located(place: bytes, ids: bytes, firsts: bytes) -> tuple[np.ndarray, np.ndarray]:
+        at, starts = unpack_gaps(place), unpack_ints(firsts)
+        row = np.searchsorted(starts, at, "right") - 1
+        return (at - starts[row]).astype(np.uint32), unpack_ints(ids)[row]
+
     def group(t: pa.Table) -> pa.Table:
         join = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
-        h, second, place = join("h", np.uint64), join("second", np.uint32), join("place", np.uint32)
-        owner = np.concatenate([np.frombuffer(u, np.int64)[np.frombuffer(i, np.uint32)] for u, i in zip(t.column("owners").to_pylist(), t.column("owner").to_pylist())])
+        h, second = join("h", np.uint64), join("second", np.uint32)
+        place, owner = (np.concatenate(x) for x in zip(*map(located, *(t.column(c).to_pylist() for c in ("place", "ids", "firsts")))))
         order = np.argsort(h, kind="stable")
         same = np.zeros(len(h), bool)
         sorted_h = h[order]
@@ -172,11 +178,11 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, rows: int = ROWS, pe
         owner, place = owner[keep], place[keep]
         order = np.lexsort((place, owner))
         owner, place = owner[order], place[order]
-        cuts = np.flatnonzero(np.diff(owner, prepend=owner[:1] - 1 if len(owner) else 0)) if len(owner) else np.empty(0, np.int64)
+        cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, np.int64)
         ends = np.append(cuts[1:], len(owner)) if len(cuts) else cuts
-        return pa.table({"doc_id": pa.array(owner[cuts], pa.int64()), "at": blobs([place[a:b].tobytes() for a, b in zip(cuts, ends)])})
+        return pa.table({"doc_id": pa.array(owner[cuts], pa.int64()), "at": blobs([pack_gaps(place[a:b]) for a, b in zip(cuts, ends)])})
 
-    packed = map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), emit, "bucket int, h binary, second binary, place binary, owners binary, owner binary")
+    packed = map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), emit, "bucket int, h binary, second binary, place binary, ids binary, firsts binary")
     return group_arrow(packed, "bucket", group, "doc_id bigint, at binary")
 
 
@@ -196,7 +202,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, **sizes) -> DataFra
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [spans(np.frombuffer(b"".join(x), np.uint32), window) for x in batch.column(1).to_pylist()]
+            found = [spans(np.concatenate([unpack_gaps(p) for p in x]), window) for x in batch.column(1).to_pylist()]
             ids = np.repeat(np.asarray(batch.column(0)), [len(s) for s, _ in found])
             starts, lengths = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int32) for x in (([s for s, _ in found]), ([n for _, n in found])))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts), pa.array(lengths)], names=["doc_id", "start_word", "n_words"])
