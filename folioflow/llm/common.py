@@ -112,7 +112,7 @@ def pack_gaps(sorted_positions: np.ndarray) -> bytes:
     if not len(sorted_positions):
         return b"\x00"
     gaps = np.diff(sorted_positions.astype(np.int64), prepend=0)
-    wide = gaps.mean() > 100
+    wide = gaps.mean() > 350  # about where marks cost as much as the second byte
     base, kind = (65535, np.uint16) if wide else (255, np.uint8)
     marks, rest = np.divmod(gaps, base)
     out = np.full(int(marks.sum()) + len(gaps), base, kind)
