@@ -1,9 +1,16 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
-Tokens are counted by cell (source, language, topic). The cells' weights are raked to the target marginals of
+Tokens are counted by cell (source, language, topic). The tokens to draw of the cells are raked to the target marginals of
 source, language and topic in turn, ``ROUNDS`` times; a document of a cell is then kept with probability
-min(1, budget * weight / tokens of the cell), decided by a hash of its id, so the same document is kept at any
-partitioning and a larger budget keeps a superset.
+tokens to draw / tokens of the cell, decided by a hash of its id, so the same document is kept at any partitioning.
+
+No cell gives more than it has: a saturated cell stays at probability 1 and the others of its value make up for it, so the
+budget is drawn in full. A value whose tokens don't reach its target is taken whole, and the other values of its dimension share
+what it lacks in proportion to their targets. Where targets of two dimensions exclude each other the last one, topic, is met. ``marginals``
+gives targets and what a sample has. A larger budget keeps a superset as long as no cell is saturated.
+
+``report``, the registered query, has refill=False: min(1, budget * weight / tokens of the cell), as its SQL says. What saturated
+cells can't give is lost there, so it draws less than the budget and misses the marginals; ``mixed``, which the pipeline uses, does not.
 
 Default targets temper the corpus' own shares: share ** ``TEMPER``, scaled to 1. The topic is the column ``topic`` if there
 is one, else the form of the text (``topic_of``). The cell table grows with the distinct sources, not with documents: up to ``DRIVER_CELLS`` cells are raked
@@ -61,31 +68,101 @@ def rake(codes: list[np.ndarray], tokens: np.ndarray, targets: list[np.ndarray],
     return w
 
 
+def _scales(code: np.ndarray, tokens: np.ndarray, p: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """By value the factor f with sum(tokens * min(1, f * p)) = goal, which its cells must be able to give.
+
+    Newton's steps from below: saturated cells are set apart and the others scaled to the rest, until no more saturate.
+    """
+    f, full = np.zeros(len(goal)), np.zeros(len(p), bool)
+    while True:
+        free = np.bincount(code, np.where(full, 0.0, tokens * p), len(goal))
+        rest = np.maximum(goal - np.bincount(code, np.where(full, tokens, 0.0), len(goal)), 0.0)
+        f = np.maximum(f, np.divide(rest, free, out=np.zeros(len(goal)), where=free > 0))
+        more = ~full & (f[code] * p >= 1)
+        if not more.any():
+            return f
+        full |= more
+
+
+def rake_within(codes: list[np.ndarray], tokens: np.ndarray, targets: list[np.ndarray], budget: float, rounds: int = ROUNDS) -> np.ndarray:
+    """Probabilities of the cells, none over 1, that draw ``budget`` of the tokens at the target marginals."""
+    p = np.where(np.all([t[c] > 0 for c, t in zip(codes, targets)], 0) & (tokens > 0), 1.0, 0.0)
+    there = tokens * p
+    draw, goals = min(budget * tokens.sum(), there.sum()), []
+    for code, target in zip(codes, targets):
+        have = np.bincount(code, there, len(target))
+        ratio = np.divide(target, have, out=np.zeros(len(target)), where=have > 0)
+        goals.append(have * np.minimum(1.0, _scales(np.zeros(len(have), np.int64), have, ratio, np.array([draw]))[0] * ratio))
+    for _ in range(rounds):
+        for code, goal in zip(codes, goals):
+            p = p * _scales(code, there, p, goal)[code]
+    return np.minimum(1.0, p)
+
+
+def _scale_rows(rows: DataFrame, by: list[str], have: str, p: str, goal: str) -> DataFrame:
+    """(by, f): the same factor as ``_scales``, as the greatest over all cuts between free and saturated cells. Rows of p = 0 are left out."""
+    w = Window.partitionBy(*by)
+    run = w.orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
+    cut = rows.where(F.col(p) > 0).select(*by, (F.col(goal) - (F.sum(have).over(w) - F.sum(have).over(run))).alias("_rest"), F.sum(F.col(have) * F.col(p)).over(run).alias("_free"))
+    return cut.groupBy(*by).agg(F.greatest(F.lit(0.0), F.max(F.col("_rest") / F.col("_free"))).alias("f"))
+
+
+def _rake_cells_within(table: DataFrame, budget: float, rounds: int, temper: float, targets: dict[str, dict[str, float]] | None) -> DataFrame:
+    """The same steps as ``rake_within`` on the executors, for very many cells."""
+    names = [f"_{d}" for d in DIMS]
+    shares = {d: _targets(table, d, temper, targets) for d in DIMS}
+    p = table.withColumn("p", F.when(F.col("cell_tokens") > 0, 1.0).otherwise(0.0))
+    for d in DIMS:
+        p = p.join(shares[d], f"_{d}", "left").withColumn("p", F.when(F.coalesce("target", F.lit(0.0)) > 0, F.col("p")).otherwise(0.0)).drop("target")
+    p = materialize(p.withColumn("_there", F.col("cell_tokens") * F.col("p")), "mix-cells")
+    total, there = p.agg(F.coalesce(F.sum("cell_tokens"), F.lit(0)), F.coalesce(F.sum("_there"), F.lit(0.0))).first()
+    draw, goals = min(budget * total, there), {}
+    for d in DIMS:
+        have = p.groupBy(f"_{d}").agg(F.sum("_there").alias("have")).where("have > 0").join(shares[d], f"_{d}")
+        have = materialize(have.select(f"_{d}", "have", (F.col("target") / F.col("have")).alias("ratio"), F.lit(float(draw)).alias("goal")), "mix-goal")
+        f = (_scale_rows(have, [], "have", "ratio", "goal").first() or [0.0])[0] or 0.0
+        goals[d] = have.select(f"_{d}", (F.col("have") * F.least(F.lit(1.0), F.lit(f) * F.col("ratio"))).alias("goal"))
+    for _ in range(rounds):
+        for d in DIMS:
+            f = _scale_rows(p.join(goals[d], f"_{d}"), [f"_{d}"], "_there", "p", "goal")
+            p = p.join(f, f"_{d}", "left").withColumn("p", F.col("p") * F.coalesce("f", F.lit(0.0))).drop("f")
+        p = materialize(p, "mix-cells")
+    return p.select(*names, F.when(F.col("cell_tokens") > 0, F.least(F.lit(1.0), "p")).otherwise(1.0).alias("p"))
+
+
+def _targets(table: DataFrame, d: str, temper: float, targets: dict[str, dict[str, float]] | None) -> DataFrame:
+    """(value, target) of a dimension: as given, else the tempered shares of the tokens."""
+    if targets and d in targets:
+        return table.sparkSession.createDataFrame([(k, float(v)) for k, v in targets[d].items()], f"_{d} string, target double")
+    total = Window.partitionBy()
+    m = table.groupBy(f"_{d}").agg(F.sum("cell_tokens").alias("t")).withColumn("p", F.pow(F.col("t") / F.sum("t").over(total), F.lit(temper)))
+    return materialize(m.select(f"_{d}", (F.col("p") / F.sum("p").over(total)).alias("target")), "mix-target")
+
+
 def _rake_cells(table: DataFrame, rounds: int, temper: float, targets: dict[str, dict[str, float]] | None) -> DataFrame:
     """The same steps as ``rake`` on the executors, for very many cells."""
     total = Window.partitionBy()
     w = table.withColumn("w", F.col("cell_tokens") / F.sum("cell_tokens").over(total))
-    marginals = {}
-    for d in DIMS:
-        if targets and d in targets:
-            marginals[d] = table.sparkSession.createDataFrame([(k, float(v)) for k, v in targets[d].items()], f"_{d} string, target double")
-        else:
-            m = table.groupBy(f"_{d}").agg(F.sum("cell_tokens").alias("t")).withColumn("p", F.pow(F.col("t") / F.sum("t").over(total), F.lit(temper)))
-            marginals[d] = materialize(m.select(f"_{d}", (F.col("p") / F.sum("p").over(total)).alias("target")), "mix-target")
+    shares = {d: _targets(table, d, temper, targets) for d in DIMS}
     for _ in range(rounds):
         for d in DIMS:
             have = w.groupBy(f"_{d}").agg(F.sum("w").alias("have"))
-            scale = have.join(marginals[d], f"_{d}", "left").select(f"_{d}", F.when(F.col("have") > 0, F.coalesce("target", F.lit(0.0)) / F.col("have")).otherwise(0.0).alias("scale"))
+            scale = have.join(shares[d], f"_{d}", "left").select(f"_{d}", F.when(F.col("have") > 0, F.coalesce("target", F.lit(0.0)) / F.col("have")).otherwise(0.0).alias("scale"))
             w = w.join(scale, f"_{d}").withColumn("w", F.col("w") * F.col("scale")).drop("scale")
         w = materialize(w, "mix-cells")
     return w
 
 
-def calibrated(docs_with_cells: DataFrame, budget: float = BUDGET, rounds: int = ROUNDS, temper: float = TEMPER, targets: dict[str, dict[str, float]] | None = None, driver_cells: int = DRIVER_CELLS) -> DataFrame:
-    """(cell, p): the probability that documents of a cell are kept with. ``budget`` is the share of all tokens to draw."""
+def calibrated(docs_with_cells: DataFrame, budget: float = BUDGET, rounds: int = ROUNDS, temper: float = TEMPER, targets: dict[str, dict[str, float]] | None = None, driver_cells: int = DRIVER_CELLS, refill: bool = True) -> DataFrame:
+    """(cell, p): the probability that documents of a cell are kept with. ``budget`` is the share of all tokens to draw.
+
+    Without ``refill`` what saturated cells can't give is not made up for.
+    """
     table = materialize(cells(docs_with_cells), "mix-cells")
     names = [f"_{d}" for d in DIMS]
     if table.count() > driver_cells:
+        if refill:
+            return _rake_cells_within(table, budget, rounds, temper, targets)
         raked = _rake_cells(table, rounds, temper, targets)
         total = Window.partitionBy()
         return raked.select(*names, F.when(F.col("cell_tokens") > 0, F.least(F.lit(1.0), F.lit(budget) * F.sum("cell_tokens").over(total) * F.col("w") / F.col("cell_tokens"))).otherwise(1.0).alias("p"))
@@ -101,8 +178,11 @@ def calibrated(docs_with_cells: DataFrame, budget: float = BUDGET, rounds: int =
             goal = goal / max(goal.sum(), 1e-300)
         codes.append(code)
         goals.append(goal)
-    w = rake(codes, tokens, goals, rounds)
-    p = np.where(tokens > 0, np.minimum(1.0, budget * tokens.sum() * w / np.maximum(tokens, 1)), 1.0)
+    if refill:
+        p = rake_within(codes, tokens, goals, budget, rounds)
+    else:
+        p = np.minimum(1.0, budget * tokens.sum() * rake(codes, tokens, goals, rounds) / np.maximum(tokens, 1))
+    p = np.where(tokens > 0, p, 1.0)
     out = pa.table({**{n: pa.array(t[n].astype(str), pa.string()) for n in names}, "p": pa.array(p)})
     return docs_with_cells.sparkSession.createDataFrame(out, ", ".join(f"{n} string" for n in names) + ", p double")
 
@@ -118,8 +198,19 @@ def mixed(docs: DataFrame, budget: float = BUDGET, **how) -> DataFrame:
     return drawn(docs, budget, **how).select(*docs.columns)
 
 
+def marginals(docs: DataFrame, sample: DataFrame, temper: float = TEMPER, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """(dimension, value, target, achieved): the shares of tokens aimed at and those of a ``sample`` of ``docs``."""
+    every, got = (materialize(cells(with_cells(x.drop("tokens", *(f"_{d}" for d in DIMS)))), "mix-cells") for x in (docs, sample))
+    total, parts = Window.partitionBy(), []
+    for d in DIMS:
+        share = got.groupBy(f"_{d}").agg(F.sum("cell_tokens").alias("t")).select(f"_{d}", (F.col("t") / F.sum("t").over(total)).alias("achieved"))
+        both = _targets(every, d, temper, targets).join(share, f"_{d}", "full")
+        parts.append(both.select(F.lit(d).alias("dimension"), F.col(f"_{d}").alias("value"), F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("achieved", F.lit(0.0)).alias("achieved")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def report(docs: DataFrame, budget: float = BUDGET) -> DataFrame:
-    return drawn(docs, budget).select("doc_id", "source", "lang", F.col("_topic").alias("topic"), "tokens", F.round("p", 6).alias("p"))
+    return drawn(docs, budget, refill=False).select("doc_id", "source", "lang", F.col("_topic").alias("topic"), "tokens", F.round("p", 6).alias("p"))
 
 
 def oracle(budget: float = BUDGET, rounds: int = ROUNDS, temper: float = TEMPER) -> str:

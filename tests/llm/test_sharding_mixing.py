@@ -60,3 +60,31 @@ def test_sample_follows_targets_at_any_size_of_the_cell_table(spark):
     assert mixing.mixed(docs).columns == docs.columns and mixing.mixed(docs.where("false")).isEmpty()
     ids = lambda b: {r["doc_id"] for r in mixing.mixed(docs, b).collect()}
     assert ids(0.2) <= ids(0.5)
+
+
+def test_saturated_cells_are_made_up_for(spark):
+    # shares 0.91, 0.06, 0.03 at budget 0.6: the tempered targets of the two small sources are more than they have
+    rows = [(i, "word " * 19 + "word", "en" if i % 2 else "de", "a" if i % 100 < 91 else "b" if i % 100 < 97 else "c", 0) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumn("topic", F.lit("t"))
+    marked = mixing.with_cells(docs)
+    for cells in (10**6, 0):
+        p = mixing.cells(marked).join(mixing.calibrated(marked, 0.6, rounds=3, driver_cells=cells), [f"_{d}" for d in mixing.DIMS]).toPandas()
+        assert (p["p"] <= 1).all() and (p["p"] * p["cell_tokens"]).sum() == pytest.approx(0.6 * 120000, rel=1e-6)
+        assert (p.loc[p["_source"] == "c", "p"] > 0.999).all()  # three rounds
+
+
+def test_feasible_marginals_are_met_though_cells_saturate():
+    # free raking wants 1.2 times the cell (0, 0); the others of its row and column can give the rest
+    tokens, codes = np.array([100.0, 300.0, 300.0, 300.0]), [np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1]), np.zeros(4, np.int64)]
+    targets = [np.array([0.55, 0.45]), np.array([0.55, 0.45]), np.array([1.0])]
+    assert (0.6 * 1000 * mixing.rake(codes, tokens, targets) > tokens).any()
+    drawn = tokens * mixing.rake_within(codes, tokens, targets, 0.6, 200)
+    assert (drawn <= tokens).all() and drawn.sum() == pytest.approx(600)
+    for c, t in zip(codes, targets):
+        assert np.bincount(c, drawn) == pytest.approx(600 * t, rel=1e-6)
+
+
+def test_marginals_compare_target_and_sample(spark):
+    docs = docs_of(spark, [(i, "word word") for i in range(10)])
+    m = {(r["dimension"], r["value"]): (r["target"], r["achieved"]) for r in mixing.marginals(docs, docs.where("doc_id < 3")).collect()}
+    assert m == {("source", "s"): (1.0, 1.0), ("lang", "en"): (1.0, 1.0), ("topic", "brief"): (1.0, 1.0)}
