@@ -5,6 +5,8 @@ byte fallback gives the share of tokens it can only spell as bytes. A text is re
 band of its language (its script where ``lang`` is null) and length: the measures of short texts scatter more, and entropy
 falls with length. The bands are robust: median plus or minus ``width`` times the median absolute deviation of all texts of
 that language whose number of tokens has the same power of two; with fewer than ``MIN_GROUP`` such texts, of all texts of the language.
+Each distinct text counts once, however many documents hold it: a text with very many copies would set the median and a deviation of 0.
+Copies that differ in a character count as texts of their own.
 
 * ``chars_per_token``: characters without white space by tokens, white space being folded to one blank before.
 * ``byte_share``: byte tokens by tokens of the fallback vocabulary. Line ends count as blanks, so only characters that
@@ -41,6 +43,8 @@ FLOOR = {"chars_per_token": 0.15, "byte_share": 0.01, "token_entropy": 0.03}
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
 #: Measures are compared and counted at this step.
 STEP = 0.001
+#: The column that tells texts apart.
+TEXT_KEY = "_text_key"
 _SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -114,6 +118,10 @@ def with_measures(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     return map_arrow(rest, run, schema)
 
 
+def text_key() -> Column:
+    return F.xxhash64("text").alias(TEXT_KEY)
+
+
 def group_of() -> Column:
     """The language, or where it is null the script of most letters."""
     count = lambda script: F.regexp_count("text", F.lit(rf"\p{{Is{script}}}"))
@@ -134,8 +142,14 @@ def _median(binned: DataFrame, value: str) -> DataFrame:
 
 
 def bands(measured: DataFrame, width: float = WIDTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """(band, n, measure -> lo, hi) by language or script, and by these and octave of length: median -+ width * MAD, over all texts of enough tokens."""
-    long = measured.where(F.col("n_tokens") >= min_tokens).select(F.explode(F.array("band", octave_of())).alias("band"), F.posexplode(F.array(*(F.round(F.col(m) / STEP).cast("bigint") for m in MEASURES))).alias("measure", "step"))
+    """(band, n, measure -> lo, hi) by language or script, and by these and octave of length: median -+ width * MAD, over all texts of enough tokens.
+
+    Rows of the same ``TEXT_KEY``, where there is one, count once.
+    """
+    texts = measured.where(F.col("n_tokens") >= min_tokens)
+    if TEXT_KEY in measured.columns:
+        texts = texts.select(TEXT_KEY, "band", "n_tokens", *MEASURES).dropDuplicates([TEXT_KEY, "band"])
+    long = texts.select(F.explode(F.array("band", octave_of())).alias("band"), F.posexplode(F.array(*(F.round(F.col(m) / STEP).cast("bigint") for m in MEASURES))).alias("measure", "step"))
     binned = materialize(long.groupBy("band", "measure", "step").agg(F.count(F.lit(1)).alias("n")), "fertility-bins")
     middle = _median(binned, "step")
     off = binned.join(F.broadcast(middle), ["band", "measure"]).withColumn("off", F.abs(F.col("step") - F.col("median"))).groupBy("band", "measure", "off").agg(F.sum("n").alias("n"))
@@ -171,8 +185,8 @@ def judged(measured: DataFrame, limits: DataFrame, min_tokens: int = MIN_TOKENS)
 
 def judge(docs: DataFrame, folder: str = TOKENIZERS, width: float = WIDTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """Every document with band, measures and reason. Tokenises once: the measured rows are written before the bands are counted."""
-    measured = materialize(with_measures(docs.drop("band", "reason").withColumn("band", group_of()), folder), "fertility")
-    return judged(measured, bands(measured, width, min_tokens), min_tokens)
+    measured = materialize(with_measures(docs.drop("band", "reason").withColumns({"band": group_of(), TEXT_KEY: text_key()}), folder), "fertility")
+    return judged(measured, bands(measured, width, min_tokens), min_tokens).drop(TEXT_KEY)
 
 
 def keep_good(docs: DataFrame, folder: str = TOKENIZERS, width: float = WIDTH, min_tokens: int = MIN_TOKENS) -> DataFrame:

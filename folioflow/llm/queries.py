@@ -16,8 +16,8 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("band", fertility.group_of())
-    measured = fertility.materialize(fertility.with_measures(docs.select("doc_id", "band", "text")).select("doc_id", "band", "n_tokens", *fertility.MEASURES), "fertility")
-    return fertility.judged(measured, fertility.bands(measured)).where("reason IS NULL").drop("reason")
+    measured = fertility.materialize(fertility.with_measures(docs.select("doc_id", "band", "text", fertility.text_key())).select("doc_id", "band", fertility.TEXT_KEY, "n_tokens", *fertility.MEASURES), "fertility")
+    return fertility.judged(measured, fertility.bands(measured)).where("reason IS NULL").drop("reason", fertility.TEXT_KEY)
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

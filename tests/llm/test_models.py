@@ -108,3 +108,11 @@ def test_pii_edges(spark):
     got = [(r["doc_id"], r["type"], r["value"]) for r in pii.pii_spans(docs).collect()]
     assert got.count((1, "EMAIL", "a.b@example.com")) == 2 and (None, "IP", "192.168.0.1") in got and len(got) == 3
     assert pii.pii_spans(docs.where("false")).isEmpty()
+
+
+def test_copies_of_one_text_do_not_set_the_band(spark):
+    rng = random.Random(8)
+    clean = [" ".join(rng.choice(["the", "house", "stands", "near", "extraordinarily", "beautiful", "river", "I", "a", "light", "international", "is"]) for _ in range(90)) for _ in range(150)]
+    rows = list(enumerate(clean)) + [(1000 + i, clean[0]) for i in range(600)] + [(2000, "#$%^ @!~ " * 40)]
+    kept = {r["doc_id"] for r in fertility.keep_good(docs_of(spark, rows)).select("doc_id").collect()}
+    assert set(range(150)) | set(range(1000, 1600)) <= kept and 2000 not in kept
