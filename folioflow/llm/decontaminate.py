@@ -9,7 +9,8 @@ No shuffle: shards are local to a task and the result is as long as the matches.
 ``part_words`` words, one scan a part, so what is broadcast is bounded.
 
 Defined results: an item of fewer than ``min_words`` words has to be matched whole, one of fewer than ``least_words`` is
-too short to prove a leak and never matches; null and empty texts never match; rows with a null doc_id appear with
+too short to prove a leak and never matches; null and empty texts never match; an item with a null item_id matches as
+any other and appears with null in ``matches``, each distinct text by itself; rows with a null doc_id appear with
 null in ``matches`` and stay in ``remove_affected``, since they can't be named; rows repeating a doc_id go together; of equally long
 matches of one document and item the first in the item, then in the document, is given; an empty table on either
 side gives no matches; extra columns pass through.
@@ -105,9 +106,9 @@ def _bound(text: np.ndarray, order: np.ndarray, queries: np.ndarray, lengths: np
 class Queries:
     """All suffixes of the items that can hold a match."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], min_words: int, least_words: int):
+    def __init__(self, items: list[tuple[int | None, np.ndarray]], min_words: int, least_words: int):
         self.text = [c for _, c in items]
-        self.ids = np.array([i for i, _ in items], np.int64)
+        self.ids = pa.array([i for i, _ in items], pa.int64())
         self.need = np.array([min(min_words, len(c)) if len(c) >= least_words else 0 for c in self.text], np.int64)
         where = [(i, p) for i, c in enumerate(self.text) if self.need[i] for p in range(len(c) - self.need[i] + 1)]
         self.item, self.start = (np.array(x, np.int64) for x in zip(*where)) if where else (np.empty(0, np.int64), np.empty(0, np.int64))
@@ -139,9 +140,9 @@ def search(text: np.ndarray, q: Queries) -> tuple[np.ndarray, np.ndarray, np.nda
     return query, at, n
 
 
-def _items(benchmark: DataFrame, part_words: int) -> Iterator[list[tuple[int, np.ndarray]]]:
+def _items(benchmark: DataFrame, part_words: int) -> Iterator[list[tuple[int | None, np.ndarray]]]:
     part, n = [], 0
-    rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct().orderBy("item_id", "text").toLocalIterator()
+    rows = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct().orderBy("item_id", "text").toLocalIterator()
     for item, text in rows:
         part.append((item, codes(words(*_one(text))[0])))
         n += len(part[-1][1])
@@ -182,7 +183,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, l
                     pair = np.stack([row[order], item[order]])
                     best = order[np.concatenate([[True], (np.diff(pair) != 0).any(0)])]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(row[best] + first)), pa.array(q.ids[item[best]]), *(pa.array(x[best].astype(np.int32)) for x in (doc_word, item_word, n))], names=["doc_id", "item_id", "doc_word", "item_word", "n_words"]
+                        [batch.column(0).take(pa.array(row[best] + first)), q.ids.take(pa.array(item[best])), *(pa.array(x[best].astype(np.int32)) for x in (doc_word, item_word, n))], names=["doc_id", "item_id", "doc_word", "item_word", "n_words"]
                     )
 
         out = out.unionByName(map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, schema))

@@ -59,3 +59,12 @@ def test_suffix_array():
     text = np.random.default_rng(1).integers(2, 5, 300).astype(np.uint32)
     order = decontaminate.suffix_array(text, 300)
     assert [tuple(text[i:]) for i in order] == sorted(tuple(text[i:]) for i in range(300))
+
+
+def test_items_without_an_id_match(spark):
+    one, two = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
+    docs = docs_of(spark, [(1, "x " + one + " y"), (2, "x " + two), (3, "clean"), (4, one)])
+    bench = spark.createDataFrame([(None, one), (None, two), (None, None), (7, one)], "item_id bigint, text string")
+    got = sorted((r["doc_id"], r["item_id"] or 0, r["n_words"]) for r in decontaminate.matches(docs, bench).collect())
+    assert got == [(1, 0, 20), (1, 7, 20), (2, 0, 20), (4, 0, 20), (4, 7, 20)]
+    assert [r["doc_id"] for r in decontaminate.remove_affected(docs, bench.where("item_id IS NULL")).collect()] == [3]
