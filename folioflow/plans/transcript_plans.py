@@ -74,10 +74,10 @@ def quote_exact(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def quote_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    """The second turn without its last 20 characters, in other order of halves: found by similarity."""
+    """The whole second turn with its first three characters moved to its end: found by similarity."""
     a = segment_arrays(spark, d)
     said = F.coalesce(F.get("segments", F.lit(1))["text"], F.get("segments", F.lit(0))["text"])
-    quote = F.concat(F.substring(said, 4, 400), F.lit(" "), F.substring(said, 1, 3))
+    quote = F.concat(F.substring(said, F.lit(4), F.length(said)), F.lit(" "), F.substring(said, 1, 3))
     return a.select("document_id", R.match_column(F.col("segments"), quote, 0.6).alias("m")).select("document_id", "m.start_segment_index", "m.end_segment_index", "m.strategy", "m.confidence")
 
 
