@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -15,37 +14,71 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Unset is only accepted on a local master (tests), where a folder is made and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="folioflow-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+#: What one Arrow batch between the JVM and a Python worker may hold while a table is written; texts differ in length by orders, so rows alone don't bound memory.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """Small Arrow batches for the actions inside; the session's own settings are put back."""
+    before = {key: spark.conf.get(key) for key in BATCH}
+    try:
+        for key, value in BATCH.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
+    The table is deleted when the application ends, or earlier by ``settled``.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    with bounded_batches(spark):
+        df.write.parquet(path)
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    for scope in _scopes.get():
+        scope.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The result of ``make`` as a written table; all tables that were written on the way to it are deleted."""
+    own: list[str] = []
+    outer = _scopes.get()
+    token = _scopes.set((*outer, own))
+    try:
+        made = make()
+        _scopes.set(outer)
+        kept = materialize(made, name)
+    finally:
+        _scopes.reset(token)
+    for path in own:
+        discard(made.sparkSession, path)
+    return kept
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+def discard(spark: SparkSession, path: str) -> None:
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
 
-#: What one Arrow batch between the JVM and a Python worker may hold; texts differ in length by orders, so rows alone don't bound memory.
-BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def release() -> None:
@@ -58,9 +91,7 @@ def release() -> None:
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """``mapInArrow`` with bounded batches; memory is released when a task ends."""
-    for key, value in BATCH.items():
-        df.sparkSession.conf.set(key, value)
+    """``mapInArrow``; memory is released when a task ends."""
 
     def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -83,6 +114,18 @@ def group_arrow(df: DataFrame, key: str, run: Callable[[pa.Table], pa.Table], sc
     return df.groupBy(key).applyInArrow(lean, schema)
 
 
+def cogroup_arrow(left: DataFrame, right: DataFrame, key: str, run: Callable[[pa.Table, pa.Table], pa.Table], schema) -> DataFrame:
+    """``applyInArrow`` on both sides' rows of one key; memory is released after a group."""
+
+    def lean(a: pa.Table, b: pa.Table) -> pa.Table:
+        try:
+            return run(a, b)
+        finally:
+            release()
+
+    return left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(lean, schema)
+
+
 def text_bytes(docs: DataFrame) -> int:
     """UTF-8 bytes of all texts, exactly; sizes sketches and bucket counts."""
     return int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
@@ -107,6 +150,25 @@ def split_batch(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) ->
         at = end
 
 
+def row_blocks(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int) -> Iterator[tuple[int, pa.Table]]:
+    """(number, rows) of consecutive rows whose ``column`` holds ``max_bytes`` or, for the last, what is left. Only the rows decide where a block ends, not the batches."""
+    held, size, number = [], 0, 0
+    for batch in batches:
+        sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
+        at = 0
+        while at < len(sizes):
+            before = int(sizes[at - 1]) if at else 0
+            end = int(np.searchsorted(sizes, before + max_bytes - size)) + 1
+            held.append(batch.slice(at, end - at))
+            size += int(sizes[min(end, len(sizes)) - 1]) - before
+            at = end
+            if end <= len(sizes):
+                yield number, pa.Table.from_batches(held).combine_chunks()
+                held, size, number = [], 0, number + 1
+    if held:
+        yield number, pa.Table.from_batches(held).combine_chunks()
+
+
 def pack_gaps(sorted_positions: np.ndarray) -> bytes:
     """Sorted integers as gaps of one or two bytes; a gap over the base is written as repeated base marks."""
     if not len(sorted_positions):

@@ -4,10 +4,12 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from folioflow.llm import substrings
-from folioflow.llm.common import pack_gaps, pack_ints, unpack_gaps, unpack_ints
+from folioflow.llm.common import pack_gaps, pack_ints, row_blocks, unpack_gaps, unpack_ints
 
 from .helpers import EDGES, docs_of, prose, words
 
@@ -35,7 +37,7 @@ def brute(rows, window):
     return out
 
 
-@pytest.mark.parametrize("sizes", [{}, {"sketch_limit": 0}, {"per_window": 1, "rows": 1}])
+@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 700}, {"per_window": 1, "rows": 1}])
 def test_equals_brute_force(spark, sizes):
     rng = random.Random(4)
     passage, other = prose(rng, 40), prose(rng, 25)
@@ -56,3 +58,31 @@ def test_packing_round_trips():
         assert unpack_gaps(pack_gaps(np.array(x, np.int64))).tolist() == x
     for x in ([], [3], [-(2**63), 5], [7, 7, 8, 2**40, -1], [2**62, -(2**62)]):
         assert unpack_ints(pack_ints(np.array(x, np.int64))).tolist() == x
+
+
+def test_blocks_that_come_back_in_another_order_lose_nothing(spark, monkeypatch):
+    """A second scan that gives other blocks than the first sends all their windows; the result is the same."""
+    rng = random.Random(9)
+    passage = prose(rng, 30)
+    rows = [(i, prose(rng, 40)) for i in range(20)] + [(50, prose(rng, 5) + " " + passage), (51, passage)]
+    docs = docs_of(spark, rows)
+    real = substrings.answers
+    monkeypatch.setattr(substrings, "answers", lambda d, *how: real(d.orderBy(F.desc("doc_id")), *how))
+    assert {tuple(r) for r in substrings.repeated_passages(docs, 10, block_bytes=500).collect()} == brute(rows, 10)
+
+
+def test_the_prefilter_drops_windows_before_the_grouping(spark):
+    rng = random.Random(2)
+    docs = docs_of(spark, [(i, prose(rng, 300, 5000)) for i in range(60)])
+    sketch = substrings.Sketch(20000, 2, 2)
+    told = substrings.answers(docs, sketch, 10, 10**6).collect()
+    two = sum(int(np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]).sum()) for r in told)
+    assert 0 < two < 0.7 * sum(r["n"] for r in told)
+
+
+def test_row_blocks_depend_on_rows_only():
+    texts = pa.array(["a" * n for n in (5, 0, 9, 30, 1, 1, 1)] + [None])
+    one = [pa.record_batch([texts], names=["t"])]
+    many = [pa.record_batch([texts.slice(i, 1)], names=["t"]) for i in range(len(texts))]
+    cut = lambda batches: [(n, t.column(0).to_pylist()) for n, t in row_blocks(iter(batches), 0, 10)]
+    assert cut(one) == cut(many) and [len(x) for _, x in cut(one)] == [3, 1, 4]
