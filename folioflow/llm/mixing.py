@@ -7,19 +7,16 @@ tokens to draw / tokens of the cell, decided by a hash of its id, so the same do
 No cell gives more than it has: a saturated cell stays at probability 1 and the others of its value make up for it, so the
 budget is drawn in full. A value whose tokens don't reach its target is taken whole, and the other values of its dimension share
 what it lacks in proportion to their targets. Where targets of two dimensions exclude each other the last one, topic, is met. ``marginals``
-gives targets and what a sample has. A larger budget keeps a superset as long as no cell is saturated.
+gives for every value its target, the goal that the tokens there are allow, and what is drawn. A larger budget keeps a superset as long as no cell is saturated.
 
-``report``, the registered query, has refill=False: min(1, budget * weight / tokens of the cell), as its SQL says. What saturated
-cells can't give is lost there, so it draws less than the budget and misses the marginals; ``mixed``, which the pipeline uses, does not.
-
-Default targets temper the corpus' own shares: share ** ``TEMPER``, scaled to 1. The topic is the column ``topic`` if there
-is one, else the form of the text (``topic_of``). The cell table grows with the distinct sources, not with documents: up to ``DRIVER_CELLS`` cells are raked
-in memory on the driver, beyond by the same steps on the executors.
+Default targets temper the corpus' own shares: share ** ``TEMPER``, scaled to 1. The topic is the column ``topic``; where a table has none,
+``with_topic`` gives the form of the text (table, licence, contact, brief, prose), all that these texts of invented words can tell. The cell table grows with the distinct
+sources, not with documents: up to ``DRIVER_CELLS`` cells are raked in memory on the driver, beyond by the same steps on the executors.
 
 Defined results: null source, language or topic are values of their own; null and empty texts have 0 tokens and share their cell's
 probability (1 if the cell has no tokens); rows repeating a doc_id are kept or dropped together; rows with a null
 doc_id hash like the empty string; an empty table gives an empty result; extra columns pass through, those named like a
-computed one are replaced.
+computed one are replaced by ``drawn`` and come back as they were from ``mixed``.
 """
 
 from __future__ import annotations
@@ -31,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import hash01, hash01_sql, materialize
 
-ROUNDS, TEMPER, BUDGET, DRIVER_CELLS = 25, 0.7, 0.6, 1_000_000
+ROUNDS, TEMPER, BUDGET, DRIVER_CELLS = 25, 0.7, 0.6, 200_000
 DIMS = ("source", "lang", "topic")
 NONE = "\x00none"
 
@@ -47,10 +44,14 @@ def topic_of() -> Column:
     return F.when(text.contains("|"), "table").when(text.contains("icense"), "licence").when(text.contains("@") | text.contains("://"), "contact").when(F.length(text) < 600, "brief").otherwise("prose")
 
 
+def with_topic(docs: DataFrame) -> DataFrame:
+    """``docs`` with a column ``topic``: the one there is, else the form of the text."""
+    return docs if "topic" in docs.columns else docs.withColumn("topic", topic_of())
+
+
 def with_cells(docs: DataFrame) -> DataFrame:
-    """``docs`` with tokens and the cell columns _source, _lang, _topic."""
-    topic = F.col("topic") if "topic" in docs.columns else topic_of()
-    value = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic}
+    """``docs``, which has a topic, with tokens and the cell columns _source, _lang, _topic."""
+    value = {d: F.col(d) for d in DIMS}
     return docs.withColumn("tokens", tokens_of()).withColumns({f"_{d}": F.coalesce(value[d].cast("string"), F.lit(NONE)) for d in DIMS})
 
 
@@ -58,16 +59,6 @@ def cells(marked: DataFrame) -> DataFrame:
     return marked.groupBy(*(f"_{d}" for d in DIMS)).agg(F.sum("tokens").alias("cell_tokens"))
 
 
-def rake(codes: list[np.ndarray], tokens: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS) -> np.ndarray:
-    """Weights of the cells, starting from their tokens' shares. A value without weight stays without."""
-    w = tokens / max(1, tokens.sum())
-    for _ in range(rounds):
-        for code, target in zip(codes, targets):
-            have = np.bincount(code, w, len(target))
-            w = w * np.divide(target, have, out=np.zeros_like(target), where=have > 0)[code]
-    return w
-
-
 def _scales(code: np.ndarray, tokens: np.ndarray, p: np.ndarray, goal: np.ndarray) -> np.ndarray:
     """By value the factor f with sum(tokens * min(1, f * p)) = goal, which its cells must be able to give.
 
@@ -118,16 +109,21 @@ def _rake_cells_within(table: DataFrame, budget: float, rounds: int, temper: flo
     total, there = p.agg(F.coalesce(F.sum("cell_tokens"), F.lit(0)), F.coalesce(F.sum("_there"), F.lit(0.0))).first()
     draw, goals = min(budget * total, there), {}
     for d in DIMS:
-        have = p.groupBy(f"_{d}").agg(F.sum("_there").alias("have")).where("have > 0").join(shares[d], f"_{d}")
-        have = materialize(have.select(f"_{d}", "have", (F.col("target") / F.col("have")).alias("ratio"), F.lit(float(draw)).alias("goal")), "mix-goal")
-        f = (_scale_rows(have, [], "have", "ratio", "goal").first() or [0.0])[0] or 0.0
-        goals[d] = have.select(f"_{d}", (F.col("have") * F.least(F.lit(1.0), F.lit(f) * F.col("ratio"))).alias("goal"))
+        goals[d] = _goals(p.groupBy(f"_{d}").agg(F.sum("_there").alias("have")), shares[d], d, draw)
     for _ in range(rounds):
         for d in DIMS:
             f = _scale_rows(p.join(goals[d], f"_{d}"), [f"_{d}"], "_there", "p", "goal")
             p = p.join(f, f"_{d}", "left").withColumn("p", F.col("p") * F.coalesce("f", F.lit(0.0))).drop("f")
         p = materialize(p, "mix-cells")
-    return p.select(*names, F.when(F.col("cell_tokens") > 0, F.least(F.lit(1.0), "p")).otherwise(1.0).alias("p"))
+    return p.select(*names, "cell_tokens", F.when(F.col("cell_tokens") > 0, F.least(F.lit(1.0), "p")).otherwise(1.0).alias("p"))
+
+
+def _goals(have: DataFrame, share: DataFrame, d: str, draw: float) -> DataFrame:
+    """(value, goal): the tokens to draw of each value of a dimension; none more than it has, the others in proportion to their targets."""
+    both = have.where("have > 0").join(share, f"_{d}")
+    both = materialize(both.select(f"_{d}", "have", (F.col("target") / F.col("have")).alias("ratio"), F.lit(float(draw)).alias("goal")), "mix-goal")
+    f = (_scale_rows(both, [], "have", "ratio", "goal").first() or [0.0])[0] or 0.0
+    return both.select(f"_{d}", (F.col("have") * F.least(F.lit(1.0), F.lit(f) * F.col("ratio"))).alias("goal"))
 
 
 def _targets(table: DataFrame, d: str, temper: float, targets: dict[str, dict[str, float]] | None) -> DataFrame:
@@ -139,33 +135,12 @@ def _targets(table: DataFrame, d: str, temper: float, targets: dict[str, dict[st
     return materialize(m.select(f"_{d}", (F.col("p") / F.sum("p").over(total)).alias("target")), "mix-target")
 
 
-def _rake_cells(table: DataFrame, rounds: int, temper: float, targets: dict[str, dict[str, float]] | None) -> DataFrame:
-    """The same steps as ``rake`` on the executors, for very many cells."""
-    total = Window.partitionBy()
-    w = table.withColumn("w", F.col("cell_tokens") / F.sum("cell_tokens").over(total))
-    shares = {d: _targets(table, d, temper, targets) for d in DIMS}
-    for _ in range(rounds):
-        for d in DIMS:
-            have = w.groupBy(f"_{d}").agg(F.sum("w").alias("have"))
-            scale = have.join(shares[d], f"_{d}", "left").select(f"_{d}", F.when(F.col("have") > 0, F.coalesce("target", F.lit(0.0)) / F.col("have")).otherwise(0.0).alias("scale"))
-            w = w.join(scale, f"_{d}").withColumn("w", F.col("w") * F.col("scale")).drop("scale")
-        w = materialize(w, "mix-cells")
-    return w
-
-
-def calibrated(docs_with_cells: DataFrame, budget: float = BUDGET, rounds: int = ROUNDS, temper: float = TEMPER, targets: dict[str, dict[str, float]] | None = None, driver_cells: int = DRIVER_CELLS, refill: bool = True) -> DataFrame:
-    """(cell, p): the probability that documents of a cell are kept with. ``budget`` is the share of all tokens to draw.
-
-    Without ``refill`` what saturated cells can't give is not made up for.
-    """
+def calibrated(docs_with_cells: DataFrame, budget: float = BUDGET, rounds: int = ROUNDS, temper: float = TEMPER, targets: dict[str, dict[str, float]] | None = None, driver_cells: int = DRIVER_CELLS) -> DataFrame:
+    """(cell, cell_tokens, p): the probability that documents of a cell are kept with. ``budget`` is the share of all tokens to draw."""
     table = materialize(cells(docs_with_cells), "mix-cells")
     names = [f"_{d}" for d in DIMS]
     if table.count() > driver_cells:
-        if refill:
-            return _rake_cells_within(table, budget, rounds, temper, targets)
-        raked = _rake_cells(table, rounds, temper, targets)
-        total = Window.partitionBy()
-        return raked.select(*names, F.when(F.col("cell_tokens") > 0, F.least(F.lit(1.0), F.lit(budget) * F.sum("cell_tokens").over(total) * F.col("w") / F.col("cell_tokens"))).otherwise(1.0).alias("p"))
+        return _rake_cells_within(table, budget, rounds, temper, targets)
     t = table.toPandas().sort_values(names).reset_index(drop=True)
     tokens = t["cell_tokens"].to_numpy(np.float64)
     codes, goals = [], []
@@ -178,58 +153,95 @@ def calibrated(docs_with_cells: DataFrame, budget: float = BUDGET, rounds: int =
             goal = goal / max(goal.sum(), 1e-300)
         codes.append(code)
         goals.append(goal)
-    if refill:
-        p = rake_within(codes, tokens, goals, budget, rounds)
-    else:
-        p = np.minimum(1.0, budget * tokens.sum() * rake(codes, tokens, goals, rounds) / np.maximum(tokens, 1))
-    p = np.where(tokens > 0, p, 1.0)
-    out = pa.table({**{n: pa.array(t[n].astype(str), pa.string()) for n in names}, "p": pa.array(p)})
-    return docs_with_cells.sparkSession.createDataFrame(out, ", ".join(f"{n} string" for n in names) + ", p double")
+    p = np.where(tokens > 0, rake_within(codes, tokens, goals, budget, rounds), 1.0)
+    out = pa.table({**{n: pa.array(t[n].astype(str), pa.string()) for n in names}, "cell_tokens": pa.array(t["cell_tokens"].to_numpy(np.int64)), "p": pa.array(p)})
+    return docs_with_cells.sparkSession.createDataFrame(out, ", ".join(f"{n} string" for n in names) + ", cell_tokens bigint, p double")
 
 
 def drawn(docs: DataFrame, budget: float = BUDGET, **how) -> DataFrame:
     """The sampled documents with tokens, p and the cell columns. Cells join by broadcast if AQE finds them small, else by shuffle."""
-    marked = with_cells(docs.drop("tokens", "p", *(f"_{d}" for d in DIMS)))
-    return marked.join(calibrated(marked, budget, **how), [f"_{d}" for d in DIMS]).where(hash01(F.col("doc_id"), "mix:") < F.col("p"))
+    names = [f"_{d}" for d in DIMS]
+    marked = with_cells(with_topic(docs.drop("tokens", "p", "cell_tokens", *names)))
+    return marked.join(calibrated(marked, budget, **how).drop("cell_tokens"), names).where(hash01(F.col("doc_id"), "mix:") < F.col("p"))
 
 
 def mixed(docs: DataFrame, budget: float = BUDGET, **how) -> DataFrame:
-    """The sampled documents with the columns of ``docs``."""
-    return drawn(docs, budget, **how).select(*docs.columns)
+    """The sampled documents with the columns of ``docs``, which travel as one struct beside the computed ones."""
+    topic = ["topic"] if "topic" in docs.columns else []
+    return drawn(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source", "lang", *topic), budget, **how).select("row.*")
 
 
-def marginals(docs: DataFrame, sample: DataFrame, temper: float = TEMPER, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """(dimension, value, target, achieved): the shares of tokens aimed at and those of a ``sample`` of ``docs``."""
-    every, got = (materialize(cells(with_cells(x.drop("tokens", *(f"_{d}" for d in DIMS)))), "mix-cells") for x in (docs, sample))
-    total, parts = Window.partitionBy(), []
+def marginals(docs: DataFrame, budget: float = BUDGET, rounds: int = ROUNDS, temper: float = TEMPER, targets: dict[str, dict[str, float]] | None = None, driver_cells: int = DRIVER_CELLS) -> DataFrame:
+    """(dimension, value, target, goal, drawn) as shares of the tokens drawn, in expectation.
+
+    ``goal`` differs from ``target`` where a value has too few tokens for its target, or has to make up for one that has;
+    ``drawn`` differs from ``goal`` where the goals of two dimensions exclude each other.
+    """
+    cell = materialize(calibrated(with_cells(with_topic(docs.drop("tokens", "p", "cell_tokens", *(f"_{d}" for d in DIMS)))), budget, rounds, temper, targets, driver_cells), "mix-drawn")
+    cell = cell.withColumn("p", F.when(F.col("cell_tokens") > 0, F.col("p")).otherwise(0.0))
+    names, parts = [f"_{d}" for d in DIMS], []
+    shares = {d: _targets(cell.select(*names, "cell_tokens"), d, temper, targets) for d in DIMS}
+    start = cell.withColumn("_there", F.col("cell_tokens").cast("double"))
     for d in DIMS:
-        share = got.groupBy(f"_{d}").agg(F.sum("cell_tokens").alias("t")).select(f"_{d}", (F.col("t") / F.sum("t").over(total)).alias("achieved"))
-        both = _targets(every, d, temper, targets).join(share, f"_{d}", "full")
-        parts.append(both.select(F.lit(d).alias("dimension"), F.col(f"_{d}").alias("value"), F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("achieved", F.lit(0.0)).alias("achieved")))
+        start = start.join(shares[d], f"_{d}", "left").withColumn("_there", F.when(F.coalesce("target", F.lit(0.0)) > 0, F.col("_there")).otherwise(0.0)).drop("target")
+    total, there, taken = start.agg(F.coalesce(F.sum("cell_tokens"), F.lit(0)), F.coalesce(F.sum("_there"), F.lit(0.0)), F.coalesce(F.sum(F.col("cell_tokens") * F.col("p")), F.lit(0.0))).first()
+    draw = min(budget * total, there)
+    for d in DIMS:
+        goal = _goals(start.groupBy(f"_{d}").agg(F.sum("_there").alias("have")), shares[d], d, draw)
+        got = cell.groupBy(f"_{d}").agg((F.sum(F.col("cell_tokens") * F.col("p")) / F.lit(max(taken, 1e-300))).alias("drawn"))
+        both = got.join(shares[d], f"_{d}", "full").join(goal, f"_{d}", "left")
+        zero = F.lit(0.0)
+        parts.append(both.select(F.lit(d).alias("dimension"), F.col(f"_{d}").alias("value"), F.coalesce("target", zero).alias("target"), F.coalesce(F.col("goal") / F.lit(max(draw, 1e-300)), zero).alias("goal"), F.coalesce("drawn", zero).alias("drawn")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def report(docs: DataFrame, budget: float = BUDGET) -> DataFrame:
-    return drawn(docs, budget, refill=False).select("doc_id", "source", "lang", F.col("_topic").alias("topic"), "tokens", F.round("p", 6).alias("p"))
+    return drawn(docs, budget).select("doc_id", "source", "lang", "topic", "tokens", F.round("p", 6).alias("p"))
 
 
-def oracle(budget: float = BUDGET, rounds: int = ROUNDS, temper: float = TEMPER) -> str:
+def marginals_report(docs: DataFrame, budget: float = BUDGET) -> DataFrame:
+    return marginals(docs, budget).select("dimension", "value", *(F.round(c, 6).alias(c) for c in ("target", "goal", "drawn")))
+
+
+def _raked_sql(budget: float, rounds: int, temper: float) -> tuple[str, str]:
+    """(CTEs, name of the last one: source, lang, topic, n, p before it is held at 1). The factor of a value is the greatest over all cuts between free and saturated cells."""
     topic = "CASE WHEN contains(t, '|') THEN 'table' WHEN contains(t, 'icense') THEN 'licence' WHEN contains(t, '@') OR contains(t, '://') THEN 'contact' WHEN length(t) < 600 THEN 'brief' ELSE 'prose' END"
+    run = lambda x, p, by: f"sum({x}) OVER (PARTITION BY {by} ORDER BY {p} ROWS UNBOUNDED PRECEDING)"
+    inner = lambda have, p, goal, by: f"({goal} - (sum({have}) OVER (PARTITION BY {by}) - {run(have, p, by)})) / {run(f'{have} * {p}', p, by)}"
     steps, last = [], "w0"
     for r in range(rounds):
         for i, d in enumerate(DIMS):
             name = f"w{r * 3 + i + 1}"
-            steps.append(f"{name} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, c.n, c.w * g.target / sum(c.w) OVER (PARTITION BY c.{d}) AS w FROM {last} c JOIN g_{d} g ON g.v = c.{d})")
+            steps.append(f"{name} AS MATERIALIZED (WITH cuts AS (SELECT c.{d} AS v, {inner('c.n', 'c.p', 'g.goal', f'c.{d}')} AS x FROM {last} c JOIN g_{d} g ON g.v = c.{d} WHERE c.p > 0 AND c.n > 0), f AS (SELECT v, greatest(0.0::double, max(x)) AS f FROM cuts GROUP BY v) SELECT c.source, c.lang, c.topic, c.n, c.p * coalesce(f.f, 0.0::double) AS p FROM {last} c LEFT JOIN f ON f.v = c.{d})")
             last = name
-    goals = ", ".join(f"g_{d} AS MATERIALIZED (SELECT v, s / sum(s) OVER () AS target FROM (SELECT {d} AS v, pow(sum(n)::double / (SELECT sum(n) FROM cells)::double, {temper}::double) AS s FROM cells GROUP BY 1))" for d in DIMS)
-    return f"""
-WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
+    goals = ", ".join(
+        f"""t_{d} AS MATERIALIZED (SELECT v, have, s / sum(s) OVER () AS target FROM (SELECT {d} AS v, sum(n)::double AS have, pow(sum(n)::double / (SELECT sum(n) FROM cells)::double, {temper}::double) AS s FROM cells GROUP BY 1)),
+g_{d} AS MATERIALIZED (WITH r AS (SELECT v, have, target, target / have AS ratio FROM t_{d} WHERE have > 0), c AS (SELECT {inner('have', 'ratio', '(SELECT x FROM draw)', '1')} AS x FROM r) SELECT v, target, have * least(1.0::double, (SELECT greatest(0.0::double, max(x)) FROM c) * ratio) AS goal FROM r)"""
+        for d in DIMS
+    )
+    return (
+        f"""d AS (SELECT doc_id, source, lang, coalesce(text, '') AS t FROM documents),
 m AS (SELECT doc_id, source, lang, {topic} AS topic, CASE WHEN t = '' THEN 0 ELSE length(t) - length(replace(t, ' ', '')) + 1 END AS tokens FROM d),
 cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens)::bigint AS n FROM m GROUP BY 1, 2, 3),
+draw AS MATERIALIZED (SELECT {budget}::double * sum(n)::double AS x FROM cells),
 {goals},
-w0 AS MATERIALIZED (SELECT source, lang, topic, n, n::double / (SELECT sum(n) FROM cells)::double AS w FROM cells),
-{', '.join(steps)},
-p AS (SELECT source, lang, topic, CASE WHEN n > 0 THEN least(1.0::double, {budget}::double * (SELECT sum(n) FROM cells)::double * w / n::double) ELSE 1.0::double END AS p FROM {last})
+w0 AS MATERIALIZED (SELECT source, lang, topic, n::double AS n, CASE WHEN n > 0 THEN 1.0::double ELSE 0.0::double END AS p FROM cells),
+{', '.join(steps)}""",
+        last,
+    )
+
+
+def oracle(budget: float = BUDGET, rounds: int = ROUNDS, temper: float = TEMPER) -> str:
+    ctes, last = _raked_sql(budget, rounds, temper)
+    return f"""
+WITH {ctes},
+p AS (SELECT source, lang, topic, CASE WHEN n > 0 THEN least(1.0::double, p) ELSE 1.0::double END AS p FROM {last})
 SELECT doc_id, m.source, m.lang, m.topic, tokens, round(p.p, 6) AS p FROM m JOIN p ON p.source = m.source AND p.lang = m.lang AND p.topic = m.topic
 WHERE {hash01_sql('doc_id', 'mix:')} < p.p
 """
+
+
+def marginals_oracle(budget: float = BUDGET, rounds: int = ROUNDS, temper: float = TEMPER) -> str:
+    ctes, last = _raked_sql(budget, rounds, temper)
+    one = lambda d: f"SELECT '{d}' AS dimension, g.v AS value, round(g.target, 6) AS target, round(g.goal / (SELECT x FROM draw), 6) AS goal, round(s.x / (SELECT sum(n * p) FROM got), 6) AS drawn FROM g_{d} g JOIN (SELECT {d} AS v, sum(n * p) AS x FROM got GROUP BY 1) s ON s.v = g.v"
+    return f"WITH {ctes}, got AS (SELECT source, lang, topic, n, least(1.0::double, p) AS p FROM {last}) {' UNION ALL '.join(map(one, DIMS))}"

@@ -40,6 +40,11 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"))
 
 
+def mixing_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets, what the tokens allow of them, and what ``op7_mixing`` draws in expectation."""
+    return mixing.marginals_report(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.verdicts(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "action", "entry")
 
@@ -53,6 +58,6 @@ def op10_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity.audit(pages, fixity.second_replica(pages))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_fertility, op3_minhash, op4_bradley_terry, op5_pii, op6_substrings, op7_mixing, op8_url_filter, op9_decontamination, op10_fixity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_fertility, op3_minhash, op4_bradley_terry, op5_pii, op6_substrings, op7_mixing, op8_url_filter, op9_decontamination, op10_fixity, mixing_marginals)}
 
-ORACLES: dict[str, str] = {"op1_sharding": sharding.oracle(), "op7_mixing": mixing.oracle(), "op8_url_filter": urlfilter.oracle(), "op10_fixity": fixity.oracle()}
+ORACLES: dict[str, str] = {"op1_sharding": sharding.oracle(), "op7_mixing": mixing.oracle(), "mixing_marginals": mixing.marginals_oracle(), "op8_url_filter": urlfilter.oracle(), "op10_fixity": fixity.oracle()}
