@@ -140,9 +140,9 @@ def hash01_sql(column: str, salt: str) -> str:
     return f"(('0x' || substr(md5('{salt}' || coalesce({column}::varchar, '')), 1, 8))::bigint / 4294967296.0::double)"
 
 
-def split_batch(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows whose ``column`` holds about ``max_bytes``, so that what a task holds at once is bounded; a row is never split."""
-    sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64))
+def split_batch(batch: pa.RecordBatch, texts: pa.Array, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose ``texts`` hold about ``max_bytes``, so that what a task holds at once is bounded; a row is never split."""
+    sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
     at = 0
     while at < len(sizes):
         end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + max_bytes, "right")))
@@ -169,24 +169,27 @@ def row_blocks(batches: Iterator[pa.RecordBatch], column: int, max_bytes: int) -
         yield number, pa.Table.from_batches(held).combine_chunks()
 
 
+_GAP_KINDS = {1: (255, np.uint8), 2: (65535, np.uint16), 4: (2**32 - 1, np.uint32)}
+
+
 def pack_gaps(sorted_positions: np.ndarray) -> bytes:
-    """Sorted integers as gaps of one or two bytes; a gap over the base is written as repeated base marks."""
+    """Sorted integers as gaps of one, two or four bytes, whichever takes least; a gap over the base is written as repeated base marks."""
     if not len(sorted_positions):
         return b"\x00"
     gaps = np.diff(sorted_positions.astype(np.int64), prepend=0)
-    wide = gaps.mean() > 350  # about where marks cost as much as the second byte
-    base, kind = (65535, np.uint16) if wide else (255, np.uint8)
+    width = min(_GAP_KINDS, key=lambda w: w * (len(gaps) + int((gaps // _GAP_KINDS[w][0]).sum())))
+    base, kind = _GAP_KINDS[width]
     marks, rest = np.divmod(gaps, base)
     out = np.full(int(marks.sum()) + len(gaps), base, kind)
     out[np.cumsum(marks + 1) - 1] = rest
-    return (b"\x02" if wide else b"\x01") + out.tobytes()
+    return bytes([width]) + out.tobytes()
 
 
 def unpack_gaps(blob: bytes) -> np.ndarray:
     """The inverse of ``pack_gaps``."""
     if blob[0] == 0:
         return np.empty(0, np.int64)
-    base, kind = (65535, np.uint16) if blob[0] == 2 else (255, np.uint8)
+    base, kind = _GAP_KINDS[blob[0]]
     out = np.frombuffer(blob, kind, offset=1)
     return np.cumsum(out, dtype=np.int64)[out != base]
 

@@ -15,8 +15,8 @@ Copies that differ in a character count as texts of their own.
 
 Defined results: null and empty texts, and texts of white space only, have 0 tokens and null measures and are rejected;
 texts of fewer than ``min_tokens`` tokens are judged by byte_share alone, since the other measures of so short a
-text are noise; repeated rows are judged alike, each for itself; an empty table gives an empty result; columns
-of the input named like a measure are replaced by it. Whole texts are encoded, white-space aligned pieces of at most
+text are noise; repeated rows are judged alike, each for itself; an empty table gives an empty result. ``keep_good`` gives the documents
+back with all their columns as they came, whatever their names; ``judge`` replaces columns named band, n_tokens, reason or like a measure. Whole texts are encoded, white-space aligned pieces of at most
 ``PIECE`` characters at a time, which bounds the encoder's memory.
 """
 
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -45,25 +45,26 @@ MEASURES = ("chars_per_token", "byte_share", "token_entropy")
 STEP = 0.001
 #: The column that tells texts apart.
 TEXT_KEY = "_text_key"
+FILES = ("byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model")
 _SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A row of the input while it is measured.
+ROW = "row"
 
 
-@lru_cache(maxsize=4)
-def _encoders(folder: str):
+def read_vocabularies(folder: str = TOKENIZERS) -> tuple[bytes, bytes]:
+    """The two vocabulary files, about 1.4 MB, read on the driver and broadcast: executors need no copy of the folder. A missing file raises."""
+    byte_level, pieces = ((Path(folder) / name).read_bytes() for name in FILES)
+    return byte_level, pieces
+
+
+@lru_cache(maxsize=2)
+def _encoders(files: tuple[bytes, bytes]):
     import sentencepiece
     import tiktoken
 
-    with (Path(folder) / "byte_bpe_multi_50k.tiktoken").open("rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    pattern = _SPLIT
-    try:
-        import public_tokenizers
-
-        pattern = public_tokenizers.PATTERN
-    except ImportError:
-        pass
-    byte_level = tiktoken.Encoding("byte-level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    pieces = sentencepiece.SentencePieceProcessor(model_file=str(Path(folder) / "piece_bpe_32k.model"))
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, files[0].splitlines())}
+    byte_level = tiktoken.Encoding("byte-level", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
+    pieces = sentencepiece.SentencePieceProcessor(model_proto=files[1])
     is_byte = np.array([pieces.IsByte(i) for i in range(pieces.GetPieceSize())])
     known = {" "} | {p for p in (pieces.IdToPiece(i) for i in range(pieces.GetPieceSize())) if len(p) == 1}
     unknown = re.compile("[^" + "".join(re.escape(c) for c in sorted(known)) + "]")
@@ -80,9 +81,9 @@ def _parts(text: str) -> list[str]:
     return [*parts, text[at:]]
 
 
-def measure(texts: list[str | None], folder: str = TOKENIZERS) -> tuple[np.ndarray, ...]:
+def measure(texts: list[str | None], files: tuple[bytes, bytes]) -> tuple[np.ndarray, ...]:
     """(tokens, chars_per_token, byte_share, token_entropy) of every text; measures are NaN where there is no token."""
-    byte_level, pieces, is_byte, unknown = _encoders(folder)
+    byte_level, pieces, is_byte, unknown = _encoders(files)
     flat = [" ".join((x or "").split()) for x in texts]
     encoded = [[byte_level.encode_to_numpy(p, disallowed_special=()) for p in _parts(x)] if x else [] for x in flat]
     tokens = np.array([sum(map(len, e)) for e in encoded], np.int64)
@@ -104,14 +105,15 @@ def measure(texts: list[str | None], folder: str = TOKENIZERS) -> tuple[np.ndarr
     return tokens, *(np.where(nothing, np.nan, np.round(x / STEP) * STEP) for x in (per_token, share, entropy))
 
 
-def with_measures(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
-    """``docs`` with n_tokens and the measures; one pass, no shuffle."""
+def with_measures(docs: DataFrame, folder: str = TOKENIZERS, text: Callable[[pa.RecordBatch], pa.Array] = lambda batch: batch.column("text")) -> DataFrame:
+    """``docs`` with n_tokens and the measures; one pass, no shuffle. ``text`` takes the texts out of a batch."""
     rest = docs.drop("n_tokens", *MEASURES)
     schema = T.StructType([*rest.schema.fields, T.StructField("n_tokens", T.LongType()), *(T.StructField(m, T.DoubleType()) for m in MEASURES)])
+    shared = docs.sparkSession.sparkContext.broadcast(read_vocabularies(folder))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in split_batch(whole, "text")):
-            tokens, *rest = measure(batch.column("text").to_pylist(), folder)
+        for batch in (part for whole in batches for part in split_batch(whole, text(whole))):
+            tokens, *rest = measure(text(batch).to_pylist(), shared.value)
             more = [pa.array(tokens, pa.int64()), *(pa.array(x, pa.float64(), from_pandas=True) for x in rest)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "n_tokens", *MEASURES])
 
@@ -190,5 +192,8 @@ def judge(docs: DataFrame, folder: str = TOKENIZERS, width: float = WIDTH, min_t
 
 
 def keep_good(docs: DataFrame, folder: str = TOKENIZERS, width: float = WIDTH, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """The documents inside the bands, with their columns."""
-    return judge(docs, folder, width, min_tokens).where(F.col("reason").isNull()).select(*docs.columns)
+    """The documents inside the bands. Their columns travel as one struct, so that no name of theirs meets one of the measures."""
+    packed = docs.select(F.struct(*docs.columns).alias(ROW), group_of().alias("band"), text_key())
+    at = docs.columns.index("text")
+    measured = materialize(with_measures(packed, folder, lambda batch: batch.column(0).field(at)), "fertility")
+    return judged(measured, bands(measured, width, min_tokens), min_tokens).where(F.col("reason").isNull()).select(f"{ROW}.*")

@@ -13,10 +13,13 @@ from folioflow.llm import fertility, pii, ranking
 from .helpers import EDGES, docs_of, prose
 
 
+FILES = fertility.read_vocabularies()
+
+
 def test_measures_are_what_they_say():
-    n, per_token, share, entropy = fertility.measure(["hello world hello world", "日本語のテキスト", "", None, "  ", "a"])
+    n, per_token, share, entropy = fertility.measure(["hello world hello world", "日本語のテキスト", "", None, "  ", "a"], FILES)
     assert n[2] == n[3] == n[4] == 0 and np.isnan(per_token[2:5]).all()
-    enc, pieces, is_byte, _ = fertility._encoders(fertility.TOKENIZERS)
+    enc, pieces, is_byte, _ = fertility._encoders(FILES)
     ids = enc.encode("hello world hello world")
     counts = [ids.count(i) for i in set(ids)]
     want = -sum(c / len(ids) * math.log2(c / len(ids)) for c in counts) / math.log2(len(ids))
@@ -29,8 +32,10 @@ def test_rules_reject_junk_and_keep_prose(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice(["the", "house", "stands", "near", "river", "water", "green", "field", "under", "light"]) for _ in range(60))) for i in range(150)]
     junk = [(900, "ߘߙߚ" * 90), (901, "#$%^ @!~ " * 60), (902, "same " * 80)]
-    docs = docs_of(spark, rows + junk + EDGES[:-1]).withColumn("reason", F.lit("x"))
+    mine = {"reason": "x", "band": "y", "n_tokens": 7, "row": 3, "_text_key": 1, "_octave": 2, "byte_share": 0.5}
+    docs = docs_of(spark, rows + junk + EDGES).withColumns({k: F.lit(v) for k, v in mine.items()})
     out = fertility.keep_good(docs)
+    assert out.subtract(docs).isEmpty()  # the values of clashing columns come back as they were
     ids = [r["doc_id"] for r in out.select("doc_id").collect()]
     assert out.columns == docs.columns and set(range(150)) <= set(ids) and not {900, 901, 902, 7090, 7091, 7092} & set(ids)
     assert fertility.keep_good(docs.where("false")).isEmpty()
