@@ -219,7 +219,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, rows: int = ROWS, pe
         owner, place = owner[order], place[order]
         cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, np.int64)
         ends = np.append(cuts[1:], len(owner)) if len(cuts) else cuts
-        return pa.table({"doc_id": pa.array(owner[cuts], pa.int64()), "at": blobs([place[a:b].tobytes() for a, b in zip(cuts, ends)])})
+        return pa.table({"doc_id": pa.array(owner[cuts], pa.int64()), "at": blobs([pack_gaps(place[a:b]) for a, b in zip(cuts, ends)])})
 
     read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     shipped = map_arrow(read, ship, "block bigint, ids binary, offsets binary, text binary")
@@ -243,7 +243,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, **sizes) -> DataFra
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [spans(np.frombuffer(b"".join(x), np.uint32), window) for x in batch.column(1).to_pylist()]
+            found = [spans(np.concatenate([unpack_gaps(b) for b in x]), window) for x in batch.column(1).to_pylist()]
             ids = np.repeat(np.asarray(batch.column(0)), [len(s) for s, _ in found])
             starts, lengths = (np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int32) for x in (([s for s, _ in found]), ([n for _, n in found])))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts), pa.array(lengths)], names=["doc_id", "start_word", "n_words"])
