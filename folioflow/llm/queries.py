@@ -55,7 +55,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return fixity.audit(pages, fixity.second_replica(pages))
+    return fixity.audit(fixity.archived(pages), fixity.archived(fixity.second_replica(pages)), content="record")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_fertility, op3_minhash, op4_bradley_terry, op5_pii, op6_substrings, op7_mixing, op8_url_filter, op9_decontamination, op10_fixity, mixing_marginals)}
