@@ -33,7 +33,7 @@ def brute(rows, items, least):
 
 def test_equals_brute_force(spark):
     rng = random.Random(5)
-    items = [(k, prose(rng, rng.randrange(5, 40), 60)) for k in range(8)] + [(8, "too short"), (9, None), (10, "")]
+    items = [(k, prose(rng, rng.randrange(5, 40), 60)) for k in range(8)] + [(8, "too short"), (9, None), (10, ""), (11, "w3"), (12, "x x x")]
     rows = [(i, prose(rng, rng.randrange(1, 60), 60)) for i in range(25)]
     for i in range(12):
         q = words(items[i % 8][1])
@@ -41,8 +41,8 @@ def test_equals_brute_force(spark):
         rows.append((100 + i, f"{prose(rng, 10)}, {' - '.join(q[a:]).upper()}! {prose(rng, 4)}"))
     rows += [e for e in EDGES if e[0] != 7094] + [(7094, "x " * 300)]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
-    for part in (10, 10**6):
-        got = {tuple(r) for r in decontaminate.matches(docs_of(spark, rows), bench, min_words=8, part_words=part).collect()}
+    for part, scan in ((10, 60), (10, 10**6), (10**6, 10**6)):
+        got = {tuple(r) for r in decontaminate.matches(docs_of(spark, rows), bench, min_words=8, part_words=part, scan_words=scan).collect()}
         assert got == brute(rows, items, 8) and len(got) > 8
 
 
@@ -68,3 +68,18 @@ def test_items_without_an_id_match(spark):
     got = sorted((r["doc_id"], r["item_id"] or 0, r["n_words"]) for r in decontaminate.matches(docs, bench).collect())
     assert got == [(1, 0, 20), (1, 7, 20), (2, 0, 20), (4, 0, 20), (4, 7, 20)]
     assert [r["doc_id"] for r in decontaminate.remove_affected(docs, bench.where("item_id IS NULL")).collect()] == [3]
+
+
+def test_a_passage_that_fills_the_text_is_found_once(spark):
+    docs = docs_of(spark, [(1, "x " * 200_000), (2, "y " + "x " * 40 + "z")]).withColumns({c: F.lit("mine") for c in ("_hit", "item_id", "n_words")})
+    bench = spark.createDataFrame([(5, "x " * 300), (6, "x " * 20)], "item_id bigint, text string")
+    assert sorted(map(tuple, decontaminate.matches(docs, bench).collect())) == [(1, 5, 0, 0, 300), (1, 6, 0, 0, 20), (2, 5, 1, 0, 40), (2, 6, 1, 0, 20)]
+    assert decontaminate.remove_affected(docs, bench).columns == docs.columns and decontaminate.remove_affected(docs, bench).isEmpty()
+
+
+def test_pairs_are_extended_in_pieces():
+    text = np.array([2, 3, 4, 5, 1, 3, 4, 5, 6, 1, 2, 3, 4, 1], np.uint32)
+    q = decontaminate.Queries([(1, np.array([2, 3, 4, 5, 6], np.uint32))], 2, 1)
+    order = decontaminate.suffix_array(text, 5)
+    all_of = lambda pairs: sorted((int(q.start[a]), int(b), int(n)) for x in decontaminate.search(text, order, q, pairs) for a, b, n in zip(*x))
+    assert all_of(1) == all_of(100) == [(0, 0, 4), (0, 10, 3), (1, 5, 4)]
