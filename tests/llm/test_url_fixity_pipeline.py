@@ -10,18 +10,34 @@ from folioflow.llm import fixity, urlfilter
 from .helpers import docs_of, prose
 
 LIST = (("example.com", "block"), ("good.example.com", "allow"), ("good.example.com/a", "block"), ("good.example.com/a/b", "allow"), ("Twice.org", "allow"), ("twice.org", "block"), (None, "block"), (" ", "block"))
-URLS = {"http://example.com": "block", "https://u:p@x.EXAMPLE.com:80/q": "block", "http://good.example.com/": "allow", "http://good.example.com//a?x": "block", "http://good.example.com/a/b/c#f": "allow", "http://good.example.com/ab": "allow", "http://other.com/example.com": "allow", "http://twice.org./": "block", "http://notexample.com": "allow", "": "none", None: "none", "no url": "none"}
+URLS = {"http://example.com": "block", "https://u:p@x.EXAMPLE.com:80/q": "block", "http://good.example.com/": "allow", "http://good.example.com//a?x": "block", "http://good.example.com/a/b/c#f": "allow", "http://good.example.com/ab": "allow", "http://other.com/example.com": "allow", "http://twice.org./": "block", "http://notexample.com": "allow", "": "none", None: "none", "no url": "none", "http://long.example.com/" + "a/" * 20000: "block"}
 
 
-@pytest.mark.parametrize("limit", [10, 0])
-def test_longest_match_decides(spark, limit):
+@pytest.mark.parametrize("limit", [10**6, 0])
+@pytest.mark.parametrize("as_table", [False, True])
+def test_longest_match_decides(spark, limit, as_table):
     pages = spark.createDataFrame([(i, u, "mine") for i, u in enumerate(URLS)] + [(0, "http://example.com", "mine")], "page_id int, url string, host string")
-    got = urlfilter.verdicts(pages, LIST, limit).collect()
+    pages = pages.withColumns({c: F.lit("mine") for c in ("path", "action", "entry")})
+    entries = spark.createDataFrame(list(LIST), "entry string, action string") if as_table else LIST
+    got = urlfilter.verdicts(pages, entries, limit).collect()
     assert len(got) == len(URLS) + 1 and {r["url"]: r["action"] for r in got} == URLS
-    assert urlfilter.verdicts(pages.where("false"), LIST, limit).isEmpty()
+    assert urlfilter.verdicts(pages.where("false"), entries, limit).isEmpty()
     assert {r["action"] for r in urlfilter.verdicts(pages, ()).collect()} == {"allow", "none"}
 
 
+def test_the_trie_stays_below_its_bound():
+    """What NODE_BYTES says of a trie holds for hosts and paths of many shapes."""
+    import tracemalloc
+
+    rng = random.Random(3)
+    entries = [(f"h{rng.randrange(10**6)}.d{rng.randrange(500)}.org", "/".join(f"p{rng.randrange(1000)}" for _ in range(rng.randrange(4))), "block") for _ in range(20000)]
+    tracemalloc.start()
+    trie = urlfilter.build(entries)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert trie and held < urlfilter.NODE_BYTES * sum(len(h.split(".")) + (len(p.split("/")) if p else 0) for h, p, _ in entries)
+
+
 def test_audit_finds_all_damage(spark):
     rng = random.Random(4)
     a = [(i, prose(rng, 5)) for i in range(500) if i % 11] + [(499, None), (None, "lost"), (7, "twin")]
@@ -37,8 +53,31 @@ def test_audit_finds_all_damage(spark):
     assert fixity.audit(left, left.orderBy(F.desc("html"))).isEmpty() and fixity.audit(left.where("false"), left.where("false")).isEmpty()
     nul = spark.createDataFrame([(499, "")], "page_id bigint, html string")
     assert fixity.audit(nul, nul.withColumn("html", F.lit(None).cast("string"))).first()["status"] == "corrupt"
-    with pytest.raises(Exception, match="negative"):
-        fixity.audit(nul.withColumn("page_id", F.lit(-5)), nul).collect()
+
+
+def test_audit_of_records_without_a_number_and_of_repeated_ones(spark):
+    rows = [(None, "lost"), (None, "lost"), (None, "kept"), (-1, "below"), (-1, "gone"), (5, "twin"), (5, "other"), (6, "x" * 300_000), (6, "x" * 300_000), (7, None), (8, "")]
+    a = spark.createDataFrame(rows, "page_id bigint, html string").withColumns({c: F.lit("mine") for c in ("k", "side", "body", "start", "hash", "number")})
+    without = lambda *gone: spark.createDataFrame([r for i, r in enumerate(rows) if i not in gone], "page_id bigint, html string")
+    told = lambda b: sorted((str(r["record"]), r["status"], r["length"], r["found_length"]) for r in fixity.audit(a, b).collect())
+    assert told(without()) == [] and told(without().orderBy(F.desc("html"))) == []
+    assert told(without(0)) == [("None", "missing", 4, 4)] and told(without(4)) == [("-1", "missing", 4, None)]
+    assert told(without(5)) == [("5", "corrupt", 9, 5), ("6", "moved", 600_000, 600_000), ("7", "moved", 0, 0), ("8", "moved", 0, 0)]
+    assert told(without(8)) == [("6", "corrupt", 600_000, 300_000), ("7", "moved", 0, 0), ("8", "moved", 0, 0)]
+    assert {s for _, s, *_ in told(without().where("false"))} == {"missing"}
+    extra = without().unionByName(spark.createDataFrame([(None, "new")], "page_id bigint, html string"))
+    assert told(extra) == [("None", "extra", None, 3)]
+
+
+def test_trees_of_any_height_agree(spark, monkeypatch):
+    rows = [(i * 7919 % 100_003, f"page {i}") for i in range(300)]
+    a = spark.createDataFrame(rows, "page_id bigint, html string")
+    b = spark.createDataFrame([(n, t if i % 50 else t.upper()) for i, (n, t) in enumerate(rows)], "page_id bigint, html string")
+    want = {n for i, (n, _) in enumerate(rows) if not i % 50}
+    for bits in (1, 5, 9):
+        assert {r["record"] for r in fixity.audit(a, b, fanout_bits=bits).collect()} == want
+    monkeypatch.setattr(fixity, "DERIVED_NODES", 10)
+    assert {r["record"] for r in fixity.audit(a, b).collect()} == want
 
 
 def test_pipeline_keeps_clean_documents_and_its_columns(spark, tmp_path):
