@@ -5,9 +5,11 @@ A candidate span gets a score for each type from features of the whole span (its
 dynamic programming over bounded segments chooses boundaries and types jointly. The weights maximise the conditional likelihood
 (exact forward-backward over all segmentations) of generated sentences; no sample of the corpus is used.
 
-An entity must hold a digit or an @, so a stretch of text without either is outside in every segmentation. Decoding
-therefore runs on the neighbourhoods of such tokens, wide enough for every span and its context, and gives what decoding of the whole
-text would; the rest is skipped by a scan for these characters.
+An entity must hold a digit of any script, an @, or a token of ``LONG`` characters or more in both cases (a secret may be all letters), so a stretch of
+text without either is outside in every segmentation. Decoding therefore runs on the neighbourhoods of such tokens, wide enough for every span and its context, and
+gives what decoding of the whole text would; the rest is skipped by a scan for them. Digits of other scripts are read as the ASCII ones.
+
+``redacted`` gives the documents with every span replaced by its type in brackets.
 
 Defined results: null and empty texts have no spans; a text of any length is scanned whole; of equally good segmentations
 the one with the shorter last segment, then the earlier type, is taken; rows repeating a document repeat its spans, rows with a null
@@ -18,6 +20,8 @@ from __future__ import annotations
 
 import random
 import re
+import sys
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,14 +30,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_arrow
 
 MAX_TOKENS, BUCKETS, CONTEXT = 8, 1 << 12, 2
 TYPES = ("OUT", "EMAIL", "PHONE", "IP", "CARD", "SECRET", "NATIONAL_ID")
 TOKEN = re.compile(r"\w+(?:[.@%+\-]+\w+)*|[^\w\s]")
-TRIGGER = re.compile(r"[0-9@]")
-_CHUNK = re.compile(r"\S*[0-9@]\S*")
+LONG = 20
+TRIGGER = re.compile(rf"[0-9@]|(?=[A-Za-z]*[a-z])(?=(?:[a-z]*[A-Z]){{3}})[A-Za-z]{{{LONG},}}")
+_CHUNK = re.compile(rf"\S*[0-9@]\S*|\S*(?=(?:[a-z]*[A-Z]){{3}})[A-Za-z]{{{LONG},}}\S*")
+#: The same for the JVM, which only has to let through all texts that may hold one.
+MAY_HOLD = rf"[\p{{Nd}}@]|[A-Za-z]{{{LONG},}}"
+_OTHER_DIGIT = re.compile(r"[^\D0-9]")
+
+
+@lru_cache(maxsize=1)
+def _digits() -> dict[int, str]:
+    return {c: str(unicodedata.decimal(chr(c))) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"}
+
+
+def with_ascii_digits(text: str) -> str:
+    """Digits of all scripts as ASCII digits; no character moves."""
+    return text.translate(_digits()) if _OTHER_DIGIT.search(text) else text
 
 
 def _shape(s: str) -> str:
@@ -79,12 +98,13 @@ def _features(tokens: list[tuple[str, int, int]], text: str, i: int, j: int) ->
         f"cutdigits={glued_before and before[-1:].isdigit()},{glued_after and after[:1].isdigit()}",
         f"moredigits={i > 0 and before.isdigit()},{j < len(tokens) and after.isdigit()}",
         f"letters={bool(re.search(r'[^\W\d_]', span))},at={span.count('@')}",
+        f"mixed={bool(re.fullmatch(r'(?=(?:[a-z]*[A-Z]){3})[A-Za-z]{20,}', span))},{len(re.findall('[a-z][A-Z]|[A-Z][a-z]', span)) > len(span) // 4}",
         "bias",
     ]
     return [zlib.crc32(x.encode()) % BUCKETS for x in names]
 
 
-N_FEATURES = 16
+N_FEATURES = 17
 
 
 def tokenize(text: str) -> list[tuple[str, int, int]]:
@@ -144,9 +164,9 @@ def generate(n: int, seed: int = 3) -> list[tuple[str, list[tuple[int, int, str]
     card = lambda: r.choice([d(16), d(16), d(16), f"{d(4)} {d(4)} {d(4)} {d(4)}", f"{d(4)}-{d(4)}-{d(4)}-{d(4)}", d(15)])
     email = lambda: f"{word()}{r.choice(['', '.' + word(), '.' + d(2), d(r.randint(1, 4)), '_' + word(), '+' + word()])}@{word()}{r.choice(['', d(1), '-' + word()])}.{r.choice(['com', 'org', 'example.com', 'net', 'co.uk', 'de'])}"
     phone = lambda: r.choice([f"+1 ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+{r.randint(20, 99)} {d(2)} {d(4)} {d(4)}", f"+1-{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"+{d(11)}"])
-    secret = lambda: r.choice(["".join(r.choice("0123456789abcdef") for _ in range(r.choice([32, 40, 40, 64]))), "sk-" + "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQ0123456789") for _ in range(32)), "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)) + d(2)])
+    secret = lambda: r.choice(["".join(r.choice("0123456789abcdef") for _ in range(r.choice([32, 40, 40, 64]))), "sk-" + "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQ0123456789") for _ in range(32)), "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)) + d(2), "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(r.choice([24, 32, 40])))])
     makers = {"EMAIL": email, "PHONE": phone, "IP": lambda: ".".join(octet() for _ in range(4)), "CARD": card, "SECRET": secret, "NATIONAL_ID": lambda: f"{d(3)}-{d(2)}-{d(4)}"}
-    fakes = [lambda: f"Version {d(1)}.{d(1)}", lambda: f"{d(4)}-{d(2)}-{d(2)}", lambda: f"${d(2)}.{d(2)}", lambda: d(r.randint(1, 6)), lambda: f"{d(2)}:{d(2)}", lambda: f"{d(1)},{d(3)}", lambda: f"v{d(1)}.{d(1)}.{d(2)}", lambda: f"({d(4)})", lambda: f"{word()}{d(2)}", lambda: f"@{word()}", lambda: f"{d(2)}%", lambda: f"{d(2)}/{d(2)}/{d(4)}", lambda: f"ISBN 978-{d(1)}-{d(3)}-{d(5)}-{d(1)}", lambda: f"{d(3)}.{d(3)}", lambda: f"no. {d(4)}-{d(4)}", lambda: f"{r.randint(300, 999)}.{d(3)}.{r.randint(300, 999)}.{d(2)}"]
+    fakes = [lambda: f"Version {d(1)}.{d(1)}", lambda: f"{d(4)}-{d(2)}-{d(2)}", lambda: f"${d(2)}.{d(2)}", lambda: d(r.randint(1, 6)), lambda: f"{d(2)}:{d(2)}", lambda: f"{d(1)},{d(3)}", lambda: f"v{d(1)}.{d(1)}.{d(2)}", lambda: f"({d(4)})", lambda: f"{word()}{d(2)}", lambda: f"@{word()}", lambda: f"{d(2)}%", lambda: f"{d(2)}/{d(2)}/{d(4)}", lambda: f"ISBN 978-{d(1)}-{d(3)}-{d(5)}-{d(1)}", lambda: f"{d(3)}.{d(3)}", lambda: f"no. {d(4)}-{d(4)}", lambda: "".join(r.choice(["get", "user", "name", "from", "table", "with", "index", "value"]).title() for _ in range(r.randint(5, 7))), lambda: f"{r.randint(300, 999)}.{d(3)}.{r.randint(300, 999)}.{d(2)}"]
     out = []
     for _ in range(n):
         text, marks = "", []
@@ -168,62 +188,75 @@ def generate(n: int, seed: int = 3) -> list[tuple[str, list[tuple[int, int, str]
     return out
 
 
-@lru_cache(maxsize=2)
-def train(sentences: int = 900, rounds: int = 70, l2: float = 1e-4) -> np.ndarray:
-    """Weights (feature, type) by AdaGrad on the conditional log-likelihood, all sentences at once."""
-    ids, owner, lo, hi, gold, n_tokens = [], [], [], [], [], []
-    for s, (text, marks) in enumerate(generate(sentences)):
-        tokens = tokenize(text)
-        told = {}
-        for a, b, kind in marks:
-            inside = [k for k, (_, x, y) in enumerate(tokens) if x < b and y > a]
-            told[inside[0], inside[-1] + 1] = TYPES.index(kind)
-        covered = {k for i, j in told for k in range(i, j)}
-        n_tokens.append(len(tokens))
-        for i, j in _spans(tokens):
-            ids.append(_features(tokens, text, i, j))
-            owner.append(s)
-            lo.append(i)
-            hi.append(j)
-            gold.append(told.get((i, j), 0 if j == i + 1 and i not in covered else -1))
-    ids, owner, lo, hi, gold, n_tokens = (np.array(x) for x in (ids, owner, lo, hi, gold, n_tokens))
-    used, cols = np.unique(ids, return_inverse=True)
-    cols = cols.reshape(ids.shape)
-    top, n_types = int(n_tokens.max()), len(TYPES)
-    w, ada = np.zeros((len(used), n_types)), np.full((len(used), n_types), 1e-6)
-    one = hi - lo == 1
-    by_end = [np.flatnonzero(hi == j) for j in range(top + 1)]
-    by_start = [np.flatnonzero(lo == i) for i in range(top + 1)]
-    truth = np.zeros((len(ids), n_types))
-    truth[gold >= 0, gold[gold >= 0]] = 1
-    scored_one = np.zeros((len(n_tokens), top + 1), bool)
-    scored_one[owner[one], lo[one]] = True
-    flat = cols.ravel()
-    for _ in range(rounds):
-        s = w[cols].sum(1)
-        s[~one, 0] = -np.inf  # outside only one token at a time
+class Likelihood:
+    """The conditional log-likelihood of marked sentences, and its gradient, by forward-backward over all segmentations."""
+
+    def __init__(self, sentences: list[tuple[str, list[tuple[int, int, str]]]]):
+        ids, owner, lo, hi, gold, n_tokens = [], [], [], [], [], []
+        for s, (text, marks) in enumerate(sentences):
+            tokens = tokenize(text)
+            told = {}
+            for a, b, kind in marks:
+                inside = [k for k, (_, x, y) in enumerate(tokens) if x < b and y > a]
+                told[inside[0], inside[-1] + 1] = TYPES.index(kind)
+            covered = {k for i, j in told for k in range(i, j)}
+            n_tokens.append(len(tokens))
+            for i, j in _spans(tokens):
+                ids.append(_features(tokens, text, i, j))
+                owner.append(s)
+                lo.append(i)
+                hi.append(j)
+                gold.append(told.get((i, j), 0 if j == i + 1 and i not in covered else -1))
+        ids, self.owner, self.lo, self.hi, gold, self.n_tokens = (np.array(x) for x in (ids, owner, lo, hi, gold, n_tokens))
+        self.used, cols = np.unique(ids, return_inverse=True)
+        self.cols = cols.reshape(ids.shape)
+        self.one = self.hi - self.lo == 1
+        top = int(self.n_tokens.max())
+        self.by_end = [np.flatnonzero(self.hi == j) for j in range(top + 1)]
+        self.by_start = [np.flatnonzero(self.lo == i) for i in range(top + 1)]
+        self.truth = np.zeros((len(ids), len(TYPES)))
+        self.truth[gold >= 0, gold[gold >= 0]] = 1
+        self.scored_one = np.zeros((len(self.n_tokens), top + 1), bool)
+        self.scored_one[self.owner[self.one], self.lo[self.one]] = True
+
+    def __call__(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+        """(mean log-likelihood, gradient) at the weights (used feature, type)."""
+        n, top, owner, lo, hi = len(self.n_tokens), self.scored_one.shape[1] - 1, self.owner, self.lo, self.hi
+        s = w[self.cols].sum(1)
+        value = float((s * self.truth).sum())
+        s[~self.one, 0] = -np.inf  # outside only one token at a time
         total = np.logaddexp.reduce(s, axis=1)
-        alpha, beta = np.full((len(n_tokens), top + 1), -np.inf), np.full((len(n_tokens), top + 1), -np.inf)
+        alpha, beta = np.full((n, top + 1), -np.inf), np.full((n, top + 1), -np.inf)
         alpha[:, 0] = 0
         for j in range(1, top + 1):
-            free = ~scored_one[:, j - 1] & (j <= n_tokens)
+            free = ~self.scored_one[:, j - 1] & (j <= self.n_tokens)
             alpha[free, j] = alpha[free, j - 1]
-            e = by_end[j]
+            e = self.by_end[j]
             np.logaddexp.at(alpha[:, j], owner[e], alpha[owner[e], lo[e]] + total[e])
-        beta[np.arange(len(n_tokens)), n_tokens] = 0
+        beta[np.arange(n), self.n_tokens] = 0
         for i in range(top - 1, -1, -1):
-            free = ~scored_one[:, i] & (i < n_tokens)
+            free = ~self.scored_one[:, i] & (i < self.n_tokens)
             beta[free, i] = beta[free, i + 1]
-            e = by_start[i]
+            e = self.by_start[i]
             np.logaddexp.at(beta[:, i], owner[e], beta[owner[e], hi[e]] + total[e])
-        z = alpha[np.arange(len(n_tokens)), n_tokens]
+        z = alpha[np.arange(n), self.n_tokens]
         posterior = np.exp(s + (alpha[owner, lo] + beta[owner, hi] - z[owner])[:, None])
-        off = (truth - posterior) / len(n_tokens)
-        g = np.stack([np.bincount(flat, np.repeat(off[:, y], N_FEATURES), len(used)) for y in range(n_types)], 1) - l2 * w
+        off, flat = (self.truth - posterior) / n, self.cols.ravel()
+        return (value - float(z.sum())) / n, np.stack([np.bincount(flat, np.repeat(off[:, y], N_FEATURES), len(self.used)) for y in range(len(TYPES))], 1)
+
+
+@lru_cache(maxsize=2)
+def train(sentences: int = 900, rounds: int = 70, l2: float = 1e-4) -> np.ndarray:
+    """Weights (feature, type) by AdaGrad on the conditional log-likelihood, all sentences at once."""
+    likelihood = Likelihood(generate(sentences))
+    w = np.zeros((len(likelihood.used), len(TYPES)))
+    ada = np.full(w.shape, 1e-6)
+    for _ in range(rounds):
+        g = likelihood(w)[1] - l2 * w
         ada += g * g
         w += 0.5 * g / np.sqrt(ada)
-    out = np.zeros((BUCKETS, n_types))
-    out[used] = w
+    out = np.zeros((BUCKETS, len(TYPES)))
+    out[likelihood.used] = w
     return out
 
 
@@ -270,8 +303,8 @@ def regions(text: str) -> Iterator[tuple[int, int]]:
 
 def find(text: str | None, weights: np.ndarray) -> list[tuple[int, int, str]]:
     """(start, end, type) of the entities, in characters."""
-    out = []
-    for a, b in regions(text or ""):
+    out, text = [], with_ascii_digits(text or "")
+    for a, b in regions(text):
         part = text[a:b]
         tokens = tokenize(part)
         out += [(a + tokens[i][1], a + tokens[j - 1][2], kind) for i, j, kind in decode(tokens, score_spans(tokens, part, weights))]
@@ -279,7 +312,7 @@ def find(text: str | None, weights: np.ndarray) -> list[tuple[int, int, str]]:
 
 
 def pii_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, length, type, value) of all personal data; texts without digit or @ never leave the JVM."""
+    """(doc_id, start, length, type, value) of all personal data; texts that can't hold any never leave the JVM."""
     shared = docs.sparkSession.sparkContext.broadcast(train())
     schema = "doc_id bigint, start int, length int, type string, value string"
 
@@ -289,4 +322,28 @@ def pii_spans(docs: DataFrame) -> DataFrame:
             ids, starts, lengths, kinds, values = zip(*rows) if rows else ([], [], [], [], [])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(lengths, pa.int32()), pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["doc_id", "start", "length", "type", "value"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("text").rlike("[0-9@]")), run, schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("text").rlike(MAY_HOLD)), run, schema)
+
+
+def redact(text: str | None, weights: np.ndarray) -> str | None:
+    """The text with every entity replaced by its type in brackets; null stays null."""
+    if text is None:
+        return None
+    out, at = [], 0
+    for start, end, kind in find(text, weights):
+        out += [text[at:start], f"[{kind}]"]
+        at = end
+    return "".join([*out, text[at:]])
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """``docs`` with personal data in ``text`` replaced by its type; all other columns and all rows as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(train())
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([redact(t, shared.value) for t in batch.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return map_arrow(docs, run, T.StructType(docs.schema.fields))
