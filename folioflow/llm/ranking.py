@@ -79,6 +79,16 @@ def _gather(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("good", "text"), run, "good int, bins binary, form binary")
 
 
+def loss_and_gradient(w: np.ndarray, doc: np.ndarray, col: np.ndarray, z: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean of log(1 + exp(score of b - score of a)) over the pairs (a preferred to b), and its gradient. ``doc`` has feature ``col``; ``z`` are further features by document, the last weights."""
+    k = len(w) - z.shape[1]
+    score = np.bincount(doc, w[col], len(z)) + z @ w[k:]
+    off = np.clip(score[a] - score[b], -30, 30)
+    p = 1 / (1 + np.exp(off))
+    by_doc = (np.bincount(b, p, len(z)) - np.bincount(a, p, len(z))) / len(a)
+    return float(np.log1p(np.exp(-off)).mean()), np.concatenate([np.bincount(col, by_doc[doc], k), z.T @ by_doc])
+
+
 def fit_pairs(bins: list[np.ndarray], form: np.ndarray, good: np.ndarray, rounds: int = 300, l2: float = 2e-4, seed: int = 11) -> dict[str, np.ndarray]:
     """Weights by Adam on the mean logistic loss of the pairs' feature differences, with ridge penalty."""
     mean, sd = form.mean(0) if len(form) else np.zeros(len(FORM)), np.maximum(form.std(0), 1e-6) if len(form) else np.ones(len(FORM))
@@ -103,10 +113,7 @@ def fit_pairs(bins: list[np.ndarray], form: np.ndarray, good: np.ndarray, rounds
     w = np.zeros(int(common.sum()) + z.shape[1])
     k, m, v = len(w) - z.shape[1], np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        score = np.bincount(doc, w[col], len(bins)) + z @ w[k:]
-        p = 1 / (1 + np.exp(np.clip(score[a] - score[b], -30, 30)))
-        g_doc = (np.bincount(b, p, len(bins)) - np.bincount(a, p, len(bins))) / n
-        g = np.concatenate([np.bincount(col, g_doc[doc], k), z.T @ g_doc]) + l2 * w
+        g = loss_and_gradient(w, doc, col, z, a, b)[1] + l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     model["bins"][used[common]] = w[:k]
@@ -135,7 +142,9 @@ def learn(docs: DataFrame, labels: DataFrame, fit_documents: int = FIT_DOCUMENTS
     """Fit on at most ``fit_documents`` labelled documents. Labels are joined to texts only for the documents drawn."""
     told = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.min("quality") * (1 - F.max("toxic"))).cast("int").alias("good"))
     drawn = told.orderBy(hash01(F.col("doc_id"), "fit:"), "doc_id").limit(fit_documents)  # the documented bound of the fit
-    t = _gather(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")).toArrow()
+    # a repeated document counts with its least text, so what comes to the driver is at most a row an id
+    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "good").agg(F.min("text").alias("text"))
+    t = _gather(texts).toArrow()
     bins = [np.frombuffer(x, np.int32) for x in t.column("bins").to_pylist()]
     form = np.frombuffer(b"".join(t.column("form").to_pylist()), np.float64).reshape(-1, len(FORM))
     good = np.asarray(t.column("good"))

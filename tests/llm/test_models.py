@@ -112,6 +112,11 @@ def test_pii_edges(spark):
     docs = docs_of(spark, [*EDGES, (1, "write to a.b@example.com now"), (1, "write to a.b@example.com now"), (None, "x 192.168.0.1 y")])
     got = [(r["doc_id"], r["type"], r["value"]) for r in pii.pii_spans(docs).collect()]
     assert got.count((1, "EMAIL", "a.b@example.com")) == 2 and (None, "IP", "192.168.0.1") in got and len(got) == 3
+    long = "word " * 30_000 + "call (555) 123-4567 now " + "word " * 30_000
+    odd = docs_of(spark, [(5, long), (6, "call (٥٥٥) ١٢٣-٤٥٦٧ now"), (7, 'token = "QwZrTyUpAsDfGhJkLzXcVbNmQq"'), (8, "GetUserNameFromTableWithIndex is a name")]).withColumns({c: F.lit(1) for c in ("start", "type", "value")})
+    assert [(r["doc_id"], r["start"], r["type"], r["value"]) for r in pii.pii_spans(odd).orderBy("doc_id").collect()] == [(5, 150_005, "PHONE", "(555) 123-4567"), (6, 5, "PHONE", "(٥٥٥) ١٢٣-٤٥٦٧"), (7, 9, "SECRET", "QwZrTyUpAsDfGhJkLzXcVbNmQq")]
+    out = pii.redacted(odd.unionByName(docs_of(spark, [(None, None)]).withColumns({c: F.lit(1) for c in ("start", "type", "value")})))
+    assert out.columns == odd.columns and {r["doc_id"]: r["text"] for r in out.collect() if r["doc_id"] != 5} == {6: "call [PHONE] now", 7: 'token = "[SECRET]"', 8: "GetUserNameFromTableWithIndex is a name", None: None}
     assert pii.pii_spans(docs.where("false")).isEmpty()
 
 
@@ -121,3 +126,111 @@ def test_copies_of_one_text_do_not_set_the_band(spark):
     rows = list(enumerate(clean)) + [(1000 + i, clean[0]) for i in range(600)] + [(2000, "#$%^ @!~ " * 40)]
     kept = {r["doc_id"] for r in fertility.keep_good(docs_of(spark, rows)).select("doc_id").collect()}
     assert set(range(150)) | set(range(1000, 1600)) <= kept and 2000 not in kept
+
+
+def test_likelihood_and_gradient_equal_enumeration():
+    sentences = [("mail a1@b.com x 7", [(5, 13, "EMAIL")]), ("1 2", []), ("word only", []), ("n 12 3", [(2, 6, "PHONE")])]
+    likelihood = pii.Likelihood(sentences)
+    rng = np.random.default_rng(0)
+    w = rng.normal(0, 0.3, (len(likelihood.used), len(pii.TYPES)))
+    full = np.zeros((pii.BUCKETS, len(pii.TYPES)))
+
+    def brute(w):
+        full[likelihood.used] = w
+        total = 0.0
+        for text, marks in sentences:
+            tokens = pii.tokenize(text)
+            scores, n = pii.score_spans(tokens, text, full), len(pii.tokenize(text))
+            told = {}
+            for a, b, kind in marks:
+                inside = [k for k, (_, x, y) in enumerate(tokens) if x < b and y > a]
+                told[inside[0], inside[-1] + 1] = pii.TYPES.index(kind)
+
+            def walk(at, value, true):
+                """(value, is it the true one) of all segmentations from a token on."""
+                if at == n:
+                    yield value, true
+                    return
+                for end in range(at + 1, min(n, at + pii.MAX_TOKENS) + 1):
+                    s = scores.get((at, end))
+                    inside = any(i <= at < j for i, j in told)
+                    if end == at + 1:
+                        yield from walk(end, value + (0.0 if s is None else s[0]), true and not inside)
+                    if s is not None:
+                        for y in range(1, len(pii.TYPES)):
+                            yield from walk(end, value + s[y], true and told.get((at, end)) == y)
+
+            every = list(walk(0, 0.0, True))
+            (gold,) = [v for v, t in every if t]
+            total += gold - np.logaddexp.reduce([v for v, _ in every])
+        return total / len(sentences)
+
+    value, gradient = likelihood(w)
+    assert value == pytest.approx(brute(w))
+    for f, y in [(0, 1), (5, 0), (11, 2), (len(w) - 1, 3)]:
+        up, down = w.copy(), w.copy()
+        up[f, y] += 1e-5
+        down[f, y] -= 1e-5
+        assert gradient[f, y] == pytest.approx((brute(up) - brute(down)) / 2e-5, abs=1e-6)
+
+
+def test_ranking_loss_and_gradient_equal_the_definition():
+    rng = np.random.default_rng(4)
+    doc, col, z = np.array([0, 0, 1, 2, 3, 3]), np.array([0, 1, 1, 2, 0, 2]), rng.normal(size=(4, 2))
+    a, b, w = np.array([0, 0, 2]), np.array([1, 3, 3]), rng.normal(size=5)
+
+    def loss(w):
+        score = [sum(w[c] for d, c in zip(doc, col) if d == i) + float(z[i] @ w[3:]) for i in range(4)]
+        return sum(math.log(1 + math.exp(score[j] - score[i])) for i, j in zip(a, b)) / len(a)
+
+    value, gradient = ranking.loss_and_gradient(w, doc, col, z, a, b)
+    assert value == pytest.approx(loss(w))
+    for k in range(5):
+        step = np.eye(5)[k] * 1e-6
+        assert gradient[k] == pytest.approx((loss(w + step) - loss(w - step)) / 2e-6, abs=1e-6)
+
+
+def test_cut_keeps_ties_and_repeated_documents_fit_once(spark):
+    docs = docs_of(spark, [(i, "sound reason " * 5 if i % 2 else "vile slur " * 5) for i in range(40)] + [(1, "sound reason " * 5)] * 3).withColumn("score", F.lit("mine"))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id bigint, quality int, toxic int")
+    out = ranking.rank_and_cut(docs, labels, quantile=0.6).collect()
+    assert len({r["score"] for r in out}) == 1 and len(out) == 20 + 3  # all equal scores at the cut stay, each row for itself
+    one, many = (ranking.learn(d, labels) for d in (docs.dropDuplicates(["doc_id"]), docs))
+    assert all(np.array_equal(one[k], many[k]) for k in one)
+
+
+def test_bands_equal_brute_force(spark):
+    """Medians, deviations, octaves, reasons of ``judge`` against a plain computation over distinct texts."""
+    rng = random.Random(5)
+    say = lambda n: " ".join(rng.choice(["the", "house", "stands", "near", "extraordinarily", "river", "I", "a"]) for _ in range(n))
+    rows = [(i, say(rng.choice([5, 45, 60, 90, 200]))) for i in range(160)]
+    rows += [(500 + i, rows[i][1]) for i in range(30)] + [(600, "zz qq xx " * 50), (601, "the " * 100), (602, "ߘߙߚ" * 90), (603, ""), (604, None)]
+    got = {r["doc_id"]: r["reason"] for r in fertility.judge(docs_of(spark, rows)).collect()}
+    measured = dict(zip((i for i, _ in rows), zip(*fertility.measure([t for _, t in rows], FILES))))
+    step = lambda x: round(x / fertility.STEP)
+    distinct = {t: measured[i] for i, t in rows if measured[i][0] >= fertility.MIN_TOKENS}
+
+    def band(values):
+        median = lambda v: sorted(v)[(len(v) + 1) // 2 - 1]
+        mid = median(values)
+        return mid, median([abs(v - mid) for v in values])
+
+    def limits(texts, k):
+        mid, mad = band([step(m[1 + k]) for m in texts])
+        half = max(fertility.WIDTH * mad, list(fertility.FLOOR.values())[k] / fertility.STEP)
+        return mid - half, mid + half
+
+    for i, m in measured.items():
+        near = [x for x in distinct.values() if int(math.log2(x[0])) == int(math.log2(max(1, m[0])))]
+        texts = near if len(near) >= fertility.MIN_GROUP else list(distinct.values())
+        want = None
+        if m[0] == 0:
+            want = "empty"
+        elif step(m[2]) > max(limits(texts, 1)[1], fertility.FLOOR["byte_share"] / fertility.STEP):
+            want = "byte_share"
+        elif m[0] >= fertility.MIN_TOKENS and not limits(texts, 0)[0] <= step(m[1]) <= limits(texts, 0)[1]:
+            want = "chars_per_token"
+        elif m[0] >= fertility.MIN_TOKENS and step(m[3]) < limits(texts, 2)[0]:
+            want = "token_entropy"
+        assert got[i] == want, i
+    assert len(set(got.values())) >= 4
