@@ -10,10 +10,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm import fertility, pii, ranking
 
-from .helpers import EDGES, docs_of, prose
-
-
-FILES = fertility.read_vocabularies()
+from .helpers import EDGES, FILES, brute_reasons, docs_of, prose
 
 
 def test_measures_are_what_they_say():
@@ -206,31 +203,5 @@ def test_bands_equal_brute_force(spark):
     rows = [(i, say(rng.choice([5, 45, 60, 90, 200]))) for i in range(160)]
     rows += [(500 + i, rows[i][1]) for i in range(30)] + [(600, "zz qq xx " * 50), (601, "the " * 100), (602, "ߘߙߚ" * 90), (603, ""), (604, None)]
     got = {r["doc_id"]: r["reason"] for r in fertility.judge(docs_of(spark, rows)).collect()}
-    measured = dict(zip((i for i, _ in rows), zip(*fertility.measure([t for _, t in rows], FILES))))
-    step = lambda x: round(x / fertility.STEP)
-    distinct = {t: measured[i] for i, t in rows if measured[i][0] >= fertility.MIN_TOKENS}
-
-    def band(values):
-        median = lambda v: sorted(v)[(len(v) + 1) // 2 - 1]
-        mid = median(values)
-        return mid, median([abs(v - mid) for v in values])
-
-    def limits(texts, k):
-        mid, mad = band([step(m[1 + k]) for m in texts])
-        half = max(fertility.WIDTH * mad, list(fertility.FLOOR.values())[k] / fertility.STEP)
-        return mid - half, mid + half
-
-    for i, m in measured.items():
-        near = [x for x in distinct.values() if int(math.log2(x[0])) == int(math.log2(max(1, m[0])))]
-        texts = near if len(near) >= fertility.MIN_GROUP else list(distinct.values())
-        want = None
-        if m[0] == 0:
-            want = "empty"
-        elif step(m[2]) > max(limits(texts, 1)[1], fertility.FLOOR["byte_share"] / fertility.STEP):
-            want = "byte_share"
-        elif m[0] >= fertility.MIN_TOKENS and not limits(texts, 0)[0] <= step(m[1]) <= limits(texts, 0)[1]:
-            want = "chars_per_token"
-        elif m[0] >= fertility.MIN_TOKENS and step(m[3]) < limits(texts, 2)[0]:
-            want = "token_entropy"
-        assert got[i] == want, i
+    assert got == brute_reasons([(i, t, "en") for i, t in rows])
     assert len(set(got.values())) >= 4
