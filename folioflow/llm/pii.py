@@ -38,8 +38,19 @@ MAX_TOKENS, BUCKETS, CONTEXT = 8, 1 << 12, 2
 TYPES = ("OUT", "EMAIL", "PHONE", "IP", "CARD", "SECRET", "NATIONAL_ID")
 TOKEN = re.compile(r"\w+(?:[.@%+\-]+\w+)*|[^\w\s]")
 LONG = 20
-TRIGGER = re.compile(rf"[0-9@]|(?=[A-Za-z]*[a-z])(?=(?:[a-z]*[A-Z]){{3}})[A-Za-z]{{{LONG},}}")
-_CHUNK = re.compile(rf"\S*[0-9@]\S*|\S*(?=(?:[a-z]*[A-Z]){{3}})[A-Za-z]{{{LONG},}}\S*")
+_HOT = re.compile(rf"[0-9@]|[A-Za-z]{{{LONG},}}")
+_MIXED = re.compile(r"(?:[a-z]*[A-Z]){3}")
+
+
+def _is_trigger(found: str) -> bool:
+    """Of what ``_HOT`` finds, a run of letters counts if three are capitals and some are not."""
+    return len(found) == 1 or (_MIXED.match(found) is not None and not found.isupper())
+
+
+def triggers(text: str, start: int = 0, end: int = sys.maxsize) -> Iterator[tuple[int, int]]:
+    return ((m.start(), m.end()) for m in _HOT.finditer(text, start, end) if _is_trigger(m.group()))
+
+
 #: The same for the JVM, which only has to let through all texts that may hold one.
 MAY_HOLD = rf"[\p{{Nd}}@]|[A-Za-z]{{{LONG},}}"
 _OTHER_DIGIT = re.compile(r"[^\D0-9]")
@@ -113,7 +124,7 @@ def tokenize(text: str) -> list[tuple[str, int, int]]:
 
 def _spans(tokens: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
     """Candidate spans: within the bound, holding a digit or an @, not ending in an opening mark or starting in a closing one."""
-    hot = [bool(TRIGGER.search(t)) for t, _, _ in tokens]
+    hot = [next(triggers(t), None) is not None for t, _, _ in tokens]
     out = []
     for j in range(1, len(tokens) + 1):
         seen = False
@@ -266,37 +277,40 @@ def regions(text: str) -> Iterator[tuple[int, int]]:
     A region begins and ends between tokens.
     """
     room = MAX_TOKENS + CONTEXT
+
+    def widened(b: int) -> int:
+        """The end of the last word that a span or context from b on can reach; each word is a token at least."""
+        for _ in range(room):
+            while b < len(text) and text[b].isspace():
+                b += 1
+            while b < len(text) and not text[b].isspace():
+                b += 1
+        return b
+
     start = end = -1
-    for m in _CHUNK.finditer(text):
-        a, b = m.span()
+    for a, b in triggers(text):
         if a < end:
             continue
-        for _ in range(room):  # each step passes at least one token: a run of other characters than white space
+        while a > 0 and not text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and not text[b].isspace():
+            b += 1
+        for _ in range(room):
             while a > 0 and text[a - 1].isspace():
                 a -= 1
             while a > 0 and not text[a - 1].isspace():
                 a -= 1
-        for _ in range(room):
-            while b < len(text) and text[b].isspace():
-                b += 1
-            while b < len(text) and not text[b].isspace():
-                b += 1
-        if a <= end:
-            end = max(end, b)
-        else:
+        if a > end:
             if start >= 0:
                 yield start, end
-            start, end = a, b
+            start = a
         # what the region holds is decoded with it; a trigger near its end must widen it
-        while (n := _CHUNK.search(text, m.end(), end)) is not None:
-            m = n
-            b = n.end()
-            for _ in range(room):
-                while b < len(text) and text[b].isspace():
-                    b += 1
-                while b < len(text) and not text[b].isspace():
-                    b += 1
-            end = max(end, b)
+        seen, end = b, max(end, widened(b))
+        while (n := next(triggers(text, seen, end), None)) is not None:
+            seen = n[1]
+            while seen < len(text) and not text[seen].isspace():
+                seen += 1
+            end = max(end, widened(seen))
     if start >= 0:
         yield start, end
 
