@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .names import with_free_names
 
 MOST_RELATED, BUNDLE_VERSION = 12, "0.1"
 FRONT = ("type", "title", "description", "resource", "tags", "timestamp", "dewey_code", "dewey_label", "source_filename", "classification_confidence", "issuer", "series", "series_key", "period")
@@ -55,8 +56,7 @@ def render(format: str, citation: Column | None = None) -> Column:
 def concepts(sources: DataFrame) -> DataFrame:
     """Each source with its directory, unique path, title, description, kind and front-matter fields.
 
-    Equal stems of a directory are numbered in id order. A number that meets another stem's natural name is resolved by numbering
-    the names once more.
+    Equal stems of a directory are numbered in id order, past every number that another document's own name has.
     """
     code = F.coalesce(X.blank_to_null(X.strip(F.col("code"))), F.lit("000"))
     label = F.coalesce(X.blank_to_null(X.strip(F.col("label"))), X.label_for(F.col("code")), F.lit("General"))
@@ -66,9 +66,7 @@ def concepts(sources: DataFrame) -> DataFrame:
     one = one.withColumn("named", named).withColumn("parts", parts).withColumn("directory", F.array_join("parts", "/"))
     stem = F.coalesce(X.blank_to_null(F.col("title")), X.stem(F.col("filename")))
     one = one.withColumns({"title": F.coalesce(X.blank_to_null(stem), F.lit("Untitled")), "name": X.slug(stem, "document")})
-    for _ in range(2):
-        n = F.row_number().over(Window.partitionBy("directory", "name").orderBy("document_id"))
-        one = one.withColumn("name", F.when(n == 1, F.col("name")).otherwise(F.concat_ws("-", "name", n.cast("string"))))
+    one = with_free_names(one, ["directory"], "name", "document_id")
     return one.withColumns({"path": F.concat(F.col("directory"), F.lit("/"), F.col("name"), F.lit(".md")), "description": F.coalesce(X.blank_to_null(F.col("description")), X.first_sentence(F.col("summary"))), "type": X.concept_kind(F.col("filename")), "resource": F.concat(F.lit("urn:folioflow:doc:"), F.col("document_id").cast("string")), "timestamp": F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")}).drop("levels")
 
 

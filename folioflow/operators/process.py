@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..session import spread
 
 _BREAK = re.compile(r"(?<=[!?.])\s+|\n(?:\n+|(?=\#{1,6}\s))")
 CHUNKS = "array<struct<ordinal:int,text:string,start_char:int,end_char:int>>"
@@ -175,7 +176,7 @@ def assemble(cleaned: DataFrame, key: str = "document_id") -> DataFrame:
 
 def process(docs: DataFrame, policy: ChunkPolicy = ChunkPolicy(), key: str = "document_id", cache: DataFrame | None = None, **how) -> DataFrame:
     """Processed documents: text, warnings, chunk counts, code, label, summary. With a cache only misses are cleaned."""
-    chunked = chunks(docs, policy, key)
+    chunked = chunks(spread(docs.select(key, "text")), policy, key)
     if cache is None:
         cleaned = clean(chunked, key=key, **how)
     else:

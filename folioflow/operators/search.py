@@ -9,12 +9,20 @@ the inverse document frequency compute it: lower is better.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..session import spread
 
 K1, B, MOST_CHARS = 1.2, 0.75, 4096
 TOKEN = r"[\p{L}\p{N}]+"
@@ -89,30 +97,56 @@ def terms_of(tree) -> list[str]:
     return sorted({t for leaf in leaves(tree) for t in leaf.tokens})
 
 
+def _stats(sizes: DataFrame) -> DataFrame:
+    """One row: texts and mean tokens."""
+    return sizes.agg(F.count(F.lit(1)).alias("N"), F.avg("n_tokens").alias("avgdl"))
+
+
+def _term_lists(batches: Iterator[pa.RecordBatch], only: list[str] | None) -> Iterator[pa.RecordBatch]:
+    """(key.., term, positions) of texts (key.., tokens): the tokens of a text are in one row, so its postings are made there, without a shuffle and without a loop over tokens."""
+    wanted = None if only is None else pa.array(only, pa.string())
+    for batch in batches:
+        lists = batch.column(batch.num_columns - 1)
+        sizes = np.asarray(lists.value_lengths())
+        row, flat = np.repeat(np.arange(len(sizes)), sizes), lists.flatten()
+        position = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        if wanted is not None:
+            hit = np.asarray(pc.is_in(flat, wanted))
+            row, position, flat = row[hit], position[hit], flat.filter(pa.array(hit))
+        words = flat.dictionary_encode()
+        code = np.asarray(words.indices, np.int64)
+        order = np.lexsort((position, code, row))
+        row, code, position = row[order], code[order], position[order]
+        first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])])[: len(row)])
+        positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(position.astype(np.int32)))
+        keys = [c.take(pa.array(row[first])) for c in batch.columns[:-1]]
+        yield pa.RecordBatch.from_arrays([*keys, words.dictionary.take(pa.array(code[first])), positions], names=[*batch.schema.names[:-1], "term", "positions"])
+
+
 class Index:
-    """``postings``: key, term, positions; ``sizes``: key, n_tokens. ``key`` are the columns that name an indexed text."""
+    """``postings``: key, term, positions; ``sizes``: key, n_tokens. ``key`` are the columns that name an indexed text; they should name one row, postings of a repeated key are taken together."""
 
-    def __init__(self, postings: DataFrame, sizes: DataFrame, key: list[str]):
-        self.postings, self.sizes, self.key = postings, sizes, key
+    def __init__(self, postings: DataFrame, sizes: DataFrame, key: list[str], stats: DataFrame | None = None):
+        self.postings, self.sizes, self.key, self.stats = postings, sizes, key, stats
 
     @classmethod
     def build(cls, texts: DataFrame, key: list[str], text: str = "text", only: list[str] | None = None) -> Index:
-        """Index ``texts``. With ``only``, just the postings of these terms are made: one scan, nothing else is shuffled."""
-        split = texts.select(*key, tokens_of(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-        found = split.where(F.arrays_overlap("tokens", F.array(*map(F.lit, only)))) if only else split
-        one = found.select(*key, F.posexplode("tokens").alias("pos", "term"))
-        if only:
-            one = one.where(F.col("term").isin(*only))
-        return cls(one.groupBy(*key, "term").agg(F.sort_array(F.collect_list("pos")).alias("positions")), split.select(*key, F.size("tokens").alias("n_tokens")), key)
+        """Index ``texts``: one scan, no shuffle. With ``only``, just the postings of these terms are made."""
+        split = spread(texts.select(*key, text)).select(*key, tokens_of(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
+        schema = T.StructType([*split.select(*key).schema.fields, T.StructField("term", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
+        return cls(split.mapInArrow(lambda batches: _term_lists(batches, only), schema), split.select(*key, F.size("tokens").alias("n_tokens")), key)
 
     def write(self, path: str, buckets: int = 64) -> None:
-        """Postings sorted by term within hash partitions, so that a search reads few row groups."""
+        """The one shuffle: postings by term, sorted within hash partitions, so that a search reads few row groups. The size of the index is written beside them."""
         self.postings.repartition(buckets, "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
         self.sizes.write.mode("overwrite").parquet(f"{path}/sizes")
+        spark = self.postings.sparkSession
+        _stats(spark.read.parquet(f"{path}/sizes")).coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
     @classmethod
     def read(cls, spark, path: str, key: list[str]) -> Index:
-        return cls(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/sizes"), key)
+        read = lambda name: spark.read.parquet(f"{path}/{name}")
+        return cls(read("postings"), read("sizes"), key, read("stats"))
 
     def updated(self, texts: DataFrame, text: str = "text") -> Index:
         """The index after ``texts`` were indexed anew: their old rows are replaced."""
@@ -127,7 +161,7 @@ class Index:
     def matches(self, tree) -> DataFrame:
         """key, f_0.. (occurrences of each leaf) of the texts that satisfy the tree."""
         terms = terms_of(tree)
-        at = self.postings.where(F.col("term").isin(*terms)).groupBy(*self.key).agg(*(F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"_p{i}") for i, t in enumerate(terms)))
+        at = self.postings.where(F.col("term").isin(*terms)).groupBy(*self.key).agg(*(F.flatten(F.collect_list(F.when(F.col("term") == t, F.col("positions")))).alias(f"_p{i}") for i, t in enumerate(terms)))
         place = {t: F.coalesce(F.col(f"_p{i}"), F.array().cast("array<int>")) for i, t in enumerate(terms)}
 
         def count(leaf: Leaf) -> Column:
@@ -153,7 +187,7 @@ class Index:
         """key, score of the matching texts. Document frequencies count all indexed texts, the matching ones or not."""
         counted, every = self.matches(tree), leaves(tree)
         frequency = counted.agg(*(F.coalesce(F.count_if(F.col(f"f_{i}") > 0), F.lit(0)).alias(f"n_{i}") for i in range(len(every))))
-        corpus = self.sizes.agg(F.count(F.lit(1)).alias("N"), F.avg("n_tokens").alias("avgdl"))
+        corpus = _stats(self.sizes) if self.stats is None else self.stats
         stats = F.broadcast(frequency.crossJoin(corpus))  # one row
         joined = counted.where("_hit").join(self.sizes, self.key).crossJoin(stats)
         score = F.lit(0.0)
@@ -279,18 +313,71 @@ def quote_of_query(query: str) -> str:
     return max(re.findall(r'"([^"]+)"', query), key=len, default=query)
 
 
+#: Characters of quotes that one pass looks for at once, at about 100 bytes of automaton each; and passes before the join on token triples is used.
+PASS_CHARS, PASSES = 1_000_000, 8
+
+
+def _quote_passes(quotes: DataFrame, quote_key: str) -> Iterator[list[tuple]]:
+    part, n = [], 0
+    for key, quote in quotes.select(quote_key, "_quote").distinct().toLocalIterator():
+        part.append((key, quote))
+        n += len(quote)
+        if n >= PASS_CHARS:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
+
+
+def _scan_for(docs: DataFrame, quotes: DataFrame, key: str, quote_key: str) -> DataFrame:
+    """Every text is read once a pass by one automaton over all quotes of the pass; texts don't move."""
+    fields = [quotes.schema[quote_key], docs.schema[key]]
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in fields), T.StructField("at", T.IntegerType())])
+    out = docs.sparkSession.createDataFrame([], schema)
+    for part in _quote_passes(quotes, quote_key):
+        shared = docs.sparkSession.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+
+            found_by: dict[str, list] = {}
+            for k, quote in shared.value:
+                found_by.setdefault(quote, []).append(k)
+            automaton = ahocorasick.Automaton()
+            for quote in found_by:
+                automaton.add_word(quote, quote)
+            automaton.make_automaton()
+            for batch in batches:
+                rows = []
+                for i, text in enumerate(batch.column(1).to_pylist()):
+                    first: dict[str, int] = {}
+                    for end, quote in automaton.iter(text or ""):
+                        first.setdefault(quote, end - len(quote) + 2)
+                    rows += [(k, i, at) for quote, at in first.items() for k in found_by[quote]]
+                ids, at = batch.column(0).take(pa.array([i for _, i, _ in rows], pa.int32())), pa.array([a for _, _, a in rows], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in rows]), ids, at], names=[quote_key, key, "at"]) if rows else pa.RecordBatch.from_pylist([], schema=to_arrow_schema(schema))
+
+        out = out.unionByName(docs.select(key, F.lower("text").alias("text")).mapInArrow(run, schema))
+    return out
+
+
 def quotes_in(docs: DataFrame, quotes: DataFrame, key: str, quote_key: str) -> DataFrame:
-    """(quote_key, key, at): where ``quotes`` stand verbatim in ``docs``, case aside. Empty quotes stand nowhere.
+    """(quote_key, key, at): where ``quotes`` stand verbatim in ``docs``, case aside. Empty quotes stand nowhere; ``at`` is the first place, from 1.
 
-    Tokens inside a quote are whole tokens of a text that holds it, so three of them in a row are an equi-join key and only
-    candidates are compared. Quotes of fewer than five tokens have no such key; they are compared with every text.
+    Up to ``PASSES`` passes of ``PASS_CHARS`` characters of quotes are found by scanning. Beyond, quotes of five or more tokens are found by a join:
+    tokens inside a quote are whole tokens of a text that holds it, so three of them in a row are an equi-join key and only
+    candidates are compared; shorter quotes have no such key and are scanned for.
     """
     q = quotes.where(F.length("text") > 0).select(quote_key, F.lower("text").alias("_quote"), tokens_of(F.col("text")).alias("_t"))
+    total = q.agg(F.coalesce(F.sum(F.length("_quote")), F.lit(0))).first()[0]
+    if total <= PASSES * PASS_CHARS:
+        return _scan_for(docs, q, key, quote_key).distinct()
     d = docs.select(key, F.lower("text").alias("_text"))
     gram = lambda t, i: F.xxhash64(F.get(t, i), F.get(t, i + 1), F.get(t, i + 2))
     grams = F.when(F.size("_w") >= 3, F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: gram(F.col("_w"), i))).otherwise(F.array().cast("array<bigint>"))
     keyed = d.withColumn("_w", tokens_of(F.col("_text"))).select(key, F.explode(F.array_distinct(grams)).alias("_gram"))
     long = q.where(F.size("_t") >= 5).select(quote_key, "_quote", gram(F.col("_t"), F.lit(1)).alias("_gram"))
-    pairs = keyed.join(long, "_gram").select(key, quote_key, "_quote").join(d, key)
-    short = d.crossJoin(q.where(F.size("_t") < 5).select(quote_key, "_quote")).select(key, quote_key, "_quote", "_text")
-    return pairs.select(short.columns).unionByName(short).where(F.contains("_text", "_quote")).select(quote_key, key, F.position("_quote", "_text").alias("at")).distinct()
+    # candidates first, so that only texts that have one are joined again
+    pairs = keyed.join(long, "_gram").select(key, quote_key, "_quote").distinct().join(d, key)
+    found = pairs.where(F.contains("_text", "_quote")).select(quote_key, key, F.position("_quote", "_text").alias("at"))
+    return found.unionByName(_scan_for(docs, q.where(F.size("_t") < 5), key, quote_key)).distinct()

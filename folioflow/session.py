@@ -9,7 +9,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent
 
@@ -40,3 +40,14 @@ def shared_dir(spark: SparkSession) -> str:
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", own)
     return own
+
+
+#: Input below this size for each core is spread over the cores before work that is heavy for its size.
+SMALL_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its input is small, by the optimizer's size of it. Large input has tasks enough and is never shuffled for this."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(str(size)) < cores * SMALL_BYTES else df

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import transcripts
+from ..operators import names, transcripts
 
 TEXT, CAPTIONS, PAGES = ("txt", "md", "csv"), ("srt", "vtt"), ("html", "htm", "xml")
 SUPPORTED = (*TEXT, "json", *CAPTIONS, *PAGES)
@@ -40,49 +40,105 @@ def has_nul(content: Column) -> Column:
     return F.instr(F.decode(F.substring(content, 1, 4096), "ISO-8859-1"), "\x00") > 0
 
 
-def discover(spark: SparkSession, folder: str, recursive: bool = True, excluded: tuple[str, ...] = (), supported: tuple[str, ...] = SUPPORTED) -> DataFrame:
-    """(source_path, length, modified_at, content) of supported files that are no generated sidecars, ordered by nothing; ``content`` is only read if used."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    files = files.select(F.col("path").alias("source_path"), "length", F.col("modificationTime").alias("modified_at"), "content").where(extension(F.col("path")).isin(*supported))
-    for root in excluded:
-        files = files.where(~F.col("source_path").contains(root.rstrip("/") + "/"))
-    sidecar = (extension(F.col("source_path")) == "json") & F.decode(F.substring("content", 1, 65536), "UTF-8").rlike(r'"artifact_type"\s*:\s*"(?:conversion-sidecar|import-manifest|import-report|page-manifest)"')
-    return files.where(~sidecar)
+MARK = "folioflow"
+ARTIFACTS = ("conversion-sidecar", "import-manifest", "import-report", "pdf-page-extraction-manifest")
+#: Sidecars are told by this much of a JSON file.
+SIDECAR_BYTES = 65_536
 
 
-def extract(files: DataFrame, most_bytes: int = 50 << 20, others: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
-    """``files`` with text, status (converted or failed) and error. ``others`` maps more extensions to extractors, run in Arrow batches."""
+def any_case(extensions: tuple[str, ...]) -> str:
+    """A path pattern for files of these extensions in any case, which the listing applies before a file is opened."""
+    return "*.{" + ",".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions) + "}"
+
+
+def local_path(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def is_under(path: Column, roots: tuple[str, ...]) -> Column:
+    """Is the path one of the roots or below one?"""
+    out = F.lit(False)
+    for root in roots:
+        out |= (local_path(path) == root.rstrip("/")) | F.startswith(local_path(path), F.lit(root.rstrip("/") + "/"))
+    return out
+
+
+def is_artifact(content: Column) -> Column:
+    """Is this JSON one of the files written here beside converted ones? Files beyond ``SIDECAR_BYTES`` are told by their beginning."""
+    head = F.decode(F.substring(content, 1, SIDECAR_BYTES), "ISO-8859-1")
+    kind = "|".join(ARTIFACTS)
+    return head.rlike(rf'"generated_by"\s*:\s*"{MARK}"') & head.rlike(rf'"artifact_type"\s*:\s*"(?:{kind})"')
+
+
+def discover(spark: SparkSession, folder: str, recursive: bool = True, excluded: tuple[str, ...] = (), supported: tuple[str, ...] = SUPPORTED, allowed_root: str | None = None, ordered: bool = False) -> DataFrame:
+    """(source_path, length, modified_at, content) of supported files.
+
+    Generated JSON files are left out, and so are files that have one beside them (they were written here), files below ``excluded`` and
+    files outside ``allowed_root``. Only JSON files are read for this, the others' content only if the caller uses it. ``ordered`` sorts by lower-cased path below the folder.
+    """
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+
+    def listed(extensions: tuple[str, ...]) -> DataFrame:
+        files = reader.option("pathGlobFilter", any_case(extensions)).load(folder)
+        return files.select(F.col("path").alias("source_path"), "length", F.col("modificationTime").alias("modified_at"), "content")
+
+    sidecars = listed(("json",)).where(is_artifact(F.col("content"))).select(F.regexp_replace("source_path", r"\.[jJ][sS][oO][nN]$", "").alias("source_path"))
+    rest = tuple(e for e in supported if e != "json")
+    files = listed(rest) if rest else None
+    if "json" in supported:
+        own = listed(("json",)).where(~is_artifact(F.col("content")))
+        files = own if files is None else files.unionByName(own)
+    files = files.where(~is_under(F.col("source_path"), tuple(excluded))).join(sidecars, "source_path", "left_anti")
+    if allowed_root:
+        files = files.where(is_under(F.col("source_path"), (allowed_root,)))
+    return files.orderBy(F.lower("source_path"), "source_path") if ordered else files
+
+
+def extract(files: DataFrame, most_bytes: int = 50 << 20, others: dict[str, Callable[[bytes], str]] | None = None, fallback: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+    """``files`` with text, status (converted or failed) and error. ``others`` maps more extensions to extractors, run in Arrow batches; where one fails, that of ``fallback`` is tried.
+
+    A file never fails the job: bytes that are no UTF-8, another kind, an archive, a NUL byte, too many bytes or no text each give an error. Only the files of a kind that
+    needs Python are sent to it.
+    """
     kind, content = extension(F.col("source_path")), F.col("content")
-    raw = F.decode(content, "UTF-8")
+    known = (*SUPPORTED, *(others or ()))
+    decoded = F.try_validate_utf8(content.cast("string"))
+    error = F.when(~kind.isin(*known), F.concat(F.lit("unsupported file extension: "), kind)).when(content.isNull(), "file cannot be read").when(F.length(content) > most_bytes, "file exceeds the configured limit")
+    error = error.when(kind.isin(*SUPPORTED) & archive_label(content).isNotNull(), F.concat(F.lit("archive inputs are not supported: "), archive_label(content))).when(kind.isin(*SUPPORTED) & has_nul(content), "file is binary").when(kind.isin(*SUPPORTED) & decoded.isNull(), "file is not valid UTF-8")
+    checked = files.withColumn("_error", error).withColumn("_kind", F.when(F.col("_error").isNull(), kind))
+    raw, kind = decoded, F.col("_kind")
 
     @F.pandas_udf("string")
     def pretty(texts: pd.Series) -> pd.Series:
-        def one(t: str | None) -> str | None:
+        def one(t: str) -> str:
             try:
                 return json.dumps(json.loads(t), indent=2, ensure_ascii=False)
-            except (TypeError, ValueError):
-                return None
+            except ValueError:
+                return t  # kept as it is
 
-        return texts.map(one)
+        return texts.map(one, na_action="ignore")
 
-    text = F.when(kind.isin(*TEXT), raw).when(kind == "json", pretty(raw)).when(kind.isin(*CAPTIONS), F.nullif(transcripts.render_column(transcripts.parse_column(raw, merged=True), "md"), F.lit(""))).when(kind.isin(*PAGES), X.html_to_text(raw))
+    of = lambda kinds: F.when(kind.isin(*kinds), raw)
+    captions = F.nullif(transcripts.render_column(transcripts.parse_column(of(CAPTIONS), merged=True), "md"), F.lit(""))
+    text = F.when(kind.isin(*TEXT), raw).when(kind == "json", pretty(of(("json",)))).when(kind.isin(*CAPTIONS), captions).when(kind.isin(*PAGES), X.html_to_text(raw))
     if others:
 
         @F.pandas_udf("string")
         def custom(contents: pd.Series, kinds: pd.Series) -> pd.Series:
             def one(c: bytes, k: str) -> str | None:
-                try:
-                    return others[k](c)
-                except Exception as e:  # one file must not fail the job
-                    return f"\x00{e}"
-
-            return pd.Series([one(c, k) if k in others else None for c, k in zip(contents, kinds)])
-
-        text = text.when(kind.isin(*others), custom(content, kind))
-    known = (*SUPPORTED, *(others or ()))
-    error = F.when(~kind.isin(*known), F.concat(F.lit("unsupported file extension: "), kind)).when(F.length(content) > most_bytes, "file exceeds the configured limit").when(kind.isin(*SUPPORTED) & archive_label(content).isNotNull(), F.concat(F.lit("archive inputs are not supported: "), archive_label(content))).when(kind.isin(*SUPPORTED) & has_nul(content), "file is binary")
-    out = files.withColumn("_error", error).withColumn("text", F.when(F.col("_error").isNull(), text))
-    out = out.withColumn("error", F.coalesce("_error", F.when(F.startswith("text", F.lit("\x00")), F.substring("text", 2, 1000)), F.when(F.col("text").isNull() | (X.strip(F.col("text")) == ""), "no extractable text"))).drop("_error")
+                for extractors in (others, fallback or {}):
+                    if k in extractors:
+                        try:
+                            return extractors[k](c)
+                        except Exception as e:  # one file must not fail the job
+                            failed = f"\x00{e}"
+                return failed
+
+            return pd.Series([one(c, k) if k in others else None for c, k in zip(contents, kinds)], dtype=object)
+
+        text = text.when(kind.isin(*others), custom(F.when(kind.isin(*others), content), kind))
+    out = checked.withColumn("text", text)
+    out = out.withColumn("error", F.coalesce("_error", F.when(F.startswith("text", F.lit("\x00")), F.substring("text", 2, 1000)), F.when(F.col("text").isNull() | (X.strip(F.col("text")) == ""), "no extractable text"))).drop("_error", "_kind")
     return out.withColumns({"text": F.when(F.col("error").isNull(), F.col("text")), "status": F.when(F.col("error").isNull(), "converted").otherwise("failed"), "failure": F.when(F.col("error").isNotNull(), X.conversion_failure(F.col("error")))})
 
 
@@ -140,11 +196,17 @@ def output_path(source: Column, source_dir: str, format: str, mode: str, target:
     return {"original": named, "subdirectory": F.concat(F.lit(f"{base}/{subdirectory}/"), below), "new-directory": F.concat(F.lit(f"{(target or '').rstrip('/')}/"), below)}[mode]
 
 
-def unique_paths(df: DataFrame, column: str, order: str) -> DataFrame:
-    """Equal paths numbered -2, -3, .. before the extension."""
-    n = F.row_number().over(Window.partitionBy(column).orderBy(order))
-    parts = F.regexp_extract(column, r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract(column, r"(\.[^./]*)$", 1)
-    return df.withColumn("_n", n).withColumn(column, F.when(F.col("_n") == 1, F.col(column)).otherwise(F.concat(parts[0], F.lit("-"), F.col("_n").cast("string"), parts[1]))).drop("_n")
+def unique_paths(df: DataFrame, column: str, order: str, existing: DataFrame | None = None) -> DataFrame:
+    """Paths that meet no other row's and none of ``existing`` (a column of the same name): -2, -3, .. before the extension."""
+    stem, ending = F.regexp_extract(column, r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract(column, r"(\.[^./]*)$", 1)
+    parts = lambda d: d.withColumns({"_stem": stem, "_ending": ending})
+    named = names.with_free_names(parts(df), ["_ending"], "_stem", order, None if existing is None else parts(existing.select(column)))
+    return named.withColumn(column, F.concat("_stem", "_ending")).drop("_stem", "_ending")
+
+
+def existing_paths(spark: SparkSession, folder: str, column: str = "path") -> DataFrame:
+    """The files below a folder, by listing alone."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select(local_path(F.col("path")).alias(column))
 
 
 def render_conversion(text: Column, source: Column, format: str) -> Column:

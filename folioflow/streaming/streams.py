@@ -21,7 +21,7 @@ def event_tail(spark: SparkSession, path: str, schema, run_id=None) -> DataFrame
 def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Everything there is, in micro-batches, then stop: a finite poll that resumes where it ended.
 
-    Batches without data are off: a processing-time timeout would ask for them for ever.
+    Batches without data are off: a timeout would ask for them for ever.
     """
     conf, key = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
     before = conf.get(key)
@@ -58,24 +58,52 @@ def _allow(times: list[float], limit: int, start: float | None, used: int, secon
     return out, start, used
 
 
+def _folded(df: DataFrame, key: str, order: list[str], fold: Callable[[pd.DataFrame, dict], pd.DataFrame], finish: Callable[[object, dict], pd.DataFrame] | None, schema: str) -> DataFrame:
+    """Rows of a key in order, a batch at a time with what was carried over from the batch before.
+
+    Partitions are sorted, which spills; no key's rows are gathered, so a key may hold any share of them.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, {}
+        for frame in frames:
+            # runs of equal keys; a null key is a key
+            values = frame[key].astype(object).where(frame[key].notna(), None).tolist()
+            starts = [i for i, v in enumerate(values) if i == 0 or v != values[i - 1]]
+            for a, b in zip(starts, [*starts[1:], len(values)]):
+                if last != (values[a],):
+                    if last is not None and finish is not None:
+                        yield finish(last[0], state)
+                    last, state = (values[a],), {}
+                done = fold(frame.iloc[a:b], state)
+                if done is not None:
+                    yield done
+        if last is not None and finish is not None:
+            yield finish(last[0], state)
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
 def rate_limit(requests: DataFrame, identity: str, at: str, order: str, limit: int) -> DataFrame:
     """(identity, order, allowed, retry_after) of each request: windows of a minute that begin with the identity's first request.
 
-    One shuffle on the identity; within one, the requests are folded in order.
+    One shuffle on the identity; within one, the requests are folded in order, without being gathered.
     """
     kinds = {f.name: f.dataType.simpleString() for f in requests.schema.fields}
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_t", order])
-        verdicts, _, _ = _allow(pdf["_t"].tolist(), limit, None, 0)
-        return pd.DataFrame({identity: pdf[identity], order: pdf[order], "allowed": [a for a, _ in verdicts], "retry_after": [r for _, r in verdicts]})
+    def fold(pdf: pd.DataFrame, state: dict) -> pd.DataFrame:
+        verdicts, state["start"], state["used"] = _allow(pdf["_t"].tolist(), limit, state.get("start"), state.get("used", 0))
+        return pd.DataFrame({identity: pdf[identity].to_numpy(), order: pdf[order].to_numpy(), "allowed": [a for a, _ in verdicts], "retry_after": [r for _, r in verdicts]})
 
     timed = requests.select(identity, order, (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("_t"))
-    return timed.groupBy(identity).applyInPandas(fold, f"{identity} {kinds[identity]}, {order} {kinds[order]}, allowed boolean, retry_after int")
+    return _folded(timed, identity, ["_t", order], fold, None, f"{identity} {kinds[identity]}, {order} {kinds[order]}, allowed boolean, retry_after int")
 
 
-def rate_limit_stream(requests: DataFrame, identity: str, at: str, order: str, limit: int) -> DataFrame:
-    """The same on a stream; an identity's state is dropped a window after it was last used."""
+def rate_limit_stream(requests: DataFrame, identity: str, at: str, order: str, limit: int, late: str = "1 minute") -> DataFrame:
+    """The same on a stream: an identity's state is dropped when the watermark of the requests' own time is past its window, so a replay or a backlog gives the verdicts of the batch.
+
+    Requests later than ``late`` behind the latest one seen may be dropped.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in requests.schema.fields}
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -86,11 +114,12 @@ def rate_limit_stream(requests: DataFrame, identity: str, at: str, order: str, l
         start, used = state.get if state.exists else (None, 0)
         verdicts, start, used = _allow(rows["_t"].tolist(), limit, start, used)
         state.update((start, used))
-        state.setTimeoutDuration(int(WINDOW_SECONDS * 1000))
+        if start is not None:
+            state.setTimeoutTimestamp(max(int((start + WINDOW_SECONDS) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({identity: rows[identity], order: rows[order], "allowed": [a for a, _ in verdicts], "retry_after": [r for _, r in verdicts]})
 
-    timed = requests.select(identity, order, (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("_t"))
-    return timed.groupBy(identity).applyInPandasWithState(step, f"{identity} {kinds[identity]}, {order} {kinds[order]}, allowed boolean, retry_after int", "start double, used int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = requests.select(identity, order, F.col(at).cast("timestamp").alias("_at"), (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("_t")).withWatermark("_at", late)
+    return timed.groupBy(identity).applyInPandasWithState(step, f"{identity} {kinds[identity]}, {order} {kinds[order]}, allowed boolean, retry_after int", "start double, used int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 TRANSITIONS = {"enqueue": "queued", "claim": "running", "complete": "succeeded", "cancel": "canceled"}
@@ -121,12 +150,14 @@ def queue_states(commands: DataFrame, most_attempts: int = 3) -> DataFrame:
     """The last state of every run after all its commands (run_id, seq, command, worker, error)."""
     kind = commands.schema["run_id"].dataType.simpleString()
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("seq").astype(object).where(lambda x: x.notna(), None).to_dict("records")
-        s = apply_commands({"status": None, "attempts": 0, "locked_by": None, "last_error": None}, rows, most_attempts)
-        return pd.DataFrame([{"run_id": rows[0]["run_id"], **s}])
+    def fold(pdf: pd.DataFrame, state: dict) -> None:
+        held = state.setdefault("entry", {"status": None, "attempts": 0, "locked_by": None, "last_error": None})
+        apply_commands(held, pdf.astype(object).where(lambda x: x.notna(), None).to_dict("records"), most_attempts)
+
+    def finish(run_id, state: dict) -> pd.DataFrame:
+        return pd.DataFrame([{"run_id": run_id, **state["entry"]}])
 
-    return commands.groupBy("run_id").applyInPandas(fold, f"run_id {kind}, status string, attempts int, locked_by string, last_error string")
+    return _folded(commands, "run_id", ["seq"], fold, finish, f"run_id {kind}, status string, attempts int, locked_by string, last_error string")
 
 
 def queue_stream(commands: DataFrame, most_attempts: int = 3) -> DataFrame:
