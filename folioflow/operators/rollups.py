@@ -96,6 +96,43 @@ def request_metrics(requests: DataFrame) -> DataFrame:
     return requests.groupBy("status_code").agg(F.count(F.lit(1)).alias("requests"), F.count_if(F.col("status_code") >= 500).alias("errors"), F.sum("duration_ms").alias("duration_ms"))
 
 
+def runs_finished(runs: DataFrame) -> DataFrame:
+    """Counters of runs by terminal status; open ones count in none."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    return runs.agg(n("succeeded").alias("runs_completed_total"), n("failed").alias("runs_failed_total"), n("canceled").alias("runs_canceled_total"))
+
+
+def queue_claims(claims: DataFrame) -> DataFrame:
+    """Claims (available_at, claimed_at) counted, with the milliseconds they waited; a claim ahead of time waited 0."""
+    wait = F.floor((F.unix_micros(F.col("claimed_at").cast("timestamp")) - F.unix_micros(F.col("available_at").cast("timestamp"))) / 1000).cast("bigint")
+    return claims.agg(F.count(F.lit(1)).alias("queue_claims_total"), F.coalesce(F.sum(F.greatest(wait, F.lit(0))), F.lit(0)).alias("queue_wait_ms_total"))
+
+
+def snapshot(runs: DataFrame, requests: DataFrame, claims: DataFrame, usage: DataFrame) -> DataFrame:
+    """One row of service metrics: counters and guarded ratios (0 where nothing was counted)."""
+    r = requests.agg(F.count(F.lit(1)).alias("requests_total"), F.count_if(F.col("status_code") >= 500).alias("errors_total"), F.coalesce(F.sum("duration_ms"), F.lit(0.0)).alias("request_ms"))
+    u = usage.agg(F.count(F.lit(1)).alias("llm_requests_total"), F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("llm_tokens_total"))
+    one = runs_finished(runs).crossJoin(r).crossJoin(queue_claims(claims)).crossJoin(u)  # a row each
+    ended = F.col("runs_completed_total") + F.col("runs_failed_total")
+    return one.withColumns({"average_request_ms": ratio(F.col("request_ms"), F.col("requests_total")), "error_rate": ratio(F.col("errors_total"), F.col("requests_total")), "run_failure_rate": ratio(F.col("runs_failed_total"), ended), "average_queue_wait_ms": ratio(F.col("queue_wait_ms_total"), F.col("queue_claims_total")), "average_tokens_per_request": ratio(F.col("llm_tokens_total"), F.col("llm_requests_total"))}).drop("request_ms")
+
+
+def ocr_page_counts(pages: DataFrame) -> DataFrame:
+    """(key, pages, failed, corrected, duration_ms) by source and status."""
+    return pages.groupBy(F.concat_ws(":", "source", "status").alias("key")).agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if("corrected").alias("corrected"), F.sum("duration_ms").alias("duration_ms"))
+
+
+def conversion_failures(failures: DataFrame) -> DataFrame:
+    """(key, count) by kind of failure and extension."""
+    return failures.groupBy(F.concat_ws(":", "failure", F.coalesce(F.nullif(F.col("extension"), F.lit("")), F.lit("none"))).alias("key")).agg(F.count(F.lit(1)).alias("count"))
+
+
+def conversion_report(items: DataFrame) -> DataFrame:
+    """One row: counts of converted and failed files, and the items by path. The report of one conversion."""
+    n = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return items.agg(n("converted"), n("failed"), F.array_sort(F.collect_list(F.struct("source_path", "output_path", "status", "error"))).alias("items"))
+
+
 def llm_usage(calls: DataFrame, prompt_rate: float = 0.0, completion_rate: float = 0.0) -> DataFrame:
     cost = F.col("prompt_tokens") * prompt_rate / 1000 + F.col("completion_tokens") * completion_rate / 1000
     return calls.groupBy(F.concat_ws(":", "provider", "model").alias("model")).agg(*(F.sum(c).alias(c) for c in ("prompt_tokens", "completion_tokens", "total_tokens")), F.sum(cost).alias("estimated_cost"))

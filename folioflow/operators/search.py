@@ -215,7 +215,8 @@ class Filters:
     created_before: object = None
 
     def __post_init__(self):
-        if self.created_after is not None and self.created_before is not None and self.created_after > self.created_before:
+        ends = (self.created_after, self.created_before)  # values, or Columns, which can't be compared here
+        if all(x is not None and not isinstance(x, Column) for x in ends) and ends[0] > ends[1]:
             raise ValueError("created_after must not be later than created_before")
 
     def apply(self, df: DataFrame) -> DataFrame:

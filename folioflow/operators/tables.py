@@ -5,6 +5,7 @@ Each takes tables and gives the tables after it; the caller writes them as a new
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,7 +33,7 @@ def guarded_upsert(old: DataFrame, new: DataFrame, key: list[str], frozen: Colum
 
 def update_run_status(runs: DataFrame, changes: DataFrame) -> DataFrame:
     """(run_id, status, stage, error) applied unless the run is canceled or succeeded already."""
-    c = changes.select("run_id", *(F.col(x).alias(f"_{x}") for x in ("status", "stage", "error")))
+    c = changes.dropDuplicates(["run_id"]).select("run_id", *(F.col(x).alias(f"_{x}") for x in ("status", "stage", "error")))
     free = ~F.col("status").isin(*FINAL) & F.col("_status").isNotNull()
     return runs.join(c, "run_id", "left").select(*(F.when(free, F.col(f"_{x}")).otherwise(F.col(x)).alias(x) if x in ("status", "stage", "error") else F.col(x) for x in runs.columns))
 
@@ -94,7 +95,7 @@ def backoff_seconds(attempts: Column) -> Column:
 
 def fail(queue: DataFrame, failed: DataFrame, most_attempts: int, now: Column) -> DataFrame:
     """(run_id, worker, error): entries of that worker become failed, or wait for the next try."""
-    f = failed.select("run_id", F.col("worker").alias("_w"), F.col("error").alias("_e"))
+    f = failed.dropDuplicates(["run_id"]).select("run_id", F.col("worker").alias("_w"), F.col("error").alias("_e"))
     mine = (F.col("status") == "running") & F.col("_e").isNotNull() & (F.col("_w").isNull() | (F.col("_w") == F.col("locked_by")))
     over = F.col("attempts") >= most_attempts
     wait = now + F.make_interval(secs=backoff_seconds(F.col("attempts")))
@@ -104,11 +105,94 @@ def fail(queue: DataFrame, failed: DataFrame, most_attempts: int, now: Column) -
 
 
 def complete(queue: DataFrame, done: DataFrame, now: Column) -> DataFrame:
-    d = done.select("run_id", F.col("worker").alias("_w"), F.lit(True).alias("_d"))
+    d = done.dropDuplicates(["run_id"]).select("run_id", F.col("worker").alias("_w"), F.lit(True).alias("_d"))
     mine = F.coalesce(F.col("_d"), F.lit(False)) & (F.col("status") == "running") & (F.col("_w").isNull() | (F.col("_w") == F.col("locked_by")))
     return queue.join(d, "run_id", "left").select(*(F.when(mine, F.lit("succeeded") if c == "status" else now).otherwise(F.col(c)).alias(c) if c in ("status", "updated_at") else F.col(c) for c in queue.columns))
 
 
+def heartbeat(queue: DataFrame, beats: DataFrame, now: Column, lease_seconds: int) -> tuple[DataFrame, DataFrame]:
+    """(the queue after, (run_id, worker, extended)) of beats (run_id, worker): the lease of a running entry goes on for its own worker only."""
+    if lease_seconds < 1:
+        raise ValueError("lease_seconds must be at least 1")
+    b = beats.select("run_id", F.col("worker").alias("_w")).distinct()
+    owned = queue.where("status = 'running' AND locked_by IS NOT NULL").join(b, "run_id").where(F.col("_w") == F.col("locked_by")).select("run_id", F.lit(True).alias("_beat"))
+    lease, beat = now + F.make_interval(secs=F.lit(lease_seconds)), F.coalesce(F.col("_beat"), F.lit(False))
+    after = queue.join(owned, "run_id", "left").select(*(F.when(beat, {"locked_at": lease, "updated_at": now}[c]).otherwise(F.col(c)).alias(c) if c in ("locked_at", "updated_at") else F.col(c) for c in queue.columns))
+    held = queue.select("run_id", F.col("status").alias("_s"), F.col("locked_by").alias("_l"))
+    told = b.join(held, "run_id", "left").select("run_id", F.col("_w").alias("worker"), F.coalesce((F.col("_s") == "running") & (F.col("_l") == F.col("_w")), F.lit(False)).alias("extended"))
+    return after, told
+
+
+def cancel(queue: DataFrame, canceled: DataFrame, now: Column) -> DataFrame:
+    """Entries of (run_id, error) are canceled, whatever their state."""
+    c = canceled.groupBy("run_id").agg(F.max("error").alias("_e")).withColumn("_c", F.lit(True))
+    new = {"status": F.lit("canceled"), "locked_at": F.lit(None).cast("timestamp_ntz"), "locked_by": F.lit(None).cast("string"), "updated_at": now, "last_error": F.col("_e")}
+    return queue.join(c, "run_id", "left").select(*(F.when(F.col("_c"), new[x]).otherwise(F.col(x)).alias(x) if x in new else F.col(x) for x in queue.columns))
+
+
+def update_progress(runs: DataFrame, progress: DataFrame, now: Column) -> DataFrame:
+    """(run_id, status, stage, completed_chunks, failed_chunks) applied unless the run is canceled; of repeated runs the one furthest on."""
+    names = ("status", "stage", "completed_chunks", "failed_chunks")
+    p = progress.groupBy("run_id").agg(F.max_by(F.struct(*names), F.struct("completed_chunks", "failed_chunks", "status", "stage")).alias("_p"))
+    free = F.col("_p").isNotNull() & (F.col("status") != "canceled")
+    new = {**{n: F.col(f"_p.{n}") for n in names}, "updated_at": now}
+    return runs.join(p, "run_id", "left").select(*(F.when(free, new[x]).otherwise(F.col(x)).alias(x) if x in new else F.col(x) for x in runs.columns))
+
+
+def start_runs(documents: DataFrame, wanted: DataFrame, attempt: str, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(runs, events, unknown): a queued run and its first event for every wanted document there is; ids that are no document.
+
+    A run's id derives from the document and ``attempt``, so starting again after a lost job makes the same run.
+    """
+    known, ids = documents.select("document_id").distinct(), wanted.select("document_id").distinct()
+    run = F.concat(F.lit("run_"), F.substring(F.sha2(F.concat_ws(":", F.col("document_id").cast("string"), F.lit(attempt)), 256), 1, 16))
+    zero, none = F.lit(0), F.lit(None).cast("string")
+    runs = ids.join(known, "document_id").select(run.alias("run_id"), "document_id", F.lit("queued").alias("status"), F.lit("ingest").alias("stage"), zero.alias("total_chunks"), zero.alias("completed_chunks"), zero.alias("failed_chunks"), now.alias("created_at"), now.alias("updated_at"), none.alias("error"))
+    events = runs.select("run_id", F.lit("ingest").alias("stage"), F.lit("queued processing run").alias("message"), now.alias("created_at"))
+    return runs, events, ids.join(known, "document_id", "left_anti")
+
+
+def emit(events: DataFrame, new: DataFrame) -> DataFrame:
+    """``events`` with new ones appended; their sequence goes on after the last one, by run and message."""
+    last = events.agg(F.coalesce(F.max("sequence"), F.lit(0)).alias("_last"))
+    order = Window.orderBy("created_at", "run_id", "stage", "message")  # one append's events
+    more = new.crossJoin(F.broadcast(last)).withColumn("sequence", F.col("_last") + F.row_number().over(order)).drop("_last")
+    return events.unionByName(more.select(*events.columns))
+
+
+def remapped(rows: DataFrame, mapping: DataFrame, column: str = "chunk_id") -> DataFrame:
+    """``rows`` with surrogate ids replaced by (old_id, document_id, new_id) of their document; rows without one are left out."""
+    m = mapping.select(F.col("old_id").alias(column), "document_id", "new_id").distinct()
+    return rows.join(m, [column, "document_id"] if "document_id" in rows.columns else column).select(*(F.col("new_id").alias(c) if c == column else F.col(c) for c in rows.columns))
+
+
+def show_document(documents: DataFrame, outputs: DataFrame, classifications: DataFrame, document_id) -> DataFrame:
+    """One document with the length of its newest output and its classification, if it has them."""
+    one = documents.where(F.col("document_id") == F.lit(document_id))
+    newest = outputs.where(F.col("document_id") == F.lit(document_id)).groupBy("document_id").agg(F.max_by(F.length("text"), F.struct("created_at", "run_id")).alias("output_chars"))
+    return one.join(newest, "document_id", "left").join(classifications.where(F.col("document_id") == F.lit(document_id)), "document_id", "left")
+
+
+def work_once(queue: DataFrame, runs: DataFrame, worker: str, now: Column, lease_seconds: int, process: Callable[[DataFrame], DataFrame], most_attempts: int = 3, batch: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(the queue after, metrics): claim the oldest entries, process all of them as one job, and complete, fail or cancel each.
+
+    ``process`` maps claimed entries (run_id, ..) to (run_id, outcome, error), outcome being succeeded, failed or canceled; what it leaves out has failed. Metrics: claims, wait_ms, and runs by
+    outcome. ``batch`` is how many a worker takes at a time.
+    """
+    lease = now + F.make_interval(secs=F.lit(lease_seconds))
+    taken = claimable(queue, runs, now).orderBy("updated_at", "run_id").limit(batch)
+    mine = taken.select("run_id", (F.unix_millis(now.cast("timestamp")) - F.unix_millis(F.col("available_at").cast("timestamp"))).alias("_wait"))
+    change = {"status": F.lit("running"), "attempts": F.col("attempts") + 1, "locked_by": F.lit(worker), "locked_at": lease, "updated_at": now}
+    claimed = queue.join(mine.select("run_id", F.lit(True).alias("_m")), "run_id", "left").select(*(F.when(F.col("_m"), change[c]).otherwise(F.col(c)).alias(c) if c in change else F.col(c) for c in queue.columns))
+    work = claimed.join(mine.select("run_id"), "run_id", "left_semi")
+    outcome = work.select("run_id").join(process(work).dropDuplicates(["run_id"]), "run_id", "left").select("run_id", F.coalesce("outcome", F.lit("failed")).alias("outcome"), F.coalesce("error", F.when(F.col("outcome").isNull(), "no outcome")).alias("error"), F.lit(worker).alias("worker"))
+    after = complete(claimed, outcome.where("outcome = 'succeeded'"), now)
+    after = fail(after, outcome.where("outcome = 'failed'").withColumn("error", F.coalesce("error", F.lit("failed"))), most_attempts, now)
+    after = cancel(after, outcome.where("outcome = 'canceled'"), now)
+    metrics = outcome.join(mine, "run_id").agg(F.count(F.lit(1)).alias("queue_claims"), F.coalesce(F.sum(F.greatest(F.col("_wait"), F.lit(0))), F.lit(0)).alias("queue_wait_ms"), *(F.count_if(F.col("outcome") == s).alias(f"runs_{s}") for s in ("succeeded", "failed", "canceled")))
+    return after, metrics
+
+
 def enqueue(queue: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     """Runs of ``new`` are queued: unknown ones as new entries, failed and succeeded ones again with their attempts kept, others as they are."""
     n = new.select("run_id", F.lit(True).alias("_n")).distinct()

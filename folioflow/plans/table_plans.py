@@ -91,14 +91,21 @@ def run_status_guard(spark: SparkSession, d: str) -> DataFrame:
     return T.update_run_status(held, changes).select("run_id", "status")
 
 
-@query(f"WITH {RUNS}, live AS (SELECT * FROM runs WHERE status = 'running') SELECT 'run' AS kind, run_id AS id, CASE WHEN status = 'running' THEN 'succeeded' ELSE status END AS status FROM runs UNION ALL SELECT 'document', c_custkey, CASE WHEN c_custkey IN (SELECT document_id FROM live) THEN 'ready' ELSE 'new' END FROM customer")
+@query(
+    f"""WITH {RUNS}, live AS (SELECT * FROM runs WHERE status = 'running'), docs AS (SELECT DISTINCT document_id FROM live)
+SELECT 'run' AS kind, run_id AS id, CASE WHEN status = 'running' THEN 'succeeded' ELSE status END AS value FROM runs
+UNION ALL SELECT 'document', c_custkey, CASE WHEN c_custkey IN (FROM docs) THEN 'ready' ELSE 'new' END FROM customer
+UNION ALL SELECT 'output', run_id, CASE WHEN status = 'running' THEN 'new' ELSE 'old' END FROM runs WHERE status = 'running' OR run_id % 2 = 0
+UNION ALL SELECT 'class', c_custkey, CASE WHEN c_custkey IN (FROM docs) THEN '000' ELSE '999' END FROM customer"""
+)
 def publish_runs(spark: SparkSession, d: str) -> DataFrame:
-    """Running runs publish: run succeeded, document ready; the others are left alone."""
-    none = outputs(spark, d).where("false")
+    """Running runs publish: output and classification replaced or added, run succeeded, document ready; the others are left alone."""
     docs = table(spark, d, "customer").select(F.col("c_custkey").alias("document_id"), F.lit("new").alias("status"))
-    codes = outputs(spark, d).select("document_id", F.lit("000").alias("code")).distinct()
-    after = T.publish(none, codes.where("false"), runs(spark, d), docs, outputs(spark, d), codes)
-    return after["runs"].select(F.lit("run").alias("kind"), F.col("run_id").alias("id"), "status").unionByName(after["documents"].select(F.lit("document").alias("kind"), F.col("document_id").alias("id"), "status"))
+    held = outputs(spark, d).where("run_id % 2 = 0").withColumn("text", F.lit("old"))
+    classes = docs.select("document_id", F.lit("999").alias("code"))
+    after = T.publish(held, classes, runs(spark, d), docs, outputs(spark, d).withColumn("text", F.lit("new")), outputs(spark, d).select("document_id", F.lit("000").alias("code")).distinct())
+    one = lambda name, kind, key, value: after[name].select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col(value).alias("value"))
+    return one("runs", "run", "run_id", "status").unionByName(one("documents", "document", "document_id", "status")).unionByName(one("outputs", "output", "run_id", "text")).unionByName(one("classifications", "class", "document_id", "code"))
 
 
 def _queue(spark: SparkSession, d: str) -> DataFrame:
@@ -242,7 +249,12 @@ def best_rotation(spark: SparkSession, d: str) -> DataFrame:
     return rollups.best_rotation(tries, ["user_id"]).drop("text")
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT user_id, event_id, n, t AS start, 1 AS used, true AS allowed, 0 AS retry_after FROM e WHERE n = 1
+UNION ALL SELECT e.user_id, e.event_id, e.n, CASE WHEN e.t - f.start >= 60 THEN e.t ELSE f.start END, CASE WHEN e.t - f.start >= 60 THEN 1 WHEN f.used >= 2 THEN f.used ELSE f.used + 1 END, e.t - f.start >= 60 OR f.used < 2, CASE WHEN e.t - f.start >= 60 OR f.used < 2 THEN 0 ELSE greatest(1, trunc(60 - (e.t - f.start))::int) END FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1)
+SELECT user_id, event_id, allowed, retry_after FROM f"""
+)
 def rate_limit_fold(spark: SparkSession, d: str) -> DataFrame:
     """At most two requests a minute and identity, the window beginning with its first request."""
     return streams.rate_limit(table(spark, d, "events"), "user_id", "ts", "event_id", 2)
@@ -253,7 +265,17 @@ def _commands(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), command.alias("command"), F.concat(F.lit("w"), (F.col("user_id") % 4).cast("string")).alias("worker"), F.col("props").alias("error"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE c AS (SELECT user_id AS run_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'enqueue' WHEN 'view' THEN 'claim' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'fail' ELSE CASE WHEN value < 2 THEN 'cancel' ELSE 'enqueue' END END AS command, 'w' || user_id % 4 AS worker, props AS error, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+s AS (SELECT DISTINCT run_id, 0::bigint AS n, NULL::varchar AS status, 0 AS attempts, NULL::varchar AS locked_by, NULL::varchar AS last_error FROM c
+UNION ALL SELECT c.run_id, c.n,
+ CASE WHEN c.command = 'cancel' THEN 'canceled' WHEN c.command = 'enqueue' AND (s.status IS NULL OR s.status IN ('failed', 'succeeded')) THEN 'queued' WHEN c.command = 'claim' AND s.status IN ('queued', 'retry') THEN 'running' WHEN c.command = 'complete' AND s.status = 'running' AND c.worker = s.locked_by THEN 'succeeded' WHEN c.command = 'fail' AND s.status = 'running' AND c.worker = s.locked_by THEN CASE WHEN s.attempts >= 3 THEN 'failed' ELSE 'retry' END ELSE s.status END,
+ CASE WHEN c.command = 'claim' AND s.status IN ('queued', 'retry') THEN s.attempts + 1 ELSE s.attempts END,
+ CASE WHEN c.command = 'enqueue' AND (s.status IS NULL OR s.status IN ('failed', 'succeeded')) THEN NULL WHEN c.command = 'claim' AND s.status IN ('queued', 'retry') THEN c.worker WHEN c.command = 'fail' AND s.status = 'running' AND c.worker = s.locked_by THEN NULL ELSE s.locked_by END,
+ CASE WHEN c.command = 'cancel' THEN c.error WHEN c.command = 'enqueue' AND (s.status IS NULL OR s.status IN ('failed', 'succeeded')) THEN NULL WHEN c.command = 'fail' AND s.status = 'running' AND c.worker = s.locked_by THEN c.error ELSE s.last_error END
+ FROM s JOIN c ON c.run_id = s.run_id AND c.n = s.n + 1)
+SELECT run_id, status, attempts, locked_by, last_error FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY n DESC) AS last FROM s) WHERE last = 1"""
+)
 def queue_states(spark: SparkSession, d: str) -> DataFrame:
     """The state of every run after its commands, in order."""
     return streams.queue_states(_commands(spark, d))
@@ -274,8 +296,24 @@ def event_stream_totals(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{at}/totals").withColumn("total_ms", F.round("total_ms", 2))
 
 
-@query("SELECT status, (CASE WHEN contains(lower(detail), 'not found') THEN 'not_found' WHEN contains(lower(detail), 'upload exceeds') THEN 'upload_too_large' WHEN status = 429 THEN 'rate_limited' WHEN status = 404 THEN 'not_found' WHEN status >= 500 THEN 'server_error' ELSE 'http_error' END) AS code, count(*) AS n FROM (SELECT CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 404 WHEN 'click' THEN 429 ELSE 418 END AS status, CASE WHEN user_id % 3 = 0 THEN 'Document NOT FOUND' WHEN user_id % 3 = 1 THEN 'Upload exceeds limit' ELSE 'other' END AS detail FROM events) GROUP BY 1, 2")
+#: A detail for every rule and what it should be; the fallbacks by status after it.
+_DETAILS = (
+    ("Document NOT FOUND", "not_found"), ("Invalid API key", "invalid_api_key"), ("scope does not allow this operation", "insufficient_scope"), ("Request body contains more than the configured limit", "request_too_large"), ("Upload exceeds it", "upload_too_large"), ("Batch upload contains too much, configured limit 3", "batch_too_large"),
+    ("Import contains more files than the configured limit", "import_too_large"), ("Import manifest contains more bytes than the configured limit", "import_manifest_too_large"), ("PDF page manifest contains more than the configured limit", "page_manifest_too_large"), ("manifest_path contains more than the configured limit", "import_manifest_too_large"),
+    ("bad upload directory", "invalid_upload_path"), ("upload data_dir is bad", "invalid_upload_path"), ("Run submission failed", "run_submission_failed"), ("needs job_backend=sqlite", "queue_backend_required"), ("no such import root", "invalid_import_path"), ("path must be under it", "invalid_import_path"), ("manifest_path is odd", "invalid_manifest_path"),
+    ("PDF page manifest is odd", "invalid_manifest_path"), ("output_dir is odd", "invalid_output_dir"), ("subdirectory_name is odd", "invalid_subdirectory_name"), ("source_dir is odd", "invalid_source_dir"), ("Invalid document_status", "invalid_document_status"), ("Invalid search scope", "invalid_search_scope"), ("Search query exceeds configured limit", "search_query_too_large"),
+    ("Invalid search query", "invalid_search_query"), ("created_after is later than created_before", "invalid_search_window"), ("Archive inputs are not supported", "archive_not_supported"), ("Unsupported file extension", "unsupported_file_type"), ("terminal runs cannot be canceled", "run_terminal"), ("the run is not failed", "run_not_failed"),
+)
+_CODES = {401: "unauthorized", 403: "forbidden", 404: "not_found", 413: "payload_too_large", 429: "rate_limited", 422: "validation_error", 503: "service_unavailable", 400: "bad_request", 500: "server_error", 507: "server_error", 418: "http_error"}
+
+
+def _pick(values, by: str) -> str:
+    return " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(values)).join((f"CASE {by} ", " END"))
+
+
+@query(f"SELECT event_id, CASE WHEN event_id % 41 < 30 THEN {_pick([c for _, c in _DETAILS], 'event_id % 41')} ELSE {_pick(_CODES.values(), 'event_id % 41 - 30')} END AS code FROM events")
 def error_codes(spark: SparkSession, d: str) -> DataFrame:
-    status = F.expr("CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 404 WHEN 'click' THEN 429 ELSE 418 END")
-    detail = F.expr("CASE WHEN user_id % 3 = 0 THEN 'Document NOT FOUND' WHEN user_id % 3 = 1 THEN 'Upload exceeds limit' ELSE 'other' END")
-    return table(spark, d, "events").select(status.alias("status"), X.api_error_code(status, detail).alias("code")).groupBy("status", "code").agg(F.count(F.lit(1)).alias("n"))
+    """Every named rule, and every status where no rule holds."""
+    detail = F.coalesce(F.expr(_pick([x for x, _ in _DETAILS], "event_id % 41")), F.lit("other"))
+    status = F.when(F.col("event_id") % 41 < 30, 400).otherwise(F.expr(_pick(_CODES, "event_id % 41 - 30")).cast("int"))
+    return table(spark, d, "events").select("event_id", X.api_error_code(status, detail).alias("code"))

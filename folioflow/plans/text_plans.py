@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,14 +76,26 @@ def markdown_to_text(spark: SparkSession, d: str) -> DataFrame:
 _BLOCKS = "p|div|h[1-6]|li|ul|ol|tr|table|nav|header|footer|section|article|br"
 
 
+#: Appended to every page: decimal, hexadecimal, far and named entities, and one that is none.
+_ODD, _READ = "<p>&#65;&#x42;&#128512; &eacute;&apos;&Uuml;&zzz;</p>", "AB😀 é\'\'Ü&zzz;"
+
+
+def _named(c: str) -> str:
+    """Named entities replaced one after the other, the ampersand last."""
+    for name, char in (*X.ENTITIES.items(), ("amp", "&")):
+        char = char.replace("'", "''")
+        c = f"replace({c}, '&{name};', '{char}')"
+    return c
+
+
 @query(
     rf"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', ' ', 'g'), '(?is)<head\b.*?</head\s*>', ' ', 'g'), '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?is)<noscript\b.*?</noscript\s*>', ' ', 'g') AS c FROM pages),
 b AS (SELECT page_id, regexp_replace(regexp_replace(c, '(?i)</?(?:{_BLOCKS})\b[^>]*>', chr(10), 'g'), '(?s)<[^>]+>', ' ', 'g') AS c FROM a),
-e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(c, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS c FROM b)
+e AS (SELECT page_id, {_named("replace(c, '&#39;', chr(39))")} || chr(10) || '{_READ}' || chr(10) AS c FROM b)
 SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, '[ \t\x0B\f\r]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{2,}}', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM e"""
 )
 def html_to_text(spark: SparkSession, d: str) -> DataFrame:
-    return readers.read_pages(table(spark, d, "pages")).select("page_id", "text")
+    return readers.read_pages(table(spark, d, "pages").withColumn("html", F.concat("html", F.lit(_ODD)))).select("page_id", "text")
 
 
 _SPOKEN = "CASE doc_id % 5 WHEN 0 THEN text || ' nightmare' WHEN 1 THEN text || ' Algorithm' WHEN 2 THEN text || ' HEALTH' WHEN 3 THEN text || ' novel' ELSE text END"
@@ -95,11 +109,20 @@ def classify_heuristic(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.classify(F.expr(_SPOKEN)).alias("c")).select("doc_id", "c.*")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '610' ELSE NULL END AS code FROM documents")
+@query(
+    r"""WITH d AS (SELECT doc_id, text, source, doc_id % 5 AS g FROM documents)
+SELECT doc_id, CASE g WHEN 0 THEN '610' WHEN 1 THEN '000' WHEN 2 THEN '800' ELSE '610' END AS code, CASE g WHEN 0 THEN 'Care' WHEN 1 THEN 'Computer Science & Information' WHEN 2 THEN 'Literature' ELSE 'Medicine & Health' END AS label,
+ CASE g WHEN 0 THEN 's' || doc_id WHEN 1 THEN 'No summary available.' WHEN 2 THEN 's' ELSE regexp_replace(substr('a doctor ' || text, 1, 500), '^\s+|\s+$', '', 'g') END AS summary, CASE g WHEN 0 THEN 0.5 END AS confidence, CASE g WHEN 0 THEN 'A title' END AS title, CASE g WHEN 0 THEN 'x y,' || source ELSE '' END AS tags,
+ CASE g WHEN 0 THEN 'About it.' END AS description, CASE g WHEN 0 THEN 'Acme' END AS issuer, CASE g WHEN 0 THEN 'acme-weekly-' || source WHEN 1 THEN 'acme-office-view' WHEN 2 THEN 'acme-office-view' END AS series_key, CASE g WHEN 0 THEN 'Weekly ' || source END AS series_title, CASE g WHEN 0 THEN '2026-Q2' WHEN 1 THEN '2025' END AS period FROM d"""
+)
 def classification_payloads(spark: SparkSession, d: str) -> DataFrame:
-    """Answers of a model as JSON in prose; every other one is not JSON."""
-    raw = F.expr("""CASE WHEN doc_id % 2 = 0 THEN concat('Sure: {"dewey_code": "610", "summary": "s', doc_id, '"} done') ELSE 'no answer' END""")
-    return table(spark, d, "documents").select("doc_id", X.parse_payload(raw)["dewey_code"].alias("code"))
+    """A model's answers: whole payloads in prose, payloads with blanks, one field missing, no JSON. All fields cleaned; keywords decide where there is no payload."""
+    raw = F.expr(
+        """CASE doc_id % 5 WHEN 0 THEN concat('Sure: {"summary": " s', doc_id, ' ", "dewey_code": "610", "category_name": "Care", "confidence": 0.5, "title": " A  title", "tags": ["X  y", "", "x y", "', source, '"], "description": "About it.", "issuer": "Acme ", "series": "Weekly ', source, '", "period": "Q2 2026"} done')
+WHEN 1 THEN '{"summary": " ", "dewey_code": " ", "category_name": "", "period": "year 2025"}' WHEN 2 THEN '{"summary": "s", "dewey_code": "800", "category_name": " "}' WHEN 3 THEN '{"summary": "s", "dewey_code": "800"}' ELSE 'no answer' END"""
+    )
+    said, file = F.concat(F.lit("a doctor "), "text"), F.when(F.col("doc_id") % 5 < 3, "Acme_Office_View_2026-06.pdf").otherwise("Acme_Office_2026-07.pdf")
+    return table(spark, d, "documents").select("doc_id", X.classified(raw, said, file).alias("c")).select("doc_id", "c.*").withColumn("tags", F.array_join("tags", ","))
 
 
 @query(r"SELECT doc_id, regexp_replace(regexp_replace(lower(source || ' No. ' || doc_id || '!'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
@@ -132,9 +155,14 @@ def dewey_paths(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(X.dewey_path(F.expr(_CODE)), "/").alias("path"))
 
 
-@query(rf"SELECT doc_id, regexp_replace(regexp_replace(t, '(?i)\b(api[_-]?key|token|secret|password)(\s*[:=]\s*)([^\s,;]+)', '\1\2[REDACTED]', 'g'), '\bsk-[A-Za-z0-9_-]{{8,}}\b', '[REDACTED]', 'g') AS text FROM (SELECT doc_id, text || ' token=abc' || doc_id || ' sk-abcdefghij' || doc_id AS t FROM documents)")
+_SAID = """' {"api_key": "k' || doc_id || '", ''Secret'' : ''s p''} token=abc' || doc_id || '; PASSWORD : x,y Authorization: Bearer t' || doc_id || ' sk-abcdefghij' || doc_id || ' sk-short'"""
+
+
+@query(f"""SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)\\b(api[_-]?key|token|secret|password)(\\s*[:=]\\s*)([^\\s,;]+)', '\\1\\2[REDACTED]', 'g'), '\\bsk-[A-Za-z0-9_-]{{8,}}\\b', '[REDACTED]', 'g') || ' {{"api_key": "[REDACTED]", ''Secret'' : ''[REDACTED]''}} token=[REDACTED]; PASSWORD : [REDACTED],y Authorization: Bearer [REDACTED] [REDACTED] sk-short' AS text FROM (SELECT doc_id, text FROM documents)""")
 def redact_secrets(spark: SparkSession, d: str) -> DataFrame:
-    said = F.concat("text", F.lit(" token=abc"), F.col("doc_id").cast("string"), F.lit(" sk-abcdefghij"), F.col("doc_id").cast("string"))
+    """All four families: quoted pairs, assignments, bearer headers, keys of a known prefix."""
+    parts = [F.lit(p) if i % 2 == 0 else F.col("doc_id").cast("string") for i, p in enumerate(re.split(r"' \|\| (doc_id) \|\| '", _SAID.strip("'")))]
+    said = F.concat("text", *(p if i % 2 else F.lit(x) for i, (p, x) in enumerate(zip(parts, (x.replace("''", "'") for x in re.split(r"' \|\| (doc_id) \|\| '", _SAID[1:-1]))))))
     return table(spark, d, "documents").select("doc_id", X.redact(said).alias("text"))
 
 
@@ -150,10 +178,10 @@ def export_stems(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", X.export_stem(F.lit("610"), F.when(F.col("quality") == 1, F.concat("source", F.lit(" & | notes/"))), F.concat(F.lit("file_"), F.col("doc_id").cast("string"), F.lit(".txt"))).alias("stem"))
 
 
-@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN '..' ELSE 'a b' END AS x, CASE page_id % 3 WHEN 0 THEN 'upload.txt' WHEN 1 THEN 'a b' || page_id || '.md' ELSE 'c.txt' END AS name FROM pages")
+@query("SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'upload.txt' WHEN 1 THEN 'a b' || page_id || '.md' WHEN 2 THEN 'c' || page_id || '.txt' WHEN 3 THEN regexp_extract(url, '[^/]*$') WHEN 4 THEN 'upload.txt' ELSE 'tab' || page_id END AS name FROM (SELECT page_id, CASE WHEN page_id % 6 = 3 AND url LIKE '%/' THEN url || 'x' ELSE url END AS url FROM pages)")
 def safe_filenames(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.expr("CASE page_id % 3 WHEN 0 THEN '../..' WHEN 1 THEN concat('dir/a%20b', page_id, '.md') ELSE 'C:\\\\x\\\\c.txt' END")
-    return table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, "..").otherwise("a b").alias("x"), X.safe_filename(raw).alias("name"))
+    raw = F.expr("CASE page_id % 6 WHEN 0 THEN '../..' WHEN 1 THEN concat('dir/a%20b', page_id, '.md') WHEN 2 THEN concat('C:\\\\x\\\\c', page_id, '.txt') WHEN 3 THEN CASE WHEN url LIKE '%/' THEN concat(url, 'x') ELSE url END WHEN 4 THEN ' ' ELSE concat('\t tab', page_id, '\n') END")
+    return table(spark, d, "pages").select("page_id", X.safe_filename(raw).alias("name"))
 
 
 @query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '/out/' ELSE '/in/conv/' END || page_id || '.md' AS path FROM pages")
@@ -193,9 +221,12 @@ def export_markdown(spark: SparkSession, d: str) -> DataFrame:
     return _sources(spark, d).select("document_id", F.md5(export.render("md")).alias("h"))
 
 
-@query()
+@query(rf"""SELECT doc_id AS document_id, doc_id::varchar AS id, {_CODE} AS classification, 'Note ' || lang AS title, substr(text, 1, 300) AS summary, lang || ',' || source AS tags, {_CODE} || ' Note ' || lang AS suggested_stem, md5(text) AS h, 8 AS n_fields FROM documents""")
 def export_json(spark: SparkSession, d: str) -> DataFrame:
-    return _sources(spark, d).select("document_id", export.render("json").alias("content"))
+    """The export read back: every field, and how many there are."""
+    ddl = "document_id string, filename string, classification string, title string, summary string, tags array<string>, suggested_stem string, text string"
+    read = _sources(spark, d).select("document_id", export.render("json").alias("c")).select("document_id", F.from_json("c", ddl).alias("j"), F.size(F.json_object_keys("c")).alias("n_fields"))
+    return read.select("document_id", F.col("j.document_id").alias("id"), "j.classification", "j.title", "j.summary", F.array_join("j.tags", ",").alias("tags"), "j.suggested_stem", F.md5("j.text").alias("h"), "n_fields")
 
 
 @query(
@@ -211,10 +242,31 @@ def bundle_directories(spark: SparkSession, d: str) -> DataFrame:
     return export.directories(export.concepts(_sources(spark, d))).select("directory", "n_concepts")
 
 
-@query("""WITH s AS (SELECT doc_id, doc_id % 4 AS g, row_number() OVER (PARTITION BY doc_id % 4 ORDER BY doc_id) AS n, count(*) OVER (PARTITION BY doc_id % 4) AS c, count(*) OVER (PARTITION BY source) AS e FROM documents) SELECT doc_id AS document_id, least(12, c - 1)::int AS n_related, least(12, e - 1)::int AS n_editions FROM s""")
+_MEMBERS = f"""s AS (SELECT doc_id, {_CODE} AS code, source, lang, 'Note ' || lang AS title, 'note-' || lang AS stem, CASE doc_id % 4 WHEN 0 THEN '600-technology/630-agriculture/636-animal-husbandry/636-1-horses-equines' WHEN 1 THEN '600-technology/610-medicine-health' WHEN 2 THEN '800-literature/8-general' ELSE 'x-general' END AS dir FROM documents),
+p AS (SELECT *, dir || '/' || stem || CASE WHEN n = 1 THEN '' ELSE '-' || n END || '.md' AS path FROM (SELECT *, row_number() OVER (PARTITION BY dir, stem ORDER BY doc_id) AS n FROM s))"""
+
+
+@query(
+    f"""WITH {_MEMBERS}, a AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY doc_id) AS r, row_number() OVER (PARTITION BY source ORDER BY lang, lower(title), path) AS e FROM p),
+near AS (SELECT x.doc_id, y.title || '>' || y.path AS link, row_number() OVER (PARTITION BY x.doc_id ORDER BY y.r) AS n FROM a x JOIN a y ON x.code = y.code AND x.path <> y.path WHERE y.r <= 13),
+same AS (SELECT x.doc_id, y.lang || '>' || y.path AS link, row_number() OVER (PARTITION BY x.doc_id ORDER BY y.e) AS n FROM a x JOIN a y ON x.source = y.source AND x.path <> y.path WHERE y.e <= 13)
+SELECT doc_id AS document_id, coalesce((SELECT string_agg(link, ';' ORDER BY n) FROM near WHERE near.doc_id = p.doc_id AND n <= 12), '') AS related, coalesce((SELECT string_agg(link, ';' ORDER BY n) FROM same WHERE same.doc_id = p.doc_id AND n <= 12), '') AS editions FROM p"""
+)
 def bundle_links(spark: SparkSession, d: str) -> DataFrame:
-    """How many related concepts and series editions each concept links to."""
-    return export.linked(export.concepts(_sources(spark, d))).select("document_id", F.size("related").alias("n_related"), F.size("editions").alias("n_editions"))
+    """The related concepts and series editions that each concept links to, in order."""
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["text"], F.lit(">"), x["path"])), ";").alias(c)
+    return export.linked(export.concepts(_sources(spark, d))).select("document_id", shown("related"), shown("editions"))
+
+
+@query(
+    r"""WITH s AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'a-' || doc_id % 5 ELSE 'a-2-2' END AS stem FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY doc_id) - 1 AS j FROM s),
+taken AS (SELECT base, list(k) AS ks FROM (SELECT DISTINCT regexp_extract(stem, '^(.*)-([2-9]|[1-9][0-9]+)$', 1) AS base, regexp_extract(stem, '^(.*)-([2-9]|[1-9][0-9]+)$', 2)::int AS k FROM s WHERE regexp_matches(stem, '^(.*)-([2-9]|[1-9][0-9]+)$')) GROUP BY 1)
+SELECT doc_id AS document_id, 'x-general/' || stem || CASE WHEN j = 0 THEN '' ELSE '-' || list_filter(range(2, 40 + j), lambda f: NOT list_contains(coalesce(ks, []::int[]), f::int))[j] END || '.md' AS path FROM r LEFT JOIN taken ON base = stem"""
+)
+def bundle_paths_that_meet(spark: SparkSession, d: str) -> DataFrame:
+    """Titles that are what numbering would make of others: no two paths meet."""
+    docs = _sources(spark, d).withColumns({"title": F.expr("CASE document_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN concat('a ', document_id % 5) ELSE 'A 2 2' END"), "code": F.lit("x")})
+    return export.concepts(docs).select("document_id", "path")
 
 
 @query()
