@@ -6,7 +6,7 @@ Chunking and sentence dedupe walk a text from left to right, so they are Arrow U
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -108,7 +108,7 @@ def clean(chunked: DataFrame, model: Callable[[Column], Column] = X.mock_clean,
     """(.., clean_text, warnings) of every chunk. ``model`` maps a prompt column to an answer.
 
     fast: chunks alone. balanced: with the last 500 characters of the answer before, in runs of four. max-coherence: through the document.
-    For the carried context the chunk before is cleaned without its own context, which makes both modes a window and not a loop.
+    For the carried context the chunk before is cleaned without its own context, which makes both modes a window and not a loop; ``clean_in_turn`` carries it in earnest.
     """
     if mode not in ("fast", "balanced", "max-coherence"):
         raise ValueError(f"unknown mode: {mode}")
@@ -125,6 +125,43 @@ def clean(chunked: DataFrame, model: Callable[[Column], Column] = X.mock_clean,
     return checked.withColumns({"clean_text": F.col("_v.text"), "warnings": F.col("_v.warnings")}).drop("_v", "_before")
 
 
+def validated_text(answer: str) -> str:
+    """The text that validation makes of an answer, on one text."""
+    first = answer.strip()
+    kept = first
+    if re.search(X.ARTIFACTS, first):
+        kept = "\n".join(line for line in first.split("\n") if not re.search(X.ARTIFACTS, line)).strip()
+    return re.sub(r"\n[ \t]+", "\n", re.sub(r"[ \t]+\n", "\n", re.sub(r"\n{4,}", "\n\n\n", kept))).strip()
+
+
+def clean_in_turn(chunked: DataFrame, call: Callable[[str], str], mode: str = "max-coherence", key: str = "document_id", run: int = 4, carried: int = 500) -> DataFrame:
+    """``clean`` with the answer before as context in earnest: each chunk is asked after the one before it was, with the last characters of that one's text.
+
+    max-coherence carries through the document, balanced through runs of ``run`` chunks of those given (with a cache: of the misses). ``call`` runs in the workers. A document's
+    chunks follow each other in one task; they are not gathered.
+    """
+    if mode not in ("balanced", "max-coherence"):
+        raise ValueError(f"unknown mode: {mode}")
+    at = F.row_number().over(Window.partitionBy(key).orderBy("ordinal")) - 1
+    ready = chunked.withColumn("_run", F.floor(at / run).cast("int") if mode == "balanced" else F.lit(0)).withColumn("_answer", F.lit(None).cast("string"))
+    names = ready.columns
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, before = None, ""
+        for frame in frames:
+            answers = []
+            for k, r, text in zip(frame[key], frame["_run"], frame["text"]):
+                before = before if (k, r) == last else ""
+                last = (k, r)
+                answers.append(call(f"[CONTEXT: This continues from: {before}]\n\n{text}" if before else text))
+                before = validated_text(answers[-1])[-carried:]
+            yield frame.assign(_answer=answers)[names]
+
+    asked = ready.repartition(key).sortWithinPartitions(key, "_run", "ordinal").mapInPandas(ask, ready.schema)
+    checked = asked.withColumn("_v", X.validate(F.col("_answer"), F.length("text"), F.col("text")))
+    return checked.withColumns({"clean_text": F.col("_v.text"), "warnings": F.col("_v.warnings")}).drop("_v", "_run", "_answer")
+
+
 _SENTENCE = re.compile(r"[^.!?]+[.!?]")
 
 

@@ -187,7 +187,7 @@ def model_column(call: Callable[[str], str] | None, most_prompt_chars: int = 200
     @F.pandas_udf("string")
     def ask(prompts: pd.Series) -> pd.Series:
         answers = {p: robust(p) for p in prompts.dropna().unique()}
-        return prompts.map(answers, na_action="ignore")
+        return pd.Series([answers.get(p) for p in prompts], dtype=object)
 
     return lambda prompt: ask(bounded(prompt))
 

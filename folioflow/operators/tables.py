@@ -31,6 +31,26 @@ def guarded_upsert(old: DataFrame, new: DataFrame, key: list[str], frozen: Colum
     return upsert(old, new.join(locked, key, "left_anti"), key)
 
 
+def replace_by(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """``old`` without the rows of keys that ``new`` has, and ``new``."""
+    return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(new.select(*old.columns))
+
+
+def lookup(df: DataFrame, key: dict, required: bool = False) -> DataFrame:
+    """The rows of a key; the filter reaches the scan. A required key that has none is a KeyError."""
+    for column, value in key.items():
+        df = df.where(F.col(column) == F.lit(value))
+    if required and df.isEmpty():
+        raise KeyError(", ".join(map(str, key.values())))
+    return df
+
+
+def are_canceled(runs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(run_id, canceled) of the wanted runs."""
+    gone = runs.where("status = 'canceled'").select("run_id", F.lit(True).alias("_c")).distinct()
+    return wanted.select("run_id").join(gone, "run_id", "left").select("run_id", F.coalesce("_c", F.lit(False)).alias("canceled"))
+
+
 def update_run_status(runs: DataFrame, changes: DataFrame) -> DataFrame:
     """(run_id, status, stage, error) applied unless the run is canceled or succeeded already."""
     c = changes.dropDuplicates(["run_id"]).select("run_id", *(F.col(x).alias(f"_{x}") for x in ("status", "stage", "error")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import search_plans, table_plans, service_plans, text_plans, transcript_plans  # noqa: F401  each registers its queries
+from . import search_plans, service_plans, store_plans, table_plans, text_plans, transcript_plans  # noqa: F401  each registers its queries
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

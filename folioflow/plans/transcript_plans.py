@@ -87,9 +87,9 @@ s AS (SELECT o.document_id, min(seg) FILTER (pos >= a AND pos < a + length(plain
 SELECT s.document_id, first::int AS start_segment_index, last::int AS end_segment_index, min(start_seconds) AS start_seconds, max(start_seconds + duration_seconds) AS end_seconds, 'exact-normalized' AS strategy, 1.0::double AS confidence FROM s JOIN segs g ON g.document_id = s.document_id AND g.seg BETWEEN first AND last GROUP BY ALL"""
 )
 def quote_exact(spark: SparkSession, d: str) -> DataFrame:
-    """The second and third turn of a conversation, in capitals, as a quote from it: where it stands."""
+    """The second and third turn of a conversation, with a dash between them, as a quote from it: where it stands."""
     a = segment_arrays(spark, d)
-    quote = F.upper(F.array_join(F.transform(F.slice("segments", 2, 2), lambda s: s["text"]), " - "))
+    quote = F.array_join(F.transform(F.slice("segments", 2, 2), lambda s: s["text"]), " - ")
     return a.select("document_id", R.match_column(F.col("segments"), quote).alias("m")).where("m IS NOT NULL").select("document_id", "m.start_segment_index", "m.end_segment_index", "m.start_seconds", "m.end_seconds", "m.strategy", "m.confidence")
 
 
