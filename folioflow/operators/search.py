@@ -334,6 +334,7 @@ def _scan_for(docs: DataFrame, quotes: DataFrame, key: str, quote_key: str) -> D
     """Every text is read once a pass by one automaton over all quotes of the pass; texts don't move."""
     fields = [quotes.schema[quote_key], docs.schema[key]]
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in fields), T.StructField("at", T.IntegerType())])
+    types = to_arrow_schema(schema).types
     out = docs.sparkSession.createDataFrame([], schema)
     for part in _quote_passes(quotes, quote_key):
         shared = docs.sparkSession.sparkContext.broadcast(part)
@@ -356,7 +357,7 @@ def _scan_for(docs: DataFrame, quotes: DataFrame, key: str, quote_key: str) -> D
                         first.setdefault(quote, end - len(quote) + 2)
                     rows += [(k, i, at) for quote, at in first.items() for k in found_by[quote]]
                 ids, at = batch.column(0).take(pa.array([i for _, i, _ in rows], pa.int32())), pa.array([a for _, _, a in rows], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in rows]), ids, at], names=[quote_key, key, "at"]) if rows else pa.RecordBatch.from_pylist([], schema=to_arrow_schema(schema))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in rows], types[0]), ids.cast(types[1]), at], names=[quote_key, key, "at"])
 
         out = out.unionByName(docs.select(key, F.lower("text").alias("text")).mapInArrow(run, schema))
     return out

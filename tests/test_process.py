@@ -117,5 +117,6 @@ def test_text_functions(spark):
     assert value(spark, X.yaml_quote(F.col("t")), t='a"b\\c\n') == '"a\\"b\\\\c "'
     assert value(spark, X.api_error_code(F.lit(404), F.col("t")), t="Run not found") == "not_found"
     assert value(spark, X.parse_payload(F.col("t")), t="nothing") is None
-    assert value(spark, X.parse_payload(F.col("t"))["dewey_code"], t='x {"dewey_code": "610"} y') == "610"
+    assert value(spark, X.parse_payload(F.col("t"))["dewey_code"], t='x {"dewey_code": "610", "summary": "s", "category_name": "c"} y') == "610"
+    assert value(spark, X.parse_payload(F.col("t")), t='x {"dewey_code": "610"} y') is None  # three fields are required
     assert value(spark, X.export_stem(F.lit("610"), F.col("t"), F.lit("f.txt")), t="A/B: c" * 60)[:9] == "610 A B c"

@@ -96,7 +96,7 @@ def test_render_and_parse_round_trip(spark):
 
 
 def test_extraction_by_kind(spark, tmp_path):
-    for name, data in {"a.txt": b"plain", "b.json": b'{"k":1}', "c.srt": SRT.encode(), "d.html": b"<p>x</p>", "e.md": b"PK\x03\x04zip", "f.csv": b"a\x00b", "g.txt": b"  ", "h.json": b'{"artifact_type": "import-report"}', "i.doc": b"no"}.items():
+    for name, data in {"a.txt": b"plain", "b.json": b'{"k":1}', "c.srt": SRT.encode(), "d.html": b"<p>x</p>", "e.md": b"PK\x03\x04zip", "f.csv": b"a\x00b", "g.txt": b"  ", "h.json": b'{"generated_by": "folioflow", "artifact_type": "import-report"}', "i.doc": b"no"}.items():
         (tmp_path / name).write_bytes(data)
     files = readers.discover(spark, str(tmp_path))
     got = {r["source_path"].rsplit("/", 1)[1]: (r["status"], r["failure"], r["text"]) for r in readers.extract(files).collect()}
