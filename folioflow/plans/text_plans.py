@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import export, process, rollups
+from ..session import spread
 from ..sources import readers
 from .base import documents, query, table
 
@@ -70,7 +71,7 @@ _MARKS = "'# Report ' || doc_id || chr(10) || '> quoted' || chr(10) || '- item `
 
 @query(rf"""WITH m AS (SELECT doc_id, {_MARKS} AS t FROM documents) SELECT doc_id, md5(regexp_replace({"regexp_replace(" * 12}t, '(?s)```.*?```', '', 'g'), '(?s)^---\n.*?\n---\n?', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '`([^`]*)`', '\1', 'g'), '!\[([^\]]*)\]\([^)]+\)', '\1', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '(?m)^\s{{0,3}}#{{1,6}}\s*', '', 'g'), '(?m)^\s{{0,3}}>\s?', '', 'g'), '(?m)^\s*[*+-]\s+', '', 'g'), '(?m)^\s*\d+\.\s+', '', 'g'), '[_*]{{1,3}}([^_*]+)[_*]{{1,3}}', '\1', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS h FROM m""")
 def markdown_to_text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.md5(X.markdown_to_text(F.expr(_MARKS))).alias("h"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.md5(X.markdown_to_text(F.expr(_MARKS))).alias("h"))
 
 
 _BLOCKS = "p|div|h[1-6]|li|ul|ol|tr|table|nav|header|footer|section|article|br"

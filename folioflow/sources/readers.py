@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import names, transcripts
+from ..session import spread
 
 TEXT, CAPTIONS, PAGES = ("txt", "md", "csv"), ("srt", "vtt"), ("html", "htm", "xml")
 SUPPORTED = (*TEXT, "json", *CAPTIONS, *PAGES)
@@ -157,7 +158,7 @@ def extract_cached(files: DataFrame, cache: DataFrame, signature: str, **how) ->
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("text", X.html_to_text(F.col("html")))
+    return spread(pages).withColumn("text", X.html_to_text(F.col("html")))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
