@@ -9,6 +9,10 @@ that shares one is verified.
 Equal signatures are one node. Within a set of candidates a spanning forest of the verified relation is enough for the
 groups, so a group of thousands costs its members, not its pairs. Nothing is capped.
 
+A set of more than ``LARGE`` nodes (boilerplate gives many documents the same symbols) is split again by the same pigeonhole on the symbols in which its
+members differ: where they differ in no more than the distance all of them are pairs and hang on the least; else every pair within the distance is equal in one of the chunks of
+those symbols. So neither a task nor a comparison of all with all grows with the set; only a set whose members still agree in nearly every such symbol stays one group.
+
 Defined results: null and empty texts and texts without a word have no signature and are no one's duplicate; texts of
 fewer words than a shingle are one shingle; rows with a null doc_id can't be named, so they neither appear in a result nor
 leave the corpus; rows repeating a doc_id are one document and stay or go together; of a group the least doc_id stays;
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +34,9 @@ from .common import blobs, group_arrow, map_arrow, materialize
 from .textscan import mix, shingles, slices, words
 
 SYMBOLS, SHINGLE, DISTANCE, CHUNKS = 64, 2, 24, 13
-#: Up to so many edges the components are found on the driver, beyond it by label propagation on the executors.
-DRIVER_EDGES = 2_000_000
-FLUSH_NODES = 20_000
+#: Up to so many edges (16 bytes each, about 150 as a forest in Python) the components are found on the driver, beyond it by label propagation on the executors, with the same result.
+DRIVER_EDGES = 500_000
+FLUSH_NODES, LARGE = 20_000, 5_000
 _rng = np.random.default_rng(7)
 _MULTIPLY = _rng.integers(0, 2**31, SYMBOLS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _rng.integers(0, 2**32, SYMBOLS, dtype=np.uint32)
@@ -162,11 +167,16 @@ def candidate_sets(nodes: DataFrame, distance: int = DISTANCE, chunks: int = CHU
         total = int(sizes.sum())
         at = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes).astype(np.int64) + np.arange(total) if total else np.empty(0, np.int64)
         members = node[at]
-        # equal sets get equal names, whatever key found them
+        # equal sets get equal names, whatever key found them; a name that two different sets share is the key's own for both
         mixed = mix(members.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
         name = mix(np.add.reduceat(mixed, np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)) + sizes.astype(np.uint64)) if total else np.empty(0, np.uint64)
         keep = np.zeros(len(name), bool)
-        keep[np.unique(name, return_index=True)[1]] = True
+        first = np.unique(name, return_index=True)[1]
+        keep[first] = True
+        begin = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if total else np.empty(0, np.int64)
+        same = first[np.searchsorted(name[first], name)] if total else first
+        for i in np.flatnonzero((sizes != sizes[same]) | (members[begin] != members[begin[same]]) | (members[begin + sizes - 1] != members[begin[same] + sizes[same] - 1])) if total else ():
+            keep[i], name[i] = True, mix(name[i : i + 1] + np.uint64(int(keys[starts[i]])))[0]
         rows = np.repeat(keep, sizes)
         return pa.table({"set": pa.array(np.repeat(name, sizes)[rows].view(np.int64)), "node": pa.array(members[rows])})
 
@@ -174,6 +184,70 @@ def candidate_sets(nodes: DataFrame, distance: int = DISTANCE, chunks: int = CHU
     return group_arrow(packed, "bucket", match, "set bigint, node bigint").distinct()
 
 
+def split_masks(varying: np.ndarray, distance: int) -> list[np.ndarray]:
+    """Keys over the positions in which a set's members differ, more than the distance: of all chunkings whose keys number at most 128 the one with the longest keys."""
+    best: tuple[int, int, list[np.ndarray]] = (0, 0, [])
+    for chunks in range(1, len(varying) + 1):
+        e, parts = distance // chunks, np.array_split(varying, chunks)
+        length = min(map(len, parts)) - e
+        keys = sum(comb(len(p), e) for p in parts)
+        if length > 0 and keys <= 128 and (length, -keys) > best[:2]:
+            best = (length, -keys, [np.array([x for x in p if x not in out]) for p in parts for out in combinations(p, e)])
+    return best[2]
+
+
+def split_large(nodes: DataFrame, sets: DataFrame, distance: int = DISTANCE, large: int = LARGE) -> DataFrame:
+    """``sets`` with those of more than ``large`` nodes replaced by smaller ones that miss no pair within the distance."""
+    big = materialize(sets.groupBy("set").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).where(F.col("n") > large), "minhash-large")
+    if big.isEmpty():
+        return sets
+    rows = sets.join(big.select("set"), "set").join(nodes.select("node", "sig"), "node").select("set", "node", "sig")
+
+    def ends(sets_: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        names, at = np.unique(sets_, return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        starts = np.searchsorted(at[order], np.arange(len(names)))
+        return names, np.minimum.reduceat(low[order], starts), np.maximum.reduceat(high[order], starts)
+
+    def told(names: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[pa.Array]:
+        return [pa.array(names, pa.int64()), blobs([x.tobytes() for x in low]), blobs([x.tobytes() for x in high])]
+
+    def spread_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                sig = _matrix(batch.column(1))
+                yield pa.RecordBatch.from_arrays(told(*ends(np.asarray(batch.column(0)), sig, sig)), names=["set", "low", "high"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        return pa.table(dict(zip(("set", "low", "high"), told(*ends(np.asarray(t.column("set")), _matrix(t.column("low")), _matrix(t.column("high")))))))
+
+    ranges = group_arrow(map_arrow(rows.select("set", "sig"), spread_, "set bigint, low binary, high binary"), "set", merge, "set bigint, low binary, high binary")
+
+    def rekey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks: dict[bytes, list[np.ndarray]] = {}
+        for batch in batches:
+            names, node, least = (np.asarray(batch.column(i)) for i in (0, 1, 5))
+            sig, low, high = (_matrix(batch.column(i)) for i in (2, 3, 4)) if len(batch) else ([], [], [])
+            for name in np.unique(names):
+                at = np.flatnonzero(names == name)
+                varying = np.flatnonzero(low[at[0]] != high[at[0]])
+                if len(varying) <= distance:  # all are pairs: each hangs on the least
+                    other = at[node[at] != least[at]]
+                    sub = mix(node[other].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(int(name) % 2**64))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(sub.view(np.int64), 2)), pa.array(np.concatenate([node[other], least[other]]))], names=["set", "node"])
+                    continue
+                if varying.tobytes() not in masks:
+                    masks[varying.tobytes()] = split_masks(varying, distance)
+                keys = index_keys(sig[at], masks[varying.tobytes()])
+                keys = mix(keys + np.uint64(int(name) % 2**64) * np.uint64(0xD6E8FEB86659FD93))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(node[at], keys.shape[1]))], names=["set", "node"])
+
+    known = rows.join(ranges, "set").join(big.select("set", "least"), "set").select("set", "node", "sig", "low", "high", "least")
+    subs = materialize(map_arrow(known, rekey, "set bigint, node bigint"), "minhash-split")
+    shared = subs.groupBy("set").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("set")
+    return sets.join(big.select("set"), "set", "left_anti").select("set", "node").unionByName(subs.join(shared, "set", "left_semi").select("set", "node")).distinct()
+
+
 def verified(nodes: DataFrame, sets: DataFrame, distance: int = DISTANCE, every: bool = False, bucket_rows: int = 200_000) -> DataFrame:
     """(a, b) edges within the distance among the members of every candidate set."""
 
@@ -245,11 +319,11 @@ def near_pairs(docs: DataFrame, distance: int = DISTANCE, chunks: int = CHUNKS)
     return pairs.where("doc_a <> doc_b").select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct()
 
 
-def duplicates(docs: DataFrame, distance: int = DISTANCE, chunks: int = CHUNKS) -> DataFrame:
+def duplicates(docs: DataFrame, distance: int = DISTANCE, chunks: int = CHUNKS, large: int = LARGE) -> DataFrame:
     """(doc_id, kept_doc_id) of every document that repeats or nearly repeats another one, the least of its group."""
     sigs = materialize(signatures(docs), "minhash")
     nodes = materialize(_nodes(sigs), "minhash-nodes")
-    sets = materialize(candidate_sets(nodes, distance, chunks), "minhash-sets")
+    sets = split_large(nodes, materialize(candidate_sets(nodes, distance, chunks), "minhash-sets"), distance, large)
     edges = materialize(verified(nodes, sets, distance), "minhash-edges")
     roots = components(edges)
     group = nodes.join(roots, "node", "left").select("sig", F.coalesce("root", "node").alias("kept_doc_id"))
