@@ -13,7 +13,8 @@ COLUMNS = "name string, n_rows bigint, checksum bigint, n_columns int"
 
 def row_hash(df: DataFrame) -> Column:
     """A hash of a row's values; maps, which have no hash, by their sorted entries."""
-    return F.xxhash64(*(F.array_sort(F.map_entries(F.col(f"`{f.name}`"))) if f.dataType.typeName() == "map" else F.col(f"`{f.name}`") for f in df.schema.fields)) if df.columns else F.lit(0).cast("bigint")
+    return F.xxhash64(*(F.array_sort(F.map_entries(F.col(f"`{f.name}`"))) if f.dataType.typeName() ==
+            "map" else F.col(f"`{f.name}`") for f in df.schema.fields)) if df.columns else F.lit(0).cast("bigint")
 
 
 def fingerprint(df: DataFrame, name: str) -> DataFrame:
@@ -51,7 +52,8 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
             one = spark.createDataFrame([(r["name"], False, r["n_rows"], 0)], out.schema)
         else:
             found = fingerprint(spark.read.parquet(f"{path}/{r['folder']}"), r["name"])
-            one = found.select("name", ((F.col("n_rows") == r["n_rows"]) & (F.col("checksum") == r["checksum"])).alias("ok"), F.lit(r["n_rows"]).cast("bigint").alias("n_rows"), F.col("n_rows").alias("found_rows"))
+            one = found.select("name", ((F.col("n_rows") == r["n_rows"]) & (F.col("checksum") == r["checksum"])).alias("ok"),
+                F.lit(r["n_rows"]).cast("bigint").alias("n_rows"), F.col("n_rows").alias("found_rows"))
         out = out.unionByName(one)
     return out
 

@@ -14,7 +14,8 @@ from ..functions import text as X
 from .names import with_free_names
 
 MOST_RELATED, BUNDLE_VERSION = 12, "0.1"
-FRONT = ("type", "title", "description", "resource", "tags", "timestamp", "dewey_code", "dewey_label", "source_filename", "classification_confidence", "issuer", "series", "series_key", "period")
+FRONT = ("type", "title", "description", "resource", "tags", "timestamp", "dewey_code", "dewey_label", "source_filename",
+    "classification_confidence", "issuer", "series", "series_key", "period")
 
 
 def display_title() -> Column:
@@ -29,14 +30,25 @@ def markdown(citation: Column | None = None) -> Column:
     """Title, quoted summary, classification, tags, the cited passage and the text."""
     block = lambda when, *lines: F.when(when, F.concat_ws("\n", *lines, F.lit("")))
     summary = X.strip(F.coalesce("summary", F.lit("")))
-    parts = [F.concat(F.lit("# "), display_title(), F.lit("\n")), block(summary != "", F.concat(F.lit("> "), F.replace(summary, F.lit("\n"), F.lit(" ")))), block(classification_label().isNotNull(), F.concat(F.lit("Classification: "), classification_label())), block(F.size(F.coalesce("tags", F.array().cast("array<string>"))) > 0, F.concat(F.lit("Tags: "), F.array_join("tags", ", ")))]
+    parts = [F.concat(F.lit("# "), display_title(), F.lit("\n")),
+        block(summary != "", F.concat(F.lit("> "), F.replace(summary, F.lit("\n"), F.lit(" ")))),
+        block(classification_label().isNotNull(), F.concat(F.lit("Classification: "), classification_label())),
+        block(F.size(F.coalesce("tags", F.array().cast("array<string>"))) > 0,
+            F.concat(F.lit("Tags: "), F.array_join("tags", ", ")))]
     if citation is not None:
-        parts.append(block(citation.isNotNull(), F.lit("## Source Citation\n"), F.format_string("- Time: %.3fs-%.3fs", citation["start_seconds"], citation["end_seconds"]), F.format_string("- Segments: %d-%d", citation["start_segment_index"], citation["end_segment_index"]), F.format_string("- Match: %s (%.3f)", citation["strategy"], citation["confidence"]), F.concat(F.lit("\n> "), F.replace(citation["matched_text"], F.lit("\n"), F.lit(" ")))))
+        parts.append(block(citation.isNotNull(), F.lit("## Source Citation\n"),
+                F.format_string("- Time: %.3fs-%.3fs", citation["start_seconds"], citation["end_seconds"]),
+                F.format_string("- Segments: %d-%d", citation["start_segment_index"], citation["end_segment_index"]),
+                F.format_string("- Match: %s (%.3f)", citation["strategy"], citation["confidence"]),
+                F.concat(F.lit("\n> "), F.replace(citation["matched_text"], F.lit("\n"), F.lit(" ")))))
     return F.concat_ws("\n", *parts, F.lit("---\n"), F.col("text"))
 
 
 def as_json(citation: Column | None = None) -> Column:
-    fields = [F.col("document_id").cast("string").alias("document_id"), "filename", classification_label().alias("classification"), "title", "summary", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), X.export_stem(F.col("code"), F.col("title"), F.col("filename")).alias("suggested_stem"), "text"]
+    fields = [F.col("document_id").cast("string").alias("document_id"), "filename",
+        classification_label().alias("classification"), "title", "summary",
+        F.coalesce("tags", F.array().cast("array<string>")).alias("tags"),
+        X.export_stem(F.col("code"), F.col("title"), F.col("filename")).alias("suggested_stem"), "text"]
     whole = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
     if citation is None:
         return whole
@@ -62,29 +74,39 @@ def concepts(sources: DataFrame) -> DataFrame:
     label = F.coalesce(X.blank_to_null(X.strip(F.col("label"))), X.label_for(F.col("code")), F.lit("General"))
     one = sources.withColumns({"code": code}).withColumns({"label": label, "levels": X.dewey_path(F.col("code"))})
     named = F.transform("levels", lambda c: F.struct(c.alias("code"), F.coalesce(X.label_for(c), F.when(c == F.col("code"), F.col("label"))).alias("label")))
-    parts = F.transform("named", lambda s: F.when(s["label"].isNull(), X.slug(s["code"])).otherwise(F.concat(X.slug(s["code"]), F.lit("-"), X.slug(s["label"]))))
+    parts = F.transform("named", lambda s: F.when(s["label"].isNull(),
+            X.slug(s["code"])).otherwise(F.concat(X.slug(s["code"]), F.lit("-"), X.slug(s["label"]))))
     one = one.withColumn("named", named).withColumn("parts", parts).withColumn("directory", F.array_join("parts", "/"))
     stem = F.coalesce(X.blank_to_null(F.col("title")), X.stem(F.col("filename")))
     one = one.withColumns({"title": F.coalesce(X.blank_to_null(stem), F.lit("Untitled")), "name": X.slug(stem, "document")})
     one = with_free_names(one, ["directory"], "name", "document_id")
-    return one.withColumns({"path": F.concat(F.col("directory"), F.lit("/"), F.col("name"), F.lit(".md")), "description": F.coalesce(X.blank_to_null(F.col("description")), X.first_sentence(F.col("summary"))), "type": X.concept_kind(F.col("filename")), "resource": F.concat(F.lit("urn:folioflow:doc:"), F.col("document_id").cast("string")), "timestamp": F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")}).drop("levels")
+    return one.withColumns({"path": F.concat(F.col("directory"), F.lit("/"), F.col("name"), F.lit(".md")),
+            "description": F.coalesce(X.blank_to_null(F.col("description")), X.first_sentence(F.col("summary"))),
+            "type": X.concept_kind(F.col("filename")), "resource": F.concat(F.lit("urn:folioflow:doc:"),
+                F.col("document_id").cast("string")), "timestamp": F.date_format("created_at",
+                "yyyy-MM-dd'T'HH:mm:ss'Z'")}).drop("levels")
 
 
 def _neighbours(c: DataFrame, group: str, order: list[Column | str], shown: Column, name: str, most: int = MOST_RELATED) -> DataFrame:
     """The first ``most`` other members of each concept's group as (text, path). Only the first most + 1 of a group are ever needed."""
     top = c.where(F.col(group).isNotNull()).withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_n") <= most + 1)
-    listed = top.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col("_n").alias("n"), shown.alias("text"), F.col("path").alias("path")))).alias("_all"))
-    return c.join(listed, group, "left").withColumn(name, F.slice(F.filter(F.coalesce("_all", F.expr("array()")), lambda x: x["path"] != F.col("path")), 1, most)).drop("_all")
+    listed = top.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col("_n").alias("n"), shown.alias("text"),
+        F.col("path").alias("path")))).alias("_all"))
+    return c.join(listed, group, "left").withColumn(name,
+        F.slice(F.filter(F.coalesce("_all", F.expr("array()")), lambda x: x["path"] != F.col("path")), 1, most)).drop("_all")
 
 
 def linked(c: DataFrame) -> DataFrame:
     """Concepts with ``related`` (same code, in id order) and ``editions`` (same series, by period and title)."""
     out = _neighbours(c, "code", ["document_id"], F.col("title"), "related")
-    return _neighbours(out, "series_key", [F.coalesce("period", F.lit("")), F.lower("title"), "path"], F.coalesce("period", "series_title", "title"), "editions")
+    return _neighbours(out, "series_key", [F.coalesce("period", F.lit("")), F.lower("title"), "path"],
+        F.coalesce("period", "series_title", "title"), "editions")
 
 
 def frontmatter() -> Column:
-    quoted = {"title": "title", "description": "description", "resource": "resource", "timestamp": "timestamp", "dewey_code": "code", "dewey_label": "label", "source_filename": "filename", "issuer": "issuer", "series": "series_title", "series_key": "series_key", "period": "period", "type": "type"}
+    quoted = {"title": "title", "description": "description", "resource": "resource", "timestamp": "timestamp",
+        "dewey_code": "code", "dewey_label": "label", "source_filename": "filename", "issuer": "issuer",
+        "series": "series_title", "series_key": "series_key", "period": "period", "type": "type"}
     lines = []
     for f in FRONT:
         if f == "tags":
@@ -98,26 +120,39 @@ def frontmatter() -> Column:
 
 def concept_files(linked_: DataFrame) -> DataFrame:
     summary = X.squeeze(F.coalesce("summary", F.lit("")))
-    links = lambda c, title: F.when(F.size(c) > 0, F.concat(F.lit(f"\n## {title}\n\n"), F.array_join(F.transform(c, lambda x: F.concat(F.lit("- ["), x["text"], F.lit("](/"), x["path"], F.lit(")"))), "\n")))
-    body = F.concat_ws("\n", frontmatter(), F.lit(""), F.when(summary != "", F.concat(F.lit("> "), summary, F.lit("\n"))), X.strip(F.col("text")), links("editions", "Series Editions"), links("related", "Related"))
+    links = lambda c, title: F.when(F.size(c) > 0,
+        F.concat(F.lit(f"\n## {title}\n\n"), F.array_join(F.transform(c,
+        lambda x: F.concat(F.lit("- ["), x["text"], F.lit("](/"), x["path"], F.lit(")"))), "\n")))
+    body = F.concat_ws("\n", frontmatter(), F.lit(""), F.when(summary != "", F.concat(F.lit("> "), summary, F.lit("\n"))),
+        X.strip(F.col("text")), links("editions", "Series Editions"), links("related", "Related"))
     return linked_.select("path", F.concat(X.sub(body, r"\s+$", ""), F.lit("\n")).alias("content"))
 
 
 def directories(c: DataFrame) -> DataFrame:
     """(directory, parent, label, n_concepts): every directory with the number of concepts below it. Prefixes are exploded, nothing recurses."""
-    prefix = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.struct(F.array_join(F.slice("parts", F.lit(1), i), "/").alias("directory"), F.array_join(F.slice("parts", F.lit(1), i - 1), "/").alias("parent"), F.coalesce(F.col("named")[i - 1]["label"], F.col("named")[i - 1]["code"]).alias("label")))
+    prefix = F.transform(F.sequence(F.lit(1), F.size("parts")),
+        lambda i: F.struct(F.array_join(F.slice("parts", F.lit(1), i), "/").alias("directory"),
+            F.array_join(F.slice("parts", F.lit(1), i - 1), "/").alias("parent"),
+            F.coalesce(F.col("named")[i - 1]["label"], F.col("named")[i - 1]["code"]).alias("label")))
     return c.select("path", F.inline(prefix)).groupBy("directory", "parent").agg(F.max("label").alias("label"), F.count_distinct("path").alias("n_concepts"))
 
 
 def index_files(c: DataFrame, bundle_title: str = "Knowledge Bundle") -> DataFrame:
     dirs = directories(c)
-    sections = dirs.groupBy(F.col("parent").alias("directory")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("directory", "label", "n_concepts"))), lambda d: F.concat(F.lit("- ["), d["label"], F.lit("](/"), d["directory"], F.lit("/index.md) — "), d["n_concepts"].cast("string"), F.lit(" concept(s)"))), "\n").alias("sections"))
-    own = c.groupBy("directory").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.lower("title").alias("k"), F.col("path").alias("path"), F.col("title").alias("title"), F.col("description").alias("d")))), lambda x: F.concat(F.lit("- ["), x["title"], F.lit("](/"), x["path"], F.lit(")"), F.coalesce(F.concat(F.lit(" — "), x["d"]), F.lit("")))), "\n").alias("listed"))
+    sections = dirs.groupBy(F.col("parent").alias("directory")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("directory",
+                "label", "n_concepts"))), lambda d: F.concat(F.lit("- ["), d["label"], F.lit("](/"), d["directory"],
+        F.lit("/index.md) — "), d["n_concepts"].cast("string"), F.lit(" concept(s)"))), "\n").alias("sections"))
+    own = c.groupBy("directory").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.lower("title").alias("k"),
+                F.col("path").alias("path"), F.col("title").alias("title"), F.col("description").alias("d")))),
+                lambda x: F.concat(F.lit("- ["), x["title"], F.lit("](/"), x["path"], F.lit(")"),
+        F.coalesce(F.concat(F.lit(" — "), x["d"]), F.lit("")))), "\n").alias("listed"))
     every = dirs.select("directory", "label").unionByName(c.sparkSession.createDataFrame([("", bundle_title)], "directory string, label string"))
     head = F.concat(F.when(F.col("directory") == "", F.lit(f'---\nokf_version: "{BUNDLE_VERSION}"\n---\n\n')).otherwise(""), F.lit("# "), F.col("label"))
     body = F.concat_ws("\n", head, F.concat(F.lit("\n## Sections\n"), F.col("sections")), F.concat(F.lit("\n## Concepts\n"), F.col("listed")))
     joined = every.join(sections, "directory", "left").join(own, "directory", "left")
-    return joined.select(F.when(F.col("directory") == "", "index.md").otherwise(F.concat("directory", F.lit("/index.md"))).alias("path"), F.concat(body, F.lit("\n")).alias("content"))
+    return joined.select(F.when(F.col("directory") == "",
+            "index.md").otherwise(F.concat("directory", F.lit("/index.md"))).alias("path"),
+        F.concat(body, F.lit("\n")).alias("content"))
 
 
 def bundle(sources: DataFrame) -> DataFrame:

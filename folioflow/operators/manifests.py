@@ -21,7 +21,8 @@ _ALL = {"ignoreNullFields": "false"}
 
 def sidecar(source_path: Column, output_path: Column, format: Column, text: Column, extraction: Column | None = None) -> Column:
     """Where a converted file comes from and what was found in it."""
-    fields = [F.lit(MARK).alias("generated_by"), F.lit(SIDECAR).alias("artifact_type"), source_path.alias("source_path"), output_path.alias("output_path"), format.alias("format"), F.length(text).alias("output_chars")]
+    fields = [F.lit(MARK).alias("generated_by"), F.lit(SIDECAR).alias("artifact_type"), source_path.alias("source_path"),
+        output_path.alias("output_path"), format.alias("format"), F.length(text).alias("output_chars")]
     return F.to_json(F.struct(*fields, (F.lit(None).cast("string") if extraction is None else extraction).alias("extraction")), _ALL)
 
 
@@ -83,14 +84,25 @@ def page_manifest(pages: DataFrame, by: list[str]) -> DataFrame:
     ``pages`` has the columns of a page record, a status or the error and source that give one. Pages of a file that has no record yet are ``pending``, without attempts.
     A file's pages are one row; their number is bounded by the file.
     """
-    own = [F.col("page_number").cast("int").alias("page_number"), "source", (F.col("status") if "status" in pages.columns else page_status(F.col("error"), F.col("source"))).alias("status"), F.length(F.coalesce("text", F.lit(""))).alias("chars")]
-    record = F.struct(*own, F.col("confidence").cast("double").alias("confidence"), "corrected", "error", "warnings", F.col("attempts").cast("int").alias("attempts"), F.col("duration_ms").cast("double").alias("duration_ms"), "raw_text", "image_path", F.col("rotation_degrees").cast("int").alias("rotation_degrees"), "text")
-    held = pages.groupBy(*by).agg(F.array_sort(F.collect_list(record)).alias("_have"), *(F.first(c).alias(c) for c in ("source_path", "source_sha256", "extraction_config")), F.max("page_count").cast("int").alias("page_count"))
-    missing = F.filter(F.when(F.col("page_count") >= 1, F.sequence(F.lit(1), F.col("page_count"))).otherwise(F.array().cast("array<int>")), lambda n: ~F.exists("_have", lambda p: p["page_number"] == n))
-    blank = lambda n: F.from_json(F.concat(F.lit('{"source":"pending","status":"pending","attempts":0,"text":"","page_number":'), n.cast("string"), F.lit("}")), PAGE)
+    own = [F.col("page_number").cast("int").alias("page_number"), "source",
+        (F.col("status") if "status" in pages.columns else page_status(F.col("error"), F.col("source"))).alias("status"),
+        F.length(F.coalesce("text", F.lit(""))).alias("chars")]
+    record = F.struct(*own, F.col("confidence").cast("double").alias("confidence"), "corrected", "error", "warnings",
+        F.col("attempts").cast("int").alias("attempts"), F.col("duration_ms").cast("double").alias("duration_ms"), "raw_text",
+        "image_path", F.col("rotation_degrees").cast("int").alias("rotation_degrees"), "text")
+    held = pages.groupBy(*by).agg(F.array_sort(F.collect_list(record)).alias("_have"),
+        *(F.first(c).alias(c) for c in ("source_path", "source_sha256", "extraction_config")),
+        F.max("page_count").cast("int").alias("page_count"))
+    missing = F.filter(F.when(F.col("page_count") >= 1,
+            F.sequence(F.lit(1), F.col("page_count"))).otherwise(F.array().cast("array<int>")),
+        lambda n: ~F.exists("_have", lambda p: p["page_number"] == n))
+    blank = lambda n: F.from_json(F.concat(F.lit('{"source":"pending","status":"pending","attempts":0,"text":"","page_number":'),
+            n.cast("string"), F.lit("}")), PAGE)
     held = held.withColumn("_have", F.col("_have").cast(f"array<{PAGE}>"))
     every = held.withColumn("pages", F.array_sort(F.concat("_have", F.transform(missing, blank))))
-    whole = F.struct(F.lit(MARK).alias("generated_by"), F.lit(PAGE_MANIFEST).alias("artifact_type"), F.lit(1).alias("schema_version"), "source_path", "source_sha256", "extraction_config", "page_count", summary_of(F.col("pages")).alias("summary"), "pages")
+    whole = F.struct(F.lit(MARK).alias("generated_by"), F.lit(PAGE_MANIFEST).alias("artifact_type"),
+        F.lit(1).alias("schema_version"), "source_path", "source_sha256", "extraction_config", "page_count",
+        summary_of(F.col("pages")).alias("summary"), "pages")
     return every.select(*by, "source_path", "source_sha256", "extraction_config", "page_count", F.to_json(whole, _ALL).alias("json"))
 
 
@@ -99,7 +111,9 @@ def read_page_manifest(json: Column) -> Column:
     parsed = F.from_json(json, MANIFEST, {"mode": "PERMISSIVE"})
     is_object = F.regexp_like(json, F.lit(r"(?s)^\s*\{.*\}\s*$")) & F.try_parse_json(json).isNotNull()
     has_pages = F.regexp_like(F.coalesce(F.get_json_object(json, "$.pages"), F.lit("")), F.lit(r"^\s*\["))
-    error = F.when(F.try_parse_json(json).isNull(), "page manifest is invalid JSON").when(~is_object, "page manifest must be a JSON object").when(~parsed["artifact_type"].eqNullSafe(PAGE_MANIFEST), "page manifest has an unexpected artifact_type").when(~has_pages, "page manifest is missing pages")
+    error = F.when(F.try_parse_json(json).isNull(), "page manifest is invalid JSON").when(~is_object,
+        "page manifest must be a JSON object").when(~parsed["artifact_type"].eqNullSafe(PAGE_MANIFEST),
+        "page manifest has an unexpected artifact_type").when(~has_pages, "page manifest is missing pages")
     return F.struct(error.alias("error"), F.when(error.isNull(), parsed).alias("manifest"))
 
 
@@ -125,12 +139,17 @@ def pages_markdown(pages: DataFrame, by: list[str], source_path: str = "source_p
     """(by, markdown): each file's pages in order under front matter, each after a comment that says where its text is from."""
     number, text = F.col("page_number").cast("string"), X.strip(F.coalesce("text", F.lit("")))
     failed = F.concat(F.lit("<!-- page: "), number, F.lit(" source: "), "source", F.lit(" status: failed error: "), "error", F.lit(" -->\n"))
-    shown = F.concat(F.lit("<!-- page: "), number, F.lit(" source: "), "source", F.lit(" corrected: "), F.coalesce("corrected", F.lit(False)).cast("string"), F.lit(" -->\n\n#### Page "), number, F.lit("\n\n"), text, F.lit("\n"))
+    shown = F.concat(F.lit("<!-- page: "), number, F.lit(" source: "), "source", F.lit(" corrected: "),
+        F.coalesce("corrected", F.lit(False)).cast("string"), F.lit(" -->\n\n#### Page "), number, F.lit("\n\n"), text,
+        F.lit("\n"))
     block = F.when((text == "") & F.col("error").isNotNull() & (F.col("error") != ""), failed).otherwise(shown)
-    one = pages.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("page_number").alias("n"), block.alias("b")))), lambda x: x["b"]), "\n").alias("_body"), F.count(F.lit(1)).alias("_n"), F.first(source_path).alias("_path"))
+    one = pages.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("page_number").alias("n"),
+                block.alias("b")))), lambda x: x["b"]), "\n").alias("_body"), F.count(F.lit(1)).alias("_n"),
+        F.first(source_path).alias("_path"))
     name = F.element_at(F.split("_path", "/"), -1)
     title = F.coalesce(X.blank_to_null(X.strip(F.translate(X.stem(name), "_-", "  "))), name)
-    head = F.concat(F.lit(f"---\ngenerated_by: {MARK}\nartifact_type: pdf-page-extraction\nsource_file: "), name, F.lit("\npage_count: "), F.col("_n").cast("string"), F.lit("\n---\n\n# "), title, F.lit("\n\n"))
+    head = F.concat(F.lit(f"---\ngenerated_by: {MARK}\nartifact_type: pdf-page-extraction\nsource_file: "), name,
+        F.lit("\npage_count: "), F.col("_n").cast("string"), F.lit("\n---\n\n# "), title, F.lit("\n\n"))
     return one.select(*by, F.concat(X.strip(F.concat(head, "_body")), F.lit("\n")).alias("markdown"))
 
 
@@ -144,10 +163,13 @@ def import_report(items: DataFrame, kind: str = REPORT) -> DataFrame:
     done = lambda *s: F.count_if(F.col("status").isin(*s)).alias
     summary = F.struct("converted", "ingested", "processed", "queued", "skipped", "failed")
     one = items.agg(
-        done("converted", "ingested", "processed", "queued")("converted"), F.count_if(F.col("document_id").isNotNull()).alias("ingested"), done("processed")("processed"), done("queued")("queued"), done("skipped")("skipped"), done("failed")("failed"),
+        done("converted", "ingested", "processed", "queued")("converted"),
+            F.count_if(F.col("document_id").isNotNull()).alias("ingested"), done("processed")("processed"),
+            done("queued")("queued"), done("skipped")("skipped"), done("failed")("failed"),
         F.array_sort(F.collect_list(F.struct(*(F.col(c).cast("string").alias(c) for c in _ITEM)))).alias("items"),
     )
-    return one.select(F.to_json(F.struct(F.lit(MARK).alias("generated_by"), F.lit(kind).alias("artifact_type"), summary.alias("summary"), "items"), _ALL).alias("json"))
+    return one.select(F.to_json(F.struct(F.lit(MARK).alias("generated_by"), F.lit(kind).alias("artifact_type"),
+                summary.alias("summary"), "items"), _ALL).alias("json"))
 
 
 def manifest_error(path: str, json: str | None) -> str | None:
@@ -164,7 +186,8 @@ def manifest_error(path: str, json: str | None) -> str | None:
         return "manifest_path points to an invalid JSON file"
     if not isinstance(held, dict):
         return "manifest_path points to a non-object JSON file"
-    return None if held.get("generated_by") == MARK and held.get("artifact_type") in (REPORT, IMPORT) else "manifest_path points to a JSON file of another origin"
+    return None if held.get("generated_by") == MARK and held.get("artifact_type") in (REPORT,
+        IMPORT) else "manifest_path points to a JSON file of another origin"
 
 
 def workspace_output(data_dir: str, source_name: str | None, mode: str, output_dir: str | None = None) -> tuple[str, str | None]:
@@ -201,37 +224,48 @@ def budget_error(files: DataFrame, most_files: int, most_bytes: int) -> str | No
     return f"Import contains more than {most_bytes} bytes, exceeding configured limit {most_bytes}" if size > most_bytes else None
 
 
-def enrich_figures(docs: DataFrame, figures: DataFrame, describe, key: str = "document_id", most: int = 10, least_bytes: int = 1, most_bytes: int = 10 << 20, most_chars: int = 2000) -> DataFrame:
+def enrich_figures(docs: DataFrame, figures: DataFrame, describe, key: str = "document_id", most: int = 10, least_bytes: int = 1,
+    most_bytes: int = 10 << 20, most_chars: int = 2000) -> DataFrame:
     """``docs`` with a description after each figure's placeholder in ``text``, and ``n_figures``.
 
     ``figures``: key, ordinal, placeholder, page, media_type, data. Of equal placeholders the first counts; it must stand in the text and be of a size in
     range; the first ``most`` by ordinal are described. ``describe`` maps (media_type, data) columns to a text column, null where it fails.
     """
-    f = figures.join(docs.select(key, "text"), key).where(F.contains("text", "placeholder") & F.octet_length("data").between(least_bytes, most_bytes)).drop("text")
+    f = figures.join(docs.select(key, "text"), key).where(F.contains("text", "placeholder") &
+        F.octet_length("data").between(least_bytes, most_bytes)).drop("text")
     from pyspark.sql import Window
 
-    f = f.withColumn("_n", F.row_number().over(Window.partitionBy(key, "placeholder").orderBy("ordinal"))).where("_n = 1").withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("ordinal"))).where(F.col("_n") <= most)
+    f = f.withColumn("_n", F.row_number().over(Window.partitionBy(key,
+                "placeholder").orderBy("ordinal"))).where("_n = 1").withColumn("_n",
+        F.row_number().over(Window.partitionBy(key).orderBy("ordinal"))).where(F.col("_n") <= most)
     told = f.withColumn("_d", X.blank_to_null(F.substring(X.strip(describe(F.col("media_type"), F.col("data"))), 1, most_chars))).where("_d IS NOT NULL")
-    blocks = told.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ordinal", "placeholder", F.concat("placeholder", F.lit("\n\n**Figure (page "), F.col("page").cast("string"), F.lit("):** "), "_d").alias("block")))).alias("_b"))
+    blocks = told.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ordinal", "placeholder",
+        F.concat("placeholder", F.lit("\n\n**Figure (page "), F.col("page").cast("string"), F.lit("):** "),
+            "_d").alias("block")))).alias("_b"))
 
     def put(text: Column, b: Column) -> Column:
         at = F.position(b["placeholder"], text)
-        return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), b["block"], F.substring(text, at + F.length(b["placeholder"]), F.length(text)))).otherwise(text)
+        return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), b["block"],
+                F.substring(text, at + F.length(b["placeholder"]), F.length(text)))).otherwise(text)
 
     joined = docs.join(blocks, key, "left")
     text = F.when(F.col("_b").isNotNull(), F.aggregate("_b", F.col("text"), put)).otherwise(F.col("text"))
-    return joined.withColumns({"text": text, "n_figures": F.coalesce(F.size("_b"), F.lit(0))}).withColumn("n_figures", F.greatest("n_figures", F.lit(0))).drop("_b")
+    return joined.withColumns({"text": text, "n_figures": F.coalesce(F.size("_b"), F.lit(0))}).withColumn("n_figures",
+        F.greatest("n_figures", F.lit(0))).drop("_b")
 
 
 def figure_media_type(format: Column) -> Column:
-    kinds = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp", "tif": "image/tiff", "tiff": "image/tiff"}
-    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair)), F.ltrim(F.lower(format), F.lit("."))), F.lit("image/png"))
+    kinds = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp",
+        "bmp": "image/bmp", "tif": "image/tiff", "tiff": "image/tiff"}
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in kinds.items() for x in pair)),
+            F.ltrim(F.lower(format), F.lit("."))), F.lit("image/png"))
 
 
 def paragraph_text(text: Column, style: Column) -> Column:
     """A paragraph of a word-processor file: list styles become list marks."""
     body, kind = X.strip(F.coalesce(text, F.lit(""))), F.lower(F.coalesce(style, F.lit("")))
-    return F.when(body == "", "").when(kind.contains("list bullet"), F.concat(F.lit("- "), body)).when(kind.contains("list number"), F.concat(F.lit("1. "), body)).otherwise(body)
+    return F.when(body == "", "").when(kind.contains("list bullet"),
+        F.concat(F.lit("- "), body)).when(kind.contains("list number"), F.concat(F.lit("1. "), body)).otherwise(body)
 
 
 def table_text(rows: Column) -> Column:
@@ -244,4 +278,6 @@ def word_text(parts: DataFrame, by: list[str]) -> DataFrame:
     """(by, text) of word-processor parts (place, ordinal, text, style, rows): body paragraphs, then tables, then headers and footers, blank ones left out."""
     shown = F.when(F.col("rows").isNotNull(), table_text(F.col("rows"))).otherwise(paragraph_text(F.col("text"), F.col("style")))
     rank = F.when(F.col("place") != "body", 2).when(F.col("rows").isNotNull(), 1).otherwise(0)
-    return parts.select(*by, rank.alias("_r"), "ordinal", shown.alias("_t")).where("_t <> ''").groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", "ordinal", "_t"))), lambda x: x["_t"]), "\n\n").alias("text"))
+    return parts.select(*by, rank.alias("_r"), "ordinal",
+        shown.alias("_t")).where("_t <> ''").groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r",
+                "ordinal", "_t"))), lambda x: x["_t"]), "\n\n").alias("text"))

@@ -24,12 +24,14 @@ def with_free_names(df: DataFrame, within: list[str], name: str, order: str | li
     else:
         there = existing.select(*key).distinct().withColumn("_exists", F.lit(True))
         both = mine.alias("m").join(there.alias("e"), _same("m", "e", key), "full")
-        known = both.select(*(F.coalesce(F.col(f"m.{c}"), F.col(f"e.{c}")).alias(c) for c in key), F.coalesce("_rows", F.lit(0)).alias("_rows"), F.coalesce("_exists", F.lit(False)).alias("_exists"))
+        known = both.select(*(F.coalesce(F.col(f"m.{c}"), F.col(f"e.{c}")).alias(c) for c in key),
+            F.coalesce("_rows", F.lit(0)).alias("_rows"), F.coalesce("_exists", F.lit(False)).alias("_exists"))
     base, number = F.regexp_extract(name, _MADE, 1), F.regexp_extract(name, _MADE, 2)
     taken = known.where(F.col(name).rlike(_MADE)).select(*within, base.alias("_base"), number.cast("int").alias("_k"))
     taken = taken.groupBy(*within, "_base").agg(F.sort_array(F.collect_set("_k")).alias("_taken"))
     busy = known.where("_rows > 1 OR _exists").select(*key, "_exists")
-    busy = busy.alias("b").join(taken.alias("t"), _same("b", "t", within) & (F.col(f"b.{name}") == F.col("t._base")), "left").select(*(F.col(f"b.{c}").alias(c) for c in key), "_exists", "_taken")
+    busy = busy.alias("b").join(taken.alias("t"), _same("b", "t", within) & (F.col(f"b.{name}") == F.col("t._base")),
+        "left").select(*(F.col(f"b.{c}").alias(c) for c in key), "_exists", "_taken")
     ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order)))
     joined = ranked.alias("r").join(busy.alias("b"), _same("r", "b", key), "left").select("r.*", "b._exists", "b._taken")
     # the j-th number from 2 on that is free; j = 0 keeps the name

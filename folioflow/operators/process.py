@@ -82,9 +82,13 @@ def ingest(files: DataFrame, known: DataFrame | None = None) -> DataFrame:
     Equal contents are one document; it is a duplicate if it is known already.
     """
     name = F.element_at(F.split("source_path", "/"), -1)
-    mime = {"txt": "text/plain", "md": "text/markdown", "csv": "text/csv", "json": "application/json", "html": "text/html", "htm": "text/html", "pdf": "application/pdf", "srt": "application/x-subrip", "vtt": "text/vtt", "xml": "application/xml"}
+    mime = {"txt": "text/plain", "md": "text/markdown", "csv": "text/csv", "json": "application/json", "html": "text/html",
+        "htm": "text/html", "pdf": "application/pdf", "srt": "application/x-subrip", "vtt": "text/vtt",
+        "xml": "application/xml"}
     kinds = F.create_map(*(F.lit(x) for pair in mime.items() for x in pair))
-    own = files.withColumns({"sha256": F.sha2("content", 256), "byte_size": F.octet_length("content").cast("bigint"), "filename": name, "media_type": F.coalesce(F.try_element_at(kinds, F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))), F.lit("application/octet-stream"))})
+    own = files.withColumns({"sha256": F.sha2("content", 256), "byte_size": F.octet_length("content").cast("bigint"),
+            "filename": name, "media_type": F.coalesce(F.try_element_at(kinds, F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))),
+                F.lit("application/octet-stream"))})
     own = own.withColumn("document_id", F.concat(F.lit("doc_"), F.substring("sha256", 1, 16)))
     first = own.withColumn("_n", F.row_number().over(Window.partitionBy("document_id").orderBy("source_path"))).where("_n = 1").drop("_n", "content")
     if known is None:
@@ -104,7 +108,8 @@ def cache_hits(chunked: DataFrame, cache: DataFrame, key: str = "document_id") -
     return one.join(cache.select(F.col("chunk_sha256").alias("sha256"), F.col("text").alias("clean_text")), "sha256")
 
 
-def clean(chunked: DataFrame, model: Callable[[Column], Column] = X.mock_clean, mode: str = "fast", key: str = "document_id", most_chars: int | None = None) -> DataFrame:
+def clean(chunked: DataFrame, model: Callable[[Column], Column] = X.mock_clean, mode: str = "fast", key: str = "document_id",
+    most_chars: int | None = None) -> DataFrame:
     """(.., clean_text, warnings) of every chunk. ``model`` maps a prompt column to an answer.
 
     fast: chunks alone. balanced: with the last 500 characters of the answer before, in runs of four. max-coherence: through the document.
@@ -114,13 +119,15 @@ def clean(chunked: DataFrame, model: Callable[[Column], Column] = X.mock_clean,
         raise ValueError(f"unknown mode: {mode}")
     prompt = F.col("text")
     if mode != "fast":
-        order = Window.partitionBy(key).orderBy("ordinal") if mode == "max-coherence" else Window.partitionBy(key, F.floor(F.col("ordinal") / 4)).orderBy("ordinal")
+        order = Window.partitionBy(key).orderBy("ordinal") if mode == "max-coherence" else Window.partitionBy(key,
+            F.floor(F.col("ordinal") / 4)).orderBy("ordinal")
         before = F.lag(model(F.col("text"))).over(order)
         chunked = chunked.withColumn("_before", F.substring(before, -500, 500))
         prompt = F.when(F.length("_before") > 0, F.concat(F.lit("[CONTEXT: This continues from: "), "_before", F.lit("]\n\n"), F.col("text"))).otherwise(prompt)
     answer = model(prompt)
     if most_chars is not None:
-        answer = F.when(F.length(answer) <= most_chars, answer).otherwise(F.raise_error(F.lit("the model's answer exceeds the configured limit")).cast("string"))
+        answer = F.when(F.length(answer) <= most_chars,
+            answer).otherwise(F.raise_error(F.lit("the model's answer exceeds the configured limit")).cast("string"))
     checked = chunked.withColumn("_v", X.validate(answer, F.length("text"), F.col("text")))
     return checked.withColumns({"clean_text": F.col("_v.text"), "warnings": F.col("_v.warnings")}).drop("_v", "_before")
 
@@ -134,7 +141,8 @@ def validated_text(answer: str) -> str:
     return re.sub(r"\n[ \t]+", "\n", re.sub(r"[ \t]+\n", "\n", re.sub(r"\n{4,}", "\n\n\n", kept))).strip()
 
 
-def clean_in_turn(chunked: DataFrame, call: Callable[[str], str], mode: str = "max-coherence", key: str = "document_id", run: int = 4, carried: int = 500) -> DataFrame:
+def clean_in_turn(chunked: DataFrame, call: Callable[[str], str], mode: str = "max-coherence", key: str = "document_id",
+    run: int = 4, carried: int = 500) -> DataFrame:
     """``clean`` with the answer before as context in earnest: each chunk is asked after the one before it was, with the last characters of that one's text.
 
     max-coherence carries through the document, balanced through runs of ``run`` chunks of those given (with a cache: of the misses). ``call`` runs in the workers. A document's
@@ -207,7 +215,9 @@ def assemble_text(text: Column) -> Column:
 def assemble(cleaned: DataFrame, key: str = "document_id") -> DataFrame:
     """(key, text, warnings, n_chunks, failed_chunks) by document; one shuffle on the key."""
     parts = F.transform(F.array_sort(F.collect_list(F.when(X.strip(F.col("clean_text")) != "", F.struct("ordinal", "clean_text")))), lambda c: c["clean_text"])
-    grouped = cleaned.groupBy(key).agg(F.array_join(parts, "\n\n").alias("_joined"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("warnings")))).alias("warnings"), F.count(F.lit(1)).alias("n_chunks"), F.count_if(X.strip(F.col("clean_text")) == "").alias("failed_chunks"))
+    grouped = cleaned.groupBy(key).agg(F.array_join(parts, "\n\n").alias("_joined"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("warnings")))).alias("warnings"),
+        F.count(F.lit(1)).alias("n_chunks"), F.count_if(X.strip(F.col("clean_text")) == "").alias("failed_chunks"))
     return grouped.select(key, assemble_text(F.col("_joined")).alias("text"), "warnings", "n_chunks", "failed_chunks")
 
 

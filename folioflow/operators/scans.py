@@ -75,11 +75,13 @@ def is_usable(confidence: Column, threshold: float) -> Column:
 def rotation_choice(tries: DataFrame, by: list[str], threshold: float) -> DataFrame:
     """Of the tries (rotation, confidence, text) at 0, 90, 180 and 270 degrees the upright one if usable, else the most confident; null is least, the smaller rotation wins ties, a failed try (null text) is none."""
     done = tries.where("text IS NOT NULL OR rotation = 0")
-    score = F.struct((F.col("rotation").eqNullSafe(0) & is_usable(F.col("confidence"), threshold)).alias("upright"), F.coalesce("confidence", F.lit(-1.0)).alias("c"), (-F.col("rotation")).alias("r"))
+    score = F.struct((F.col("rotation").eqNullSafe(0) & is_usable(F.col("confidence"), threshold)).alias("upright"),
+        F.coalesce("confidence", F.lit(-1.0)).alias("c"), (-F.col("rotation")).alias("r"))
     return done.groupBy(*by).agg(F.max_by(F.struct("rotation", "confidence", "text"), score).alias("best")).select(*by, "best.*")
 
 
-def read_pages(images: DataFrame, ocr: Callable[[np.ndarray], tuple[str, float | None]], by: list[str], mode: str = "none", threshold: int = 128, low_confidence: float = 60.0, retry: bool = True) -> DataFrame:
+def read_pages(images: DataFrame, ocr: Callable[[np.ndarray], tuple[str, float | None]], by: list[str], mode: str = "none",
+    threshold: int = 128, low_confidence: float = 60.0, retry: bool = True) -> DataFrame:
     """(by, text, confidence, rotation_degrees, error) of images (height, width, channels, pixels): prepared, read upright, and turned by 90, 180 and 270 degrees while no try is usable."""
     fields = ", ".join(f"{c} {images.schema[c].dataType.simpleString()}" for c in by)
 
@@ -103,9 +105,11 @@ def read_pages(images: DataFrame, ocr: Callable[[np.ndarray], tuple[str, float |
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             got = [one(*r) for r in zip(f["height"], f["width"], f["channels"], f["pixels"])]
-            yield pd.DataFrame({**{c: f[c] for c in by}, "text": [g[0] for g in got], "confidence": [g[1] for g in got], "rotation_degrees": [g[2] for g in got], "error": [g[3] for g in got]})
+            yield pd.DataFrame({**{c: f[c] for c in by}, "text": [g[0] for g in got], "confidence": [g[1] for g in got],
+                    "rotation_degrees": [g[2] for g in got], "error": [g[3] for g in got]})
 
-    return images.select(*by, "height", "width", "channels", "pixels").mapInPandas(run, f"{fields}, text string, confidence double, rotation_degrees int, error string")
+    return images.select(*by, "height", "width", "channels", "pixels").mapInPandas(run,
+        f"{fields}, text string, confidence double, rotation_degrees int, error string")
 
 
 def corrected(pages: DataFrame, model: Callable[[Column], Column], mode: str, threshold: float, most_chars: int = 100_000) -> DataFrame:
@@ -116,11 +120,16 @@ def corrected(pages: DataFrame, model: Callable[[Column], Column], mode: str, th
     asks = needs_correction(mode, F.col("confidence"), threshold) & (X.strip(F.coalesce("text", F.lit(""))) != "")
     prompt = F.concat(F.lit("Correct OCR text from PDF page "), F.col("page_number").cast("string"), F.lit(". Return only corrected text.\n\n"), F.col("text"))
     answered = pages.withColumn("_asks", asks).withColumn("_answer", X.strip(model(F.when(F.col("_asks"), prompt))))
-    checked = answered.withColumn("_v", F.when(F.col("_asks") & (F.length("_answer") <= most_chars), X.validate(F.col("_answer"), F.length("text"), F.col("text"))))
+    checked = answered.withColumn("_v", F.when(F.col("_asks") & (F.length("_answer") <= most_chars),
+            X.validate(F.col("_answer"), F.length("text"), F.col("text"))))
     where = F.concat(F.lit(" for page "), F.col("page_number").cast("string"))
-    error = F.when(~F.col("_asks"), None).when(F.length("_answer") > most_chars, F.concat(F.lit("correction is too long"), where)).when(F.coalesce("_v.text", F.lit("")) == "", F.concat(F.lit("correction returned empty text"), where))
+    error = F.when(~F.col("_asks"), None).when(F.length("_answer") > most_chars,
+        F.concat(F.lit("correction is too long"), where)).when(F.coalesce("_v.text", F.lit("")) == "",
+        F.concat(F.lit("correction returned empty text"), where))
     good = F.col("_asks") & error.isNull()
-    return checked.withColumns({"raw_text": F.when(good, F.col("text")), "corrected": good, "warnings": F.when(good, F.col("_v.warnings")).otherwise(F.array().cast("array<string>")), "error": error, "text": F.when(good, F.col("_v.text")).otherwise(F.col("text"))}).drop("_asks", "_answer", "_v")
+    return checked.withColumns({"raw_text": F.when(good, F.col("text")), "corrected": good,
+            "warnings": F.when(good, F.col("_v.warnings")).otherwise(F.array().cast("array<string>")), "error": error,
+            "text": F.when(good, F.col("_v.text")).otherwise(F.col("text"))}).drop("_asks", "_answer", "_v")
 
 
 def mock_correction(prompt: Column) -> Column:

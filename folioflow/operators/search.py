@@ -120,7 +120,8 @@ def _term_lists(batches: Iterator[pa.RecordBatch], only: list[str] | None) -> It
         first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])])[: len(row)])
         positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(position.astype(np.int32)))
         keys = [c.take(pa.array(row[first])) for c in batch.columns[:-1]]
-        yield pa.RecordBatch.from_arrays([*keys, words.dictionary.take(pa.array(code[first])), positions], names=[*batch.schema.names[:-1], "term", "positions"])
+        yield pa.RecordBatch.from_arrays([*keys, words.dictionary.take(pa.array(code[first])), positions],
+            names=[*batch.schema.names[:-1], "term", "positions"])
 
 
 class Index:
@@ -133,7 +134,8 @@ class Index:
     def build(cls, texts: DataFrame, key: list[str], text: str = "text", only: list[str] | None = None) -> Index:
         """Index ``texts``: one scan, no shuffle. With ``only``, just the postings of these terms are made."""
         split = spread(texts.select(*key, text)).select(*key, tokens_of(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-        schema = T.StructType([*split.select(*key).schema.fields, T.StructField("term", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
+        schema = T.StructType([*split.select(*key).schema.fields, T.StructField("term", T.StringType()),
+                T.StructField("positions", T.ArrayType(T.IntegerType()))])
         return cls(split.mapInArrow(lambda batches: _term_lists(batches, only), schema), split.select(*key, F.size("tokens").alias("n_tokens")), key)
 
     def write(self, path: str, buckets: int = 64) -> None:
@@ -161,7 +163,8 @@ class Index:
     def matches(self, tree) -> DataFrame:
         """key, f_0.. (occurrences of each leaf) of the texts that satisfy the tree."""
         terms = terms_of(tree)
-        at = self.postings.where(F.col("term").isin(*terms)).groupBy(*self.key).agg(*(F.flatten(F.collect_list(F.when(F.col("term") == t, F.col("positions")))).alias(f"_p{i}") for i, t in enumerate(terms)))
+        at = self.postings.where(F.col("term").isin(*terms)).groupBy(*self.key).agg(*(F.flatten(F.collect_list(F.when(F.col("term") ==
+                        t, F.col("positions")))).alias(f"_p{i}") for i, t in enumerate(terms)))
         place = {t: F.coalesce(F.col(f"_p{i}"), F.array().cast("array<int>")) for i, t in enumerate(terms)}
 
         def count(leaf: Leaf) -> Column:
@@ -221,7 +224,10 @@ class Filters:
 
     def apply(self, df: DataFrame) -> DataFrame:
         """Only what is set becomes a predicate, so that it can be pushed down."""
-        tests = ((self.code, lambda v: F.col("code") == v), (self.code_prefix, lambda v: like(F.col("code"), v, True)), (self.status, lambda v: F.col("status") == v), (self.filename_contains, lambda v: like(F.col("filename"), v)), (self.created_after, lambda v: F.col("created_at") >= F.lit(v)), (self.created_before, lambda v: F.col("created_at") <= F.lit(v)))
+        tests = ((self.code, lambda v: F.col("code") == v), (self.code_prefix, lambda v: like(F.col("code"), v, True)),
+            (self.status, lambda v: F.col("status") == v), (self.filename_contains, lambda v: like(F.col("filename"), v)),
+            (self.created_after, lambda v: F.col("created_at") >= F.lit(v)),
+            (self.created_before, lambda v: F.col("created_at") <= F.lit(v)))
         for value, test in tests:
             if value is not None:
                 df = df.where(test(value))
@@ -237,10 +243,12 @@ def latest_outputs(outputs: DataFrame, runs: DataFrame) -> DataFrame:
 def latest_succeeded(outputs: DataFrame, runs: DataFrame) -> DataFrame:
     """The export rule: the newest output of a succeeded run, one a document."""
     done = outputs.join(runs.where("status = 'succeeded'").select("run_id"), "run_id")
-    return done.withColumn("_r", F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("created_at"), F.desc("run_id")))).where("_r = 1").drop("_r")
+    return done.withColumn("_r", F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc("created_at"),
+                F.desc("run_id")))).where("_r = 1").drop("_r")
 
 
-def hits(index: Index, query: str, documents: DataFrame, classifications: DataFrame | None = None, filters: Filters = Filters(), phrase: bool = False, scored: bool = True, current: DataFrame | None = None) -> DataFrame:
+def hits(index: Index, query: str, documents: DataFrame, classifications: DataFrame | None = None, filters: Filters = Filters(),
+    phrase: bool = False, scored: bool = True, current: DataFrame | None = None) -> DataFrame:
     """All matching rows with document and classification columns. ``current`` limits an index of versions to (document_id, run_id) in force."""
     tree = parse_query(query, phrase)
     found = index.scored(tree) if scored else index.matches(tree).where("_hit").select(*index.key)
@@ -252,26 +260,36 @@ def hits(index: Index, query: str, documents: DataFrame, classifications: DataFr
     return filters.apply(joined)
 
 
-def search(index: Index, query: str, documents: DataFrame, classifications: DataFrame | None = None, filters: Filters = Filters(), phrase: bool = False, limit: int = 20, offset: int = 0, **how) -> DataFrame:
+def search(index: Index, query: str, documents: DataFrame, classifications: DataFrame | None = None, filters: Filters = Filters(),
+    phrase: bool = False, limit: int = 20, offset: int = 0, **how) -> DataFrame:
     """A page of hits: best score first, then newest, then by id."""
     if not 1 <= limit <= 500 or offset < 0:
         raise ValueError("limit must be between 1 and 500, offset not negative")
-    return hits(index, query, documents, classifications, filters, phrase, **how).orderBy("score", F.desc("created_at"), "document_id").offset(offset).limit(limit)
+    return hits(index, query, documents, classifications, filters, phrase, **how).orderBy("score", F.desc("created_at"),
+        "document_id").offset(offset).limit(limit)
 
 
-def count(index: Index, query: str, documents: DataFrame, classifications: DataFrame | None = None, filters: Filters = Filters(), phrase: bool = False, **how) -> DataFrame:
+def count(index: Index, query: str, documents: DataFrame, classifications: DataFrame | None = None, filters: Filters = Filters(),
+    phrase: bool = False, **how) -> DataFrame:
     return hits(index, query, documents, classifications, filters, phrase, scored=False, **how).agg(F.count_distinct("document_id").alias("total"))
 
 
-def facets(index: Index, query: str, documents: DataFrame, classifications: DataFrame, filters: Filters = Filters(), phrase: bool = False, facet_limit: int = 20, **how) -> DataFrame:
+def facets(index: Index, query: str, documents: DataFrame, classifications: DataFrame, filters: Filters = Filters(),
+    phrase: bool = False, facet_limit: int = 20, **how) -> DataFrame:
     """(facet, value, label, count): classification and filename cut at ``facet_limit``, status whole, and the total. One pass over the hits."""
     if not 1 <= facet_limit <= 500:
         raise ValueError("facet_limit must be between 1 and 500")
-    each = hits(index, query, documents, classifications, filters, phrase, scored=False, **how).select("document_id", "code", "label", "status", "filename").distinct()
-    kinds = F.array(*(F.struct(F.lit(k).alias("facet"), v.alias("value"), l.alias("label")) for k, v, l in (("classification", F.col("code"), F.col("label")), ("status", F.col("status"), F.lit(None).cast("string")), ("filename", F.col("filename"), F.lit(None).cast("string")), ("total", F.lit(None).cast("string"), F.lit(None).cast("string")))))
+    each = hits(index, query, documents, classifications, filters, phrase, scored=False, **how).select("document_id", "code",
+        "label", "status", "filename").distinct()
+    kinds = F.array(*(F.struct(F.lit(k).alias("facet"), v.alias("value"), l.alias("label")) for k, v,
+            l in (("classification", F.col("code"), F.col("label")), ("status", F.col("status"), F.lit(None).cast("string")),
+                ("filename", F.col("filename"), F.lit(None).cast("string")),
+                ("total", F.lit(None).cast("string"), F.lit(None).cast("string")))))
     counted = each.select(F.inline(kinds)).groupBy("facet", "value", "label").agg(F.count(F.lit(1)).alias("count"))
     top = Window.partitionBy("facet").orderBy(F.desc("count"), F.asc_nulls_first("value"), F.asc_nulls_first("label"))
-    return counted.withColumn("_n", F.row_number().over(top)).where(F.col("facet").isin("status", "total") | (F.col("_n") <= facet_limit)).select("facet", F.coalesce("value", F.lit("")).alias("value"), F.coalesce("label", F.lit("")).alias("label"), "count")
+    return counted.withColumn("_n", F.row_number().over(top)).where(F.col("facet").isin("status",
+            "total") | (F.col("_n") <= facet_limit)).select("facet", F.coalesce("value", F.lit("")).alias("value"),
+        F.coalesce("label", F.lit("")).alias("label"), "count")
 
 
 def snippets(page: DataFrame, texts: DataFrame, query: str, phrase: bool = False, window: int = 16) -> DataFrame:
@@ -289,7 +307,8 @@ def snippets(page: DataFrame, texts: DataFrame, query: str, phrase: bool = False
             if not tokens:
                 return html.escape(text)
             starts = range(max(1, len(tokens) - window + 1))
-            best = max(starts, key=lambda s: (len({text[a:b].lower() for a, b, h in tokens[s : s + window] if h}), sum(h for _, _, h in tokens[s : s + window]), -s))
+            best = max(starts, key=lambda s: (len({text[a:b].lower() for a, b, h in tokens[s : s + window] if h}),
+                    sum(h for _, _, h in tokens[s : s + window]), -s))
             shown = tokens[best : best + window]
             out, at = [] if best == 0 else ["..."], 0 if best == 0 else shown[0][0]
             for a, b, hit in shown:
@@ -305,7 +324,8 @@ def snippets(page: DataFrame, texts: DataFrame, query: str, phrase: bool = False
 
 def recall(index: Index, phrases: list[str], documents: DataFrame, expected_id, top: int = 20) -> DataFrame:
     """(phrase, hit) of each phrase: is the expected document among the first ``top``?"""
-    frames = [search(index, p, documents, limit=top).agg(F.lit(p).alias("phrase"), F.coalesce(F.bool_or(F.col("document_id") == F.lit(expected_id)), F.lit(False)).alias("hit")) for p in phrases]
+    frames = [search(index, p, documents, limit=top).agg(F.lit(p).alias("phrase"),
+            F.coalesce(F.bool_or(F.col("document_id") == F.lit(expected_id)), F.lit(False)).alias("hit")) for p in phrases]
     return reduce(DataFrame.unionByName, frames)
 
 
@@ -376,7 +396,8 @@ def quotes_in(docs: DataFrame, quotes: DataFrame, key: str, quote_key: str) -> D
         return _scan_for(docs, q, key, quote_key).distinct()
     d = docs.select(key, F.lower("text").alias("_text"))
     gram = lambda t, i: F.xxhash64(F.get(t, i), F.get(t, i + 1), F.get(t, i + 2))
-    grams = F.when(F.size("_w") >= 3, F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: gram(F.col("_w"), i))).otherwise(F.array().cast("array<bigint>"))
+    grams = F.when(F.size("_w") >= 3, F.transform(F.sequence(F.lit(0), F.size("_w") - 3),
+            lambda i: gram(F.col("_w"), i))).otherwise(F.array().cast("array<bigint>"))
     keyed = d.withColumn("_w", tokens_of(F.col("_text"))).select(key, F.explode(F.array_distinct(grams)).alias("_gram"))
     long = q.where(F.size("_t") >= 5).select(quote_key, "_quote", gram(F.col("_t"), F.lit(1)).alias("_gram"))
     # candidates first, so that only texts that have one are joined again

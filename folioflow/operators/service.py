@@ -117,7 +117,8 @@ def event_text(events: DataFrame, runs: DataFrame, records: bool = False) -> Dat
         line = F.concat(F.lit("event: run-event\ndata: "), F.to_json(F.struct(*fields)), F.lit("\n\n"))
     else:
         line = F.concat(F.lit("data: "), "stage", F.lit(": "), "message", F.lit("\n\n"))
-    told = events.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("sequence").alias("s"), line.alias("l")))), lambda x: x["l"]), "").alias("text"))
+    told = events.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("sequence").alias("s"),
+                line.alias("l")))), lambda x: x["l"]), "").alias("text"))
     state = runs.select("run_id", F.col("status").alias("_s"))
     ended = F.col("_s").isNull() | F.col("_s").isin(*DONE)
     return told.join(state, "run_id", "left").select("run_id", F.concat("text", F.when(ended, "event: done\ndata: done\n\n").otherwise("")).alias("text"))
@@ -125,7 +126,8 @@ def event_text(events: DataFrame, runs: DataFrame, records: bool = False) -> Dat
 
 def log_line(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``records`` (level, logger, message, timestamp, fields of a request, exception) as JSON lines, secrets redacted, nulls left out; columns ``keep`` stay beside them."""
-    fields = [F.col(c) for c in ("level", "logger")] + [X.redact(F.col("message")).alias("message"), F.col("timestamp")] + [F.col(c) for c in LOG_FIELDS if c in records.columns]
+    fields = [F.col(c) for c in ("level", "logger")] + [X.redact(F.col("message")).alias("message"),
+        F.col("timestamp")] + [F.col(c) for c in LOG_FIELDS if c in records.columns]
     if "exception" in records.columns:
         fields.append(X.redact(F.col("exception")).alias("exception"))
     return records.select(*keep, F.to_json(F.struct(*fields)).alias("line"))
@@ -140,7 +142,9 @@ def otel_headers(headers: Column) -> Column:
     last = F.filter(parts, lambda p, i: ~F.exists(F.slice(parts, i + 2, F.greatest(F.size(parts), F.lit(1))), lambda q: key(q) == key(p)))
     made = F.map_from_entries(F.transform(last, lambda p: F.struct(key(p), value(p))))
     empty = F.expr("map()").cast("map<string,string>")
-    return F.when(headers.isNull() | (X.strip(headers) == ""), empty).when(wrong, F.raise_error(F.lit("OpenTelemetry headers must use key=value pairs")).cast("map<string,string>")).when(nameless, F.raise_error(F.lit("OpenTelemetry header names must not be empty")).cast("map<string,string>")).otherwise(made)
+    return F.when(headers.isNull() | (X.strip(headers) == ""), empty).when(wrong,
+        F.raise_error(F.lit("OpenTelemetry headers must use key=value pairs")).cast("map<string,string>")).when(nameless,
+        F.raise_error(F.lit("OpenTelemetry header names must not be empty")).cast("map<string,string>")).otherwise(made)
 
 
 def retry_delay(attempt: Column, base: float, most: float) -> Column:
@@ -154,7 +158,8 @@ def is_retriable(error: Exception) -> bool:
     return isinstance(error, (ConnectionError, TimeoutError)) or (isinstance(code, int) and (code == 429 or code >= 500))
 
 
-def with_retries(call: Callable[[str], str], retries: int = 3, base: float = 0.5, most: float = 8.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[str], str]:
+def with_retries(call: Callable[[str], str], retries: int = 3, base: float = 0.5, most: float = 8.0,
+    sleep: Callable[[float], None] = time.sleep) -> Callable[[str], str]:
     """``call`` tried again while its errors may pass; the last one is raised with secrets redacted. Runs in the workers."""
 
     def run(prompt: str) -> str:
@@ -177,7 +182,8 @@ def model_column(call: Callable[[str], str] | None, most_prompt_chars: int = 200
     """A model as a Column function: the deterministic stand-in without a ``call``; a longer prompt is an error before any call. One prompt is asked once a batch."""
 
     def bounded(prompt: Column) -> Column:
-        too_long = F.raise_error(F.concat(F.lit("LLM prompt exceeded configured character limit ("), F.length(prompt).cast("string"), F.lit(f" > {most_prompt_chars})"))).cast("string")
+        too_long = F.raise_error(F.concat(F.lit("LLM prompt exceeded configured character limit ("),
+                F.length(prompt).cast("string"), F.lit(f" > {most_prompt_chars})"))).cast("string")
         return F.when(F.length(prompt) > most_prompt_chars, too_long).otherwise(prompt)
 
     if call is None:

@@ -145,13 +145,18 @@ def _versions(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").withColumn("n", F.explode(F.array(F.lit(0), F.lit(1))))
     hours = F.col("doc_id") + F.when(F.col("doc_id") % 7 == 0, 0).otherwise(F.col("n"))
     made = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_interval(hours=hours.cast("int"))
-    return t.select(F.col("doc_id").alias("document_id"), (F.col("doc_id") * 2 + F.col("n")).alias("run_id"), made.alias("created_at"), F.when((F.col("doc_id") + F.col("n")) % 5 != 0, "succeeded").otherwise("failed").alias("status"), F.concat("text", F.when(F.col("n") == 1, " tion renewed").otherwise("")).alias("text"))
+    return t.select(F.col("doc_id").alias("document_id"), (F.col("doc_id") * 2 + F.col("n")).alias("run_id"),
+        made.alias("created_at"), F.when((F.col("doc_id") + F.col("n")) % 5 != 0,
+            "succeeded").otherwise("failed").alias("status"), F.concat("text", F.when(F.col("n") == 1,
+                " tion renewed").otherwise("")).alias("text"))
 
 
 def _cleaned(spark: SparkSession, d: str) -> tuple[S.Index, DataFrame]:
     """The index of all versions, and those in force: the latest output of each document, if its run succeeded."""
     v = _versions(spark, d)
-    return S.Index.build(v, ["document_id", "run_id"], only=["tion", "renewed"]), S.latest_outputs(v.select("document_id", "run_id", "created_at"), v.select("run_id", "status"))
+    return S.Index.build(v, ["document_id", "run_id"],
+        only=["tion", "renewed"]), S.latest_outputs(v.select("document_id", "run_id", "created_at"),
+        v.select("run_id", "status"))
 
 
 _CLEANED = f"""WITH {DOCS}, {CLASSES}, {_VERSIONS}, k AS (SELECT document_id, run_id, regexp_extract_all(lower(text), '[\\pL\\pN]+') AS k FROM v),

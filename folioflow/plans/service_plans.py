@@ -19,9 +19,11 @@ from .table_plans import _PAGES, _QUEUE, NOW, _now, _pages, _queue
 @query(f"WITH {_QUEUE}, b AS (SELECT event_id AS run_id, CASE WHEN user_id % 2 = 0 THEN 'w1' ELSE 'w2' END AS worker FROM events WHERE event_id % 2 = 0) SELECT q.run_id, CASE WHEN b.worker = q.locked_by AND q.status = 'running' THEN TIMESTAMP '{NOW}' + INTERVAL 90 SECOND ELSE locked_at END AS locked_at, CASE WHEN b.worker = q.locked_by AND q.status = 'running' THEN TIMESTAMP '{NOW}' ELSE updated_at END AS updated_at, CASE WHEN b.run_id IS NULL THEN 'none' ELSE coalesce(b.worker = q.locked_by AND q.status = 'running', false)::varchar END AS extended FROM q LEFT JOIN b USING (run_id)")
 def queue_heartbeat(spark: SparkSession, d: str) -> DataFrame:
     """Every other entry gets a beat, of its own worker or of another one."""
-    beats = table(spark, d, "events").where("event_id % 2 = 0").select(F.col("event_id").alias("run_id"), F.when(F.col("user_id") % 2 == 0, "w1").otherwise("w2").alias("worker"))
+    beats = table(spark, d, "events").where("event_id % 2 = 0").select(F.col("event_id").alias("run_id"),
+        F.when(F.col("user_id") % 2 == 0, "w1").otherwise("w2").alias("worker"))
     after, told = T.heartbeat(_queue(spark, d), beats, _now(), 90)
-    return after.join(told.drop("worker"), "run_id", "left").select("run_id", "locked_at", "updated_at", F.coalesce(F.col("extended").cast("string"), F.lit("none")).alias("extended"))
+    return after.join(told.drop("worker"), "run_id", "left").select("run_id", "locked_at", "updated_at",
+        F.coalesce(F.col("extended").cast("string"), F.lit("none")).alias("extended"))
 
 
 @query(f"WITH {_QUEUE} SELECT run_id, CASE WHEN run_id % 3 = 0 THEN 'canceled' ELSE status END AS status, CASE WHEN run_id % 3 <> 0 THEN locked_by END AS locked_by, CASE WHEN run_id % 3 <> 0 THEN locked_at END AS locked_at, CASE WHEN run_id % 3 = 0 THEN 'stop ' || run_id ELSE NULL END AS last_error, CASE WHEN run_id % 3 = 0 THEN TIMESTAMP '{NOW}' ELSE updated_at END AS updated_at FROM q")
@@ -34,8 +36,12 @@ def queue_cancel(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {RUNS}, p AS (SELECT l_orderkey AS run_id, max(l_linenumber)::int AS completed_chunks FROM lineitem GROUP BY 1) SELECT r.run_id, CASE WHEN p.run_id IS NOT NULL AND r.status <> 'failed' THEN 'running' WHEN r.status = 'failed' THEN 'canceled' ELSE r.status END AS status, CASE WHEN p.run_id IS NOT NULL AND r.status <> 'failed' THEN p.completed_chunks ELSE 0 END AS completed_chunks FROM runs r LEFT JOIN p USING (run_id)")
 def run_progress(spark: SparkSession, d: str) -> DataFrame:
     """A run's lines are its chunks; each tells how far it is, the furthest counts; failed runs stand for canceled ones."""
-    held = runs(spark, d).withColumn("status", F.when(F.col("status") == "failed", "canceled").otherwise(F.col("status"))).withColumns({"completed_chunks": F.lit(0), "failed_chunks": F.lit(0), "updated_at": _now()})
-    told = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.lit("running").alias("status"), F.lit("clean").alias("stage"), F.col("l_linenumber").cast("int").alias("completed_chunks"), F.lit(0).alias("failed_chunks"))
+    held = runs(spark, d).withColumn("status",
+        F.when(F.col("status") == "failed", "canceled").otherwise(F.col("status"))).withColumns({"completed_chunks": F.lit(0),
+            "failed_chunks": F.lit(0), "updated_at": _now()})
+    told = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.lit("running").alias("status"),
+        F.lit("clean").alias("stage"), F.col("l_linenumber").cast("int").alias("completed_chunks"),
+        F.lit(0).alias("failed_chunks"))
     return T.update_progress(held, told, _now()).select("run_id", "status", "completed_chunks")
 
 
@@ -46,7 +52,9 @@ def runs_started(spark: SparkSession, d: str) -> DataFrame:
     wanted = table(spark, d, "orders").select(F.col("o_custkey").alias("document_id"))
     wanted = wanted.unionByName(wanted.where("document_id % 10 = 0").select((F.col("document_id") + 1000000).alias("document_id")))
     started, events, unknown = T.start_runs(docs, wanted, "1", _now())
-    return started.join(events.select("run_id", "message"), "run_id").select("run_id", "document_id", "status", "message").unionByName(unknown.select(F.lit("unknown").alias("run_id"), "document_id", F.lit("").alias("status"), F.lit("").alias("message")))
+    return started.join(events.select("run_id", "message"), "run_id").select("run_id", "document_id", "status",
+        "message").unionByName(unknown.select(F.lit("unknown").alias("run_id"), "document_id", F.lit("").alias("status"),
+            F.lit("").alias("message")))
 
 
 @query(f"WITH {_QUEUE}, {RUNS}, due AS (SELECT q.* FROM q JOIN runs r USING (run_id) WHERE q.status IN ('queued', 'retry', 'running') AND available_at <= TIMESTAMP '{NOW}' AND (locked_at IS NULL OR locked_at <= TIMESTAMP '{NOW}') AND r.status NOT IN ('succeeded', 'canceled') ORDER BY updated_at, run_id LIMIT 200), o AS (SELECT *, CASE run_id % 4 WHEN 0 THEN 'succeeded' WHEN 1 THEN 'failed' WHEN 2 THEN 'canceled' ELSE 'lost' END AS outcome FROM due) SELECT q.run_id, CASE outcome WHEN 'succeeded' THEN 'succeeded' WHEN 'canceled' THEN 'canceled' ELSE CASE WHEN outcome IS NULL THEN q.status WHEN q.attempts + 1 >= 3 THEN 'failed' ELSE 'retry' END END AS status, CASE WHEN outcome IS NULL THEN q.attempts ELSE q.attempts + 1 END AS attempts, CASE outcome WHEN 'failed' THEN 'boom' WHEN 'lost' THEN 'no outcome' ELSE NULL END AS last_error FROM q LEFT JOIN o USING (run_id)")
@@ -55,7 +63,9 @@ def queue_worked(spark: SparkSession, d: str) -> DataFrame:
 
     def process(work: DataFrame) -> DataFrame:
         kind = F.col("run_id") % 4
-        return work.where(kind != 3).select("run_id", F.when(kind == 0, "succeeded").when(kind == 1, "failed").otherwise("canceled").alias("outcome"), F.when(kind == 1, "boom").alias("error"))
+        return work.where(kind != 3).select("run_id",
+            F.when(kind == 0, "succeeded").when(kind == 1, "failed").otherwise("canceled").alias("outcome"),
+            F.when(kind == 1, "boom").alias("error"))
 
     after, _ = T.work_once(_queue(spark, d), runs(spark, d), "w9", _now(), 60, process, 3, 200)
     return after.select("run_id", "status", "attempts", "last_error")
@@ -93,7 +103,8 @@ def ocr_pages_by_source(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT CASE event_type WHEN 'error' THEN 'unsupported' WHEN 'click' THEN 'dependency-missing' WHEN 'view' THEN 'empty-output' ELSE 'extraction-failed' END || ':' || CASE WHEN user_id % 2 = 0 THEN 'pdf' ELSE 'none' END AS key, count(*) AS "count" FROM events GROUP BY 1""")
 def conversion_failure_counts(spark: SparkSession, d: str) -> DataFrame:
     message = F.expr("CASE event_type WHEN 'error' THEN 'Unsupported file extension: .x' WHEN 'click' THEN 'OCR requires installing tesseract' WHEN 'view' THEN 'No extractable text' ELSE 'broken' END")
-    failures = table(spark, d, "events").select(X.conversion_failure(message).alias("failure"), F.when(F.col("user_id") % 2 == 0, "pdf").otherwise("").alias("extension"))
+    failures = table(spark, d, "events").select(X.conversion_failure(message).alias("failure"),
+        F.when(F.col("user_id") % 2 == 0, "pdf").otherwise("").alias("extension"))
     return rollups.conversion_failures(failures)
 
 
@@ -102,8 +113,10 @@ _KEY = "CASE user_id % 4 WHEN 0 THEN 'read: k' || user_id WHEN 1 THEN ' Admin:k'
 
 @query(f"SELECT event_id, {_KEY} AS entry, CASE user_id % 4 WHEN 0 THEN 'k' || user_id WHEN 1 THEN 'k' || user_id WHEN 2 THEN 'read:' ELSE 'other:k' || user_id END AS key, CASE WHEN user_id % 4 = 0 THEN 'read' ELSE 'write' END AS scope FROM events")
 def api_credentials(spark: SparkSession, d: str) -> DataFrame:
-    entry = F.expr(_KEY.replace("'read: k' || user_id", "concat('read: k', user_id)").replace("' Admin:k' || user_id || ' '", "concat(' Admin:k', user_id, ' ')").replace("'other:k' || user_id", "concat('other:k', user_id)"))
-    return table(spark, d, "events").select("event_id", entry.alias("entry")).withColumn("_c", service.credential(F.col("entry"))).select("event_id", "entry", "_c.key", "_c.scope")
+    entry = F.expr(_KEY.replace("'read: k' || user_id", "concat('read: k', user_id)").replace("' Admin:k' || user_id || ' '",
+            "concat(' Admin:k', user_id, ' ')").replace("'other:k' || user_id", "concat('other:k', user_id)"))
+    return table(spark, d, "events").select("event_id", entry.alias("entry")).withColumn("_c",
+        service.credential(F.col("entry"))).select("event_id", "entry", "_c.key", "_c.scope")
 
 
 @query("""WITH r AS (SELECT event_id, user_id, CASE event_type WHEN 'view' THEN 'GET' ELSE 'POST' END AS method, CASE event_type WHEN 'click' THEN '/search/results' WHEN 'error' THEN '/config' WHEN 'view' THEN CASE WHEN user_id % 5 = 0 THEN '/metrics' ELSE '/documents' END ELSE '/runs' END AS path FROM events),
@@ -121,7 +134,8 @@ def api_access(spark: SparkSession, d: str) -> DataFrame:
     later = users.select(F.lit(2).alias("ordinal"), key.alias("key"), F.lit("none").alias("scope"), F.lit(False).alias("hashed"))
     supplied = service.supplied_key(F.when(F.col("user_id") % 2 == 0, key), F.concat(F.lit("bearer "), key))
     requests = e.select("event_id", method.alias("method"), path.alias("path"), supplied.alias("supplied"))
-    return service.matched_credential(requests, known.unionByName(later)).select("event_id", "scope", F.coalesce(service.allows(F.col("scope"), F.col("method"), F.col("path")), F.lit(False)).alias("allowed"))
+    return service.matched_credential(requests, known.unionByName(later)).select("event_id", "scope",
+        F.coalesce(service.allows(F.col("scope"), F.col("method"), F.col("path")), F.lit(False)).alias("allowed"))
 
 
 @query("SELECT event_id, CASE user_id % 4 WHEN 0 THEN 'api-key:' || sha256('k' || user_id) WHEN 1 THEN 'ip:203.0.113.' || user_id % 200 WHEN 2 THEN 'ip:198.51.100.' || user_id % 200 ELSE 'ip:10.0.0.' || user_id % 200 END AS identity FROM events")
@@ -132,36 +146,46 @@ def rate_limit_identities(spark: SparkSession, d: str) -> DataFrame:
     key = F.when(kind == 0, F.concat(F.lit("k"), F.col("user_id").cast("string")))
     host = F.when(kind == 2, F.concat(F.lit("198.51.100."), last)).otherwise(F.concat(F.lit("10.0.0."), last))
     forwarded = F.when(kind == 3, "nonsense").otherwise(F.concat(F.lit(" 203.0.113."), last, F.lit(", 10.0.0.1")))
-    return table(spark, d, "events").select("event_id", service.rate_limit_identity(key, service.client_host(host, forwarded, "10.0.0.0/8, 2001:db8::/32")).alias("identity"))
+    return table(spark, d, "events").select("event_id",
+        service.rate_limit_identity(key, service.client_host(host, forwarded, "10.0.0.0/8, 2001:db8::/32")).alias("identity"))
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'view' THEN 'scope=read' WHEN event_type = 'click' THEN 'present' ELSE '' END AS credential FROM events ORDER BY event_id DESC LIMIT 40 OFFSET 20")
 def audit_page(spark: SparkSession, d: str) -> DataFrame:
-    events = table(spark, d, "events").select("event_id", service.credential_summary(F.col("event_type").isin("view", "click"), F.when(F.col("event_type") == "view", "read")).alias("credential"))
+    events = table(spark, d, "events").select("event_id",
+        service.credential_summary(F.col("event_type").isin("view", "click"),
+            F.when(F.col("event_type") == "view", "read")).alias("credential"))
     return T.page(events, [F.desc("event_id")], 40, 20)
 
 
 @query(f"""WITH {RUNS}, t AS (SELECT user_id AS run_id, string_agg('data: ' || event_type || ': ' || props || chr(10) || chr(10), '' ORDER BY event_id) AS text FROM events GROUP BY 1) SELECT t.run_id, text || CASE WHEN status IS NULL OR status IN ('succeeded', 'failed', 'canceled') THEN 'event: done' || chr(10) || 'data: done' || chr(10) || chr(10) ELSE '' END AS text FROM t LEFT JOIN runs USING (run_id)""")
 def event_stream_text(spark: SparkSession, d: str) -> DataFrame:
-    events = table(spark, d, "events").select(F.col("event_id").alias("sequence"), F.col("user_id").alias("run_id"), F.col("event_type").alias("stage"), F.col("props").alias("message"))
+    events = table(spark, d, "events").select(F.col("event_id").alias("sequence"), F.col("user_id").alias("run_id"),
+        F.col("event_type").alias("stage"), F.col("props").alias("message"))
     return service.event_text(events, runs(spark, d))
 
 
 @query("""SELECT event_id, '{"level":"INFO","logger":"api","message":"token=[REDACTED] by ' || user_id || '","timestamp":"2024-01-01"' || ',"status_code":' || event_id % 7 || CASE WHEN event_type = 'view' THEN ',"run_id":"r' || user_id || '"' ELSE '' END || '}' AS line FROM events""")
 def log_lines(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select("event_id", F.lit("INFO").alias("level"), F.lit("api").alias("logger"), F.concat(F.lit("token=s3cr3t by "), F.col("user_id").cast("string")).alias("message"), F.lit("2024-01-01").alias("timestamp"), (F.col("event_id") % 7).alias("status_code"), F.when(F.col("event_type") == "view", F.concat(F.lit("r"), F.col("user_id").cast("string"))).alias("run_id"))
+    e = table(spark, d, "events").select("event_id", F.lit("INFO").alias("level"), F.lit("api").alias("logger"),
+        F.concat(F.lit("token=s3cr3t by "), F.col("user_id").cast("string")).alias("message"),
+        F.lit("2024-01-01").alias("timestamp"), (F.col("event_id") % 7).alias("status_code"),
+        F.when(F.col("event_type") == "view", F.concat(F.lit("r"), F.col("user_id").cast("string"))).alias("run_id"))
     return service.log_line(e, keep=("event_id",))
 
 
 @query("SELECT event_id, map_extract_value(m, 'b') AS b, map_extract_value(m, 'a') AS a, cardinality(m) AS n FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN map([]::varchar[], []::varchar[]) WHEN event_id % 5 = 1 THEN map(['a', 'b'], [event_id || '=x', 'z']) ELSE map(['a'], [user_id::varchar]) END AS m FROM events)")
 def otel_headers(spark: SparkSession, d: str) -> DataFrame:
     text = F.expr("CASE WHEN event_id % 5 = 0 THEN ' ' WHEN event_id % 5 = 1 THEN concat(' a = ', event_id, '=x , b=z') ELSE concat('a=0,a=', user_id) END")
-    return table(spark, d, "events").select("event_id", service.otel_headers(text).alias("m")).select("event_id", F.col("m")["b"].alias("b"), F.col("m")["a"].alias("a"), F.size("m").alias("n"))
+    return table(spark, d, "events").select("event_id", service.otel_headers(text).alias("m")).select("event_id",
+        F.col("m")["b"].alias("b"), F.col("m")["a"].alias("a"), F.size("m").alias("n"))
 
 
 @query("SELECT event_id % 12 AS attempt, least(0.5 * pow(2.0, event_id % 12), 8.0)::double AS seconds, count(*) AS n FROM events GROUP BY 1, 2")
 def retry_delays(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select((F.col("event_id") % 12).alias("attempt")).select("attempt", service.retry_delay(F.col("attempt"), 0.5, 8.0).alias("seconds")).groupBy("attempt", "seconds").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "events").select((F.col("event_id") % 12).alias("attempt")).select("attempt",
+        service.retry_delay(F.col("attempt"), 0.5, 8.0).alias("seconds")).groupBy("attempt",
+        "seconds").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- manifests, names, reports
@@ -170,20 +194,30 @@ def retry_delays(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT page_id, '{"generated_by":"folioflow","artifact_type":"conversion-sidecar","source_path":"/in/' || page_id || '.html","output_path":"/out/' || page_id || '.md","format":"md","output_chars":' || length(html) || ',"extraction":null}' AS json, '/out/' || page_id || '.md.json' AS path FROM pages""")
 def conversion_sidecars(spark: SparkSession, d: str) -> DataFrame:
     name = lambda pre, post: F.concat(F.lit(pre), F.col("page_id").cast("string"), F.lit(post))
-    return table(spark, d, "pages").select("page_id", manifests.sidecar(name("/in/", ".html"), name("/out/", ".md"), F.lit("md"), F.col("html")).alias("json"), manifests.sidecar_path(name("/out/", ".md")).alias("path"))
+    return table(spark, d, "pages").select("page_id",
+        manifests.sidecar(name("/in/", ".html"), name("/out/", ".md"), F.lit("md"), F.col("html")).alias("json"),
+        manifests.sidecar_path(name("/out/", ".md")).alias("path"))
 
 
 def _page_records(spark: SparkSession, d: str) -> DataFrame:
     """Users are files, their events pages; the last page of each is missing."""
     k = F.get_json_object("props", "$.k").cast("int")
-    numbered = table(spark, d, "events").selectExpr("*", "row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS page_number", "count(*) OVER (PARTITION BY user_id) AS page_count")
+    numbered = table(spark, d, "events").selectExpr("*",
+        "row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS page_number",
+        "count(*) OVER (PARTITION BY user_id) AS page_count")
     error = F.when(F.col("event_type") == "error", F.concat(F.lit("broken "), F.col("event_id").cast("string")))
     source = F.when(F.col("event_type") == "view", "ocr").when(F.col("event_type") == "signup", "pending").otherwise("embedded")
     warnings = rollups.page_warnings(F.when(k < 90, k.cast("double")), F.when(k % 5 == 0, 90).otherwise(0), 40.0)
     text = F.when(F.col("event_type") == "error", "").otherwise(F.concat(F.lit(" page "), F.col("event_id").cast("string"), F.lit(" ")))
     return numbered.where("page_number < page_count OR page_count = 1").select(
-        F.col("user_id").alias("file"), "page_number", F.col("page_count").cast("int").alias("page_count"), text.alias("text"), source.alias("source"), F.when(k < 90, k.cast("double")).alias("confidence"), (k % 7 == 0).alias("corrected"), error.alias("error"), F.lit(None).cast("string").alias("raw_text"), F.lit(None).cast("string").alias("image_path"),
-        F.when(k % 5 == 0, 90).otherwise(0).alias("rotation_degrees"), warnings.alias("warnings"), (k % 4).alias("attempts"), F.round("value", 3).alias("duration_ms"), F.concat(F.lit("/in/a_b-"), F.col("user_id").cast("string"), F.lit(".pdf")).alias("source_path"), F.sha2(F.col("user_id").cast("string"), 256).alias("source_sha256"), F.lit("{}").alias("extraction_config"),
+        F.col("user_id").alias("file"), "page_number", F.col("page_count").cast("int").alias("page_count"), text.alias("text"),
+            source.alias("source"), F.when(k < 90, k.cast("double")).alias("confidence"), (k % 7 == 0).alias("corrected"),
+            error.alias("error"), F.lit(None).cast("string").alias("raw_text"),
+            F.lit(None).cast("string").alias("image_path"),
+        F.when(k % 5 == 0, 90).otherwise(0).alias("rotation_degrees"), warnings.alias("warnings"), (k % 4).alias("attempts"),
+            F.round("value", 3).alias("duration_ms"), F.concat(F.lit("/in/a_b-"), F.col("user_id").cast("string"),
+                F.lit(".pdf")).alias("source_path"), F.sha2(F.col("user_id").cast("string"), 256).alias("source_sha256"),
+            F.lit("{}").alias("extraction_config"),
     )
 
 
@@ -197,14 +231,17 @@ def page_manifests(spark: SparkSession, d: str) -> DataFrame:
     """Written as JSON and read again: all pages with the summary of their file; the missing page is pending."""
     written = manifests.page_manifest(_page_records(spark, d), ["file"])
     read = written.select("file", manifests.read_page_manifest(F.col("json"))["manifest"].alias("m"))
-    return read.select("file", F.inline("m.pages"), F.col("m.summary.status_counts")["failed"].alias("failed_pages"), F.col("m.summary.attempts").alias("all_attempts"), F.col("m.summary.status").alias("file_status")).select("file", "page_number", "status", "source", "attempts", "text", "failed_pages", "all_attempts", "file_status")
+    return read.select("file", F.inline("m.pages"), F.col("m.summary.status_counts")["failed"].alias("failed_pages"),
+        F.col("m.summary.attempts").alias("all_attempts"), F.col("m.summary.status").alias("file_status")).select("file",
+        "page_number", "status", "source", "attempts", "text", "failed_pages", "all_attempts", "file_status")
 
 
 @query(f"WITH {_RECORDS} SELECT page_number::int AS page_number, event_id FROM r WHERE file = (SELECT min(user_id) FROM events WHERE event_type = 'error') AND status = 'failed' ORDER BY page_number LIMIT 5 OFFSET 1")
 def failed_pages(spark: SparkSession, d: str) -> DataFrame:
     first = table(spark, d, "events").where("event_type = 'error'").agg(F.min("user_id").alias("file"))
     pages = _page_records(spark, d).withColumn("status", rollups.page_status(F.col("error"), F.col("source"))).join(F.broadcast(first), "file")
-    return manifests.page_window(pages, 5, 1, True).select(F.col("page_number").cast("int").alias("page_number"), F.regexp_extract("error", "[0-9]+", 0).cast("bigint").alias("event_id"))
+    return manifests.page_window(pages, 5, 1, True).select(F.col("page_number").cast("int").alias("page_number"),
+        F.regexp_extract("error", "[0-9]+", 0).cast("bigint").alias("event_id"))
 
 
 @query(f"WITH {_RECORDS} SELECT file, page_number::int AS page_number, (k % 4)::int AS attempts FROM r")
@@ -226,9 +263,12 @@ def import_reports(spark: SparkSession, d: str) -> DataFrame:
     """The report of an import written as JSON and read again."""
     status = F.when(F.col("o_orderstatus") == "F", "processed").when(F.col("o_orderstatus") == "O", "queued").otherwise("failed")
     none = F.lit(None).cast("string")
-    items = table(spark, d, "orders").select(F.col("o_orderkey").alias("source_path"), none.alias("converted_path"), none.alias("document_id"), none.alias("run_id"), status.alias("status"), none.alias("error"))
+    items = table(spark, d, "orders").select(F.col("o_orderkey").alias("source_path"), none.alias("converted_path"),
+        none.alias("document_id"), none.alias("run_id"), status.alias("status"), none.alias("error"))
     ddl = "summary struct<converted:int,failed:int>, items array<struct<source_path:string,status:string>>"
-    read = manifests.import_report(items).select(F.from_json("json", ddl).alias("j")).select(F.col("j.summary.converted").alias("converted"), F.col("j.summary.failed").alias("failed"), F.inline("j.items"))
+    read = manifests.import_report(items).select(F.from_json("json",
+            ddl).alias("j")).select(F.col("j.summary.converted").alias("converted"), F.col("j.summary.failed").alias("failed"),
+        F.inline("j.items"))
     return read.select(F.col("source_path").cast("bigint").alias("source_path"), "status", "converted", "failed")
 
 
@@ -254,9 +294,15 @@ def extract_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Files of every kind, and files that can't be read: another kind, too large, no UTF-8, an archive, a NUL byte, blank. Each has a status; none fails the job."""
     g = F.col("doc_id") % 11
     data = F.encode("text", "UTF-8")
-    content = F.when(g == 3, F.encode(F.lit("<head>x</head><p>a <b>b</b> &amp; c</p>"), "UTF-8")).when(g == 4, F.unhex(F.lit("FF00FE"))).when(g == 5, F.concat(data, F.unhex(F.lit("FF")))).when(g == 6, F.concat(F.unhex(F.lit("504B0304")), data)).when(g == 7, F.concat(F.unhex(F.lit("00")), data)).when(g == 8, F.encode(F.lit(" \n"), "UTF-8")).when(g == 9, F.encode(F.concat(F.lit('{"a":'), F.col("doc_id").cast("string"), F.lit("}")), "UTF-8")).when(g == 10, F.encode(F.lit("{bad"), "UTF-8")).otherwise(data)
+    content = F.when(g == 3, F.encode(F.lit("<head>x</head><p>a <b>b</b> &amp; c</p>"), "UTF-8")).when(g == 4,
+        F.unhex(F.lit("FF00FE"))).when(g == 5, F.concat(data, F.unhex(F.lit("FF")))).when(g == 6,
+        F.concat(F.unhex(F.lit("504B0304")), data)).when(g == 7, F.concat(F.unhex(F.lit("00")), data)).when(g == 8,
+        F.encode(F.lit(" \n"), "UTF-8")).when(g == 9, F.encode(F.concat(F.lit('{"a":'), F.col("doc_id").cast("string"),
+                F.lit("}")), "UTF-8")).when(g == 10, F.encode(F.lit("{bad"), "UTF-8")).otherwise(data)
     small = (F.length(content) <= 4000) | g.isin(3, 4, 5, 6, 7)
-    files = table(spark, d, "documents").select("doc_id", F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit("."), F.expr(_FILES)).alias("source_path"), content.alias("content"), small.alias("_small"))
+    files = table(spark, d, "documents").select("doc_id",
+        F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit("."), F.expr(_FILES)).alias("source_path"),
+        content.alias("content"), small.alias("_small"))
     limited = readers.extract(files.where("NOT _small"), 4000).unionByName(readers.extract(files.where("_small")))
     return limited.select("doc_id", "status", "error", F.md5("text").alias("h"), "failure")
 
@@ -264,9 +310,12 @@ def extract_kinds(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source || '.txt' ELSE 'é' || doc_id || '.md' END AS name FROM documents")
 def truncated_names(spark: SparkSession, d: str) -> DataFrame:
     """Names of up to 1,500 bytes cut to 255 between characters, extension kept; told by the first part and the ending."""
-    long = F.when(F.col("doc_id") % 2 == 0, F.concat("source", F.repeat(F.lit("漢é"), F.lit(100)), F.lit(".txt"))).otherwise(F.concat(F.lit("é"), F.col("doc_id").cast("string"), F.repeat(F.lit("x"), F.lit(300)), F.lit(".md")))
+    long = F.when(F.col("doc_id") % 2 == 0, F.concat("source", F.repeat(F.lit("漢é"), F.lit(100)),
+            F.lit(".txt"))).otherwise(F.concat(F.lit("é"), F.col("doc_id").cast("string"), F.repeat(F.lit("x"), F.lit(300)),
+            F.lit(".md")))
     cut = X.truncate_filename(long)
-    checked = F.when(F.octet_length(cut).between(252, 255) & F.startswith(long, X.sub(cut, r"\.[^.]*$", "")), F.regexp_replace(cut, "[漢é]*(\\.txt)|x*(\\.md)", "$1$2"))
+    checked = F.when(F.octet_length(cut).between(252, 255) & F.startswith(long, X.sub(cut, r"\.[^.]*$", "")),
+        F.regexp_replace(cut, "[漢é]*(\\.txt)|x*(\\.md)", "$1$2"))
     return table(spark, d, "documents").select("doc_id", checked.alias("name"))
 
 
@@ -275,23 +324,33 @@ def manifest_values(spark: SparkSession, d: str) -> DataFrame:
     """Rotations, counts and media types of manifests: what is none gets its default."""
     given = (F.col("event_id") % 5 * 90).cast("int")
     number = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" "), F.col("event_id").cast("string"))).when(F.col("event_id") % 3 == 1, "7").otherwise("x")
-    return table(spark, d, "events").select("event_id", given.alias("given"), manifests.rotation_degrees(given).alias("rotation"), manifests.int_or(number).alias("number"), manifests.figure_media_type(F.when(F.col("event_id") % 2 == 0, ".JPG").otherwise("odd")).alias("media"))
+    return table(spark, d, "events").select("event_id", given.alias("given"), manifests.rotation_degrees(given).alias("rotation"),
+        manifests.int_or(number).alias("number"), manifests.figure_media_type(F.when(F.col("event_id") % 2 == 0,
+                ".JPG").otherwise("odd")).alias("media"))
 
 
 @query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'a,b' WHEN 1 THEN '' ELSE 'n' || user_id END AS warnings, CASE event_id % 3 WHEN 0 THEN 'a,b' WHEN 1 THEN '' ELSE 'n' || user_id || ',1' END AS tags FROM events""")
 def json_lists(spark: SparkSession, d: str) -> DataFrame:
     """Warnings keep strings alone; tags of a column are read as text; what is no list is empty."""
     raw = F.expr("""CASE event_id % 3 WHEN 0 THEN '["a", null, "b"]' WHEN 1 THEN '{"a": 1}' ELSE concat('["n', user_id, '", 1]') END""")
-    return table(spark, d, "events").select("event_id", F.array_join(manifests.warnings_of(raw), ",").alias("warnings"), F.array_join(X.tags_from_json(raw), ",").alias("tags"))
+    return table(spark, d, "events").select("event_id", F.array_join(manifests.warnings_of(raw), ",").alias("warnings"),
+        F.array_join(X.tags_from_json(raw), ",").alias("tags"))
 
 
 @query("""SELECT doc_id AS document_id, CASE WHEN doc_id % 3 = 0 THEN '[f1]' || chr(10) || chr(10) || '**Figure (page 1):** image/png of ' || doc_id || ' then [f2]' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || '**Figure (page 2):** image/jpeg of ' || doc_id ELSE '' END || ' end' ELSE '[f1] then [f2] end' END AS text, CASE WHEN doc_id % 3 = 0 THEN 1 + (doc_id % 2 = 0)::int ELSE 0 END AS n_figures FROM documents""")
 def figures_described(spark: SparkSession, d: str) -> DataFrame:
     """Two placeholders a text; documents of every third id have figures, a repeated one, one too small, and one that the model fails on."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.lit("[f1] then [f2] end").alias("text"))
-    each = F.array(*(F.struct(F.lit(o).alias("ordinal"), F.lit(p).alias("placeholder"), F.lit(g).alias("page"), F.lit(m).alias("media_type"), F.lit(s).alias("size")) for o, p, g, m, s in ((1, "[f1]", 1, "image/png", 5), (2, "[f1]", 9, "image/gif", 5), (3, "[f3]", 3, "image/png", 5), (4, "[f2]", 2, "image/jpeg", 1), (5, "[f2]", 2, "image/jpeg", 6))))
-    figures = docs.where("document_id % 3 = 0").select("document_id", F.inline(each)).withColumn("data", F.encode(F.rpad(F.col("document_id").cast("string"), 12, " "), "UTF-8")).withColumn("data", F.when(F.col("size") == 1, F.encode(F.lit("x"), "UTF-8")).otherwise(F.col("data")))
-    described = lambda media, data: F.when(~((media == "image/jpeg") & (F.trim(F.decode(data, "UTF-8")).try_cast("int") % 2 == 1)), F.concat(F.lit(" "), media, F.lit(" of "), F.trim(F.decode(data, "UTF-8"))))
+    each = F.array(*(F.struct(F.lit(o).alias("ordinal"), F.lit(p).alias("placeholder"), F.lit(g).alias("page"),
+                F.lit(m).alias("media_type"), F.lit(s).alias("size")) for o, p, g, m,
+            s in ((1, "[f1]", 1, "image/png", 5), (2, "[f1]", 9, "image/gif", 5), (3, "[f3]", 3, "image/png", 5),
+                (4, "[f2]", 2, "image/jpeg", 1), (5, "[f2]", 2, "image/jpeg", 6))))
+    figures = docs.where("document_id % 3 = 0").select("document_id", F.inline(each)).withColumn("data",
+        F.encode(F.rpad(F.col("document_id").cast("string"), 12, " "), "UTF-8")).withColumn("data",
+        F.when(F.col("size") == 1, F.encode(F.lit("x"), "UTF-8")).otherwise(F.col("data")))
+    described = lambda media, data: F.when(~((media == "image/jpeg") & (F.trim(F.decode(data,
+            "UTF-8")).try_cast("int") % 2 == 1)), F.concat(F.lit(" "), media, F.lit(" of "),
+            F.trim(F.decode(data, "UTF-8"))))
     return manifests.enrich_figures(docs, figures, described, least_bytes=5)
 
 
@@ -299,7 +358,9 @@ def figures_described(spark: SparkSession, d: str) -> DataFrame:
 def rotation_choices(spark: SparkSession, d: str) -> DataFrame:
     """Upright if usable, else the most confident try, the smaller rotation on ties; a failed try and one without confidence are least."""
     k = F.get_json_object("props", "$.k").cast("double")
-    tries = F.array(*(F.struct(F.lit(r).alias("rotation"), c.alias("confidence"), t.alias("text")) for r, c, t in ((0, k, F.lit("a")), (90, F.col("user_id").cast("double"), F.lit("b")), (180, (F.col("event_id") % 100).cast("double"), F.lit("c")), (270, F.lit(None).cast("double"), F.lit("d")))))
+    tries = F.array(*(F.struct(F.lit(r).alias("rotation"), c.alias("confidence"), t.alias("text")) for r, c,
+            t in ((0, k, F.lit("a")), (90, F.col("user_id").cast("double"), F.lit("b")),
+                (180, (F.col("event_id") % 100).cast("double"), F.lit("c")), (270, F.lit(None).cast("double"), F.lit("d")))))
     rows = table(spark, d, "events").select(F.col("event_id").alias("page"), F.inline(tries))
     return scans.rotation_choice(rows, ["page"], 60.0).select("page", "rotation")
 
@@ -308,7 +369,8 @@ def rotation_choices(spark: SparkSession, d: str) -> DataFrame:
 def pages_corrected(spark: SparkSession, d: str) -> DataFrame:
     """Pages of low confidence go through the stand-in model; the others stay."""
     k = F.get_json_object("props", "$.k").cast("double")
-    pages = table(spark, d, "events").where("event_type IN ('view', 'error')").select(F.col("event_id").alias("page_number"), F.concat(F.lit("a  b\n"), F.col("event_id").cast("string")).alias("text"), k.alias("confidence"))
+    pages = table(spark, d, "events").where("event_type IN ('view', 'error')").select(F.col("event_id").alias("page_number"),
+        F.concat(F.lit("a  b\n"), F.col("event_id").cast("string")).alias("text"), k.alias("confidence"))
     return scans.corrected(pages, scans.mock_correction, "low-confidence", 50.0).select("page_number", "text", "corrected", "raw_text")
 
 
@@ -318,10 +380,13 @@ def word_texts(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages")
     number = F.col("page_id").cast("string")
     none = F.lit(None).cast("array<array<string>>")
-    part = lambda place, o, text, style, rows: F.struct(F.lit(place).alias("place"), F.lit(o).alias("ordinal"), text.cast("string").alias("text"), style.cast("string").alias("style"), rows.alias("rows"))
+    part = lambda place, o, text, style, rows: F.struct(F.lit(place).alias("place"), F.lit(o).alias("ordinal"),
+        text.cast("string").alias("text"), style.cast("string").alias("style"), rows.alias("rows"))
     style = F.when(F.col("page_id") % 3 == 0, "List Bullet 2").when(F.col("page_id") % 3 == 1, "List Number").otherwise("Normal")
     cells = F.array(F.array(F.lit(" a "), F.lit(""), number), F.array(F.lit(" "), F.lit("")), F.array(F.lit("c"), F.lit("")))
-    parts = pages.select("page_id", F.inline(F.array(part("header", 0, F.lit("head"), F.lit(None), none), part("body", 3, F.lit(None), F.lit(None), cells), part("body", 1, F.lit("  "), F.lit("Normal"), none), part("body", 2, F.concat(F.lit(" item "), number), style, none))))
+    parts = pages.select("page_id", F.inline(F.array(part("header", 0, F.lit("head"), F.lit(None), none),
+                part("body", 3, F.lit(None), F.lit(None), cells), part("body", 1, F.lit("  "), F.lit("Normal"), none),
+                part("body", 2, F.concat(F.lit(" item "), number), style, none))))
     return manifests.word_text(parts, ["page_id"])
 
 
@@ -330,7 +395,8 @@ def word_texts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, t.r AS r, t.c AS c, t.cell AS cell FROM documents, LATERAL (VALUES (0, 0, 'name'), (0, 1, 'value'), (1, 0, source), (1, 1, doc_id::varchar), (2, 0, lang), (2, 1, '')) t(r, c, cell)")
 def markdown_table_cells(spark: SparkSession, d: str) -> DataFrame:
-    text = F.concat(F.lit("intro\n| name | value |\n|:---|---:|\n| "), "source", F.lit(" | "), F.col("doc_id").cast("string"), F.lit(" |\n| "), "lang", F.lit(" |  |\n\nend"))
+    text = F.concat(F.lit("intro\n| name | value |\n|:---|---:|\n| "), "source", F.lit(" | "), F.col("doc_id").cast("string"),
+        F.lit(" |\n| "), "lang", F.lit(" |  |\n\nend"))
     t = table(spark, d, "documents").select("doc_id", evaluation.tables_column(text).alias("t"))
     return t.select("doc_id", F.posexplode(F.col("t")[0]).alias("r", "row")).select("doc_id", "r", F.posexplode("row").alias("c", "cell"))
 
@@ -339,10 +405,13 @@ def markdown_table_cells(spark: SparkSession, d: str) -> DataFrame:
 def table_expectations(spark: SparkSession, d: str) -> DataFrame:
     """The language and the id stand in one row; the source stands below "kind". Every third text has no table."""
     number = F.col("doc_id").cast("string")
-    text = F.when(F.col("doc_id") % 3 == 0, "none").otherwise(F.concat(F.lit("|kind|lang|id|\n|---|---|---|\n|"), "source", F.lit("|"), "lang", F.lit("|"), number, F.lit("|")))
+    text = F.when(F.col("doc_id") % 3 == 0, "none").otherwise(F.concat(F.lit("|kind|lang|id|\n|---|---|---|\n|"), "source",
+            F.lit("|"), "lang", F.lit("|"), number, F.lit("|")))
     rows, columns = F.array(F.array(F.lit("EN"), number)), F.array(F.array(F.lit("src0"), F.lit("kind")))
     found = evaluation.table_failures(text, rows, columns)
-    return table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.array_join(found, ";")).otherwise(F.array_join(F.transform(found, lambda x: F.concat(x, F.lit(";"))), "")).alias("failures"))
+    return table(spark, d, "documents").select("doc_id",
+        F.when(F.col("doc_id") % 3 == 0, F.array_join(found,
+                ";")).otherwise(F.array_join(F.transform(found, lambda x: F.concat(x, F.lit(";"))), "")).alias("failures"))
 
 
 @query("SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\\bthe\\b') THEN '' ELSE 'missing expected pattern: the;' END || 'invalid expected pattern ''(''' || ';' || CASE WHEN regexp_matches(text, '[0-9]{3}') THEN '' ELSE 'missing expected pattern: three digits;' END AS failures FROM documents")
@@ -354,14 +423,16 @@ def pattern_expectations(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT event_id, CASE WHEN value > 2 THEN 'conversion_seconds ' || printf('%.3f', round(value, 3)) || ' > maximum 2.000;' ELSE '' END || CASE WHEN event_type = 'view' THEN 'max_processing_seconds requires process=true;' WHEN user_id > 100 THEN 'processing_seconds ' || user_id || '.000 > maximum 100.000;' ELSE '' END || CASE WHEN event_id > 5000 THEN 'peak_memory_bytes ' || event_id || ' > maximum 5000;' ELSE '' END AS failures FROM events""")
 def budget_expectations(spark: SparkSession, d: str) -> DataFrame:
     seconds = F.when(F.col("event_type") != "view", F.col("user_id").cast("double"))
-    found = evaluation.budget_failures(F.round("value", 3), F.when(F.col("value") > 2, F.lit(2.0)).otherwise(F.lit(1e9)), seconds, F.lit(100.0), F.col("event_id"), F.lit(5000))
+    found = evaluation.budget_failures(F.round("value", 3), F.when(F.col("value") > 2, F.lit(2.0)).otherwise(F.lit(1e9)), seconds,
+        F.lit(100.0), F.col("event_id"), F.lit(5000))
     return table(spark, d, "events").select("event_id", F.array_join(F.transform(found, lambda x: F.concat(x, F.lit(";"))), "").alias("failures"))
 
 
 @query(f"""WITH {_PAGES}, m AS (SELECT manifest, count(*) FILTER (source = 'ocr') AS ocr, count(*) FILTER (source = 'embedded') AS emb, count(*) FILTER (k % 7 = 0) AS cor FROM p GROUP BY 1) SELECT manifest, CASE WHEN emb <> 40 THEN 'page source embedded count ' || emb || ' != expected 40;' ELSE '' END || CASE WHEN ocr <> 20 THEN 'page source ocr count ' || ocr || ' != expected 20;' ELSE '' END || CASE WHEN ocr < 15 THEN 'ocr_pages ' || ocr || ' < minimum 15;' ELSE '' END || CASE WHEN cor < 8 THEN 'corrected_pages ' || cor || ' < minimum 8;' ELSE '' END AS failures FROM m""")
 def page_expectations(spark: SparkSession, d: str) -> DataFrame:
     m = evaluation.page_metrics(_pages(spark, d), ["manifest"])
-    found = evaluation.page_failures(F.col("source_counts"), F.create_map(F.lit("ocr"), F.lit(20), F.lit("embedded"), F.lit(40)), F.col("ocr_pages"), F.lit(15), F.col("corrected_pages"), F.lit(8))
+    found = evaluation.page_failures(F.col("source_counts"), F.create_map(F.lit("ocr"), F.lit(20), F.lit("embedded"), F.lit(40)),
+        F.col("ocr_pages"), F.lit(15), F.col("corrected_pages"), F.lit(8))
     return m.select("manifest", F.array_join(F.transform(found, lambda x: F.concat(x, F.lit(";"))), "").alias("failures"))
 
 
@@ -382,8 +453,16 @@ def corpus_summary(spark: SparkSession, d: str) -> DataFrame:
     j = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     two = F.when(F.col("toxic") == 1, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>"))
     zero = F.lit(0)
-    cases = j.select((F.col("quality") == 1).alias("passed"), F.octet_length("text").alias("input_bytes"), F.col("n_chars").alias("output_chars"), (F.col("doc_id") % 5).alias("page_attempts"), F.col("toxic").alias("failed_pages"), zero.alias("ocr_pages"), zero.alias("corrected_pages"), F.col("n_chars").alias("peak_memory_bytes"), F.when(F.col("quality") == 1, F.col("doc_id").cast("double")).alias("max_page_duration_ms"), F.when(F.col("toxic") == 0, F.col("quality").cast("double")).alias("search_recall"), zero.alias("phrases"), zero.alias("hits"), two.alias("failures"))
-    return evaluation.corpus_summary(cases).withColumns({c: F.round(c, 6) for c in ("pass_rate", "average_search_recall")}).drop("total_ocr_pages", "total_corrected_pages", "total_search_phrases", "total_search_hits")
+    cases = j.select((F.col("quality") == 1).alias("passed"), F.octet_length("text").alias("input_bytes"),
+        F.col("n_chars").alias("output_chars"), (F.col("doc_id") % 5).alias("page_attempts"),
+        F.col("toxic").alias("failed_pages"), zero.alias("ocr_pages"), zero.alias("corrected_pages"),
+        F.col("n_chars").alias("peak_memory_bytes"),
+        F.when(F.col("quality") == 1, F.col("doc_id").cast("double")).alias("max_page_duration_ms"),
+        F.when(F.col("toxic") == 0, F.col("quality").cast("double")).alias("search_recall"), zero.alias("phrases"),
+        zero.alias("hits"), two.alias("failures"))
+    return evaluation.corpus_summary(cases).withColumns({c: F.round(c, 6) for c in ("pass_rate",
+                "average_search_recall")}).drop("total_ocr_pages", "total_corrected_pages", "total_search_phrases",
+        "total_search_hits")
 
 
 @query("SELECT event_type, count(*) AS run_count, round(avg(value), 6) AS average_chars_per_second, round(max(value), 6) AS fastest_chars_per_second, sum(event_id)::bigint AS total_input_chars, CASE WHEN event_type = 'view' THEN 'real-provider' ELSE 'mock-smoke' END AS evidence_tier FROM events WHERE event_type IN ('view', 'click') GROUP BY 1")
@@ -391,9 +470,13 @@ def benchmark_summaries(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     out = []
     for kind in ("view", "click"):
-        runs_ = e.where(F.col("event_type") == kind).select(F.lit("mock" if kind == "click" else "other").alias("provider"), F.col("event_id").alias("input_chars"), F.lit(1).alias("chunks"), F.lit(1.0).alias("total_seconds"), F.col("value").alias("chars_per_second"))
+        runs_ = e.where(F.col("event_type") == kind).select(F.lit("mock" if kind == "click" else "other").alias("provider"),
+            F.col("event_id").alias("input_chars"), F.lit(1).alias("chunks"), F.lit(1.0).alias("total_seconds"),
+            F.col("value").alias("chars_per_second"))
         one = evaluation.benchmark_summary(runs_)
-        out.append(one.select(F.lit(kind).alias("event_type"), "run_count", *(F.round(c, 6).alias(c) for c in ("average_chars_per_second", "fastest_chars_per_second")), "total_input_chars", "evidence_tier"))
+        out.append(one.select(F.lit(kind).alias("event_type"), "run_count",
+                *(F.round(c, 6).alias(c) for c in ("average_chars_per_second", "fastest_chars_per_second")), "total_input_chars",
+                "evidence_tier"))
     return out[0].unionByName(out[1])
 
 
@@ -409,8 +492,14 @@ def eval_suite(spark: SparkSession, d: str) -> DataFrame:
     strings = F.array().cast("array<string>")
     number = F.col("doc_id").cast("string")
     cases = table(spark, d, "documents").select(
-        F.concat(F.lit("case "), number).alias("name"), F.concat(F.lit("note "), number, F.lit(" on  "), "source", F.when(F.col("doc_id") % 2 == 0, " by a doctor").otherwise("")).alias("input_text"), strings.alias("tags"), F.array(F.when(F.col("doc_id") % 3 == 0, "NOWHERE").otherwise("NOTE")).alias("expected_contains"), F.array(F.lit("zzz")).alias("forbidden_contains"),
-        F.lit("61").alias("expected_classification_prefix"), F.lit(1).alias("min_output_chars"), F.lit(0.5).alias("min_output_char_ratio"), F.lit(1.5).alias("max_output_char_ratio"), strings.alias("allowed_warnings"),
+        F.concat(F.lit("case "), number).alias("name"),
+            F.concat(F.lit("note "), number, F.lit(" on  "), "source",
+                F.when(F.col("doc_id") % 2 == 0, " by a doctor").otherwise("")).alias("input_text"), strings.alias("tags"),
+            F.array(F.when(F.col("doc_id") % 3 == 0, "NOWHERE").otherwise("NOTE")).alias("expected_contains"),
+            F.array(F.lit("zzz")).alias("forbidden_contains"),
+        F.lit("61").alias("expected_classification_prefix"), F.lit(1).alias("min_output_chars"),
+            F.lit(0.5).alias("min_output_char_ratio"), F.lit(1.5).alias("max_output_char_ratio"),
+            strings.alias("allowed_warnings"),
     )
     out = evaluation.run_suite(cases)
     return out.select("name", "passed", "output_chars", "code", F.array_join(F.transform("failures", lambda x: F.concat(x, F.lit(";"))), "").alias("failures"))

@@ -29,7 +29,9 @@ def lookup_text(spark: SparkSession, d: str) -> DataFrame:
 def runs_canceled(spark: SparkSession, d: str) -> DataFrame:
     """Is each wanted run canceled? Ids that are no run are not."""
     c = table(spark, d, "customer")
-    held = c.select(F.col("c_custkey").alias("run_id"), F.when(F.col("c_mktsegment") == "BUILDING", "canceled").otherwise("running").alias("status")).where("status = 'canceled' OR run_id % 2 = 0")
+    held = c.select(F.col("c_custkey").alias("run_id"),
+        F.when(F.col("c_mktsegment") == "BUILDING",
+            "canceled").otherwise("running").alias("status")).where("status = 'canceled' OR run_id % 2 = 0")
     return T.are_canceled(held, c.select(F.col("c_custkey").alias("run_id")))
 
 
@@ -50,14 +52,16 @@ def chunks_remapped(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents")
     rows = t.select((F.col("doc_id") + 100).alias("chunk_id"), F.col("doc_id").alias("document_id"), F.col("lang").alias("text"))
     new = X.digest("chk_", F.concat_ws(":", F.col("doc_id").cast("string"), F.lit("0"), F.sha2("text", 256)))
-    return T.remapped(rows, t.where("doc_id % 3 <> 0").select((F.col("doc_id") + 100).alias("old_id"), F.col("doc_id").alias("document_id"), new.alias("new_id")))
+    return T.remapped(rows, t.where("doc_id % 3 <> 0").select((F.col("doc_id") + 100).alias("old_id"),
+            F.col("doc_id").alias("document_id"), new.alias("new_id")))
 
 
 @query(f"WITH {DOCS} SELECT document_id, filename, n AS output_chars, code FROM (SELECT document_id, filename, length(text) + 2 AS n FROM docs WHERE document_id = (SELECT min(doc_id) FROM labels)) LEFT JOIN (SELECT doc_id AS document_id, quality::varchar AS code FROM labels) USING (document_id)")
 def shown_document(spark: SparkSession, d: str) -> DataFrame:
     """A document with the length of its newest output and its classification."""
     docs = documents(spark, d)
-    made = docs.select("document_id", "created_at", F.explode(F.array(F.lit(1), F.lit(2))).alias("run_id"), "text").withColumn("text", F.concat("text", F.repeat(F.lit("x"), F.col("run_id"))))
+    made = docs.select("document_id", "created_at", F.explode(F.array(F.lit(1), F.lit(2))).alias("run_id"),
+        "text").withColumn("text", F.concat("text", F.repeat(F.lit("x"), F.col("run_id"))))
     first = classifications(spark, d).agg(F.min("document_id")).first()[0]
     return T.show_document(docs.drop("text"), made, classifications(spark, d), first).select("document_id", "filename", "output_chars", "code")
 
@@ -65,7 +69,8 @@ def shown_document(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT c_custkey AS run_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'canceled' WHEN s IS NULL THEN 'running' ELSE s END AS status FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderstatus) AS s FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 def runs_saved(spark: SparkSession, d: str) -> DataFrame:
     """Runs saved again, unless they are canceled."""
-    held = table(spark, d, "customer").select(F.col("c_custkey").alias("run_id"), F.when(F.col("c_mktsegment") == "BUILDING", "canceled").otherwise("running").alias("status"))
+    held = table(spark, d, "customer").select(F.col("c_custkey").alias("run_id"),
+        F.when(F.col("c_mktsegment") == "BUILDING", "canceled").otherwise("running").alias("status"))
     new = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("run_id")).agg(F.max("o_orderstatus").alias("status"))
     return T.guarded_upsert(held, new, ["run_id"], F.col("status") == "canceled")
 
@@ -83,7 +88,9 @@ def texts_put(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH c AS (SELECT sha256(text) AS chunk_sha256, CASE WHEN doc_id % 2 = 0 THEN 'v1' ELSE 'v2' END AS prompt_version, max(doc_id) AS last FROM documents GROUP BY 1, 2) SELECT chunk_sha256, prompt_version, 'mock' AS model_provider, 'm' AS model_name, CASE WHEN last % 3 = 0 THEN 'new' ELSE 'old' END AS text FROM c")
 def cache_saved(spark: SparkSession, d: str) -> DataFrame:
     """The chunk cache by its key of four: text, prompt, provider, model."""
-    t = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("chunk_sha256"), F.when(F.col("doc_id") % 2 == 0, "v1").otherwise("v2").alias("prompt_version"), F.lit("mock").alias("model_provider"), F.lit("m").alias("model_name"))
+    t = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("chunk_sha256"),
+        F.when(F.col("doc_id") % 2 == 0, "v1").otherwise("v2").alias("prompt_version"), F.lit("mock").alias("model_provider"),
+        F.lit("m").alias("model_name"))
     key = ["chunk_sha256", "prompt_version", "model_provider", "model_name"]
     last = t.groupBy(*key).agg(F.max("doc_id").alias("last"))
     old, new = last.select(*key, F.lit("old").alias("text")), last.where("last % 3 = 0").select(*key, F.lit("new").alias("text"))
@@ -101,8 +108,10 @@ def chunks_saved(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT event_id AS sequence, 'e' AS stage FROM events UNION ALL SELECT (SELECT max(event_id) FROM events) + row_number() OVER (ORDER BY c_custkey), 'n' FROM customer")
 def events_emitted(spark: SparkSession, d: str) -> DataFrame:
-    old = table(spark, d, "events").select(F.col("event_id").alias("sequence"), F.col("user_id").alias("run_id"), F.lit("e").alias("stage"), F.lit("m").alias("message"), F.col("ts").alias("created_at"))
-    new = table(spark, d, "customer").select(F.col("c_custkey").alias("run_id"), F.lit("n").alias("stage"), F.lit("m").alias("message"), _now().alias("created_at"))
+    old = table(spark, d, "events").select(F.col("event_id").alias("sequence"), F.col("user_id").alias("run_id"),
+        F.lit("e").alias("stage"), F.lit("m").alias("message"), F.col("ts").alias("created_at"))
+    new = table(spark, d, "customer").select(F.col("c_custkey").alias("run_id"), F.lit("n").alias("stage"),
+        F.lit("m").alias("message"), _now().alias("created_at"))
     return T.emit(old, new).select("sequence", "stage")
 
 
@@ -127,7 +136,8 @@ _VALIDATIONS = (
 
 def _case(values: list[str], by: str) -> str:
     """A CASE over literals, with <id> put in; the same text for DuckDB and Spark."""
-    quoted = lambda v: " || ".join("chr(10)" if p == "\n" else by.split(" %")[0] + "::string" if p == "<id>" else "'" + p.replace("'", "''") + "'" for p in _pieces(v)) or "''"
+    quoted = lambda v: " || ".join("chr(10)" if p == "\n" else by.split(" %")[0] + "::string" if p == "<id>" else "'" +
+        p.replace("'", "''") + "'" for p in _pieces(v)) or "''"
     return f"CASE {by} " + " ".join(f"WHEN {i} THEN {quoted(v)}" for i, v in enumerate(values)) + " END"
 
 
@@ -141,7 +151,9 @@ def _pieces(value: str) -> list[str]:
 def validation_cases(spark: SparkSession, d: str) -> DataFrame:
     """Every warning of validation, each by a text that earns it alone."""
     n = len(_VALIDATIONS)
-    case = table(spark, d, "documents").select("doc_id", F.expr(_case([a for a, _, _ in _VALIDATIONS], f"doc_id % {n}")).alias("answer"), F.expr(_case([s for _, s, _ in _VALIDATIONS], f"doc_id % {n}")).alias("source"))
+    case = table(spark, d, "documents").select("doc_id",
+        F.expr(_case([a for a, _, _ in _VALIDATIONS], f"doc_id % {n}")).alias("answer"),
+        F.expr(_case([s for _, s, _ in _VALIDATIONS], f"doc_id % {n}")).alias("source"))
     told = case.select("doc_id", X.validate(F.col("answer"), F.length("source"), F.col("source")).alias("v"))
     return told.select("doc_id", F.array_join("v.warnings", ";").alias("warnings"), F.when((F.col("doc_id") % n).isin(2, 13), F.col("v.text")).alias("text"))
 
@@ -150,9 +162,15 @@ def validation_cases(spark: SparkSession, d: str) -> DataFrame:
 def assembly_cases(spark: SparkSession, d: str) -> DataFrame:
     """Chunks that repeat a sentence over their border, echo their context, leak a refusal and double a header; one is blank."""
     number, source = F.col("doc_id").cast("string"), F.col("source")
-    part = lambda o, w, *c: F.struct(F.lit(o).alias("ordinal"), F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in c)).alias("clean_text"), F.array(*map(F.lit, w)).cast("array<string>").alias("warnings"))
-    parts = [part(2, ["b"], "[CONTEXT: This continues from: z]\n\nThree ", source, ". Four.\n\n- list one.\n- five\nAs an AI language model"), part(0, ["b", "a"], "# Head\n# Head\n\nOne ", number, ". Two. two."), part(1, [], "Two.  \n\n\n\n\nThree ", source, "."), part(3, ["a"], " \n ")]
+    part = lambda o, w, *c: F.struct(F.lit(o).alias("ordinal"),
+        F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in c)).alias("clean_text"),
+        F.array(*map(F.lit, w)).cast("array<string>").alias("warnings"))
+    parts = [part(2, ["b"], "[CONTEXT: This continues from: z]\n\nThree ", source,
+            ". Four.\n\n- list one.\n- five\nAs an AI language model"),
+        part(0, ["b", "a"], "# Head\n# Head\n\nOne ", number, ". Two. two."),
+        part(1, [], "Two.  \n\n\n\n\nThree ", source, "."), part(3, ["a"], " \n ")]
     tail = F.struct(F.lit(4).alias("ordinal"), F.lit("Six.\n  kept").alias("clean_text"), F.array().cast("array<string>").alias("warnings"))
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.inline(F.array(*parts[:3], parts[3].withField("ordinal", F.lit(9)), tail)))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"),
+        F.inline(F.array(*parts[:3], parts[3].withField("ordinal", F.lit(9)), tail)))
     out = process.assemble(rows.where("ordinal <> 9").unionByName(rows.where("ordinal = 9")), "document_id")
     return out.select("document_id", "text", (F.col("n_chunks") - 1).alias("n_chunks"), "failed_chunks", F.array_join("warnings", ",").alias("warnings"))

@@ -38,7 +38,9 @@ def list_page(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _run_events(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select(F.col("event_id").alias("sequence"), F.col("user_id").alias("run_id"), F.col("event_type").alias("stage"), F.col("props").alias("message"), F.col("ts").alias("created_at"), F.col("value").alias("duration_ms"))
+    return table(spark, d, "events").select(F.col("event_id").alias("sequence"), F.col("user_id").alias("run_id"),
+        F.col("event_type").alias("stage"), F.col("props").alias("message"), F.col("ts").alias("created_at"),
+        F.col("value").alias("duration_ms"))
 
 
 @query("SELECT event_id AS sequence, event_type || ': ' || props AS line FROM events WHERE user_id = 8 ORDER BY event_id LIMIT 20 OFFSET 5")
@@ -53,8 +55,11 @@ SELECT coalesce(o.document_id, n.document_id) AS document_id, coalesce(n.status,
 )
 def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     """Customers overwritten by their newest order, ``created`` kept from the first row of the key."""
-    old = table(spark, d, "customer").select(F.col("c_custkey").alias("document_id"), F.lit("new").alias("status"), F.lit(0.0).alias("price"), F.col("c_nationkey").cast("bigint").alias("created"), F.lit(-1).cast("bigint").alias("seq"))
-    new = table(spark, d, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.col("o_orderkey").alias("created"), F.col("o_orderkey").alias("seq"))
+    old = table(spark, d, "customer").select(F.col("c_custkey").alias("document_id"), F.lit("new").alias("status"),
+        F.lit(0.0).alias("price"), F.col("c_nationkey").cast("bigint").alias("created"),
+        F.lit(-1).cast("bigint").alias("seq"))
+    new = table(spark, d, "orders").select(F.col("o_custkey").alias("document_id"), F.col("o_orderstatus").alias("status"),
+        F.col("o_totalprice").alias("price"), F.col("o_orderkey").alias("created"), F.col("o_orderkey").alias("seq"))
     return T.upsert(old, new, ["document_id"], keep=("created",), order="seq").select("document_id", "status", F.round("price", 2).alias("price"), "created")
 
 
@@ -63,7 +68,9 @@ def delete_survivors(spark: SparkSession, d: str) -> DataFrame:
     """What stays after the toxic documents were deleted with their classifications and the cache rows any of their texts share."""
     docs, labels = documents(spark, d), classifications(spark, d)
     sha = docs.select("document_id", F.sha2("text", 256).alias("sha256"))
-    kept = T.delete_documents({"documents": docs, "classifications": labels, "chunks": sha, "cache": sha.select(F.col("document_id").alias("row"), F.col("sha256").alias("chunk_sha256"))}, labels.where("label = '1'"))
+    kept = T.delete_documents({"documents": docs, "classifications": labels, "chunks": sha,
+            "cache": sha.select(F.col("document_id").alias("row"), F.col("sha256").alias("chunk_sha256"))},
+        labels.where("label = '1'"))
     one = lambda name, c="document_id": kept[name].select(F.lit(name).alias("kind"), F.col(c).alias("document_id"))
     return one("documents").unionByName(one("classifications")).unionByName(one("cache", "row"))
 
@@ -78,7 +85,8 @@ def cache_misses(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH s AS (SELECT doc_id, source || '/' || doc_id || '.txt' AS p, 'doc_' || substr(sha256(text), 1, 16) AS id, strlen(text)::bigint AS n FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p) AS r FROM s) SELECT id AS document_id, p AS source_path, doc_id || '.txt' AS filename, 'text/plain' AS media_type, n AS byte_size FROM r WHERE r = 1")
 def content_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    files = table(spark, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_path"), F.encode("text", "UTF-8").alias("content"))
+    files = table(spark, d, "documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"),
+            F.lit(".txt")).alias("source_path"), F.encode("text", "UTF-8").alias("content"))
     return process.ingest(files).select("document_id", "source_path", "filename", "media_type", "byte_size")
 
 
@@ -86,8 +94,10 @@ def content_dedupe(spark: SparkSession, d: str) -> DataFrame:
 def run_status_guard(spark: SparkSession, d: str) -> DataFrame:
     """Status changes apply to open runs only; canceled and succeeded ones stay."""
     state = F.when(F.col("c_mktsegment") == "BUILDING", "canceled").when(F.col("c_mktsegment") == "MACHINERY", "succeeded").otherwise("running")
-    held = table(spark, d, "customer").select(F.col("c_custkey").alias("run_id"), state.alias("status"), F.lit("chunk").alias("stage"), F.lit(None).cast("string").alias("error"))
-    changes = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("run_id")).agg(F.max_by("o_orderstatus", "o_orderkey").alias("status")).withColumns({"stage": F.lit("clean"), "error": F.lit(None).cast("string")})
+    held = table(spark, d, "customer").select(F.col("c_custkey").alias("run_id"), state.alias("status"),
+        F.lit("chunk").alias("stage"), F.lit(None).cast("string").alias("error"))
+    changes = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("run_id")).agg(F.max_by("o_orderstatus",
+            "o_orderkey").alias("status")).withColumns({"stage": F.lit("clean"), "error": F.lit(None).cast("string")})
     return T.update_run_status(held, changes).select("run_id", "status")
 
 
@@ -103,15 +113,23 @@ def publish_runs(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "customer").select(F.col("c_custkey").alias("document_id"), F.lit("new").alias("status"))
     held = outputs(spark, d).where("run_id % 2 = 0").withColumn("text", F.lit("old"))
     classes = docs.select("document_id", F.lit("999").alias("code"))
-    after = T.publish(held, classes, runs(spark, d), docs, outputs(spark, d).withColumn("text", F.lit("new")), outputs(spark, d).select("document_id", F.lit("000").alias("code")).distinct())
+    after = T.publish(held, classes, runs(spark, d), docs, outputs(spark, d).withColumn("text", F.lit("new")),
+        outputs(spark, d).select("document_id", F.lit("000").alias("code")).distinct())
     one = lambda name, kind, key, value: after[name].select(F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col(value).alias("value"))
-    return one("runs", "run", "run_id", "status").unionByName(one("documents", "document", "document_id", "status")).unionByName(one("outputs", "output", "run_id", "text")).unionByName(one("classifications", "class", "document_id", "code"))
+    return one("runs", "run", "run_id", "status").unionByName(one("documents", "document", "document_id",
+            "status")).unionByName(one("outputs", "output", "run_id", "text")).unionByName(one("classifications", "class",
+            "document_id", "code"))
 
 
 def _queue(spark: SparkSession, d: str) -> DataFrame:
-    kinds = F.when(F.col("event_type") == "click", "queued").when(F.col("event_type") == "view", "retry").when(F.col("event_type") == "error", "running").when(F.col("event_type") == "signup", "failed").otherwise("succeeded")
+    kinds = F.when(F.col("event_type") == "click", "queued").when(F.col("event_type") == "view",
+        "retry").when(F.col("event_type") == "error", "running").when(F.col("event_type") == "signup",
+        "failed").otherwise("succeeded")
     lease = F.when(F.col("event_type") == "error", F.col("ts") + F.make_interval(days=F.lit(10)))
-    return table(spark, d, "events").select(F.col("event_id").alias("run_id"), kinds.alias("status"), (F.col("user_id") % 5).cast("int").alias("attempts"), F.col("ts").alias("available_at"), lease.alias("locked_at"), F.when(F.col("event_type") == "error", "w1").alias("locked_by"), F.col("ts").alias("updated_at"), F.lit(None).cast("string").alias("last_error"))
+    return table(spark, d, "events").select(F.col("event_id").alias("run_id"), kinds.alias("status"),
+        (F.col("user_id") % 5).cast("int").alias("attempts"), F.col("ts").alias("available_at"), lease.alias("locked_at"),
+        F.when(F.col("event_type") == "error", "w1").alias("locked_by"), F.col("ts").alias("updated_at"),
+        F.lit(None).cast("string").alias("last_error"))
 
 
 _QUEUE = "q AS (SELECT event_id AS run_id, CASE event_type WHEN 'click' THEN 'queued' WHEN 'view' THEN 'retry' WHEN 'error' THEN 'running' WHEN 'signup' THEN 'failed' ELSE 'succeeded' END AS status, (user_id % 5)::int AS attempts, ts AS available_at, CASE WHEN event_type = 'error' THEN ts + INTERVAL 10 DAY END AS locked_at, CASE WHEN event_type = 'error' THEN 'w1' END AS locked_by, ts AS updated_at FROM events)"
@@ -161,7 +179,8 @@ def storage_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT 'lineitem' AS child, 'orders' AS parent, count(*) AS orphans FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) UNION ALL SELECT 'labels', 'documents', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'documents', 'labels', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def verify_references(spark: SparkSession, d: str) -> DataFrame:
-    t = {"lineitem": table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey"), **{n: table(spark, d, n) for n in ("orders", "labels", "documents")}}
+    t = {"lineitem": table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey"),
+        **{n: table(spark, d, n) for n in ("orders", "labels", "documents")}}
     return T.verify(t, [("lineitem", "orders", "o_orderkey"), ("labels", "documents", "doc_id"), ("documents", "labels", "doc_id")])
 
 
@@ -183,7 +202,12 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
     """Page records of a manifest a user: source and status from the event's type."""
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.col("event_type")
-    return table(spark, d, "events").select(F.col("user_id").alias("manifest"), F.when(kind == "error", "failed").when(kind == "signup", "pending").otherwise("succeeded").alias("status"), F.when(kind == "view", "ocr").otherwise("embedded").alias("source"), F.when(k < 90, k.cast("double")).alias("confidence"), (k % 7 == 0).alias("corrected"), (k % 4 - 1).alias("attempts"), F.col("value").alias("duration_ms"), rollups.page_warnings(F.when(k < 90, k.cast("double")), F.when(k % 5 == 0, 90).otherwise(0), 40.0).alias("warnings"))
+    return table(spark, d, "events").select(F.col("user_id").alias("manifest"),
+        F.when(kind == "error", "failed").when(kind == "signup", "pending").otherwise("succeeded").alias("status"),
+        F.when(kind == "view", "ocr").otherwise("embedded").alias("source"),
+        F.when(k < 90, k.cast("double")).alias("confidence"), (k % 7 == 0).alias("corrected"), (k % 4 - 1).alias("attempts"),
+        F.col("value").alias("duration_ms"), rollups.page_warnings(F.when(k < 90, k.cast("double")),
+            F.when(k % 5 == 0, 90).otherwise(0), 40.0).alias("warnings"))
 
 
 _PAGES = "p AS (SELECT user_id AS manifest, CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'pending' ELSE 'succeeded' END AS status, CASE WHEN event_type = 'view' THEN 'ocr' ELSE 'embedded' END AS source, (props->>'$.k')::int AS k, value FROM events)"
@@ -221,7 +245,9 @@ def request_metrics(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_type || ':m' || user_id % 3 AS model, sum((props->>'$.k')::bigint)::bigint AS prompt_tokens, sum(event_id)::bigint AS completion_tokens, sum((props->>'$.k')::bigint + event_id)::bigint AS total_tokens, round(sum((props->>'$.k')::bigint) * 0.5 / 1000 + sum(event_id) * 1.5 / 1000, 4)::double AS estimated_cost FROM events GROUP BY 1")
 def llm_usage(spark: SparkSession, d: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("bigint")
-    calls = table(spark, d, "events").select(F.col("event_type").alias("provider"), F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("model"), k.alias("prompt_tokens"), F.col("event_id").alias("completion_tokens"), (k + F.col("event_id")).alias("total_tokens"))
+    calls = table(spark, d, "events").select(F.col("event_type").alias("provider"),
+        F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")).alias("model"), k.alias("prompt_tokens"),
+        F.col("event_id").alias("completion_tokens"), (k + F.col("event_id")).alias("total_tokens"))
     return rollups.llm_usage(calls, 0.5, 1.5).withColumn("estimated_cost", F.round("estimated_cost", 4))
 
 
@@ -233,19 +259,25 @@ def prometheus_lines(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT count(*) FILTER (o_orderstatus <> 'P') AS converted, count(*) FILTER (o_orderstatus = 'F') AS ingested, count(*) FILTER (o_orderstatus = 'F') AS processed, count(*) FILTER (o_orderstatus = 'O') AS queued, 0::bigint AS skipped, count(*) FILTER (o_orderstatus = 'P') AS failed FROM orders")
 def import_summary(spark: SparkSession, d: str) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "F", "processed").when(F.col("o_orderstatus") == "O", "queued").otherwise("failed")
-    return rollups.import_summary(table(spark, d, "orders").select(status.alias("status"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey")).alias("document_id")))
+    return rollups.import_summary(table(spark, d, "orders").select(status.alias("status"),
+            F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey")).alias("document_id")))
 
 
 @query("WITH c AS (SELECT *, quality = 1 AS passed, n_chars // 2 AS output_chars, CASE WHEN toxic = 1 THEN 2 ELSE 0 END AS f, CASE WHEN quality = 0 THEN 1 ELSE 0 END AS w FROM documents JOIN labels USING (doc_id)) SELECT count(*) AS case_count, count(*) FILTER (passed) AS passed_count, count(*) FILTER (NOT passed) AS failed_count, round(count(*) FILTER (passed) / count(*), 6) AS pass_rate, sum(n_chars)::bigint AS total_input_chars, sum(output_chars)::bigint AS total_output_chars, round(avg(n_chars), 4) AS average_chars_per_second, sum(w)::bigint AS warning_count, sum(f)::bigint AS failure_count, count(*) FILTER (w > 0) AS warning_case_count, count(*) FILTER (f > 0) AS failure_case_count FROM c")
 def eval_summary(spark: SparkSession, d: str) -> DataFrame:
     two = lambda when, *v: F.when(when, F.array(*map(F.lit, v))).otherwise(F.array().cast("array<string>"))
-    cases = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select((F.col("quality") == 1).alias("passed"), F.col("n_chars").alias("input_chars"), F.expr("n_chars div 2").alias("output_chars"), F.col("n_chars").cast("double").alias("chars_per_second"), two(F.col("quality") == 0, "w").alias("warnings"), two(F.col("toxic") == 1, "a", "b").alias("failures"))
+    cases = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select((F.col("quality") == 1).alias("passed"),
+        F.col("n_chars").alias("input_chars"), F.expr("n_chars div 2").alias("output_chars"),
+        F.col("n_chars").cast("double").alias("chars_per_second"), two(F.col("quality") == 0, "w").alias("warnings"),
+        two(F.col("toxic") == 1, "a", "b").alias("failures"))
     return rollups.eval_summary(cases).withColumns({"pass_rate": F.round("pass_rate", 6), "average_chars_per_second": F.round("average_chars_per_second", 4)})
 
 
 @query("SELECT user_id, max_by(rot, key) AS rotation, max_by(conf, key) AS confidence FROM (SELECT user_id, (event_id % 4 * 90)::int AS rot, CASE WHEN event_type <> 'error' THEN (props->>'$.k')::double END AS conf, coalesce(CASE WHEN event_type <> 'error' THEN (props->>'$.k')::double END, -1) * 1000 - event_id % 4 * 90 AS key FROM events) GROUP BY user_id")
 def best_rotation(spark: SparkSession, d: str) -> DataFrame:
-    tries = table(spark, d, "events").select("user_id", (F.col("event_id") % 4 * 90).cast("int").alias("rotation"), F.when(F.col("event_type") != "error", F.get_json_object("props", "$.k").cast("double")).alias("confidence"), F.lit("").alias("text"))
+    tries = table(spark, d, "events").select("user_id", (F.col("event_id") % 4 * 90).cast("int").alias("rotation"),
+        F.when(F.col("event_type") != "error", F.get_json_object("props", "$.k").cast("double")).alias("confidence"),
+        F.lit("").alias("text"))
     return rollups.best_rotation(tries, ["user_id"]).drop("text")
 
 
@@ -262,7 +294,9 @@ def rate_limit_fold(spark: SparkSession, d: str) -> DataFrame:
 
 def _commands(spark: SparkSession, d: str) -> DataFrame:
     command = F.expr("CASE event_type WHEN 'signup' THEN 'enqueue' WHEN 'view' THEN 'claim' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'fail' ELSE CASE WHEN value < 2 THEN 'cancel' ELSE 'enqueue' END END")
-    return table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), command.alias("command"), F.concat(F.lit("w"), (F.col("user_id") % 4).cast("string")).alias("worker"), F.col("props").alias("error"))
+    return table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"),
+        command.alias("command"), F.concat(F.lit("w"), (F.col("user_id") % 4).cast("string")).alias("worker"),
+        F.col("props").alias("error"))
 
 
 @query(
@@ -298,13 +332,30 @@ def event_stream_totals(spark: SparkSession, d: str) -> DataFrame:
 
 #: A detail for every rule and what it should be; the fallbacks by status after it.
 _DETAILS = (
-    ("Document NOT FOUND", "not_found"), ("Invalid API key", "invalid_api_key"), ("scope does not allow this operation", "insufficient_scope"), ("Request body contains more than the configured limit", "request_too_large"), ("Upload exceeds it", "upload_too_large"), ("Batch upload contains too much, configured limit 3", "batch_too_large"),
-    ("Import contains more files than the configured limit", "import_too_large"), ("Import manifest contains more bytes than the configured limit", "import_manifest_too_large"), ("PDF page manifest contains more than the configured limit", "page_manifest_too_large"), ("manifest_path contains more than the configured limit", "import_manifest_too_large"),
-    ("bad upload directory", "invalid_upload_path"), ("upload data_dir is bad", "invalid_upload_path"), ("Run submission failed", "run_submission_failed"), ("needs job_backend=sqlite", "queue_backend_required"), ("no such import root", "invalid_import_path"), ("path must be under it", "invalid_import_path"), ("manifest_path is odd", "invalid_manifest_path"),
-    ("PDF page manifest is odd", "invalid_manifest_path"), ("output_dir is odd", "invalid_output_dir"), ("subdirectory_name is odd", "invalid_subdirectory_name"), ("source_dir is odd", "invalid_source_dir"), ("Invalid document_status", "invalid_document_status"), ("Invalid search scope", "invalid_search_scope"), ("Search query exceeds configured limit", "search_query_too_large"),
-    ("Invalid search query", "invalid_search_query"), ("created_after is later than created_before", "invalid_search_window"), ("Archive inputs are not supported", "archive_not_supported"), ("Unsupported file extension", "unsupported_file_type"), ("terminal runs cannot be canceled", "run_terminal"), ("the run is not failed", "run_not_failed"),
+    ("Document NOT FOUND", "not_found"), ("Invalid API key", "invalid_api_key"),
+        ("scope does not allow this operation", "insufficient_scope"),
+        ("Request body contains more than the configured limit", "request_too_large"),
+        ("Upload exceeds it", "upload_too_large"), ("Batch upload contains too much, configured limit 3", "batch_too_large"),
+    ("Import contains more files than the configured limit", "import_too_large"),
+        ("Import manifest contains more bytes than the configured limit", "import_manifest_too_large"),
+        ("PDF page manifest contains more than the configured limit", "page_manifest_too_large"),
+        ("manifest_path contains more than the configured limit", "import_manifest_too_large"),
+    ("bad upload directory", "invalid_upload_path"), ("upload data_dir is bad", "invalid_upload_path"),
+        ("Run submission failed", "run_submission_failed"), ("needs job_backend=sqlite", "queue_backend_required"),
+        ("no such import root", "invalid_import_path"), ("path must be under it", "invalid_import_path"),
+        ("manifest_path is odd", "invalid_manifest_path"),
+    ("PDF page manifest is odd", "invalid_manifest_path"), ("output_dir is odd", "invalid_output_dir"),
+        ("subdirectory_name is odd", "invalid_subdirectory_name"), ("source_dir is odd", "invalid_source_dir"),
+        ("Invalid document_status", "invalid_document_status"), ("Invalid search scope", "invalid_search_scope"),
+        ("Search query exceeds configured limit", "search_query_too_large"),
+    ("Invalid search query", "invalid_search_query"), ("created_after is later than created_before", "invalid_search_window"),
+        ("Archive inputs are not supported", "archive_not_supported"),
+        ("Unsupported file extension", "unsupported_file_type"), ("terminal runs cannot be canceled", "run_terminal"),
+        ("the run is not failed", "run_not_failed"),
 )
-_CODES = {401: "unauthorized", 403: "forbidden", 404: "not_found", 413: "payload_too_large", 429: "rate_limited", 422: "validation_error", 503: "service_unavailable", 400: "bad_request", 500: "server_error", 507: "server_error", 418: "http_error"}
+_CODES = {401: "unauthorized", 403: "forbidden", 404: "not_found", 413: "payload_too_large", 429: "rate_limited",
+    422: "validation_error", 503: "service_unavailable", 400: "bad_request", 500: "server_error", 507: "server_error",
+    418: "http_error"}
 
 
 def _pick(values, by: str) -> str:

@@ -18,13 +18,16 @@ POLICY = process.ChunkPolicy(1000, 100, 200)
 
 @query("SELECT doc_id, 'doc_' || substr(sha256(text), 1, 16) AS document_id, sha256(text) AS sha256, strlen(text)::bigint AS byte_size FROM documents")
 def doc_ids(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", X.digest("doc_", F.col("text")).alias("document_id"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("bigint").alias("byte_size"))
+    return table(spark, d, "documents").select("doc_id", X.digest("doc_", F.col("text")).alias("document_id"),
+        F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("bigint").alias("byte_size"))
 
 
 @query("SELECT doc_id AS document_id, 'chk_' || substr(sha256(doc_id::varchar || ':0:' || sha256(text)), 1, 16) AS chunk_id FROM documents")
 def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
     """Identifiers of chunks that are whole texts."""
-    return documents(spark, d).select("document_id", X.digest("chk_", F.concat_ws(":", F.col("document_id").cast("string"), F.lit("0"), F.sha2("text", 256))).alias("chunk_id"))
+    return documents(spark, d).select("document_id",
+        X.digest("chk_", F.concat_ws(":", F.col("document_id").cast("string"), F.lit("0"),
+                F.sha2("text", 256))).alias("chunk_id"))
 
 
 @query()
@@ -123,7 +126,8 @@ def classification_payloads(spark: SparkSession, d: str) -> DataFrame:
 WHEN 1 THEN '{"summary": " ", "dewey_code": " ", "category_name": "", "period": "year 2025"}' WHEN 2 THEN '{"summary": "s", "dewey_code": "800", "category_name": " "}' WHEN 3 THEN '{"summary": "s", "dewey_code": "800"}' ELSE 'no answer' END"""
     )
     said, file = F.concat(F.lit("a doctor "), "text"), F.when(F.col("doc_id") % 5 < 3, "Acme_Office_View_2026-06.pdf").otherwise("Acme_Office_2026-07.pdf")
-    return table(spark, d, "documents").select("doc_id", X.classified(raw, said, file).alias("c")).select("doc_id", "c.*").withColumn("tags", F.array_join("tags", ","))
+    return table(spark, d, "documents").select("doc_id", X.classified(raw, said, file).alias("c")).select("doc_id",
+        "c.*").withColumn("tags", F.array_join("tags", ","))
 
 
 @query(r"SELECT doc_id, regexp_replace(regexp_replace(lower(source || ' No. ' || doc_id || '!'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
@@ -144,7 +148,8 @@ def series_keys(spark: SparkSession, d: str) -> DataFrame:
     """Named series; series of distinctive file names; none."""
     third = F.col("doc_id") % 3
     issuer, title = F.when(third == 0, "Acme"), F.when(third == 0, F.concat("source", F.lit(" Weekly, March 2024")))
-    name = F.when(third == 1, F.concat(F.lit("Acme_"), "source", F.lit("_Office_2026-0"), (F.col("doc_id") % 9 + 1).cast("string"), F.lit(".pdf"))).otherwise("report.pdf")
+    name = F.when(third == 1, F.concat(F.lit("Acme_"), "source", F.lit("_Office_2026-0"),
+            (F.col("doc_id") % 9 + 1).cast("string"), F.lit(".pdf"))).otherwise("report.pdf")
     return table(spark, d, "documents").select("doc_id", X.series_key(issuer, title, name).alias("series_key"))
 
 
@@ -163,7 +168,8 @@ _SAID = """' {"api_key": "k' || doc_id || '", ''Secret'' : ''s p''} token=abc' |
 def redact_secrets(spark: SparkSession, d: str) -> DataFrame:
     """All four families: quoted pairs, assignments, bearer headers, keys of a known prefix."""
     parts = [F.lit(p) if i % 2 == 0 else F.col("doc_id").cast("string") for i, p in enumerate(re.split(r"' \|\| (doc_id) \|\| '", _SAID.strip("'")))]
-    said = F.concat("text", *(p if i % 2 else F.lit(x) for i, (p, x) in enumerate(zip(parts, (x.replace("''", "'") for x in re.split(r"' \|\| (doc_id) \|\| '", _SAID[1:-1]))))))
+    said = F.concat("text", *(p if i % 2 else F.lit(x) for i,
+            (p, x) in enumerate(zip(parts, (x.replace("''", "'") for x in re.split(r"' \|\| (doc_id) \|\| '", _SAID[1:-1]))))))
     return table(spark, d, "documents").select("doc_id", X.redact(said).alias("text"))
 
 
@@ -176,7 +182,8 @@ def sanitized_errors(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, CASE WHEN quality = 1 THEN '610 ' || source || ' & notes' ELSE 'file ' || doc_id END AS stem FROM documents JOIN labels USING (doc_id)")
 def export_stems(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    return t.select("doc_id", X.export_stem(F.lit("610"), F.when(F.col("quality") == 1, F.concat("source", F.lit(" & | notes/"))), F.concat(F.lit("file_"), F.col("doc_id").cast("string"), F.lit(".txt"))).alias("stem"))
+    return t.select("doc_id", X.export_stem(F.lit("610"), F.when(F.col("quality") == 1, F.concat("source", F.lit(" & | notes/"))),
+            F.concat(F.lit("file_"), F.col("doc_id").cast("string"), F.lit(".txt"))).alias("stem"))
 
 
 @query("SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'upload.txt' WHEN 1 THEN 'a b' || page_id || '.md' WHEN 2 THEN 'c' || page_id || '.txt' WHEN 3 THEN regexp_extract(url, '[^/]*$') WHEN 4 THEN 'upload.txt' ELSE 'tab' || page_id END AS name FROM (SELECT page_id, CASE WHEN page_id % 6 = 3 AND url LIKE '%/' THEN url || 'x' ELSE url END AS url FROM pages)")
@@ -189,7 +196,9 @@ def safe_filenames(spark: SparkSession, d: str) -> DataFrame:
 def output_paths(spark: SparkSession, d: str) -> DataFrame:
     source = F.concat(F.lit("/in/"), F.col("page_id").cast("string"), F.lit(".html"))
     new = readers.output_path(source, "/in", "md", "new-directory", "/out")
-    return table(spark, d, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, new).otherwise(readers.output_path(source, "/in", "md", "subdirectory", subdirectory="conv")).alias("path"))
+    return table(spark, d, "pages").select("page_id",
+        F.when(F.col("page_id") % 2 == 0, new).otherwise(readers.output_path(source, "/in", "md", "subdirectory",
+                subdirectory="conv")).alias("path"))
 
 
 @query("SELECT doc_id, '# src a' || chr(10) || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g') || chr(10) AS content FROM documents")
@@ -214,7 +223,12 @@ def _sources(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents")
     at = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_interval(hours=F.col("doc_id").cast("int"))
     none = F.lit(None).cast("string")
-    return t.select(F.col("doc_id").alias("document_id"), F.concat("source", F.lit(".txt")).alias("filename"), "text", at.alias("created_at"), F.expr(_CODE).alias("code"), none.alias("label"), F.substring("text", 1, 300).alias("summary"), F.concat(F.lit("Note "), F.col("lang")).alias("title"), F.array("lang", "source").alias("tags"), none.alias("description"), none.alias("issuer"), F.col("source").alias("series_key"), F.col("source").alias("series_title"), F.col("lang").alias("period"), F.lit(0.5).alias("confidence"))
+    return t.select(F.col("doc_id").alias("document_id"), F.concat("source", F.lit(".txt")).alias("filename"), "text",
+        at.alias("created_at"), F.expr(_CODE).alias("code"), none.alias("label"),
+        F.substring("text", 1, 300).alias("summary"), F.concat(F.lit("Note "), F.col("lang")).alias("title"),
+        F.array("lang", "source").alias("tags"), none.alias("description"), none.alias("issuer"),
+        F.col("source").alias("series_key"), F.col("source").alias("series_title"), F.col("lang").alias("period"),
+        F.lit(0.5).alias("confidence"))
 
 
 @query(rf"""SELECT doc_id AS document_id, md5('# Note ' || lang || chr(10) || CASE WHEN regexp_replace(substr(text, 1, 300), '^\s+|\s+$', '', 'g') = '' THEN '' ELSE chr(10) || '> ' || replace(regexp_replace(substr(text, 1, 300), '^\s+|\s+$', '', 'g'), chr(10), ' ') || chr(10) END || chr(10) || 'Classification: ' || {_CODE} || chr(10) || chr(10) || 'Tags: ' || lang || ', ' || source || chr(10) || chr(10) || '---' || chr(10) || chr(10) || text) AS h FROM documents""")
@@ -226,8 +240,10 @@ def export_markdown(spark: SparkSession, d: str) -> DataFrame:
 def export_json(spark: SparkSession, d: str) -> DataFrame:
     """The export read back: every field, and how many there are."""
     ddl = "document_id string, filename string, classification string, title string, summary string, tags array<string>, suggested_stem string, text string"
-    read = _sources(spark, d).select("document_id", export.render("json").alias("c")).select("document_id", F.from_json("c", ddl).alias("j"), F.size(F.json_object_keys("c")).alias("n_fields"))
-    return read.select("document_id", F.col("j.document_id").alias("id"), "j.classification", "j.title", "j.summary", F.array_join("j.tags", ",").alias("tags"), "j.suggested_stem", F.md5("j.text").alias("h"), "n_fields")
+    read = _sources(spark, d).select("document_id", export.render("json").alias("c")).select("document_id",
+        F.from_json("c", ddl).alias("j"), F.size(F.json_object_keys("c")).alias("n_fields"))
+    return read.select("document_id", F.col("j.document_id").alias("id"), "j.classification", "j.title", "j.summary",
+        F.array_join("j.tags", ",").alias("tags"), "j.suggested_stem", F.md5("j.text").alias("h"), "n_fields")
 
 
 @query(
@@ -266,7 +282,9 @@ SELECT doc_id AS document_id, 'x-general/' || stem || CASE WHEN j = 0 THEN '' EL
 )
 def bundle_paths_that_meet(spark: SparkSession, d: str) -> DataFrame:
     """Titles that are what numbering would make of others: no two paths meet."""
-    docs = _sources(spark, d).withColumns({"title": F.expr("CASE document_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN concat('a ', document_id % 5) ELSE 'A 2 2' END"), "code": F.lit("x")})
+    docs = _sources(spark,
+        d).withColumns({"title": F.expr("CASE document_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN concat('a ', document_id % 5) ELSE 'A 2 2' END"),
+            "code": F.lit("x")})
     return export.concepts(docs).select("document_id", "path")
 
 

@@ -30,7 +30,8 @@ def timestamp_format(spark: SparkSession, d: str) -> DataFrame:
     """Compact, SRT and VTT form of times up to an hour and beyond."""
     s = (F.col("turn") * 725 + F.col("conv_id") % 60).cast("double")
     exact = s + F.col("turn") * 125 % 1000 / 1000.0
-    return table(spark, d, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("seg"), X.compact_time(s + 0.9).alias("compact"), X.srt_time(exact).alias("srt"), X.srt_time(exact, ".").alias("vtt"))
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("seg"),
+        X.compact_time(s + 0.9).alias("compact"), X.srt_time(exact).alias("srt"), X.srt_time(exact, ".").alias("vtt"))
 
 
 @query("SELECT conv_id AS document_id, turn AS seg, (turn * 3661 + 0.5::double) AS seconds FROM conversations")
@@ -68,7 +69,8 @@ _SPAN = lambda mark: f"{_STAMP('start_seconds', mark)} || ' --> ' || {_STAMP('(s
 
 @query(f"WITH {SEGMENTS} SELECT document_id, string_agg((seg + 1) || chr(10) || {_SPAN(',')}, chr(10) || chr(10) ORDER BY seg) || chr(10) AS srt, 'WEBVTT' || chr(10) || chr(10) || string_agg({_SPAN('.')}, chr(10) || chr(10) ORDER BY seg) || chr(10) AS vtt FROM segs GROUP BY document_id")
 def transcript_captions(spark: SparkSession, d: str) -> DataFrame:
-    return segment_arrays(spark, d).select("document_id", R.render_column(F.col("segments"), "srt").alias("srt"), R.render_column(F.col("segments"), "vtt").alias("vtt"))
+    return segment_arrays(spark, d).select("document_id", R.render_column(F.col("segments"), "srt").alias("srt"),
+        R.render_column(F.col("segments"), "vtt").alias("vtt"))
 
 
 _FIELD = "CASE WHEN regexp_matches({0}, '[\",\r\n]') THEN '\"' || replace({0}, '\"', '\"\"') || '\"' ELSE {0} END"
@@ -90,7 +92,9 @@ def quote_exact(spark: SparkSession, d: str) -> DataFrame:
     """The second and third turn of a conversation, with a dash between them, as a quote from it: where it stands."""
     a = segment_arrays(spark, d)
     quote = F.array_join(F.transform(F.slice("segments", 2, 2), lambda s: s["text"]), " - ")
-    return a.select("document_id", R.match_column(F.col("segments"), quote).alias("m")).where("m IS NOT NULL").select("document_id", "m.start_segment_index", "m.end_segment_index", "m.start_seconds", "m.end_seconds", "m.strategy", "m.confidence")
+    return a.select("document_id", R.match_column(F.col("segments"),
+            quote).alias("m")).where("m IS NOT NULL").select("document_id", "m.start_segment_index", "m.end_segment_index",
+        "m.start_seconds", "m.end_seconds", "m.strategy", "m.confidence")
 
 
 @query(rf"""WITH {SEGMENTS} SELECT document_id, text AS quote, printf('%02d:%02d', 0, floor(start_seconds)::int) AS start, strategy, matched FROM (SELECT document_id, seg, text, start_seconds, 'exact-normalized' AS strategy, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '\s+([,.;:!?])', '', 'g') AS matched FROM segs WHERE seg = 0) WHERE trim(regexp_replace(regexp_replace(lower(text), '[^\pL\pN_\s]', ' ', 'g'), '\s+', ' ', 'g')) <> ''""")
@@ -98,7 +102,9 @@ def quote_json(spark: SparkSession, d: str) -> DataFrame:
     """The first turn found and told as JSON, read back."""
     a = segment_arrays(spark, d).withColumn("quote", F.col("segments")[0]["text"])
     told = a.select("document_id", R.match_json(F.col("quote"), R.match_column(F.col("segments"), F.col("quote"))).alias("j")).where("j IS NOT NULL")
-    return told.select("document_id", F.from_json("j", "quote string, matched_text string, start string, strategy string").alias("m")).select("document_id", "m.quote", "m.start", "m.strategy", F.col("m.matched_text").alias("matched"))
+    return told.select("document_id", F.from_json("j",
+            "quote string, matched_text string, start string, strategy string").alias("m")).select("document_id", "m.quote",
+        "m.start", "m.strategy", F.col("m.matched_text").alias("matched"))
 
 
 @query()
@@ -107,7 +113,8 @@ def quote_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     a = segment_arrays(spark, d)
     said = F.coalesce(F.get("segments", F.lit(1))["text"], F.get("segments", F.lit(0))["text"])
     quote = F.concat(F.substring(said, F.lit(4), F.length(said)), F.lit(" "), F.substring(said, 1, 3))
-    return a.select("document_id", R.match_column(F.col("segments"), quote, 0.6).alias("m")).select("document_id", "m.start_segment_index", "m.end_segment_index", "m.strategy", "m.confidence")
+    return a.select("document_id", R.match_column(F.col("segments"), quote, 0.6).alias("m")).select("document_id",
+        "m.start_segment_index", "m.end_segment_index", "m.strategy", "m.confidence")
 
 
 _QUOTE = "the and of to in"

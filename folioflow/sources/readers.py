@@ -20,8 +20,10 @@ from ..session import spread
 TEXT, CAPTIONS, PAGES = ("txt", "md", "csv"), ("srt", "vtt"), ("html", "htm", "xml")
 SUPPORTED = (*TEXT, "json", *CAPTIONS, *PAGES)
 #: First bytes in hexadecimal and what they tell.
-ARCHIVES = (("504B0304", "zip"), ("504B0506", "zip"), ("1F8B", "gzip"), ("425A68", "bzip2"), ("FD377A585A00", "xz"), ("377ABCAF271C", "7z"), ("526172211A07", "rar"), ("28B52FFD", "zstd"))
-STATUSES = {"convert": ("converted", "ingested", "processed", "queued"), "ingest": ("ingested", "processed", "queued"), "process": ("processed",), "queue": ("queued", "processed")}
+ARCHIVES = (("504B0304", "zip"), ("504B0506", "zip"), ("1F8B", "gzip"), ("425A68", "bzip2"), ("FD377A585A00", "xz"),
+    ("377ABCAF271C", "7z"), ("526172211A07", "rar"), ("28B52FFD", "zstd"))
+STATUSES = {"convert": ("converted", "ingested", "processed", "queued"), "ingest": ("ingested", "processed", "queued"),
+    "process": ("processed",), "queue": ("queued", "processed")}
 
 
 def extension(path: Column) -> Column:
@@ -71,7 +73,8 @@ def is_artifact(content: Column) -> Column:
     return head.rlike(rf'"generated_by"\s*:\s*"{MARK}"') & head.rlike(rf'"artifact_type"\s*:\s*"(?:{kind})"')
 
 
-def discover(spark: SparkSession, folder: str, recursive: bool = True, excluded: tuple[str, ...] = (), supported: tuple[str, ...] = SUPPORTED, allowed_root: str | None = None, ordered: bool = False) -> DataFrame:
+def discover(spark: SparkSession, folder: str, recursive: bool = True, excluded: tuple[str, ...] = (),
+    supported: tuple[str, ...] = SUPPORTED, allowed_root: str | None = None, ordered: bool = False) -> DataFrame:
     """(source_path, length, modified_at, content) of supported files.
 
     Generated JSON files are left out, and so are files that have one beside them (they were written here), files below ``excluded`` and
@@ -95,7 +98,8 @@ def discover(spark: SparkSession, folder: str, recursive: bool = True, excluded:
     return files.orderBy(F.lower("source_path"), "source_path") if ordered else files
 
 
-def extract(files: DataFrame, most_bytes: int = 50 << 20, others: dict[str, Callable[[bytes], str]] | None = None, fallback: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+def extract(files: DataFrame, most_bytes: int = 50 << 20, others: dict[str, Callable[[bytes], str]] | None = None,
+    fallback: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
     """``files`` with text, status (converted or failed) and error. ``others`` maps more extensions to extractors, run in Arrow batches; where one fails, that of ``fallback`` is tried.
 
     A file never fails the job: bytes that are no UTF-8, another kind, an archive, a NUL byte, too many bytes or no text each give an error. Only the files of a kind that
@@ -104,8 +108,12 @@ def extract(files: DataFrame, most_bytes: int = 50 << 20, others: dict[str, Call
     kind, content = extension(F.col("source_path")), F.col("content")
     known = (*SUPPORTED, *(others or ()))
     decoded = F.try_validate_utf8(content.cast("string"))
-    error = F.when(~kind.isin(*known), F.concat(F.lit("unsupported file extension: "), kind)).when(content.isNull(), "file cannot be read").when(F.length(content) > most_bytes, "file exceeds the configured limit")
-    error = error.when(kind.isin(*SUPPORTED) & archive_label(content).isNotNull(), F.concat(F.lit("archive inputs are not supported: "), archive_label(content))).when(kind.isin(*SUPPORTED) & has_nul(content), "file is binary").when(kind.isin(*SUPPORTED) & decoded.isNull(), "file is not valid UTF-8")
+    error = F.when(~kind.isin(*known), F.concat(F.lit("unsupported file extension: "), kind)).when(content.isNull(),
+        "file cannot be read").when(F.length(content) > most_bytes, "file exceeds the configured limit")
+    error = error.when(kind.isin(*SUPPORTED) & archive_label(content).isNotNull(),
+        F.concat(F.lit("archive inputs are not supported: "),
+            archive_label(content))).when(kind.isin(*SUPPORTED) & has_nul(content),
+        "file is binary").when(kind.isin(*SUPPORTED) & decoded.isNull(), "file is not valid UTF-8")
     checked = files.withColumn("_error", error).withColumn("_kind", F.when(F.col("_error").isNull(), kind))
     raw, kind = decoded, F.col("_kind")
 
@@ -121,7 +129,8 @@ def extract(files: DataFrame, most_bytes: int = 50 << 20, others: dict[str, Call
 
     of = lambda kinds: F.when(kind.isin(*kinds), raw)
     captions = F.nullif(transcripts.render_column(transcripts.parse_column(of(CAPTIONS), merged=True), "md"), F.lit(""))
-    text = F.when(kind.isin(*TEXT), raw).when(kind == "json", pretty(of(("json",)))).when(kind.isin(*CAPTIONS), captions).when(kind.isin(*PAGES), X.html_to_text(raw))
+    text = F.when(kind.isin(*TEXT), raw).when(kind == "json", pretty(of(("json",)))).when(kind.isin(*CAPTIONS),
+        captions).when(kind.isin(*PAGES), X.html_to_text(raw))
     if others:
 
         @F.pandas_udf("string")
@@ -139,8 +148,11 @@ def extract(files: DataFrame, most_bytes: int = 50 << 20, others: dict[str, Call
 
         text = text.when(kind.isin(*others), custom(F.when(kind.isin(*others), content), kind))
     out = checked.withColumn("text", text)
-    out = out.withColumn("error", F.coalesce("_error", F.when(F.startswith("text", F.lit("\x00")), F.substring("text", 2, 1000)), F.when(F.col("text").isNull() | (X.strip(F.col("text")) == ""), "no extractable text"))).drop("_error", "_kind")
-    return out.withColumns({"text": F.when(F.col("error").isNull(), F.col("text")), "status": F.when(F.col("error").isNull(), "converted").otherwise("failed"), "failure": F.when(F.col("error").isNotNull(), X.conversion_failure(F.col("error")))})
+    out = out.withColumn("error", F.coalesce("_error", F.when(F.startswith("text", F.lit("\x00")), F.substring("text", 2, 1000)),
+            F.when(F.col("text").isNull() | (X.strip(F.col("text")) == ""), "no extractable text"))).drop("_error", "_kind")
+    return out.withColumns({"text": F.when(F.col("error").isNull(), F.col("text")),
+            "status": F.when(F.col("error").isNull(), "converted").otherwise("failed"),
+            "failure": F.when(F.col("error").isNotNull(), X.conversion_failure(F.col("error")))})
 
 
 def config_signature(params: dict) -> str:
@@ -151,9 +163,11 @@ def extract_cached(files: DataFrame, cache: DataFrame, signature: str, **how) ->
     """(extracted files, new cache rows): contents extracted before under the same configuration are taken from the cache; failures are not cached."""
     keyed = files.withColumn("content_sha256", F.sha2("content", 256))
     known = cache.where(F.col("config_signature") == signature).select("content_sha256", "text")
-    hit = keyed.join(known, "content_sha256").withColumns({"error": F.lit(None).cast("string"), "status": F.lit("converted"), "failure": F.lit(None).cast("string")})
+    hit = keyed.join(known, "content_sha256").withColumns({"error": F.lit(None).cast("string"), "status": F.lit("converted"),
+            "failure": F.lit(None).cast("string")})
     fresh = extract(keyed.join(known, "content_sha256", "left_anti"), **how)
-    new = fresh.where("status = 'converted'").select("content_sha256", F.lit(signature).alias("config_signature"), extension(F.col("source_path")).alias("source_extension"), "text").dropDuplicates(["content_sha256"])
+    new = fresh.where("status = 'converted'").select("content_sha256", F.lit(signature).alias("config_signature"),
+        extension(F.col("source_path")).alias("source_extension"), "text").dropDuplicates(["content_sha256"])
     return hit.unionByName(fresh), new
 
 
@@ -181,9 +195,13 @@ def plan_import(files: DataFrame, manifest: DataFrame | None, mode: str) -> Data
 def import_files(files: DataFrame, manifest: DataFrame | None = None, mode: str = "ingest", **how) -> DataFrame:
     """(source_path, document_id, status, error, text): earlier finished files are skipped, the rest extracted, each on its own."""
     planned = plan_import(files, manifest, mode)
-    skipped = planned.where("resume").select("source_path", F.lit(None).cast("string").alias("document_id"), F.lit("skipped").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("text"))
-    fresh = extract(planned.where("NOT resume"), **how).withColumn("document_id", F.when((F.col("status") == "converted") & (F.lit(mode) != "convert"), F.concat(F.lit("doc_"), F.substring(F.sha2("content", 256), 1, 16))))
-    status = F.when(F.col("status") == "failed", "failed").otherwise({"convert": "converted", "ingest": "ingested", "process": "processed", "queue": "queued"}[mode])
+    skipped = planned.where("resume").select("source_path", F.lit(None).cast("string").alias("document_id"),
+        F.lit("skipped").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("string").alias("text"))
+    fresh = extract(planned.where("NOT resume"), **how).withColumn("document_id",
+        F.when((F.col("status") == "converted") & (F.lit(mode) != "convert"),
+            F.concat(F.lit("doc_"), F.substring(F.sha2("content", 256), 1, 16))))
+    status = F.when(F.col("status") == "failed", "failed").otherwise({"convert": "converted", "ingest": "ingested",
+            "process": "processed", "queue": "queued"}[mode])
     return skipped.unionByName(fresh.select("source_path", "document_id", status.alias("status"), "error", "text"))
 
 
@@ -194,7 +212,8 @@ def output_path(source: Column, source_dir: str, format: str, mode: str, target:
     base = source_dir.rstrip("/")
     named = F.concat(F.regexp_replace(source, r"\.[^./]*$", ""), F.lit(f".{format}"))
     below = F.substring(named, F.lit(len(base) + 2), F.length(named))
-    return {"original": named, "subdirectory": F.concat(F.lit(f"{base}/{subdirectory}/"), below), "new-directory": F.concat(F.lit(f"{(target or '').rstrip('/')}/"), below)}[mode]
+    return {"original": named, "subdirectory": F.concat(F.lit(f"{base}/{subdirectory}/"), below),
+        "new-directory": F.concat(F.lit(f"{(target or '').rstrip('/')}/"), below)}[mode]
 
 
 def unique_paths(df: DataFrame, column: str, order: str, existing: DataFrame | None = None) -> DataFrame:

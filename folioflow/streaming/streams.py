@@ -58,7 +58,8 @@ def _allow(times: list[float], limit: int, start: float | None, used: int, secon
     return out, start, used
 
 
-def _folded(df: DataFrame, key: str, order: list[str], fold: Callable[[pd.DataFrame, dict], pd.DataFrame], finish: Callable[[object, dict], pd.DataFrame] | None, schema: str) -> DataFrame:
+def _folded(df: DataFrame, key: str, order: list[str], fold: Callable[[pd.DataFrame, dict], pd.DataFrame],
+    finish: Callable[[object, dict], pd.DataFrame] | None, schema: str) -> DataFrame:
     """Rows of a key in order, a batch at a time with what was carried over from the batch before.
 
     Partitions are sorted, which spills; no key's rows are gathered, so a key may hold any share of them.
@@ -93,7 +94,8 @@ def rate_limit(requests: DataFrame, identity: str, at: str, order: str, limit: i
 
     def fold(pdf: pd.DataFrame, state: dict) -> pd.DataFrame:
         verdicts, state["start"], state["used"] = _allow(pdf["_t"].tolist(), limit, state.get("start"), state.get("used", 0))
-        return pd.DataFrame({identity: pdf[identity].to_numpy(), order: pdf[order].to_numpy(), "allowed": [a for a, _ in verdicts], "retry_after": [r for _, r in verdicts]})
+        return pd.DataFrame({identity: pdf[identity].to_numpy(), order: pdf[order].to_numpy(),
+                "allowed": [a for a, _ in verdicts], "retry_after": [r for _, r in verdicts]})
 
     timed = requests.select(identity, order, (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("_t"))
     return _folded(timed, identity, ["_t", order], fold, None, f"{identity} {kinds[identity]}, {order} {kinds[order]}, allowed boolean, retry_after int")
@@ -118,8 +120,11 @@ def rate_limit_stream(requests: DataFrame, identity: str, at: str, order: str, l
             state.setTimeoutTimestamp(max(int((start + WINDOW_SECONDS) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({identity: rows[identity], order: rows[order], "allowed": [a for a, _ in verdicts], "retry_after": [r for _, r in verdicts]})
 
-    timed = requests.select(identity, order, F.col(at).cast("timestamp").alias("_at"), (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("_t")).withWatermark("_at", late)
-    return timed.groupBy(identity).applyInPandasWithState(step, f"{identity} {kinds[identity]}, {order} {kinds[order]}, allowed boolean, retry_after int", "start double, used int", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = requests.select(identity, order, F.col(at).cast("timestamp").alias("_at"),
+        (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("_t")).withWatermark("_at", late)
+    return timed.groupBy(identity).applyInPandasWithState(step,
+        f"{identity} {kinds[identity]}, {order} {kinds[order]}, allowed boolean, retry_after int", "start double, used int",
+        "append", GroupStateTimeout.EventTimeTimeout)
 
 
 TRANSITIONS = {"enqueue": "queued", "claim": "running", "complete": "succeeded", "cancel": "canceled"}
@@ -171,4 +176,6 @@ def queue_stream(commands: DataFrame, most_attempts: int = 3) -> DataFrame:
         state.update(tuple(held[f] for f in _FIELDS))
         yield pd.DataFrame([{"run_id": key[0], **held}])
 
-    return commands.groupBy("run_id").applyInPandasWithState(step, f"run_id {kind}, status string, attempts int, locked_by string, last_error string", "status string, attempts int, locked_by string, last_error string", "update", GroupStateTimeout.NoTimeout)
+    return commands.groupBy("run_id").applyInPandasWithState(step,
+        f"run_id {kind}, status string, attempts int, locked_by string, last_error string",
+        "status string, attempts int, locked_by string, last_error string", "update", GroupStateTimeout.NoTimeout)
