@@ -144,7 +144,8 @@ def search(text: np.ndarray, order: np.ndarray, q: Queries, pairs: int = PAIRS)
 def _scans(benchmark: DataFrame, part_words: int, scan_words: int) -> Iterator[list[list[tuple[int | None, np.ndarray]]]]:
     """The items in parts of ``part_words`` words, as many parts at a time as one scan of the corpus takes."""
     scan, part, n, total = [], [], 0, 0
-    rows = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"), "text").distinct().orderBy("item_id", "text").toLocalIterator()
+    rows = benchmark.where("text IS NOT NULL").select(F.col("item_id").cast("bigint").alias("item_id"),
+        "text").distinct().orderBy("item_id", "text").toLocalIterator()
     for item, text in rows:
         part.append((item, codes(words(*_one(text))[0])))
         n, total = n + len(part[-1][1]), total + len(part[-1][1])
@@ -172,7 +173,8 @@ def best_matches(row: np.ndarray, item: np.ndarray, item_word: np.ndarray, doc_w
     return row[best], item[best], item_word[best], doc_word[best], n[best]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, least_words: int = LEAST_WORDS, part_words: int = PART_WORDS, scan_words: int = SCAN_WORDS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, least_words: int = LEAST_WORDS,
+    part_words: int = PART_WORDS, scan_words: int = SCAN_WORDS) -> DataFrame:
     """(doc_id, item_id, doc_word, item_word, n_words): the longest match of every document and item that have one."""
     spark, schema = docs.sparkSession, "doc_id bigint, item_id bigint, doc_word int, item_word int, n_words int"
     out = spark.createDataFrame([], schema)
@@ -199,7 +201,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, l
                         if not sum(len(f[0]) for f in found):
                             continue
                         row, item, item_word, doc_word, n = best_matches(*(np.concatenate(x) for x in zip(*found)))
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + first)), q.ids.take(pa.array(item)), *(pa.array(x.astype(np.int32)) for x in (doc_word, item_word, n))], names=["doc_id", "item_id", "doc_word", "item_word", "n_words"])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + first)), q.ids.take(pa.array(item)),
+                                *(pa.array(x.astype(np.int32)) for x in (doc_word, item_word, n))],
+                            names=["doc_id", "item_id", "doc_word", "item_word", "n_words"])
 
         out = out.unionByName(map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, schema))
     return out
@@ -207,5 +211,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, l
 
 def remove_affected(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` without those that hold a match."""
-    hit = materialize(matches(docs, benchmark, min_words, least_words).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_hit")).distinct(), "contaminated")
+    hit = materialize(matches(docs, benchmark, min_words,
+            least_words).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_hit")).distinct(), "contaminated")
     return docs.join(hit, docs["doc_id"] == hit["_hit"], "left_anti")

@@ -151,16 +151,20 @@ def bands(measured: DataFrame, width: float = WIDTH, min_tokens: int = MIN_TOKEN
     texts = measured.where(F.col("n_tokens") >= min_tokens)
     if TEXT_KEY in measured.columns:
         texts = texts.select(TEXT_KEY, "band", "n_tokens", *MEASURES).dropDuplicates([TEXT_KEY, "band"])
-    long = texts.select(F.explode(F.array("band", octave_of())).alias("band"), F.posexplode(F.array(*(F.round(F.col(m) / STEP).cast("bigint") for m in MEASURES))).alias("measure", "step"))
+    long = texts.select(F.explode(F.array("band", octave_of())).alias("band"),
+        F.posexplode(F.array(*(F.round(F.col(m) / STEP).cast("bigint") for m in MEASURES))).alias("measure", "step"))
     binned = materialize(long.groupBy("band", "measure", "step").agg(F.count(F.lit(1)).alias("n")), "fertility-bins")
     middle = _median(binned, "step")
-    off = binned.join(F.broadcast(middle), ["band", "measure"]).withColumn("off", F.abs(F.col("step") - F.col("median"))).groupBy("band", "measure", "off").agg(F.sum("n").alias("n"))
+    off = binned.join(F.broadcast(middle), ["band", "measure"]).withColumn("off",
+        F.abs(F.col("step") - F.col("median"))).groupBy("band", "measure", "off").agg(F.sum("n").alias("n"))
     mad = _median(off, "off").withColumnRenamed("median", "mad")
     floor = F.element_at(F.array(*(F.lit(FLOOR[m] / STEP) for m in MEASURES)), F.col("measure") + 1)
     half = F.greatest(F.lit(width) * F.col("mad"), floor)
     sizes = binned.groupBy("band", "measure").agg(F.sum("n").alias("n"))
-    joined = middle.join(mad, ["band", "measure"]).join(sizes, ["band", "measure"]).select("band", "measure", "n", (F.col("median") - half).alias("lo"), (F.col("median") + half).alias("hi"))
-    ends = [e for i, m in enumerate(MEASURES) for e in (F.max(F.when(F.col("measure") == i, F.col("lo"))).alias(f"{m}_lo"), F.max(F.when(F.col("measure") == i, F.col("hi"))).alias(f"{m}_hi"))]
+    joined = middle.join(mad, ["band", "measure"]).join(sizes, ["band", "measure"]).select("band", "measure", "n",
+        (F.col("median") - half).alias("lo"), (F.col("median") + half).alias("hi"))
+    ends = [e for i, m in enumerate(MEASURES) for e in (F.max(F.when(F.col("measure") == i, F.col("lo"))).alias(f"{m}_lo"),
+            F.max(F.when(F.col("measure") == i, F.col("hi"))).alias(f"{m}_hi"))]
     return joined.groupBy("band").agg(F.max("n").alias("n"), *ends)
 
 

@@ -29,7 +29,8 @@ RESULT = "record bigint, status string, start bigint, length bigint, found_lengt
 
 def warc_record(url: Column, content: Column) -> Column:
     """The bytes of a response record, as text; null if there is no content."""
-    head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")), F.lit("\r\nContent-Length: "), F.octet_length(content).cast("string"), F.lit("\r\n\r\n"))
+    head = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")),
+        F.lit("\r\nContent-Length: "), F.octet_length(content).cast("string"), F.lit("\r\n\r\n"))
     return F.concat(head, content, F.lit("\r\n\r\n"))
 
 
@@ -40,15 +41,20 @@ def _lane(body: Column, i: int) -> Column:
 
 def hashed(records: DataFrame, side: int, key: str, content: str) -> DataFrame:
     """(side, number, k, length, body): ``k`` is the number, or below 0 the leaf of a record that has none. Contents are hashed before anything is shuffled."""
-    own = records.select(F.lit(side).alias("side"), F.col(key).cast("bigint").alias("number"), F.coalesce(F.octet_length(content), F.lit(0)).cast("bigint").alias("length"), F.coalesce(F.sha2(F.col(content).cast("binary"), 256), F.sha2(F.lit("no content"), 256)).alias("body"))
+    own = records.select(F.lit(side).alias("side"), F.col(key).cast("bigint").alias("number"),
+        F.coalesce(F.octet_length(content), F.lit(0)).cast("bigint").alias("length"),
+        F.coalesce(F.sha2(F.col(content).cast("binary"), 256), F.sha2(F.lit("no content"), 256)).alias("body"))
     loose = F.sha2(F.concat_ws(":", F.col("number").cast("string"), "body"), 256)
     return own.withColumn("k", F.when(F.col("number") >= 0, F.col("number")).otherwise(F.lit(-1) - _lane(loose, 0) % LOOSE))
 
 
 def leaves(records: DataFrame, file_bits: int = FILE_BITS) -> DataFrame:
     """(side, k, start, length, copies, body, hash) by side and record number; sums only, so a number with very many records is one row from each task."""
-    one = records.groupBy("side", "k").agg(F.sum("length").alias("length"), F.count(F.lit(1)).alias("copies"), *(F.sum(_lane(F.col("body"), i)).alias(f"_{i}") for i in range(LANES)))
-    one = one.select("side", "k", "length", "copies", F.sha2(F.concat_ws(",", *(F.col(f"_{i}").cast("string") for i in range(LANES)), F.col("copies").cast("string")), 256).alias("body"))
+    one = records.groupBy("side", "k").agg(F.sum("length").alias("length"), F.count(F.lit(1)).alias("copies"),
+        *(F.sum(_lane(F.col("body"), i)).alias(f"_{i}") for i in range(LANES)))
+    one = one.select("side", "k", "length", "copies",
+        F.sha2(F.concat_ws(",", *(F.col(f"_{i}").cast("string") for i in range(LANES)), F.col("copies").cast("string")),
+            256).alias("body"))
     run = Window.partitionBy("side", F.shiftright("k", file_bits)).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     placed = one.withColumn("start", F.when(F.col("k") >= 0, F.sum("length").over(run) - F.col("length")))
     return placed.withColumn("hash", F.sha2(F.concat_ws(":", "k", F.coalesce("start", F.lit(-1)), "length", "copies", "body"), 256))
@@ -59,7 +65,8 @@ def parents(level: DataFrame, up: Column) -> DataFrame:
     c = F.array_sort(F.collect_list(F.struct("k", "start", "length", "hash")))
     nodes = level.groupBy("side", up.alias("up")).agg(c.alias("c"))
     length = F.aggregate("c", F.lit(0).cast("bigint"), lambda a, x: a + x["length"])
-    told = F.concat_ws(":", F.col("c")[0]["k"], F.element_at("c", -1)["k"], F.coalesce(F.col("c")[0]["start"], F.lit(-1)), length, F.array_join(F.transform("c", lambda x: F.concat_ws("=", x["k"], x["hash"])), ","))
+    told = F.concat_ws(":", F.col("c")[0]["k"], F.element_at("c", -1)["k"], F.coalesce(F.col("c")[0]["start"], F.lit(-1)), length,
+        F.array_join(F.transform("c", lambda x: F.concat_ws("=", x["k"], x["hash"])), ","))
     return nodes.select("side", F.col("up").alias("k"), F.col("c")[0]["start"].alias("start"), length.alias("length"), F.sha2(told, 256).alias("hash"))
 
 
@@ -95,12 +102,20 @@ def audit(a: DataFrame, b: DataFrame, key: str = "page_id", content: str = "html
     suspects = materialize(suspects, "fixity-suspects")
     side = lambda c, s: F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}_{'ab'[s]}")
     both = leaf.where("k >= 0").join(suspects, "k", "left_semi").groupBy("k").agg(*(side(c, s) for c in ("start", "length", "copies", "body") for s in (0, 1)))
-    status = F.when(F.col("body_b").isNull(), "missing").when(F.col("body_a").isNull(), "extra").when((F.col("body_a") == F.col("body_b")) & (F.col("copies_a") == F.col("copies_b")), "moved").otherwise("corrupt")
-    numbered = both.select(F.col("k").alias("record"), status.alias("status"), F.coalesce("start_a", "start_b").alias("start"), F.col("length_a").alias("length"), F.col("length_b").alias("found_length"), F.col("body_a").alias("hash"), F.col("body_b").alias("found_hash"))
+    status = F.when(F.col("body_b").isNull(), "missing").when(F.col("body_a").isNull(),
+        "extra").when((F.col("body_a") == F.col("body_b")) & (F.col("copies_a") == F.col("copies_b")),
+        "moved").otherwise("corrupt")
+    numbered = both.select(F.col("k").alias("record"), status.alias("status"), F.coalesce("start_a", "start_b").alias("start"),
+        F.col("length_a").alias("length"), F.col("length_b").alias("found_length"), F.col("body_a").alias("hash"),
+        F.col("body_b").alias("found_hash"))
     n = lambda s: F.count_if(F.col("side") == s)
-    loose = every.where("number IS NULL OR number < 0").join(suspects, "k", "left_semi").groupBy("number", "length", "body").agg(n(0).alias("n_a"), n(1).alias("n_b")).where("n_a <> n_b")
+    loose = every.where("number IS NULL OR number < 0").join(suspects, "k", "left_semi").groupBy("number", "length",
+        "body").agg(n(0).alias("n_a"), n(1).alias("n_b")).where("n_a <> n_b")
     there = lambda c, s: F.when(F.col(f"n_{s}") > 0, F.col(c))
-    others = loose.select(F.col("number").alias("record"), F.when(F.col("n_a") > F.col("n_b"), "missing").otherwise("extra").alias("status"), F.lit(None).cast("bigint").alias("start"), there("length", "a").alias("length"), there("length", "b").alias("found_length"), there("body", "a").alias("hash"), there("body", "b").alias("found_hash"))
+    others = loose.select(F.col("number").alias("record"),
+        F.when(F.col("n_a") > F.col("n_b"), "missing").otherwise("extra").alias("status"),
+        F.lit(None).cast("bigint").alias("start"), there("length", "a").alias("length"),
+        there("length", "b").alias("found_length"), there("body", "a").alias("hash"), there("body", "b").alias("found_hash"))
     return numbered.unionByName(others)
 
 
@@ -112,7 +127,8 @@ def archived(pages: DataFrame) -> DataFrame:
 def second_replica(pages: DataFrame) -> DataFrame:
     """A replica with damage decided by a hash of the record number: a letter changed, a tail lost, records lost."""
     u = F.conv(F.substring(F.md5(F.concat(F.lit("rot:"), F.col("page_id").cast("string"))), 1, 4), 16, 10).cast("int")
-    html = F.when(u < 200, F.concat(F.lit("?"), F.substring("html", 2, 2**30))).when(u < 230, F.expr("substring(html, 1, length(html) - 7)")).otherwise(F.col("html"))
+    html = F.when(u < 200, F.concat(F.lit("?"), F.substring("html", 2, 2**30))).when(u < 230,
+        F.expr("substring(html, 1, length(html) - 7)")).otherwise(F.col("html"))
     return pages.withColumn("u", u).withColumn("html", html).where("u IS NULL OR u < 65500").drop("u")
 
 

@@ -41,7 +41,9 @@ def tokens_of() -> Column:
 
 def topic_of() -> Column:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return F.when(text.contains("|"), "table").when(text.contains("icense"), "licence").when(text.contains("@") | text.contains("://"), "contact").when(F.length(text) < 600, "brief").otherwise("prose")
+    return F.when(text.contains("|"), "table").when(text.contains("icense"),
+        "licence").when(text.contains("@") | text.contains("://"), "contact").when(F.length(text) < 600,
+        "brief").otherwise("prose")
 
 
 def with_topic(docs: DataFrame) -> DataFrame:
@@ -94,7 +96,8 @@ def _scale_rows(rows: DataFrame, by: list[str], have: str, p: str, goal: str) ->
     """(by, f): the same factor as ``_scales``, as the greatest over all cuts between free and saturated cells. Rows of p = 0 are left out."""
     w = Window.partitionBy(*by)
     run = w.orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
-    cut = rows.where(F.col(p) > 0).select(*by, (F.col(goal) - (F.sum(have).over(w) - F.sum(have).over(run))).alias("_rest"), F.sum(F.col(have) * F.col(p)).over(run).alias("_free"))
+    cut = rows.where(F.col(p) > 0).select(*by, (F.col(goal) - (F.sum(have).over(w) - F.sum(have).over(run))).alias("_rest"),
+        F.sum(F.col(have) * F.col(p)).over(run).alias("_free"))
     return cut.groupBy(*by).agg(F.greatest(F.lit(0.0), F.max(F.col("_rest") / F.col("_free"))).alias("f"))
 
 
@@ -135,7 +138,8 @@ def _targets(table: DataFrame, d: str, temper: float, targets: dict[str, dict[st
     return materialize(m.select(f"_{d}", (F.col("p") / F.sum("p").over(total)).alias("target")), "mix-target")
 
 
-def calibrated(docs_with_cells: DataFrame, budget: float = BUDGET, rounds: int = ROUNDS, temper: float = TEMPER, targets: dict[str, dict[str, float]] | None = None, driver_cells: int = DRIVER_CELLS) -> DataFrame:
+def calibrated(docs_with_cells: DataFrame, budget: float = BUDGET, rounds: int = ROUNDS, temper: float = TEMPER,
+    targets: dict[str, dict[str, float]] | None = None, driver_cells: int = DRIVER_CELLS) -> DataFrame:
     """(cell, cell_tokens, p): the probability that documents of a cell are kept with. ``budget`` is the share of all tokens to draw."""
     table = materialize(cells(docs_with_cells), "mix-cells")
     names = [f"_{d}" for d in DIMS]
@@ -154,7 +158,8 @@ def calibrated(docs_with_cells: DataFrame, budget: float = BUDGET, rounds: int =
         codes.append(code)
         goals.append(goal)
     p = np.where(tokens > 0, rake_within(codes, tokens, goals, budget, rounds), 1.0)
-    out = pa.table({**{n: pa.array(t[n].astype(str), pa.string()) for n in names}, "cell_tokens": pa.array(t["cell_tokens"].to_numpy(np.int64)), "p": pa.array(p)})
+    out = pa.table({**{n: pa.array(t[n].astype(str), pa.string()) for n in names},
+            "cell_tokens": pa.array(t["cell_tokens"].to_numpy(np.int64)), "p": pa.array(p)})
     return docs_with_cells.sparkSession.createDataFrame(out, ", ".join(f"{n} string" for n in names) + ", cell_tokens bigint, p double")
 
 
@@ -171,27 +176,33 @@ def mixed(docs: DataFrame, budget: float = BUDGET, **how) -> DataFrame:
     return drawn(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source", "lang", *topic), budget, **how).select("row.*")
 
 
-def marginals(docs: DataFrame, budget: float = BUDGET, rounds: int = ROUNDS, temper: float = TEMPER, targets: dict[str, dict[str, float]] | None = None, driver_cells: int = DRIVER_CELLS) -> DataFrame:
+def marginals(docs: DataFrame, budget: float = BUDGET, rounds: int = ROUNDS, temper: float = TEMPER,
+    targets: dict[str, dict[str, float]] | None = None, driver_cells: int = DRIVER_CELLS) -> DataFrame:
     """(dimension, value, target, goal, drawn) as shares of the tokens drawn, in expectation.
 
     ``goal`` differs from ``target`` where a value has too few tokens for its target, or has to make up for one that has;
     ``drawn`` differs from ``goal`` where the goals of two dimensions exclude each other.
     """
-    cell = materialize(calibrated(with_cells(with_topic(docs.drop("tokens", "p", "cell_tokens", *(f"_{d}" for d in DIMS)))), budget, rounds, temper, targets, driver_cells), "mix-drawn")
+    cell = materialize(calibrated(with_cells(with_topic(docs.drop("tokens", "p", "cell_tokens", *(f"_{d}" for d in DIMS)))),
+            budget, rounds, temper, targets, driver_cells), "mix-drawn")
     cell = cell.withColumn("p", F.when(F.col("cell_tokens") > 0, F.col("p")).otherwise(0.0))
     names, parts = [f"_{d}" for d in DIMS], []
     shares = {d: _targets(cell.select(*names, "cell_tokens"), d, temper, targets) for d in DIMS}
     start = cell.withColumn("_there", F.col("cell_tokens").cast("double"))
     for d in DIMS:
-        start = start.join(shares[d], f"_{d}", "left").withColumn("_there", F.when(F.coalesce("target", F.lit(0.0)) > 0, F.col("_there")).otherwise(0.0)).drop("target")
-    total, there, taken = start.agg(F.coalesce(F.sum("cell_tokens"), F.lit(0)), F.coalesce(F.sum("_there"), F.lit(0.0)), F.coalesce(F.sum(F.col("cell_tokens") * F.col("p")), F.lit(0.0))).first()
+        start = start.join(shares[d], f"_{d}", "left").withColumn("_there",
+            F.when(F.coalesce("target", F.lit(0.0)) > 0, F.col("_there")).otherwise(0.0)).drop("target")
+    total, there, taken = start.agg(F.coalesce(F.sum("cell_tokens"), F.lit(0)), F.coalesce(F.sum("_there"), F.lit(0.0)),
+        F.coalesce(F.sum(F.col("cell_tokens") * F.col("p")), F.lit(0.0))).first()
     draw = min(budget * total, there)
     for d in DIMS:
         goal = _goals(start.groupBy(f"_{d}").agg(F.sum("_there").alias("have")), shares[d], d, draw)
         got = cell.groupBy(f"_{d}").agg((F.sum(F.col("cell_tokens") * F.col("p")) / F.lit(max(taken, 1e-300))).alias("drawn"))
         both = got.join(shares[d], f"_{d}", "full").join(goal, f"_{d}", "left")
         zero = F.lit(0.0)
-        parts.append(both.select(F.lit(d).alias("dimension"), F.col(f"_{d}").alias("value"), F.coalesce("target", zero).alias("target"), F.coalesce(F.col("goal") / F.lit(max(draw, 1e-300)), zero).alias("goal"), F.coalesce("drawn", zero).alias("drawn")))
+        parts.append(both.select(F.lit(d).alias("dimension"), F.col(f"_{d}").alias("value"),
+                F.coalesce("target", zero).alias("target"), F.coalesce(F.col("goal") / F.lit(max(draw, 1e-300)),
+                    zero).alias("goal"), F.coalesce("drawn", zero).alias("drawn")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 

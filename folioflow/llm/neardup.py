@@ -142,7 +142,8 @@ def candidate_sets(nodes: DataFrame, distance: int = DISTANCE, chunks: int = CHU
         ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
         held = np.flatnonzero(np.diff(ends))
         cut = [order[ends[b] : ends[b + 1]] for b in held]
-        return pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), blobs([keys[c].tobytes() for c in cut]), blobs([owner[c].tobytes() for c in cut])], names=["bucket", "keys", "nodes"])
+        return pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), blobs([keys[c].tobytes() for c in cut]),
+                blobs([owner[c].tobytes() for c in cut])], names=["bucket", "keys", "nodes"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, sig, n = [], [], 0
@@ -169,13 +170,15 @@ def candidate_sets(nodes: DataFrame, distance: int = DISTANCE, chunks: int = CHU
         members = node[at]
         # equal sets get equal names, whatever key found them; a name that two different sets share is the key's own for both
         mixed = mix(members.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-        name = mix(np.add.reduceat(mixed, np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)) + sizes.astype(np.uint64)) if total else np.empty(0, np.uint64)
+        name = mix(np.add.reduceat(mixed, np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)) +
+            sizes.astype(np.uint64)) if total else np.empty(0, np.uint64)
         keep = np.zeros(len(name), bool)
         first = np.unique(name, return_index=True)[1]
         keep[first] = True
         begin = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if total else np.empty(0, np.int64)
         same = first[np.searchsorted(name[first], name)] if total else first
-        for i in np.flatnonzero((sizes != sizes[same]) | (members[begin] != members[begin[same]]) | (members[begin + sizes - 1] != members[begin[same] + sizes[same] - 1])) if total else ():
+        for i in np.flatnonzero((sizes != sizes[same]) | (members[begin] != members[begin[same]]) |
+            (members[begin + sizes - 1] != members[begin[same] + sizes[same] - 1])) if total else ():
             keep[i], name[i] = True, mix(name[i : i + 1] + np.uint64(int(keys[starts[i]])))[0]
         rows = np.repeat(keep, sizes)
         return pa.table({"set": pa.array(np.repeat(name, sizes)[rows].view(np.int64)), "node": pa.array(members[rows])})
@@ -221,7 +224,8 @@ def split_large(nodes: DataFrame, sets: DataFrame, distance: int = DISTANCE, lar
     def merge(t: pa.Table) -> pa.Table:
         return pa.table(dict(zip(("set", "low", "high"), told(*ends(np.asarray(t.column("set")), _matrix(t.column("low")), _matrix(t.column("high")))))))
 
-    ranges = group_arrow(map_arrow(rows.select("set", "sig"), spread_, "set bigint, low binary, high binary"), "set", merge, "set bigint, low binary, high binary")
+    ranges = group_arrow(map_arrow(rows.select("set", "sig"), spread_, "set bigint, low binary, high binary"), "set", merge,
+        "set bigint, low binary, high binary")
 
     def rekey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks: dict[bytes, list[np.ndarray]] = {}
@@ -234,7 +238,8 @@ def split_large(nodes: DataFrame, sets: DataFrame, distance: int = DISTANCE, lar
                 if len(varying) <= distance:  # all are pairs: each hangs on the least
                     other = at[node[at] != least[at]]
                     sub = mix(node[other].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(int(name) % 2**64))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(sub.view(np.int64), 2)), pa.array(np.concatenate([node[other], least[other]]))], names=["set", "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(sub.view(np.int64), 2)),
+                            pa.array(np.concatenate([node[other], least[other]]))], names=["set", "node"])
                     continue
                 if varying.tobytes() not in masks:
                     masks[varying.tobytes()] = split_masks(varying, distance)
@@ -245,7 +250,8 @@ def split_large(nodes: DataFrame, sets: DataFrame, distance: int = DISTANCE, lar
     known = rows.join(ranges, "set").join(big.select("set", "least"), "set").select("set", "node", "sig", "low", "high", "least")
     subs = materialize(map_arrow(known, rekey, "set bigint, node bigint"), "minhash-split")
     shared = subs.groupBy("set").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("set")
-    return sets.join(big.select("set"), "set", "left_anti").select("set", "node").unionByName(subs.join(shared, "set", "left_semi").select("set", "node")).distinct()
+    return sets.join(big.select("set"), "set", "left_anti").select("set",
+        "node").unionByName(subs.join(shared, "set", "left_semi").select("set", "node")).distinct()
 
 
 def verified(nodes: DataFrame, sets: DataFrame, distance: int = DISTANCE, every: bool = False, bucket_rows: int = 200_000) -> DataFrame:
@@ -289,7 +295,8 @@ def components(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
             x, y = find(a), find(b)
             parent[max(x, y)] = min(x, y)
         nodes = list(parent)
-        return spark.createDataFrame(pa.table({"node": pa.array(nodes, pa.int64()), "root": pa.array([find(x) for x in nodes], pa.int64())}), "node bigint, root bigint")
+        return spark.createDataFrame(pa.table({"node": pa.array(nodes, pa.int64()),
+                    "root": pa.array([find(x) for x in nodes], pa.int64())}), "node bigint, root bigint")
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")), "cc-edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "cc")
     while True:

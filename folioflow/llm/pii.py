@@ -174,10 +174,23 @@ def generate(n: int, seed: int = 3) -> list[tuple[str, list[tuple[int, int, str]
     octet = lambda: str(r.randint(0, 255))
     card = lambda: r.choice([d(16), d(16), d(16), f"{d(4)} {d(4)} {d(4)} {d(4)}", f"{d(4)}-{d(4)}-{d(4)}-{d(4)}", d(15)])
     email = lambda: f"{word()}{r.choice(['', '.' + word(), '.' + d(2), d(r.randint(1, 4)), '_' + word(), '+' + word()])}@{word()}{r.choice(['', d(1), '-' + word()])}.{r.choice(['com', 'org', 'example.com', 'net', 'co.uk', 'de'])}"
-    phone = lambda: r.choice([f"+1 ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"+{r.randint(20, 99)} {d(2)} {d(4)} {d(4)}", f"+1-{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"+{d(11)}"])
-    secret = lambda: r.choice(["".join(r.choice("0123456789abcdef") for _ in range(r.choice([32, 40, 40, 64]))), "sk-" + "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQ0123456789") for _ in range(32)), "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)) + d(2), "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(r.choice([24, 32, 40])))])
-    makers = {"EMAIL": email, "PHONE": phone, "IP": lambda: ".".join(octet() for _ in range(4)), "CARD": card, "SECRET": secret, "NATIONAL_ID": lambda: f"{d(3)}-{d(2)}-{d(4)}"}
-    fakes = [lambda: f"Version {d(1)}.{d(1)}", lambda: f"{d(4)}-{d(2)}-{d(2)}", lambda: f"${d(2)}.{d(2)}", lambda: d(r.randint(1, 6)), lambda: f"{d(2)}:{d(2)}", lambda: f"{d(1)},{d(3)}", lambda: f"v{d(1)}.{d(1)}.{d(2)}", lambda: f"({d(4)})", lambda: f"{word()}{d(2)}", lambda: f"@{word()}", lambda: f"{d(2)}%", lambda: f"{d(2)}/{d(2)}/{d(4)}", lambda: f"ISBN 978-{d(1)}-{d(3)}-{d(5)}-{d(1)}", lambda: f"{d(3)}.{d(3)}", lambda: f"no. {d(4)}-{d(4)}", lambda: "".join(r.choice(["get", "user", "name", "from", "table", "with", "index", "value"]).title() for _ in range(r.randint(5, 7))), lambda: f"{r.randint(300, 999)}.{d(3)}.{r.randint(300, 999)}.{d(2)}"]
+    phone = lambda: r.choice([f"+1 ({d(3)}) {d(3)}-{d(4)}", f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}",
+            f"+{r.randint(20, 99)} {d(2)} {d(4)} {d(4)}", f"+1-{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}",
+            f"+{d(11)}"])
+    secret = lambda: r.choice(["".join(r.choice("0123456789abcdef") for _ in range(r.choice([32, 40, 40, 64]))),
+            "sk-" + "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQ0123456789") for _ in range(32)),
+            "AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)) + d(2),
+            "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(r.choice([24, 32,
+                40])))])
+    makers = {"EMAIL": email, "PHONE": phone, "IP": lambda: ".".join(octet() for _ in range(4)), "CARD": card, "SECRET": secret,
+        "NATIONAL_ID": lambda: f"{d(3)}-{d(2)}-{d(4)}"}
+    fakes = [lambda: f"Version {d(1)}.{d(1)}", lambda: f"{d(4)}-{d(2)}-{d(2)}", lambda: f"${d(2)}.{d(2)}",
+        lambda: d(r.randint(1, 6)), lambda: f"{d(2)}:{d(2)}", lambda: f"{d(1)},{d(3)}", lambda: f"v{d(1)}.{d(1)}.{d(2)}",
+        lambda: f"({d(4)})", lambda: f"{word()}{d(2)}", lambda: f"@{word()}", lambda: f"{d(2)}%",
+        lambda: f"{d(2)}/{d(2)}/{d(4)}", lambda: f"ISBN 978-{d(1)}-{d(3)}-{d(5)}-{d(1)}", lambda: f"{d(3)}.{d(3)}",
+        lambda: f"no. {d(4)}-{d(4)}", lambda: "".join(r.choice(["get", "user", "name", "from", "table", "with", "index",
+        "value"]).title() for _ in range(r.randint(5, 7))),
+        lambda: f"{r.randint(300, 999)}.{d(3)}.{r.randint(300, 999)}.{d(2)}"]
     out = []
     for _ in range(n):
         text, marks = "", []
@@ -187,7 +200,9 @@ def generate(n: int, seed: int = 3) -> list[tuple[str, list[tuple[int, int, str]
             if x < 0.35 and len(marks) < 3:
                 kind = r.choice(TYPES[1:])
                 value = makers[kind]()
-                lead = {"SECRET": r.choice(['token = "', 'key: ', 'api_key="', 'password = ', ""]), "EMAIL": r.choice(["", "", "mail ", "<"]), "PHONE": r.choice(["", "", "tel ", "call "]), "NATIONAL_ID": r.choice(["SSN ", "ssn: ", ""])}.get(kind, "")
+                lead = {"SECRET": r.choice(['token = "', 'key: ', 'api_key="', 'password = ', ""]),
+                    "EMAIL": r.choice(["", "", "mail ", "<"]), "PHONE": r.choice(["", "", "tel ", "call "]),
+                    "NATIONAL_ID": r.choice(["SSN ", "ssn: ", ""])}.get(kind, "")
                 text += lead
                 marks.append((len(text), len(text) + len(value), kind))
                 text += value + {'"': '"', "<": ">"}.get(lead[-1:], "") + r.choice(["", "", "", ".", ",", noise]) + " "
@@ -332,9 +347,12 @@ def pii_spans(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, s, e - s, kind, t[s:e]) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for s, e, kind in find(t, shared.value)]
+            rows = [(i, s, e - s, kind, t[s:e]) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for s,
+                e, kind in find(t, shared.value)]
             ids, starts, lengths, kinds, values = zip(*rows) if rows else ([], [], [], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()), pa.array(lengths, pa.int32()), pa.array(kinds, pa.string()), pa.array(values, pa.string())], names=["doc_id", "start", "length", "type", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int32()),
+                    pa.array(lengths, pa.int32()), pa.array(kinds, pa.string()), pa.array(values, pa.string())],
+                names=["doc_id", "start", "length", "type", "value"])
 
     return map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.col("text").rlike(MAY_HOLD)), run, schema)
 

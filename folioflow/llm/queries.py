@@ -16,7 +16,8 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("band", fertility.group_of())
-    measured = fertility.materialize(fertility.with_measures(docs.select("doc_id", "band", "text", fertility.text_key())).select("doc_id", "band", fertility.TEXT_KEY, "n_tokens", *fertility.MEASURES), "fertility")
+    measured = fertility.materialize(fertility.with_measures(docs.select("doc_id", "band", "text",
+                fertility.text_key())).select("doc_id", "band", fertility.TEXT_KEY, "n_tokens", *fertility.MEASURES), "fertility")
     return fertility.judged(measured, fertility.bands(measured)).where("reason IS NULL").drop("reason", fertility.TEXT_KEY)
 
 
@@ -58,6 +59,9 @@ def op10_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity.audit(fixity.archived(pages), fixity.archived(fixity.second_replica(pages)), content="record")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_fertility, op3_minhash, op4_bradley_terry, op5_pii, op6_substrings, op7_mixing, op8_url_filter, op9_decontamination, op10_fixity, mixing_marginals)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sharding, op2_fertility, op3_minhash,
+        op4_bradley_terry, op5_pii, op6_substrings, op7_mixing, op8_url_filter, op9_decontamination, op10_fixity,
+        mixing_marginals)}
 
-ORACLES: dict[str, str] = {"op1_sharding": sharding.oracle(), "op7_mixing": mixing.oracle(), "mixing_marginals": mixing.marginals_oracle(), "op8_url_filter": urlfilter.oracle(), "op10_fixity": fixity.oracle()}
+ORACLES: dict[str, str] = {"op1_sharding": sharding.oracle(), "op7_mixing": mixing.oracle(),
+    "mixing_marginals": mixing.marginals_oracle(), "op8_url_filter": urlfilter.oracle(), "op10_fixity": fixity.oracle()}

@@ -63,7 +63,10 @@ def featurize(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, n
         top = np.zeros(end - first)
         np.maximum.at(top, row, times)
         letters = _per_row(_LETTER[data], at)
-        form = np.stack([letters / size, _per_row(_SYMBOL[data], at) / size, _per_row(_UPPER[data], at) / np.maximum(1, letters), _per_row((data == 124).astype(float), at) / some, _per_row((data == 10).astype(float), at) / some, np.bincount(row, minlength=end - first) / np.sqrt(some) / 10, letters / some / 10, np.where(counts > 10, top / some, 0)], 1)
+        form = np.stack([letters / size, _per_row(_SYMBOL[data], at) / size, _per_row(_UPPER[data], at) / np.maximum(1, letters),
+                _per_row((data == 124).astype(float), at) / some, _per_row((data == 10).astype(float), at) / some,
+                np.bincount(row, minlength=end - first) / np.sqrt(some) / 10, letters / some / 10,
+                np.where(counts > 10, top / some, 0)], 1)
         yield first, row, bin_, form, counts > 0
 
 
@@ -73,7 +76,9 @@ def _gather(docs: DataFrame) -> DataFrame:
             for first, row, bin_, form, _has in featurize(batch.column(1)):
                 ends = np.searchsorted(row, np.arange(len(form) + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(form)), pa.array([bin_[a:b].astype(np.int32).tobytes() for a, b in zip(ends, ends[1:])], pa.binary()), pa.array([f.tobytes() for f in form], pa.binary())], names=["good", "bins", "form"]
+                    [batch.column(0).slice(first, len(form)),
+                            pa.array([bin_[a:b].astype(np.int32).tobytes() for a, b in zip(ends, ends[1:])], pa.binary()),
+                            pa.array([f.tobytes() for f in form], pa.binary())], names=["good", "bins", "form"]
                 )
 
     return map_arrow(docs.select("good", "text"), run, "good int, bins binary, form binary")
@@ -171,7 +176,8 @@ def score_quantile(scored: DataFrame, quantile: float) -> float:
     step = F.round(F.col("score") / STEP).cast("bigint")
     counted = scored.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n"))
     run = F.sum("n").over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))  # rows: steps in use, at most 1.9 million
-    row = counted.select("step", run.alias("run"), F.sum("n").over(Window.partitionBy()).alias("all")).where(F.col("run") > F.lit(quantile) * F.col("all")).agg(F.min("step")).first()
+    row = counted.select("step", run.alias("run"),
+        F.sum("n").over(Window.partitionBy()).alias("all")).where(F.col("run") > F.lit(quantile) * F.col("all")).agg(F.min("step")).first()
     return LOWEST if row[0] is None else row[0] * STEP
 
 

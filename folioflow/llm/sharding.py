@@ -37,7 +37,8 @@ def slot_key(key: str = "doc_id") -> Column:
 
 def slot_bytes(docs: DataFrame, slots: int = SLOTS, key: str = "doc_id") -> DataFrame:
     """(slot, bytes, records) of the slots in use; one partial aggregate per task, at most ``slots`` rows shuffled from each."""
-    return docs.groupBy(slot_of(slot_key(key), slots).alias("slot")).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("bigint").alias("bytes"), F.count(F.lit(1)).alias("records"))
+    return docs.groupBy(slot_of(slot_key(key), slots).alias("slot")).agg(F.coalesce(F.sum(F.octet_length("text")),
+            F.lit(0)).cast("bigint").alias("bytes"), F.count(F.lit(1)).alias("records"))
 
 
 def initial_map(spark: SparkSession, slots: int = SLOTS, shards: int = SHARDS) -> DataFrame:
@@ -95,16 +96,21 @@ def rebalance(map_: DataFrame, loads: DataFrame, version: int, shards: int = SHA
     held = current(map_).join(F.broadcast(loads), "slot", "left").select("slot", "shard", F.coalesce("bytes", F.lit(0)).alias("bytes"))
     total = Window.partitionBy()
     by_size = Window.partitionBy("shard").orderBy(F.desc("bytes"), "slot")
-    marked = held.withColumn("total", F.sum("bytes").over(total)).withColumns({"run": F.sum("bytes").over(by_size.rowsBetween(Window.unboundedPreceding, 0)), "n": F.row_number().over(by_size)})
+    marked = held.withColumn("total",
+        F.sum("bytes").over(total)).withColumns({"run": F.sum("bytes").over(by_size.rowsBetween(Window.unboundedPreceding,
+        0)), "n": F.row_number().over(by_size)})
     moves = (F.col("n") > 1) & (F.col("run") * shards > F.col("total") * tolerance) & (F.col("bytes") > 0)
     marked = marked.withColumn("moves", moves)
     share = F.max("total") / F.lit(float(shards))
     kept = marked.groupBy("shard").agg(share.alias("share"), F.coalesce(F.sum(F.when(~F.col("moves"), F.col("bytes"))), F.lit(0)).alias("kept"))
     room = kept.select("shard", F.greatest(F.lit(0.0), F.col("share") - F.col("kept")).alias("room"))
     upto = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    room = room.withColumn("hi", F.sum("room").over(upto)).withColumn("all_room", F.sum("room").over(total)).select(F.col("shard").alias("to"), (F.col("hi") - F.col("room")).alias("lo"), "hi", "all_room").where("hi > lo")
+    room = room.withColumn("hi", F.sum("room").over(upto)).withColumn("all_room",
+        F.sum("room").over(total)).select(F.col("shard").alias("to"), (F.col("hi") - F.col("room")).alias("lo"), "hi",
+        "all_room").where("hi > lo")
     moving = Window.orderBy(F.desc("bytes"), "slot").rowsBetween(Window.unboundedPreceding, 0)
-    moved = marked.where("moves").withColumn("end", F.sum("bytes").over(moving)).withColumn("all_moved", F.sum("bytes").over(total)).withColumn("mid", (F.col("end") - F.col("bytes") / 2) / F.col("all_moved"))
+    moved = marked.where("moves").withColumn("end", F.sum("bytes").over(moving)).withColumn("all_moved",
+        F.sum("bytes").over(total)).withColumn("mid", (F.col("end") - F.col("bytes") / 2) / F.col("all_moved"))
     hit = moved.join(F.broadcast(room), (F.col("mid") * F.col("all_room") >= F.col("lo")) & (F.col("mid") * F.col("all_room") < F.col("hi")))
     return hit.select(F.lit(version).alias("version"), "slot", F.col("to").alias("shard"))
 

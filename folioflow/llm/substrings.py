@@ -62,7 +62,8 @@ def _lowered(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(byte offsets, bytes) of the lower-cased texts of a block."""
     parts = [(o, d) for chunk in column.chunks for _, _, o, d in slices(chunk)]
     starts = np.cumsum([0, *(len(d) for _, d in parts)])
-    return np.concatenate([[0], *(o[1:] + s for (o, _), s in zip(parts, starts))]).astype(np.int64), np.concatenate([d for _, d in parts] or [np.empty(0, np.uint8)])
+    return np.concatenate([[0], *(o[1:] + s for (o, _), s in zip(parts, starts))]).astype(np.int64), np.concatenate([d for _,
+            d in parts] or [np.empty(0, np.uint8)])
 
 
 def _block_key(number: int) -> int:
@@ -112,7 +113,9 @@ def answers(docs: DataFrame, sketch: Sketch, window: int, block_bytes: int) -> D
             used = np.flatnonzero(np.diff(ends))
             n, own = len(used), _sum(h)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(used, pa.int32()), pa.array(np.full(n, _block_key(number)), pa.int64()), pa.array(np.full(n, own), pa.int64()), blobs([pack_gaps(at[ends[s] : ends[s + 1]] - s * sketch.length) for s in used])],
+                [pa.array(used, pa.int32()), pa.array(np.full(n, _block_key(number)), pa.int64()),
+                        pa.array(np.full(n, own), pa.int64()), blobs([pack_gaps(at[ends[s] : ends[s +
+                                1]] - s * sketch.length) for s in used])],
                 names=["segment", "block", "check", "counters"],
             )
 
@@ -125,7 +128,9 @@ def answers(docs: DataFrame, sketch: Sketch, window: int, block_bytes: int) -> D
             for x in (at[~again], at[again]):
                 count[x] = np.minimum(count[x] + 1, 2)
             asked.append(at[~again].astype(np.int32))
-        return pa.table({"block": t.column("block"), "segment": t.column("segment"), "check": t.column("check"), "n": pa.array([len(x) for x in asked], pa.int32()), "bits": blobs([np.packbits(count[x] == 2).tobytes() for x in asked])})
+        return pa.table({"block": t.column("block"), "segment": t.column("segment"), "check": t.column("check"),
+                "n": pa.array([len(x) for x in asked], pa.int32()),
+                "bits": blobs([np.packbits(count[x] == 2).tobytes() for x in asked])})
 
     sent = map_arrow(docs.select("text"), count, "segment int, block bigint, check bigint, counters binary")
     return group_arrow(sent, "segment", merge, "block bigint, segment int, check bigint, n int, bits binary")
@@ -157,7 +162,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, rows: int = ROWS, pe
         for number, block in row_blocks(batches, 1, block_bytes):
             offsets, data = _lowered(block.column("text"))
             ids = np.asarray(block.column("doc_id").fill_null(NO_DOCUMENT))
-            yield pa.RecordBatch.from_arrays([pa.array([_block_key(number)], pa.int64()), blobs([pack_ints(ids)]), blobs([pack_ints(offsets)]), blobs([pa.compress(data.tobytes(), codec="zstd", asbytes=True)])], names=["block", "ids", "offsets", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array([_block_key(number)], pa.int64()), blobs([pack_ints(ids)]),
+                    blobs([pack_ints(offsets)]), blobs([pa.compress(data.tobytes(), codec="zstd", asbytes=True)])],
+                names=["block", "ids", "offsets", "text"])
 
     def emit(block: pa.Table, answered: pa.Table) -> pa.Table:
         """A blob by bucket. ``place`` counts words over all texts of the block, so it rises; a text's id and first word are told once a blob."""
@@ -189,7 +196,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, rows: int = ROWS, pe
         used = np.flatnonzero(np.diff(ends))
         cut = [order[ends[b] : ends[b + 1]] for b in used]
         texts = [np.unique(np.searchsorted(firsts, place[c], "right") - 1) for c in cut]
-        return pa.table([pa.array(used, pa.int32()), blobs([h[c].tobytes() for c in cut]), blobs([second[c].tobytes() for c in cut]), blobs([pack_gaps(place[c]) for c in cut]), blobs([pack_ints(ids[t]) for t in texts]), blobs([pack_ints(firsts[t]) for t in texts])], schema=EMITTED)
+        return pa.table([pa.array(used, pa.int32()), blobs([h[c].tobytes() for c in cut]),
+                blobs([second[c].tobytes() for c in cut]), blobs([pack_gaps(place[c]) for c in cut]),
+                blobs([pack_ints(ids[t]) for t in texts]), blobs([pack_ints(firsts[t]) for t in texts])], schema=EMITTED)
 
     def located(place: bytes, ids: bytes, firsts: bytes) -> tuple[np.ndarray, np.ndarray]:
         at, starts = unpack_gaps(place), unpack_ints(firsts)
@@ -223,7 +232,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, rows: int = ROWS, pe
 
     read = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     shipped = map_arrow(read, ship, "block bigint, ids binary, offsets binary, text binary")
-    packed = cogroup_arrow(shipped, answers(docs, sketch, window, block_bytes), "block", emit, "bucket int, h binary, second binary, place binary, ids binary, firsts binary")
+    packed = cogroup_arrow(shipped, answers(docs, sketch, window, block_bytes), "block", emit,
+        "bucket int, h binary, second binary, place binary, ids binary, firsts binary")
     return group_arrow(packed, "bucket", group, "doc_id bigint, at binary")
 
 

@@ -52,7 +52,9 @@ def slices(column: pa.Array, max_bytes: int = 1 << 20) -> Iterator[tuple[int, in
         end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + max_bytes, "right")))
         part = pc.utf8_lower(pc.fill_null(column.slice(at, end - at), ""))
         buffers = part.buffers()
-        offsets = np.frombuffer(buffers[1], np.int64 if pa.types.is_large_string(part.type) else np.int32)[part.offset : part.offset + len(part) + 1].astype(np.int64)
+        offsets = np.frombuffer(buffers[1],
+            np.int64 if pa.types.is_large_string(part.type) else np.int32)[part.offset : part.offset + len(part) +
+            1].astype(np.int64)
         data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.empty(0, np.uint8)
         yield at, end, offsets - offsets[0], data[offsets[0] : offsets[-1]]
         at = end

@@ -28,9 +28,12 @@ from .common import map_arrow
 NODE_BYTES, BROADCAST_BYTES = 400, 64 << 20
 #: The default list: (entry, action).
 ENTRIES = (
-    ("spam-farm.example.org", "block"), ("cheap-pills.example.com", "block"), ("www.cheap-pills.example.com/en/about", "allow"), ("example.net", "block"), ("tionsh.example.net", "allow"),
-    ("tionsh.example.net/es", "block"), ("blog.tionsh.example.net/es/533", "allow"), ("ththan.example.net/en", "allow"), ("ththan.example.net/en/960", "block"), ("m.ththth.example.net", "allow"),
-    ("example.com/de", "block"), ("ththon.example.com/de", "allow"), ("example.org/fr", "block"), ("thther.example.org/fr/414", "allow"), ("blog.example.com", "block"), ("blog.tiontion.example.com/en", "allow"),
+    ("spam-farm.example.org", "block"), ("cheap-pills.example.com", "block"), ("www.cheap-pills.example.com/en/about", "allow"),
+        ("example.net", "block"), ("tionsh.example.net", "allow"),
+    ("tionsh.example.net/es", "block"), ("blog.tionsh.example.net/es/533", "allow"), ("ththan.example.net/en", "allow"),
+        ("ththan.example.net/en/960", "block"), ("m.ththth.example.net", "allow"),
+    ("example.com/de", "block"), ("ththon.example.com/de", "allow"), ("example.org/fr", "block"),
+        ("thther.example.org/fr/414", "allow"), ("blog.example.com", "block"), ("blog.tiontion.example.com/en", "allow"),
     ("ththth.example.com", "allow"), ("ththth.example.com/es", "block"),
 )
 ADDED = ("host", "path", "action", "entry")
@@ -134,7 +137,8 @@ def verdicts(pages: DataFrame, entries=ENTRIES, broadcast_bytes: int = BROADCAST
         trie = shared.value
         for batch in batches:
             found = [look_up(trie, h, p) for h, p in zip(batch.column(names.index("host")).to_pylist(), batch.column(names.index("path")).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([a for a, _ in found], pa.string()), pa.array([e for _, e in found], pa.string())], names=[*names, "action", "entry"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([a for a, _ in found], pa.string()),
+                    pa.array([e for _, e in found], pa.string())], names=[*names, "action", "entry"])
 
     return map_arrow(parsed, run, schema)
 
@@ -147,12 +151,15 @@ def joined(parsed: DataFrame, entries: DataFrame) -> DataFrame:
     labels, segments = F.split("host", r"\."), F.split("path", "/", most[1] + 1)  # the rest of a longer path stays in one piece
     n_labels = F.least(F.size(labels), F.lit(max(1, most[0])))
     n_segments = F.least(F.when(F.col("path") == "", 0).otherwise(F.size(segments)), F.lit(most[1]))
-    suffixes = F.transform(F.sequence(F.lit(1), n_labels), lambda i: F.struct(i.alias("n_host"), F.array_join(F.slice(labels, F.size(labels) - i + 1, i), ".").alias("h")))
-    prefixes = F.transform(F.sequence(F.lit(0), n_segments), lambda i: F.struct(i.alias("n_path"), F.array_join(F.slice(segments, F.lit(1), i), "/").alias("p")))
+    suffixes = F.transform(F.sequence(F.lit(1), n_labels),
+        lambda i: F.struct(i.alias("n_host"), F.array_join(F.slice(labels, F.size(labels) - i + 1, i), ".").alias("h")))
+    prefixes = F.transform(F.sequence(F.lit(0), n_segments),
+        lambda i: F.struct(i.alias("n_path"), F.array_join(F.slice(segments, F.lit(1), i), "/").alias("p")))
     keys = urls.withColumn("s", F.explode(suffixes)).withColumn("q", F.explode(prefixes)).select("host", "path", "s.*", "q.*")
     e = entries.select(F.col("host").alias("h"), F.col("path").alias("p"), "action")
     top = Window.partitionBy("host", "path").orderBy(F.desc("n_host"), F.desc("n_path"))
-    best = keys.join(e, ["h", "p"]).withColumn("rn", F.row_number().over(top)).where("rn = 1").select("host", "path", "action", F.concat_ws("/", "h", F.expr("nullif(p, '')")).alias("entry"))
+    best = keys.join(e, ["h", "p"]).withColumn("rn", F.row_number().over(top)).where("rn = 1").select("host", "path", "action",
+        F.concat_ws("/", "h", F.expr("nullif(p, '')")).alias("entry"))
     out = parsed.join(best, ["host", "path"], "left")
     action = F.when(F.col("host") == "", "none").otherwise(F.coalesce("action", F.lit("allow")))
     return out.select(*parsed.columns, action.alias("action"), "entry")
