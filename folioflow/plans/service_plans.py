@@ -511,3 +511,36 @@ def backup_verified(spark: SparkSession, d: str) -> DataFrame:
     path = f"{shared_dir(spark)}/backups/{uuid.uuid4().hex}"
     backup.backup({n: table(spark, d, n) for n in ("documents", "labels", "events")}, path)
     return backup.verify(spark, path)
+
+
+@query(f"WITH {_RECORDS} SELECT file, page_number::int AS page_number FROM r WHERE file % 3 = 0 AND status = 'succeeded' AND source IN ('embedded', 'ocr')")
+def pages_reusable(spark: SparkSession, d: str) -> DataFrame:
+    """Stored pages that an extraction of the same file under the same configuration takes over; every third file is unchanged."""
+    stored = _page_records(spark, d).withColumn("status", rollups.page_status(F.col("error"), F.col("source")))
+    stored = stored.select("file", F.col("page_number").cast("int").alias("page_number"), "status", "source", F.col("source_sha256").alias("sha256"), F.col("extraction_config").alias("config"), "page_count")
+    files = stored.select("file", "sha256", "config", "page_count").distinct()
+    changed = F.when(F.col("file") % 3 == 0, F.col("sha256")).otherwise("other")
+    wanted = files.where("file % 3 < 2").withColumn("sha256", changed)
+    wanted = wanted.unionByName(files.where("file % 3 = 2").withColumn("config", F.lit("{changed}")))
+    return rollups.reusable_pages(stored, wanted).select("file", "page_number")
+
+
+@query("SELECT user_id, round(avg(k - 20) FILTER (k >= 20 AND event_type <> 'click'), 6) AS confidence FROM (SELECT user_id, event_type, (props->>'$.k')::int AS k FROM events) GROUP BY 1")
+def ocr_confidences(spark: SparkSession, d: str) -> DataFrame:
+    """The mean over words that are not blank and have a confidence; a click is a blank word."""
+    conf = F.get_json_object("props", "$.k").cast("double") - 20
+    words = table(spark, d, "events").select("user_id", conf.alias("conf"), F.when(F.col("event_type") == "click", "  ").otherwise("w").alias("text"))
+    return rollups.ocr_confidence(words, ["user_id"]).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("WITH held AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id % 2 = 0) SELECT doc_id, CASE WHEN sha256(text) IN (SELECT h FROM held) THEN 'cached ' || sha256(text) ELSE text END AS text FROM documents")
+def extraction_cached(spark: SparkSession, d: str) -> DataFrame:
+    """Contents extracted before under the same configuration come from the cache, another configuration's do not, the rest is extracted."""
+    docs = table(spark, d, "documents")
+    files = docs.select("doc_id", F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_path"), F.encode("text", "UTF-8").alias("content"))
+    mine, other = readers.config_signature({"mode": "a"}), readers.config_signature({"mode": "b"})
+    sha = docs.select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("content_sha256")).distinct()
+    kept = sha.where("doc_id % 2 = 0").select("content_sha256").distinct().select("content_sha256", F.lit(mine).alias("config_signature"), F.concat(F.lit("cached "), "content_sha256").alias("text"))
+    cache = kept.unionByName(sha.select("content_sha256").distinct().select("content_sha256", F.lit(other).alias("config_signature"), F.lit("wrong").alias("text")))
+    got, _ = readers.extract_cached(files, cache, mine)
+    return got.select("doc_id", "text")

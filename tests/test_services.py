@@ -247,3 +247,18 @@ def test_repeated_changes_multiply_nothing(spark):
 
 def test_texts_of_pages(spark):
     assert spark.range(1).select(X.unescape(F.lit("&#65;&#x1F600;&lt;&nope;&amp;lt;&"))).first()[0] == "A\U0001F600<&nope;&lt;&"
+
+
+def test_small_functions(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(X.safe_name(F.lit(" A b/Ç! "))) == "a-b-ç" and one(X.safe_filename(F.lit("%ff/../"))) == "upload.txt"
+    items = spark.createDataFrame([("b", "o/b", "failed", "e"), ("a", "o/a", "converted", None)], "source_path string, output_path string, status string, error string")
+    from folioflow.operators import rollups, search
+
+    r = rollups.conversion_report(items).first()
+    assert (r["converted"], r["failed"], [i["source_path"] for i in r["items"]]) == (1, 1, ["a", "b"])
+    assert search.quote_of_query('say "a b" or "a longer one"') == "a longer one" and search.quote_of_query("plain") == "plain"
+    fresh, new = readers.extract_cached(spark.createDataFrame([("/a.txt", bytearray(b"x")), ("/b.txt", bytearray(b"\x00"))], "source_path string, content binary"), spark.createDataFrame([], "content_sha256 string, config_signature string, text string"), "s")
+    assert [r["text"] for r in new.collect()] == ["x"] and fresh.count() == 2  # failures are not cached
+    made = one(X.classified(X.mock_classification(F.lit("Text to analyze: a catalog of novels")), F.lit("t"), F.lit("f.txt")))
+    assert (made["code"], made["label"], made["tags"]) == ("800", "Literature", ["literature"])
