@@ -43,7 +43,7 @@ def slot_bytes(docs: DataFrame, slots: int = SLOTS, key: str = "doc_id") -> Data
 
 def initial_map(spark: SparkSession, slots: int = SLOTS, shards: int = SHARDS) -> DataFrame:
     """Version 1: slot modulo shards."""
-    return spark.range(slots).select(F.lit(1).alias("version"), F.col("id").cast("int").alias("slot"), (F.col("id") % shards).cast("int").alias("shard"))
+    return spark.range(0, slots, 1, 1).select(F.lit(1).alias("version"), F.col("id").cast("int").alias("slot"), (F.col("id") % shards).cast("int").alias("shard"))
 
 
 def versions(spark: SparkSession, path: str) -> list[int]:
