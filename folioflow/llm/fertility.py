@@ -41,6 +41,7 @@ MIN_TOKENS, MIN_GROUP, WIDTH, PIECE = 32, 30, 6.0, 100_000
 #: The least half-width of a band, so that a language whose texts are all alike does not reject a slight difference.
 FLOOR = {"chars_per_token": 0.15, "byte_share": 0.01, "token_entropy": 0.03}
 MEASURES = ("chars_per_token", "byte_share", "token_entropy")
+BROADCAST_BANDS = 100_000
 #: Measures are compared and counted at this step.
 STEP = 0.001
 #: The column that tells texts apart.
@@ -155,7 +156,7 @@ def bands(measured: DataFrame, width: float = WIDTH, min_tokens: int = MIN_TOKEN
         F.posexplode(F.array(*(F.round(F.col(m) / STEP).cast("bigint") for m in MEASURES))).alias("measure", "step"))
     binned = materialize(long.groupBy("band", "measure", "step").agg(F.count(F.lit(1)).alias("n")), "fertility-bins")
     middle = _median(binned, "step")
-    off = binned.join(F.broadcast(middle), ["band", "measure"]).withColumn("off",
+    off = binned.join(middle, ["band", "measure"]).withColumn("off",
         F.abs(F.col("step") - F.col("median"))).groupBy("band", "measure", "off").agg(F.sum("n").alias("n"))
     mad = _median(off, "off").withColumnRenamed("median", "mad")
     floor = F.element_at(F.array(*(F.lit(FLOOR[m] / STEP) for m in MEASURES)), F.col("measure") + 1)
@@ -165,14 +166,15 @@ def bands(measured: DataFrame, width: float = WIDTH, min_tokens: int = MIN_TOKEN
         (F.col("median") - half).alias("lo"), (F.col("median") + half).alias("hi"))
     ends = [e for i, m in enumerate(MEASURES) for e in (F.max(F.when(F.col("measure") == i, F.col("lo"))).alias(f"{m}_lo"),
             F.max(F.when(F.col("measure") == i, F.col("hi"))).alias(f"{m}_hi"))]
-    return joined.groupBy("band").agg(F.max("n").alias("n"), *ends)
+    return materialize(joined.groupBy("band").agg(F.max("n").alias("n"), *ends), "fertility-bands")
 
 
 def judged(measured: DataFrame, limits: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """``measured`` with ``reason``: null, or the first rule broken. A band that no text could set rejects nothing.
 
-    ``limits`` has a row for each language or script and octave of length; it is broadcast.
+    ``limits`` has a row for each language or script and octave of length; it is broadcast if these number at most ``BROADCAST_BANDS`` (about 15 MB), else joined by shuffle.
     """
+    sent = F.broadcast if limits.count() <= BROADCAST_BANDS else lambda side: side
     names = [f"{m}_{e}" for m in MEASURES for e in ("lo", "hi")]
     wide = limits.select("band", *(F.col(c).alias(f"all_{c}") for c in names))
     near = limits.where(F.col("n") >= MIN_GROUP).select(F.col("band").alias("_octave"), *names)
@@ -185,7 +187,7 @@ def judged(measured: DataFrame, limits: DataFrame, min_tokens: int = MIN_TOKENS)
         .when(long & ~step("chars_per_token").between(end("chars_per_token_lo"), end("chars_per_token_hi")), "chars_per_token")
         .when(long & (step("token_entropy") < end("token_entropy_lo")), "token_entropy")
     )
-    joined = measured.withColumn("_octave", octave_of()).join(F.broadcast(near), "_octave", "left").join(F.broadcast(wide), "band", "left")
+    joined = measured.withColumn("_octave", octave_of()).join(sent(near), "_octave", "left").join(sent(wide), "band", "left")
     return joined.select(*measured.columns, reason.alias("reason"))
 
 

@@ -196,7 +196,7 @@ def test_cut_keeps_ties_and_repeated_documents_fit_once(spark):
     assert all(np.array_equal(one[k], many[k]) for k in one)
 
 
-def test_bands_equal_brute_force(spark):
+def test_bands_equal_brute_force(spark, monkeypatch):
     """Medians, deviations, octaves, reasons of ``judge`` against a plain computation over distinct texts."""
     rng = random.Random(5)
     say = lambda n: " ".join(rng.choice(["the", "house", "stands", "near", "extraordinarily", "river", "I", "a"]) for _ in range(n))
@@ -204,4 +204,6 @@ def test_bands_equal_brute_force(spark):
     rows += [(500 + i, rows[i][1]) for i in range(30)] + [(600, "zz qq xx " * 50), (601, "the " * 100), (602, "ߘߙߚ" * 90), (603, ""), (604, None)]
     got = {r["doc_id"]: r["reason"] for r in fertility.judge(docs_of(spark, rows)).collect()}
     assert got == brute_reasons([(i, t, "en") for i, t in rows])
+    monkeypatch.setattr(fertility, "BROADCAST_BANDS", 0)
+    assert {r["doc_id"]: r["reason"] for r in fertility.judge(docs_of(spark, rows)).collect()} == got
     assert len(set(got.values())) >= 4
