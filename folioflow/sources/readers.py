@@ -20,8 +20,10 @@ from ..session import spread
 TEXT, CAPTIONS, PAGES = ("txt", "md", "csv"), ("srt", "vtt"), ("html", "htm", "xml")
 SUPPORTED = (*TEXT, "json", *CAPTIONS, *PAGES)
 #: First bytes in hexadecimal and what they tell.
-ARCHIVES = (("504B0304", "zip"), ("504B0506", "zip"), ("1F8B", "gzip"), ("425A68", "bzip2"), ("FD377A585A00", "xz"),
+ARCHIVES = (("504B0304", "zip"), ("504B0506", "zip"), ("1F8B", "gzip"), ("FD377A585A00", "xz"),
     ("377ABCAF271C", "7z"), ("526172211A07", "rar"), ("28B52FFD", "zstd"))
+#: Beginnings that are letters are told by more than those: bzip2 by its level and the mark of a block or of the end, tar by the bytes after its name.
+BZIP2, TARS = "^425A683[1-9](?:314159265359|177245385090)", (b"ustar\x00", b"ustar  \x00")
 STATUSES = {"convert": ("converted", "ingested", "processed", "queued"), "ingest": ("ingested", "processed", "queued"),
     "process": ("processed",), "queue": ("queued", "processed")}
 
@@ -32,11 +34,14 @@ def extension(path: Column) -> Column:
 
 def archive_label(content: Column) -> Column:
     """The kind of archive by its first bytes, or null."""
-    head = F.hex(F.substring(content, 1, 8))
+    head = F.hex(F.substring(content, 1, 10))
     out = F.when(F.lit(False), "")
     for magic, name in ARCHIVES:
         out = out.when(F.startswith(head, F.lit(magic)), name)
-    return out.when(F.substring(content, 258, 5) == F.lit(b"ustar"), "tar")
+    out = out.when(head.rlike(BZIP2), "bzip2")
+    for magic in TARS:
+        out = out.when(F.substring(content, 258, len(magic)) == F.lit(magic), "tar")
+    return out
 
 
 def has_nul(content: Column) -> Column:
