@@ -156,19 +156,33 @@ def pages_markdown(pages: DataFrame, by: list[str], source_path: str = "source_p
 _ITEM = ("source_path", "converted_path", "document_id", "run_id", "status", "error")
 
 
-def import_report(items: DataFrame, kind: str = REPORT) -> DataFrame:
-    """One row (json): the summary of an import and its items, by source path. The report of one import; its items are one row."""
+#: Items of one part of a report, about 1.5 MB of JSON.
+REPORT_ITEMS = 10_000
+
+
+def import_report(items: DataFrame, kind: str = REPORT, most_items: int = REPORT_ITEMS) -> DataFrame:
+    """A row (json) for each part of an import's report: the summary of the whole import and up to about ``most_items`` of its items, by source path.
+
+    An import of up to ``most_items`` is one part. The parts of a larger one are ranges of source paths, so that none is larger for the import's size; each is a report by itself.
+    """
     if kind not in (REPORT, IMPORT):
         raise ValueError(f"unknown kind: {kind}")
     done = lambda *s: F.count_if(F.col("status").isin(*s)).alias
-    summary = F.struct("converted", "ingested", "processed", "queued", "skipped", "failed")
-    one = items.agg(
+    names = ("converted", "ingested", "processed", "queued", "skipped", "failed")
+    told = items.agg(
         done("converted", "ingested", "processed", "queued")("converted"),
             F.count_if(F.col("document_id").isNotNull()).alias("ingested"), done("processed")("processed"),
-            done("queued")("queued"), done("skipped")("skipped"), done("failed")("failed"),
-        F.array_sort(F.collect_list(F.struct(*(F.col(c).cast("string").alias(c) for c in _ITEM)))).alias("items"),
-    )
-    return one.select(F.to_json(F.struct(F.lit(MARK).alias("generated_by"), F.lit(kind).alias("artifact_type"),
+            done("queued")("queued"), done("skipped")("skipped"), done("failed")("failed"), F.count(F.lit(1)).alias("_n"),
+    ).first()
+    n_parts = -(-told["_n"] // most_items)
+    summary = F.struct(*(F.lit(told[c]).cast("bigint").alias(c) for c in names))
+    each = items.select(*(F.col(c).cast("string").alias(c) for c in _ITEM))
+    listed = F.array_sort(F.collect_list(F.struct(*_ITEM))).alias("items")
+    if n_parts <= 1:
+        parts = each.agg(listed)
+    else:
+        parts = each.repartitionByRange(n_parts, *_ITEM).groupBy(F.spark_partition_id().alias("_part")).agg(listed)
+    return parts.select(F.to_json(F.struct(F.lit(MARK).alias("generated_by"), F.lit(kind).alias("artifact_type"),
                 summary.alias("summary"), "items"), _ALL).alias("json"))
 
 
