@@ -102,10 +102,24 @@ def _stats(sizes: DataFrame) -> DataFrame:
     return sizes.agg(F.count(F.lit(1)).alias("N"), F.avg("n_tokens").alias("avgdl"))
 
 
+#: Tokens whose postings are made at once, at about 100 bytes each; a longer text is taken alone.
+SLICE_TOKENS = 1 << 18
+
+
+def _slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows whose lists, in the last column, hold up to ``most`` values together, one row at least."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(batch.column(batch.num_columns - 1)), 0), np.int64))
+    at, before = 0, 0
+    while at < len(ends):
+        stop = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(at, stop - at)
+        at, before = stop, ends[stop - 1]
+
+
 def _term_lists(batches: Iterator[pa.RecordBatch], only: list[str] | None) -> Iterator[pa.RecordBatch]:
     """(key.., term, positions) of texts (key.., tokens): the tokens of a text are in one row, so its postings are made there, without a shuffle and without a loop over tokens."""
     wanted = None if only is None else pa.array(only, pa.string())
-    for batch in batches:
+    for batch in (part for whole in batches for part in _slices(whole, SLICE_TOKENS)):
         lists = batch.column(batch.num_columns - 1)
         sizes = np.asarray(lists.value_lengths())
         row, flat = np.repeat(np.arange(len(sizes)), sizes), lists.flatten()
@@ -115,7 +129,7 @@ def _term_lists(batches: Iterator[pa.RecordBatch], only: list[str] | None) -> It
             row, position, flat = row[hit], position[hit], flat.filter(pa.array(hit))
         words = flat.dictionary_encode()
         code = np.asarray(words.indices, np.int64)
-        order = np.lexsort((position, code, row))
+        order = np.argsort(row * (len(words.dictionary) + 1) + code, kind="stable")  # positions ascend already
         row, code, position = row[order], code[order], position[order]
         first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (code[1:] != code[:-1])])[: len(row)])
         positions = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(position.astype(np.int32)))

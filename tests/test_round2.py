@@ -71,3 +71,16 @@ def test_artifacts_are_whole_words(spark, tmp_path):
 def test_artifacts_are_still_found(spark, said):
     got = spark.createDataFrame([(f"Kept.\n{said}",)], "t string").select(X.validate(F.col("t"), F.lit(1))["text"]).first()[0]
     assert got == process.validated_text(f"Kept.\n{said}") == "Kept."
+
+
+def test_postings_are_made_of_bounded_slices(monkeypatch):
+    import pyarrow as pa
+
+    from folioflow.operators import search
+
+    tokens = [["b", "a", "b"], [], ["c"] * 9, ["a"], ["a", "b"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(tokens)], names=["id", "tokens"])
+    monkeypatch.setattr(search, "SLICE_TOKENS", 4)
+    out = list(search._term_lists(iter([batch]), None))
+    assert len(out) == 3 and max(len(b.column(2).flatten()) for b in out) == 9
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == [(0, "b", [0, 2]), (0, "a", [1]), (2, "c", list(range(9))), (3, "a", [0]), (4, "a", [0]), (4, "b", [1])]
