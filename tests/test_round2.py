@@ -84,3 +84,33 @@ def test_postings_are_made_of_bounded_slices(monkeypatch):
     out = list(search._term_lists(iter([batch]), None))
     assert len(out) == 3 and max(len(b.column(2).flatten()) for b in out) == 9
     assert [tuple(r.values()) for b in out for r in b.to_pylist()] == [(0, "b", [0, 2]), (0, "a", [1]), (2, "c", list(range(9))), (3, "a", [0]), (4, "a", [0]), (4, "b", [1])]
+
+
+def test_fuzzy_quotes_compare_few_windows_and_find_the_same(monkeypatch):
+    import random
+
+    from folioflow.operators import transcripts as R
+
+    rnd, calls = random.Random(7), []
+    seen = R.confidence
+    monkeypatch.setattr(R, "confidence", lambda q, w: calls.append(1) or seen(q, w))
+    words, n_windows = ["ai", "the", "of", "tion", "er", "Éa", "...", "so", ""], 0
+    for _ in range(150):
+        texts = [" ".join(rnd.choices(words, k=rnd.randint(0, 14))) for _ in range(rnd.randint(1, 16))]
+        said = rnd.choice(texts)
+        quote, least = said[3:] + " " + said[:3] + rnd.choice(["", " zz"]), rnd.choice([0.0, 0.5, 0.8])
+        segs = [{"text": t, "start_seconds": float(i), "duration_seconds": 1.0, "speaker": None} for i, t in enumerate(texts)]
+        if not R._plain(quote):
+            continue
+        best = (-1.0, 0, 0)
+        for i in range(len(texts)):
+            for j in range(i, min(len(texts), i + R.MOST_WINDOW)):
+                window = R._plain(" ".join(texts[i : j + 1]))
+                n_windows += 1
+                if window and (c := seen(R._plain(quote), window)) > best[0]:
+                    best = (c, i, j)
+        got = R.find_quote(segs, quote, least)
+        if got is None or got["strategy"] == "fuzzy-window":
+            want = (best[1], best[2], round(best[0], 6)) if best[0] >= max(least, 0) else None
+            assert (got and (got["start_segment_index"], got["end_segment_index"], got["confidence"])) == want
+    assert len(calls) < n_windows / 4
