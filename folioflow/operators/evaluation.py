@@ -113,24 +113,21 @@ def page_metrics(pages: DataFrame, by: list[str]) -> DataFrame:
     named = lambda c: F.coalesce(X.blank_to_null(F.col(c)), F.lit("unknown"))
     base = pages.withColumns({"status": named("status"), "source": named("source")})
     duration = F.when(F.col("duration_ms") >= 0, F.col("duration_ms").cast("double"))
-    one = base.groupBy(*by).agg(
-        F.coalesce(F.sum(F.when(F.col("attempts") >= 0, F.col("attempts"))), F.lit(0)).cast("bigint").alias("attempts"),
-            F.max(duration).alias("max_duration_ms"), F.count_if(F.col("source") == "ocr").alias("ocr_pages"),
-            F.count_if("corrected").alias("corrected_pages"),
-            F.avg(F.col("confidence").cast("double")).alias("average_ocr_confidence"),
+    # a row for the page and one for each value that is counted, so that the pages are read once
+    one = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.cast("string").alias("value"))
+    told = F.filter(F.coalesce("warnings", F.array().cast("array<string>")), lambda w: w != "")
+    each = F.concat(F.array(one("page", F.lit("")), one("status", F.col("status")), one("source", F.col("source"))), F.transform(told, lambda w: one("warning", w)))
+    confidence = F.col("confidence").cast("double")
+    counted = base.select(*by, "attempts", duration.alias("_d"), "source", "corrected", confidence.alias("_c"), F.inline(each)).groupBy(*by, "kind",
+        "value").agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("attempts") >= 0, F.col("attempts"))), F.lit(0)).cast("bigint").alias("attempts"),
+            F.max("_d").alias("max_duration_ms"), F.count_if(F.col("source") == "ocr").alias("ocr_pages"),
+            F.count_if("corrected").alias("corrected_pages"), F.avg("_c").alias("average_ocr_confidence"),
     )
-
-    def counted(values: DataFrame, name: str) -> DataFrame:
-        n = values.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"))
-        return n.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("value", "n")))).alias(name))
-
-    kinds = {"status_counts": base.select(*by, F.col("status").alias("value")),
-        "source_counts": base.select(*by, F.col("source").alias("value")),
-        "warning_counts": base.select(*by, F.explode("warnings").alias("value")).where("value <> ''")}
-    empty = F.expr("map()").cast("map<string,bigint>")
-    for name, values in kinds.items():
-        one = one.join(counted(values, name), by, "left").withColumn(name, F.coalesce(name, empty))
-    return one
+    names = ("attempts", "max_duration_ms", "ocr_pages", "corrected_pages", "average_ocr_confidence")
+    page = lambda c: F.max(F.when(F.col("kind") == "page", F.col(c))).alias(c)
+    of = lambda kind: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("value", "n"))))).alias(f"{kind}_counts")
+    return counted.groupBy(*by).agg(*map(page, names), *map(of, ("status", "source", "warning")))
 
 
 def _told(c: Column) -> Column:

@@ -114,3 +114,25 @@ def test_fuzzy_quotes_compare_few_windows_and_find_the_same(monkeypatch):
             want = (best[1], best[2], round(best[0], 6)) if best[0] >= max(least, 0) else None
             assert (got and (got["start_segment_index"], got["end_segment_index"], got["confidence"])) == want
     assert len(calls) < n_windows / 4
+
+
+def test_page_metrics_read_the_pages_once(spark, tmp_path):
+    from folioflow.operators import evaluation
+
+    schema = "file bigint, status string, source string, warnings array<string>, attempts int, duration_ms double, corrected boolean, confidence double"
+    rows = [(1, "succeeded", "ocr", ["a", "", "a"], 2, 5.0, True, 0.5), (1, None, "", None, None, -1.0, None, None), (2, "failed", "ocr", [], 1, None, False, 1.0)]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/pages")
+    out = evaluation.page_metrics(spark.read.parquet(f"{tmp_path}/pages"), ["file"])
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    got = {r["file"]: r for r in out.collect()}
+    assert got[1]["status_counts"] == {"succeeded": 1, "unknown": 1} and got[1]["source_counts"] == {"ocr": 1, "unknown": 1} and got[1]["warning_counts"] == {"a": 2}
+    assert (got[1]["attempts"], got[1]["max_duration_ms"], got[1]["ocr_pages"], got[1]["corrected_pages"], got[1]["average_ocr_confidence"]) == (2, 5.0, 1, 1, 0.5)
+    assert got[2]["warning_counts"] == {} and got[2]["max_duration_ms"] is None
+
+
+def test_missing_pages_are_found_without_comparing_all_with_all(spark):
+    names = "file bigint, page_number int, source string, status string, text string, confidence double, corrected boolean, error string, warnings array<string>, attempts int, duration_ms double, raw_text string, image_path string, rotation_degrees int, source_path string, source_sha256 string, extraction_config string, page_count int"
+    rows = [(1, n, "ocr", "succeeded", "t", None, None, None, None, 1, None, None, None, 0, "p", "s", "{}", 6) for n in (5, 2)]
+    written = manifests.page_manifest(spark.createDataFrame(rows, names), ["file"])
+    assert "exists(" not in written._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r["page_number"], r["status"]) for r in manifests.pages_of(written).collect()] == [(n, "succeeded" if n in (2, 5) else "pending") for n in range(1, 7)]
