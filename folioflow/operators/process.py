@@ -10,13 +10,15 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..session import spread
 
-_BREAK = re.compile(r"(?<=[!?.])\s+|\n(?:\n+|(?=\#{1,6}\s))")
+#: White space after a sentence's end, an empty line, a line feed before a heading. It begins with \s so that the search skips to white space.
+_BREAK = re.compile(r"\s(?:(?<=[!?.]\s)\s*|(?<=\n)(?:\n+|(?=\#{1,6}\s)))")
 CHUNKS = "array<struct<ordinal:int,text:string,start_char:int,end_char:int>>"
 
 
@@ -39,6 +41,21 @@ def _past_blanks(text: str, at: int) -> int:
     return at + len(rest) - len(rest.lstrip())
 
 
+def _last_break(body: str, first: int, end: int) -> int | None:
+    """Start of the last break from ``first`` to ``end``, looked for from behind. A search begins after a character that is no white space, so it finds the breaks that one from ``first`` does."""
+    size = 128
+    while True:
+        at = max(first, end - size)
+        while at > first and body[at - 1].isspace():
+            at -= 1
+        last = None
+        for last in _BREAK.finditer(body, at, end + 1):
+            pass
+        if last or at == first:
+            return last and last.start()
+        size *= 4
+
+
 def split_text(text: str | None, policy: ChunkPolicy) -> list[dict]:
     """Chunks of about ``target`` characters that overlap, cut at the last heading, blank line or sentence end in their second half, else hard."""
     body = (text or "").strip()
@@ -49,8 +66,8 @@ def split_text(text: str | None, policy: ChunkPolicy) -> list[dict]:
         if end >= size:
             end = size
         else:
-            places = [m.start() for m in _BREAK.finditer(body, at + max(policy.least, policy.target // 2), end + 1)]
-            end = places[-1] if places else end
+            place = _last_break(body, at + max(policy.least, policy.target // 2), end)
+            end = end if place is None else place
         piece = body[at:end].strip()
         if piece:
             first = _past_blanks(body, at)
@@ -63,9 +80,15 @@ def split_text(text: str | None, policy: ChunkPolicy) -> list[dict]:
 
 
 def chunk_column(text: Column, policy: ChunkPolicy = ChunkPolicy()) -> Column:
-    @F.pandas_udf(CHUNKS)
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t, policy))
+    @F.arrow_udf(CHUNKS)
+    def run(texts: pa.Array) -> pa.Array:
+        found, offsets = [], [0]
+        for t in texts:
+            found += split_text(t.as_py(), policy)
+            offsets.append(len(found))
+        fields = [(n, k, [c[n] for c in found]) for n, k in (("ordinal", pa.int32()), ("text", pa.string()), ("start_char", pa.int32()), ("end_char", pa.int32()))]
+        each = pa.StructArray.from_arrays([pa.array(v, k) for _, k, v in fields], [n for n, _, _ in fields])
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), each)
 
     return run(text)
 
@@ -121,8 +144,8 @@ def clean(chunked: DataFrame, model: Callable[[Column], Column] = X.mock_clean,
     if mode != "fast":
         order = Window.partitionBy(key).orderBy("ordinal") if mode == "max-coherence" else Window.partitionBy(key,
             F.floor(F.col("ordinal") / 4)).orderBy("ordinal")
-        before = F.lag(model(F.col("text"))).over(order)
-        chunked = chunked.withColumn("_before", F.substring(before, -500, 500))
+        # only the end of the answer travels with the chunk to its neighbour
+        chunked = chunked.withColumn("_before", F.lag(F.substring(model(F.col("text")), -500, 500)).over(order))
         prompt = F.when(F.length("_before") > 0, F.concat(F.lit("[CONTEXT: This continues from: "), "_before", F.lit("]\n\n"), F.col("text"))).otherwise(prompt)
     answer = model(prompt)
     if most_chars is not None:
@@ -170,44 +193,56 @@ def clean_in_turn(chunked: DataFrame, call: Callable[[str], str], mode: str = "m
     return checked.withColumns({"clean_text": F.col("_v.text"), "warnings": F.col("_v.warnings")}).drop("_v", "_run", "_answer")
 
 
-_SENTENCE = re.compile(r"[^.!?]+[.!?]")
+_BLANK_LINES = re.compile(r"(\n\n+)")
+_LEAD = re.compile(r"\s*([^.!?]+[.!?])\s*")
+#: White space after a sentence's end; it begins with \s so that the search skips to white space.
+_GAP = re.compile(r"(\s(?<=[.!?]\s)\s*)")
+
+
+def _last_sentence(s: str) -> str:
+    """The last match of ``[^.!?]+[.!?]`` in lower case, found from behind: a text without a sentence's end would be walked once from each of its characters."""
+    mark = lambda end: max(s.rfind(".", 0, end), s.rfind("!", 0, end), s.rfind("?", 0, end))
+    at = mark(len(s))
+    while at > 0 and s[at - 1] in ".!?":
+        at -= 1
+    return s[mark(at) + 1 : at + 1].strip().lower() if at > 0 else ""
 
 
 def drop_repeated_sentences(text: str) -> str:
     """Drop a sentence that repeats the one before it, across paragraphs too; structured parts lose only a leading one."""
     before, out = "", []
-    last_of = lambda s: (found[-1].strip().lower() if (found := _SENTENCE.findall(s)) else "")
-    for part in re.split(r"(\n\n+)", text):
+    for part in _BLANK_LINES.split(text):
         if not part or part[0] == "\n":
             out.append(part)
         elif "\n" in part or part.lstrip()[:1] == "#":
-            lead = re.match(r"\s*([^.!?]+[.!?])\s*", part)
-            if before and lead and lead[1].strip().lower() == before:
+            lead = _LEAD.match(part) if before else None
+            if lead and lead[1].strip().lower() == before:
                 part = part[lead.end() :]
             out.append(part)
-            before = last_of(part) or before
+            before = _last_sentence(part) or before
         else:
-            pieces = re.split(r"(?<=[.!?])(\s+)", part)
+            pieces = _GAP.split(part)
             if len(pieces) < 3:
                 out.append(part)
-                before = last_of(part) or before
+                before = _last_sentence(part) or before
                 continue
-            kept = ""
-            for sentence, gap in zip(pieces[::2], [*pieces[1::2], ""]):
-                key = sentence.strip().lower()
+            kept = []
+            for i in range(0, len(pieces), 2):
+                key = pieces[i].strip().lower()
                 if key and key == before:
                     continue
-                kept, before = kept + sentence + gap, key or before
-            out.append(kept.rstrip())
+                kept += pieces[i : i + 2]
+                before = key or before
+            out.append("".join(kept).rstrip())
     return "".join(out)
 
 
 def assemble_text(text: Column) -> Column:
     """The five repairs of joined chunks: context marks, artifact lines, repeated sentences, doubled headers, white space."""
 
-    @F.pandas_udf("string")
-    def dedupe(texts: pd.Series) -> pd.Series:
-        return texts.map(drop_repeated_sentences, na_action="ignore")
+    @F.arrow_udf("string")
+    def dedupe(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else drop_repeated_sentences(t) for t in texts.to_pylist()], pa.string())
 
     return X.strip(X.tidy_lines(X.without_doubled_headers(dedupe(X.without_artifact_lines(X.without_context_markers(text))))))
 
